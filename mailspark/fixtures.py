@@ -214,4 +214,7 @@ def duck_view_sql(name: str) -> str:
 def duck_with(views: list[str], body: str) -> str:
     """Prefix ``body`` with CTEs for the named derived views."""
     ctes = ",\n".join(f"{v} AS ({duck_view_sql(v)})" for v in views)
+    body = body.lstrip()
+    if body[:5].upper() == "WITH ":   # merge the body's own CTEs
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -243,3 +243,228 @@ SELECT message_id, from_email, from_name, subject FROM messages WHERE message_id
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return QUERIES["by_month"](spark, sf)
+
+
+# ---------------------------------------------------------------- classifications
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..operators import classify as K  # noqa: E402
+
+
+def _c(spark, sf):
+    return fx.classifications(spark, sf)
+
+
+def _docs_as_messages(spark, sf):
+    """Documents seen as scored mail: doc_id is the message id of ``classifications``."""
+    return fx.table(spark, sf, "documents").select(F.col("doc_id").alias("message_id"), "lang", "source", "n_chars", "text")
+
+
+MODELS = ["mA", "mB", "mC"]
+
+register("label_distribution", W(["classifications"], f"""
+SELECT model, prompt_version, label, count, {D.fixed_text('count * 100', 'tot', 1, '%')} AS pct
+FROM (SELECT model, prompt_version, label, COUNT(*) AS count,
+        SUM(COUNT(*)) OVER (PARTITION BY model, prompt_version) AS tot
+      FROM classifications GROUP BY model, prompt_version, label) g"""))(
+    lambda s, sf: K.label_distribution(_c(s, sf)))
+
+register("uncertain_rate_by_version", W(["classifications"], f"""
+SELECT prompt_version, model, uncertain, total, {D.fixed_text('uncertain * 100', 'total', 1, '%')} AS uncertain_rate,
+  CASE WHEN CAST(uncertain AS DOUBLE) / total > 0.30 THEN 'WARN: refine prompt before Stage 3' ELSE 'OK' END AS gate_status
+FROM (SELECT prompt_version, model, {D.count_if("label = 'uncertain'")} AS uncertain, COUNT(*) AS total
+      FROM classifications GROUP BY prompt_version, model) g"""))(
+    lambda s, sf: K.uncertain_rate_by_version(_c(s, sf)))
+
+register("disagreement_rate", W(["classifications"], f"""
+SELECT prompt_version, total_messages, disagreements,
+  {D.fixed_text('disagreements * 100', 'total_messages', 1, '%')} AS disagreement_rate
+FROM (SELECT prompt_version, COUNT(*) AS total_messages, {D.count_if('lo <> hi')} AS disagreements
+      FROM (SELECT message_id, prompt_version, MIN(label) AS lo, MAX(label) AS hi
+            FROM classifications GROUP BY message_id, prompt_version) pm GROUP BY prompt_version) g"""))(
+    lambda s, sf: K.disagreement_rate(_c(s, sf)))
+
+register("ensemble_verdict", W(["classifications"], f"""
+SELECT prompt_version, verdict, messages, {D.fixed_text('messages * 100', 'tot', 1, '%')} AS pct
+FROM (SELECT prompt_version, verdict, COUNT(*) AS messages, SUM(COUNT(*)) OVER (PARTITION BY prompt_version) AS tot
+      FROM (SELECT message_id, prompt_version,
+              CASE WHEN MIN(label) = MAX(label) AND MAX(label) = 'keep' THEN 'unanimous keep'
+                   WHEN MIN(label) = MAX(label) AND MAX(label) = 'delete' THEN 'unanimous delete'
+                   WHEN MIN(label) = MAX(label) AND MAX(label) = 'uncertain' THEN 'all uncertain'
+                   ELSE 'disagreement' END AS verdict
+            FROM classifications GROUP BY message_id, prompt_version) pm
+      GROUP BY prompt_version, verdict) g"""))(
+    lambda s, sf: K.ensemble_verdict(_c(s, sf)))
+
+_MAJ = """WITH lc AS (SELECT message_id, prompt_version, label, COUNT(*) AS n FROM classifications GROUP BY ALL),
+top AS (SELECT message_id, prompt_version, MAX(n) AS top, COUNT(*) AS nl FROM lc GROUP BY ALL),
+maj AS (SELECT lc.message_id, lc.prompt_version, MIN(lc.label) AS majority_label
+        FROM lc JOIN top ON lc.message_id = top.message_id AND lc.prompt_version = top.prompt_version
+        WHERE lc.n = top.top AND top.nl > 1 GROUP BY ALL HAVING COUNT(*) = 1),
+mv AS (SELECT c.*, maj.majority_label FROM classifications c
+       JOIN maj ON c.message_id = maj.message_id AND c.prompt_version = maj.prompt_version
+       WHERE c.label <> maj.majority_label)
+"""
+
+register("outlier_by_model", W(["classifications"], _MAJ + """
+SELECT prompt_version, model, COUNT(*) AS outlier_votes FROM mv GROUP BY prompt_version, model"""))(
+    lambda s, sf: K.outlier_by_model(_c(s, sf)))
+
+register("minority_votes", W(["classifications"], _MAJ + """
+SELECT message_id, model, prompt_version, label, confidence, true AS disagree, majority_label FROM mv"""))(
+    lambda s, sf: K.minority_votes(_c(s, sf)))
+
+register("outlier_directions", W(["classifications"], _MAJ + f"""
+SELECT prompt_version, model, COUNT(*) AS outlier_votes,
+  {D.count_if("label = 'delete' AND majority_label = 'keep'")} AS false_deletes,
+  {D.count_if("label = 'keep' AND majority_label = 'delete'")} AS false_keeps,
+  {D.count_if("label = 'uncertain'")} AS uncertain
+FROM mv GROUP BY prompt_version, model"""))(
+    lambda s, sf: K.outlier_directions(_c(s, sf)))
+
+register("disagreeing_keys", W(["classifications"], """
+SELECT message_id, prompt_version FROM classifications GROUP BY message_id, prompt_version
+HAVING MIN(label) <> MAX(label)"""))(
+    lambda s, sf: K.disagreeing_keys(_c(s, sf)))
+
+register("disagreement_history", W(["classifications"], f"""
+SELECT prompt_version, models, sample, disagreements, {D.fixed_text('disagreements * 100', 'sample', 1, '%')} AS disagreement_rate
+FROM (SELECT prompt_version, models, COUNT(*) AS sample, {D.count_if('dis')} AS disagreements
+      FROM (SELECT message_id, prompt_version, array_to_string(list_sort(list(DISTINCT model)), ',') AS models,
+              MIN(label) <> MAX(label) AS dis
+            FROM classifications GROUP BY message_id, prompt_version) pm
+      GROUP BY prompt_version, models) g"""))(
+    lambda s, sf: K.disagreement_history(_c(s, sf)))
+
+register("high_confidence_disagreements", W(["classifications"], """
+SELECT message_id, prompt_version,
+  string_agg(model || ':' || label || '(' || CAST(round(confidence, 2) AS VARCHAR) || ')', '  '
+             ORDER BY model || ':' || label || '(' || CAST(round(confidence, 2) AS VARCHAR) || ')') AS votes,
+  MAX(confidence) AS max_confidence
+FROM classifications GROUP BY message_id, prompt_version
+HAVING MIN(label) <> MAX(label) AND MAX(confidence) >= 0.9
+ORDER BY max_confidence DESC, prompt_version, message_id LIMIT 200"""))(
+    lambda s, sf: K.high_confidence_disagreements(_c(s, sf)))
+
+register("confidence_distribution", W(["classifications"], """
+SELECT model, prompt_version, label, round(CAST(trunc(confidence * 10) AS DOUBLE) / 10, 1) AS confidence_bucket,
+  COUNT(*) AS count
+FROM classifications GROUP BY model, prompt_version, label, confidence_bucket"""))(
+    lambda s, sf: K.confidence_distribution(_c(s, sf)))
+
+register("label_drift_by_model", W(["classifications"], f"""
+SELECT model, prompt_version, total, deletes, keeps, uncertain,
+  {D.fixed_text('deletes * 100', 'total', 1, '%')} AS delete_rate
+FROM (SELECT model, prompt_version, COUNT(*) AS total, {D.count_if("label = 'delete'")} AS deletes,
+        {D.count_if("label = 'keep'")} AS keeps, {D.count_if("label = 'uncertain'")} AS uncertain
+      FROM classifications GROUP BY model, prompt_version) g"""))(
+    lambda s, sf: K.label_drift_by_model(_c(s, sf)))
+
+register("vote", W(["classifications"], """
+SELECT message_id, prompt_version, CASE WHEN MIN(label) = MAX(label) THEN MIN(label) ELSE 'uncertain' END AS vote,
+  COUNT(label) AS n_votes
+FROM classifications GROUP BY message_id, prompt_version"""))(
+    lambda s, sf: K.vote(_c(s, sf)))
+
+register("single_model_uncertain_rate", W(["classifications"], f"""
+SELECT 'mA' AS model, 'v1.1.0' AS prompt_version, uncertain, total,
+  CASE WHEN total > 0 THEN CAST(uncertain AS DOUBLE) / total END AS uncertain_rate,
+  coalesce(CAST(uncertain AS DOUBLE) / NULLIF(total, 0) > 0.3, false) AS gate_warn
+FROM (SELECT {D.count_if("label = 'uncertain'")} AS uncertain, COUNT(*) AS total FROM classifications
+      WHERE model = 'mA' AND prompt_version = 'v1.1.0') g"""))(
+    lambda s, sf: K.single_model_uncertain_rate(_c(s, sf), "mA", "v1.1.0"))
+
+register("disagreement_log", W(["classifications"], """
+SELECT message_id, prompt_version, MAX(label) FILTER (WHERE model = 'mA') AS mA_label,
+  MAX(label) FILTER (WHERE model = 'mB') AS mB_label, MAX(label) FILTER (WHERE model = 'mC') AS mC_label
+FROM classifications WHERE model IN ('mA', 'mB', 'mC') GROUP BY message_id, prompt_version
+HAVING least(mA_label, mB_label, mC_label) <> greatest(mA_label, mB_label, mC_label)"""))(
+    lambda s, sf: K.disagreements(_c(s, sf), MODELS))
+
+
+def _upsert(spark, sf):
+    c = _c(spark, sf)
+    old = c.withColumn("classified_at", F.lit("2026-01-01T00:00:00+00:00"))
+    rerun = (c.where(F.col("model") == "mB").withColumn("label", F.lit("uncertain"))
+              .withColumn("classified_at", F.lit("2026-02-01T00:00:00+00:00")))
+    return K.upsert_classifications(old, rerun)
+
+
+register("upsert_classifications", W(["classifications"], """
+SELECT message_id, model, prompt_version, label, confidence, classified_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY message_id, model, prompt_version ORDER BY classified_at DESC) AS rn
+  FROM (SELECT *, '2026-01-01T00:00:00+00:00' AS classified_at FROM classifications
+        UNION ALL
+        SELECT message_id, model, prompt_version, 'uncertain' AS label, confidence, '2026-02-01T00:00:00+00:00'
+        FROM classifications WHERE model = 'mB') u) r WHERE rn = 1"""))(_upsert)
+
+_LATEST = """latest AS (SELECT message_id, prompt_version, human_label, corrected_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY message_id, prompt_version ORDER BY coalesce(corrected_at, '') DESC) AS rn
+  FROM corrections) r WHERE rn = 1)"""
+_VOTES = """votes AS (SELECT message_id, prompt_version,
+  CASE WHEN MIN(label) = MAX(label) THEN MIN(label) ELSE 'uncertain' END AS vote, COUNT(label) AS n_votes
+  FROM classifications GROUP BY message_id, prompt_version)"""
+
+register("latest_corrections", W(["corrections"], f"WITH {_LATEST} SELECT * FROM latest"))(
+    lambda s, sf: K.latest_corrections(fx.corrections(s, sf)))
+
+register("corrections_vs_votes", W(["corrections", "classifications"], f"""WITH {_LATEST}, {_VOTES}
+SELECT l.message_id, l.prompt_version, l.human_label, l.corrected_at, v.vote, v.n_votes
+FROM latest l JOIN votes v ON l.message_id = v.message_id AND l.prompt_version = v.prompt_version"""))(
+    lambda s, sf: K.corrections_vs_votes(fx.corrections(s, sf), _c(s, sf)))
+
+_ERR = f"""err AS (SELECT l.prompt_version, COUNT(*) AS total, {D.count_if('v.vote = l.human_label')} AS correct
+  FROM latest l JOIN votes v ON l.message_id = v.message_id AND l.prompt_version = v.prompt_version
+  GROUP BY l.prompt_version)"""
+
+register("corrections_error_rate", W(["corrections", "classifications"], f"""WITH {_LATEST}, {_VOTES}, {_ERR}
+SELECT prompt_version, total, correct, 1.0 - CAST(correct AS DOUBLE) / total AS error_rate FROM err"""))(
+    lambda s, sf: K.corrections_error_rate(fx.corrections(s, sf), _c(s, sf)))
+
+register("deployment_gate", W(["corrections", "classifications"], f"""WITH {_LATEST}, {_VOTES}, {_ERR},
+vs AS (SELECT DISTINCT prompt_version FROM classifications),
+j AS (SELECT vs.prompt_version, err.total, err.correct, 1.0 - CAST(err.correct AS DOUBLE) / err.total AS error_rate,
+        list_transform(string_split(regexp_replace(vs.prompt_version, '^v', ''), '.'), lambda x: TRY_CAST(x AS INTEGER))
+          >= [1, 1, 0] AS version_ok
+      FROM vs LEFT JOIN err ON vs.prompt_version = err.prompt_version)
+SELECT prompt_version, version_ok, coalesce(total, 0) AS total, coalesce(correct, 0) AS correct, error_rate,
+  CASE WHEN NOT version_ok THEN 'fail_version' WHEN total IS NULL THEN 'unmeasured'
+       WHEN error_rate >= 0.05 THEN 'fail_error_rate' ELSE 'pass' END AS status
+FROM j"""))(
+    lambda s, sf: K.deployment_gate(fx.corrections(s, sf), _c(s, sf), _c(s, sf).select("prompt_version")))
+
+
+def _review(spark, sf):
+    q = K.review_queue(_c(spark, sf), "v1.1.0")
+    q = K.exclude_corrected(q, fx.corrections(spark, sf))
+    q = K.enrich_review(q, _docs_as_messages(spark, sf), ["lang", "source"])
+    return q.withColumn("votes", F.to_json("votes", {"ignoreNullFields": "false"}))
+
+
+register("review_queue", W(["classifications", "corrections"], """
+SELECT q.message_id, CAST(to_json(q.votes) AS VARCHAR) AS votes, 'v1.1.0' AS prompt_version, d.lang, d.source
+FROM (SELECT message_id, list_sort(list({'model': model, 'label': label, 'reason': CAST(NULL AS VARCHAR)})) AS votes
+      FROM classifications WHERE prompt_version = 'v1.1.0' AND label = 'uncertain' GROUP BY message_id) q
+LEFT JOIN documents d ON d.doc_id = q.message_id
+WHERE NOT EXISTS (SELECT 1 FROM corrections r WHERE r.message_id = q.message_id AND r.prompt_version = 'v1.1.0')"""))(
+    _review)
+
+register("pending", W(["classifications"], """
+SELECT d.doc_id AS message_id, d.lang, d.source, d.n_chars, d.text, k.model, 'v1.1.0' AS prompt_version
+FROM documents d CROSS JOIN (VALUES ('mA'), ('mB'), ('mC'), ('mD')) k(model)
+WHERE NOT EXISTS (SELECT 1 FROM classifications c WHERE c.message_id = d.doc_id AND c.model = k.model
+                  AND c.prompt_version = 'v1.1.0')"""))(
+    lambda s, sf: K.pending(_docs_as_messages(s, sf), MODELS + ["mD"], _c(s, sf), "v1.1.0"))
+
+_STRATA_SQL = [
+    ("read_inbox", "in_inbox = 1 AND is_unread = 0"),
+    ("unread_inbox", "in_inbox = 1 AND is_unread = 1"),
+    ("promotions", "list_bool_or(list_transform(labels, lambda l: contains(lower(l), 'promotions')))"),
+    ("social", "list_bool_or(list_transform(labels, lambda l: contains(lower(l), 'social')))"),
+    ("updates", "list_bool_or(list_transform(labels, lambda l: contains(lower(l), 'updates')))"),
+]
+register("stratified_sample", W(["messages"], "\nUNION ALL\n".join(
+    f"""(SELECT '{n}' AS stratum, message_id, from_email, from_name, subject FROM messages
+   WHERE message_id IS NOT NULL AND coalesce({cond}, false) ORDER BY date_ts DESC NULLS LAST, mbox_offset LIMIT 40)"""
+    for n, cond in _STRATA_SQL)))(
+    lambda s, sf: K.stratified_sample(_m(s, sf), 200, ["message_id", "from_email", "from_name", "subject"]))
