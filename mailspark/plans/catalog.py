@@ -242,7 +242,7 @@ SELECT message_id, from_email, from_name, subject FROM messages WHERE message_id
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return QUERIES["by_month"](spark, sf)
+    return QUERIES["prune"](spark, sf)
 
 
 # ---------------------------------------------------------------- classifications
@@ -468,3 +468,163 @@ register("stratified_sample", W(["messages"], "\nUNION ALL\n".join(
    WHERE message_id IS NOT NULL AND coalesce({cond}, false) ORDER BY date_ts DESC NULLS LAST, mbox_offset LIMIT 40)"""
     for n, cond in _STRATA_SQL)))(
     lambda s, sf: K.stratified_sample(_m(s, sf), 200, ["message_id", "from_email", "from_name", "subject"]))
+
+
+# ---------------------------------------------------------------- retention rules
+from ..operators import audit as AU  # noqa: E402
+from ..operators import rules as R  # noqa: E402
+from . import duck_rules as DR  # noqa: E402
+
+# Derived from the driver data: the fixture's own sender population.
+NOISY_PLAIN = ["noreply@medium.com"]
+NOISY_EXCL = [("ship@amazon.com", ["invoice", "statement"])]
+INDUSTRY = [("Parcel carriers", ["track@mail.ups.com", "fedex.com"])]
+ALL_PRUNE_RULES = R.STANDING_RULES + R.industry_rules(INDUSTRY) + R.noisy_rules(NOISY_PLAIN, NOISY_EXCL)
+
+
+def _cand_sql(rules, cols="mbox_offset, message_id, thread_id, from_email, subject"):
+    return f"""cand AS (SELECT {cols}, rule_no, {DR.names(rules)}[rule_no] AS category
+  FROM (SELECT *, {DR.first_match(rules, AS_OF)} AS rule_no FROM messages) x WHERE rule_no IS NOT NULL)"""
+
+
+def _prune_sql(rules):
+    return f"""WITH {_cand_sql(rules)},
+ct AS (SELECT DISTINCT lower(trim(email)) AS from_email, true AS is_contact FROM contacts),
+rt AS (SELECT DISTINCT thread_id, true AS replied FROM messages WHERE in_sent = 1 AND thread_id IS NOT NULL),
+p AS (SELECT c.*, CASE WHEN ct.is_contact THEN 'contact' WHEN rt.replied THEN 'replied_thread' END AS protected_by
+      FROM cand c LEFT JOIN ct ON c.from_email = ct.from_email LEFT JOIN rt ON c.thread_id = rt.thread_id)
+"""
+
+
+def _prune(rules):
+    return lambda s, sf: R.prune(_m(s, sf), rules, fx.contacts(s, sf), AS_OF)
+
+
+_PRUNE_COLS = "mbox_offset, message_id, from_email, subject, rule_no, category, protected_by"
+register("prune", W(["messages", "contacts"], _prune_sql(R.STANDING_RULES) + f"""
+SELECT {_PRUNE_COLS}, CASE WHEN protected_by IS NULL THEN 'prune' ELSE 'skip' END AS decision FROM p"""))(
+    _prune(R.STANDING_RULES))
+
+register("prune_all_rules", W(["messages", "contacts"], _prune_sql(ALL_PRUNE_RULES) + f"""
+SELECT {_PRUNE_COLS}, CASE WHEN protected_by IS NULL THEN 'prune' ELSE 'skip' END AS decision FROM p"""))(
+    _prune(ALL_PRUNE_RULES))
+
+register("run_summary", W(["messages", "contacts"], _prune_sql(R.STANDING_RULES) + """
+SELECT category, CAST(SUM(CASE WHEN protected_by IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS moved,
+  CAST(SUM(CASE WHEN protected_by IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS failed
+FROM p GROUP BY category"""))(
+    lambda s, sf: R.run_summary(_prune(R.STANDING_RULES)(s, sf)))
+
+register("rescue", W(["messages"], f"""WITH {_cand_sql(R.RESCUE_RULES, 'mbox_offset, message_id, from_email, subject')}
+SELECT * FROM cand"""))(
+    lambda s, sf: R.rescue(_m(s, sf), R.RESCUE_RULES, AS_OF))
+
+register("label_reference", W(["messages"], f"""WITH {_cand_sql(R.REFERENCE_RULES, 'mbox_offset, message_id, from_email, subject')}
+SELECT * FROM cand"""))(
+    lambda s, sf: R.label_reference(_m(s, sf), R.REFERENCE_RULES, AS_OF))
+
+
+def _applied(spark, sf):
+    m = _m(spark, sf)
+    out = R.apply_actions(m, _prune(R.STANDING_RULES)(spark, sf), "prune")
+    return out.select("mbox_offset", "in_trash", F.to_json("labels").alias("labels"))
+
+
+register("apply_prune_actions", W(["messages", "contacts"], _prune_sql(R.STANDING_RULES) + """
+SELECT m.mbox_offset, CASE WHEN p.category IS NOT NULL THEN 1 ELSE m.in_trash END AS in_trash,
+  CAST(to_json(CASE WHEN p.category IS NOT NULL
+       THEN list_concat(coalesce(m.labels, CAST([] AS VARCHAR[])), list_filter(['Trash', 'Audit/Pruned/' || p.category],
+                   lambda x: NOT list_contains(coalesce(m.labels, CAST([] AS VARCHAR[])), x)))
+       ELSE m.labels END) AS VARCHAR) AS labels
+FROM messages m LEFT JOIN (SELECT * FROM p WHERE protected_by IS NULL) p ON m.mbox_offset = p.mbox_offset"""))(
+    _applied)
+
+
+def _applied_rescue(spark, sf):
+    m = _m(spark, sf)
+    out = R.apply_actions(m, R.rescue(m, R.RESCUE_RULES, AS_OF), "rescue")
+    return out.select("mbox_offset", "in_trash", F.to_json("labels").alias("labels"))
+
+
+register("apply_rescue_actions", W(["messages"], f"""WITH {_cand_sql(R.RESCUE_RULES, 'mbox_offset')}
+SELECT m.mbox_offset, CASE WHEN c.category IS NOT NULL THEN 0 ELSE m.in_trash END AS in_trash,
+  CAST(to_json(CASE WHEN c.category IS NOT NULL
+       THEN list_concat(list_filter(coalesce(m.labels, CAST([] AS VARCHAR[])), lambda x: x <> 'Trash'),
+                   list_filter(['Reference', 'Audit/Rescued/' || c.category],
+                               lambda x: NOT list_contains(coalesce(m.labels, CAST([] AS VARCHAR[])), x)))
+       ELSE m.labels END) AS VARCHAR) AS labels
+FROM messages m LEFT JOIN cand c ON m.mbox_offset = c.mbox_offset"""))(
+    _applied_rescue)
+
+_PREVIEW_HITS = "list_filter([" + ", ".join(
+    f"CASE WHEN {DR.predicate(r, AS_OF)} THEN {i} END" for i, r in enumerate(R.STANDING_RULES, 1)) + "], lambda x: x IS NOT NULL)"
+register("preview", W(["messages"], f"""WITH x AS (
+  SELECT mbox_offset, message_id, date_ts, from_email, subject, unnest({_PREVIEW_HITS}) AS rule_no FROM messages),
+counts AS (SELECT rule_no, COUNT(*) AS matches FROM x GROUP BY rule_no),
+top AS (SELECT *, row_number() OVER (PARTITION BY rule_no ORDER BY date_ts DESC NULLS LAST, mbox_offset) AS rank FROM x)
+SELECT t.rule_no, {DR.names(R.STANDING_RULES)}[t.rule_no] AS category, c.matches, CAST(t.rank AS INTEGER) AS rank,
+  t.mbox_offset, t.message_id, t.date_ts, t.from_email, t.subject
+FROM top t JOIN counts c ON t.rule_no = c.rule_no WHERE t.rank <= 10"""))(
+    lambda s, sf: R.preview(_m(s, sf), R.STANDING_RULES, AS_OF, 10))
+
+_NOISY_RULE = R.Rule("noisy", category_any=R.NOISY_CATEGORIES, older_than="180d", not_starred=True,
+                     not_important=True, not_reference=True, in_trash=False)
+register("noisy_senders", W(["messages"], f"""
+SELECT from_email, count, read_pct, starred FROM (
+  SELECT lower(from_email) AS from_email, COUNT(*) AS count,
+    CAST(floor(CAST(SUM(CASE WHEN coalesce(is_unread, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) * 100 / COUNT(*)) AS BIGINT) AS read_pct,
+    CAST(SUM(coalesce(is_starred, 0)) AS BIGINT) AS starred
+  FROM messages WHERE {DR.predicate(_NOISY_RULE, AS_OF)} AND from_email IS NOT NULL GROUP BY lower(from_email)) g
+WHERE count >= 5 AND read_pct <= 10"""))(
+    lambda s, sf: R.noisy_senders(_m(s, sf), AS_OF))
+
+register("exclude_contacts", W(["messages", "contacts"], """
+SELECT mbox_offset, from_email FROM messages m
+WHERE NOT EXISTS (SELECT 1 FROM contacts c WHERE lower(trim(c.email)) = m.from_email)"""))(
+    lambda s, sf: R.exclude_contacts(_m(s, sf), fx.contacts(s, sf)).select("mbox_offset", "from_email"))
+
+register("exclude_replied", W(["messages"], """
+SELECT mbox_offset, thread_id FROM messages m
+WHERE NOT EXISTS (SELECT 1 FROM messages s WHERE s.in_sent = 1 AND s.thread_id = m.thread_id)"""))(
+    lambda s, sf: R.exclude_replied(_m(s, sf), _m(s, sf)).select("mbox_offset", "thread_id"))
+
+register("exclude_replied_conversations", W(["conversation_messages"], """
+SELECT message_id, thread_id FROM conversation_messages m
+WHERE NOT EXISTS (SELECT 1 FROM conversation_messages s WHERE s.in_sent = 1 AND s.thread_id = m.thread_id)"""))(
+    lambda s, sf: R.exclude_replied(fx.conversation_messages(s, sf), fx.conversation_messages(s, sf))
+                   .select("message_id", "thread_id"))
+
+
+# ---------------------------------------------------------------- audit
+def _a(spark, sf):
+    return fx.audit(spark, sf)
+
+
+_P = "action IN ('pruned', 'trash')"
+_R = "action IN ('rescued', 'rescue')"
+register("audit_totals", W(["audit"], f"SELECT {D.count_if(_P)} AS pruned, {D.count_if(_R)} AS rescued FROM audit"))(
+    lambda s, sf: AU.audit_totals(_a(s, sf)))
+
+register("audit_totals_since", W(["audit"], f"""
+SELECT {D.count_if(_P)} AS pruned, {D.count_if(_R)} AS rescued FROM audit WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'"""))(
+    lambda s, sf: AU.audit_totals(_a(s, sf), since=__import__("datetime").datetime(2024, 1, 15)))
+
+register("audit_by_category", W(["audit"], f"""
+SELECT category, {D.count_if(_P)} AS pruned, {D.count_if(_R)} AS rescued FROM audit GROUP BY category"""))(
+    lambda s, sf: AU.audit_by_category(_a(s, sf)))
+
+register("audit_conflict_senders", W(["audit"], f"""
+SELECT sender, pruned, rescued FROM (SELECT sender, {D.count_if(_P)} AS pruned, {D.count_if(_R)} AS rescued
+  FROM audit WHERE sender IS NOT NULL AND sender <> '' GROUP BY sender) g WHERE pruned > 0 AND rescued > 0"""))(
+    lambda s, sf: AU.audit_conflict_senders(_a(s, sf)))
+
+_NEAR = f"""
+SELECT message_id, p.category AS pruned_as, r.category AS rescued_as, p.sender AS sender, p.subject AS subject FROM (
+  SELECT message_id,
+    arg_min({{'ts': ts, 'category': category, 'sender': sender, 'subject': subject}}, {{'t': ts, 'l': event_id}}) FILTER (WHERE {_P}) AS p,
+    arg_min({{'ts': ts, 'category': category, 'sender': sender, 'subject': subject}}, {{'t': ts, 'l': event_id}}) FILTER (WHERE {_R}) AS r
+  FROM audit WHERE message_id IS NOT NULL GROUP BY message_id) g
+WHERE p IS NOT NULL AND r IS NOT NULL"""
+register("audit_near_misses", W(["audit"], _NEAR))(lambda s, sf: AU.audit_near_misses(_a(s, sf)))
+register("audit_near_misses_strict", W(["audit"], _NEAR + " AND r.ts > p.ts"))(
+    lambda s, sf: AU.audit_near_misses(_a(s, sf), strict_order=True))

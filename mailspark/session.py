@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 # Shared defaults for runs on one machine; a cluster brings its own.
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.shuffle.partitions": "8",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -28,3 +28,41 @@ def newest_key(date="date_ts", key="mbox_offset") -> Column:
     make ``max_by`` pick an arbitrary row.
     """
     return F.struct(F.coalesce(col(date), F.lit(-(2 ** 63)).cast("long")).alias("d"), col(key).alias("k"))
+
+
+def _bytes(text: str) -> int:
+    t = text.strip().lower()
+    for suf, mul in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("k", 1 << 10), ("m", 1 << 20),
+                     ("g", 1 << 30), ("b", 1)):
+        if t.endswith(suf):
+            return int(float(t[: -len(suf)]) * mul)
+    return int(t)
+
+
+def estimated_size(df) -> int | None:
+    """The optimizer's size estimate of ``df`` in bytes (None when unavailable)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: let AQE decide
+        return None
+
+
+def small_side(df, max_bytes: int | None = None):
+    """Broadcast ``df`` only when its estimated size is under the bound.
+
+    The bound defaults to the session's ``spark.sql.autoBroadcastJoinThreshold``
+    (-1 disables).  Above the bound the DataFrame is returned untouched and
+    the join stays a shuffle join (AQE may still demote it at run time from
+    real statistics).
+    """
+    if max_bytes is None:
+        try:
+            max_bytes = _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
+        except Exception:  # noqa: BLE001
+            max_bytes = 10485760
+    if max_bytes < 0:
+        return df
+    size = estimated_size(df)
+    if size is not None and size <= max_bytes:
+        return F.broadcast(df)
+    return df
