@@ -628,3 +628,73 @@ WHERE p IS NOT NULL AND r IS NOT NULL"""
 register("audit_near_misses", W(["audit"], _NEAR))(lambda s, sf: AU.audit_near_misses(_a(s, sf)))
 register("audit_near_misses_strict", W(["audit"], _NEAR + " AND r.ts > p.ts"))(
     lambda s, sf: AU.audit_near_misses(_a(s, sf), strict_order=True))
+
+
+# ---------------------------------------------------------------- text
+from ..functions import text as TX  # noqa: E402
+from . import duck_text as DT  # noqa: E402
+
+
+def _pages(spark, sf):
+    return fx.table(spark, sf, "pages")
+
+
+register("strip_html", f"SELECT page_id, {DT.strip_html('html')} AS text FROM pages")(
+    lambda s, sf: _pages(s, sf).select("page_id", TX.strip_html("html").alias("text")))
+
+register("redact_injection", W(["injected_bodies"], f"""
+SELECT doc_id, {DT.redact_injection('body_text')} AS body FROM injected_bodies"""))(
+    lambda s, sf: fx.injected_bodies(s, sf).select("doc_id", TX.redact_injection("body_text").alias("body")))
+
+register("redact_pii", W(["injected_bodies"], f"""
+SELECT doc_id, {DT.redact_pii('body_text')} AS body FROM injected_bodies"""))(
+    lambda s, sf: fx.injected_bodies(s, sf).select("doc_id", TX.redact_pii("body_text").alias("body")))
+
+register("sanitize", W(["injected_bodies"], f"""
+SELECT doc_id, {DT.sanitize('body_text', False, True)} AS body FROM injected_bodies"""))(
+    lambda s, sf: fx.injected_bodies(s, sf).select("doc_id", TX.sanitize("body_text", False, True).alias("body")))
+
+register("sanitize_html", f"""
+SELECT page_id, {DT.sanitize('html', True, False)} AS body FROM pages""")(
+    lambda s, sf: _pages(s, sf).select("page_id", TX.sanitize("html", True, False).alias("body")))
+
+
+def _turns(spark, sf):
+    d = fx.injected_bodies(spark, sf).join(fx.table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
+    return d.select("doc_id", TX.build_user_turn(
+        F.concat(F.col("source"), F.lit("@docs.example")), F.col("lang"),
+        F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))),
+        F.lit(None).cast("string"), TX.sanitize("body_text", False)).alias("user_turn"))
+
+
+register("build_user_turn", W(["injected_bodies"], f"""
+SELECT b.doc_id, 'From: ' || d.source || '@docs.example' || chr(10) || 'Subject: '
+  || CASE WHEN b.doc_id % 4 <> 0 THEN 'Doc ' || CAST(b.doc_id AS VARCHAR) ELSE '(no subject)' END
+  || chr(10) || 'Date: ' || chr(10) || chr(10) || {DT.sanitize('b.body_text', False, False)} AS user_turn
+FROM injected_bodies b JOIN documents d ON b.doc_id = d.doc_id"""))(_turns)
+
+
+def _preview(spark, sf):
+    p, trunc = TX.body_preview("text")
+    return fx.table(spark, sf, "documents").select("doc_id", p.alias("preview"), trunc.alias("truncated"))
+
+
+_SAN_DOC = DT.sanitize("text", False, False)
+_PREV_BODY = DT.strip(f"replace(replace({_SAN_DOC}, '[EMAIL_CONTENT]', ''), '[/EMAIL_CONTENT]', '')")
+register("body_preview", f"""
+SELECT doc_id, substr(b, 1, 400) AS preview, length(b) > 400 AS truncated
+FROM (SELECT doc_id, {_PREV_BODY} AS b FROM documents) x""")(_preview)
+
+
+def _responses(spark, sf):
+    r = fx.responses(spark, sf).select("doc_id", TX.parse_label_response("raw_response").alias("p"))
+    return r.select("doc_id", "p.label", "p.confidence", "p.reason", "p.error")
+
+
+register("parse_label_response", W(["responses"], """
+SELECT doc_id,
+  CASE doc_id % 6 WHEN 0 THEN 'keep' WHEN 1 THEN 'delete' WHEN 2 THEN 'delete' WHEN 3 THEN 'keep' ELSE 'uncertain' END AS label,
+  CASE doc_id % 6 WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 WHEN 2 THEN 0.7 WHEN 3 THEN 0.6 WHEN 4 THEN 0.5 END AS confidence,
+  CASE WHEN doc_id % 6 = 2 THEN 'text (no-reply@)' WHEN doc_id % 6 < 5 THEN 'r' END AS reason,
+  CASE WHEN doc_id % 6 = 5 THEN 'json_parse_error' END AS error
+FROM responses"""))(_responses)
