@@ -698,3 +698,47 @@ SELECT doc_id,
   CASE WHEN doc_id % 6 = 2 THEN 'text (no-reply@)' WHEN doc_id % 6 < 5 THEN 'r' END AS reason,
   CASE WHEN doc_id % 6 = 5 THEN 'json_parse_error' END AS error
 FROM responses"""))(_responses)
+
+
+# ---------------------------------------------------------------- search
+from ..operators import search as SE  # noqa: E402
+
+_DUCK_TOK = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+
+
+def _duck_tokens(x):
+    return _DUCK_TOK.format(x=x)
+
+
+def _doc_index(spark, sf):
+    return SE.build_index(fx.table(spark, sf, "documents"), "doc_id", ["text"])
+
+
+register("build_index", f"""
+SELECT 'text' AS field, token, doc_id, COUNT(*) AS tf
+FROM (SELECT doc_id, unnest({_duck_tokens('text')}) AS token FROM documents) x GROUP BY token, doc_id""")(_doc_index)
+
+
+def _search_sql(query, n):
+    toks = ", ".join(f"'{t}'" for t in query.split())
+    return f"""
+SELECT d.doc_id, d.lang, d.n_chars FROM documents d WHERE d.doc_id IN (
+  SELECT doc_id FROM (SELECT doc_id, unnest({_duck_tokens('text')}) AS token FROM documents) x
+  WHERE token IN ({toks}) GROUP BY doc_id HAVING COUNT(DISTINCT token) = {n})"""
+
+
+for _q in ("the of", "queeux ouch"):
+    register("search_" + _q.replace(" ", "_"), _search_sql(_q, len(_q.split())))(
+        (lambda q: lambda s, sf: SE.search(fx.table(s, sf, "documents").select("doc_id", "lang", "n_chars"),
+                                           _doc_index(s, sf), q, "doc_id"))(_q))
+
+_MSG_FIELDS = ["subject", "from_email", "from_name"]
+register("search_messages", W(["messages"], f"""
+SELECT mbox_offset, subject, from_email FROM messages WHERE mbox_offset IN (
+  SELECT mbox_offset FROM (
+    SELECT mbox_offset, unnest({_duck_tokens('subject')}) AS token FROM messages
+    UNION ALL SELECT mbox_offset, unnest({_duck_tokens('from_email')}) FROM messages
+    UNION ALL SELECT mbox_offset, unnest({_duck_tokens('from_name')}) FROM messages) x
+  WHERE token IN ('google', 'alert') GROUP BY mbox_offset HAVING COUNT(DISTINCT token) = 2)"""))(
+    lambda s, sf: SE.search(_m(s, sf).select("mbox_offset", "subject", "from_email"),
+                            SE.build_index(_m(s, sf), "mbox_offset", _MSG_FIELDS), "Google ALERT", "mbox_offset"))
