@@ -126,7 +126,8 @@ def exclude_replied(m: DataFrame, sent: DataFrame) -> DataFrame:
     return m.join(replied_thread_ids(sent), "thread_id", "left_anti")
 
 
-def protect(cands: DataFrame, contacts: DataFrame, m: DataFrame, email_col: str = "email") -> DataFrame:
+def protect(cands: DataFrame, contacts: DataFrame, m: DataFrame, email_col: str = "email",
+            keep_flags: bool = False) -> DataFrame:
     """R2: mark candidates protected by contact (J1) or by a replied thread.
 
     Adds ``protected_by`` ('contact', 'replied_thread' or NULL).  Both lookups
@@ -137,9 +138,12 @@ def protect(cands: DataFrame, contacts: DataFrame, m: DataFrame, email_col: str
                 .withColumn("_is_contact", F.lit(True))
     t = replied_thread_ids(m).withColumn("_replied", F.lit(True))
     x = cands.join(small_side(c), "from_email", "left").join(t, "thread_id", "left")
-    return (x.withColumn("protected_by", F.when(F.col("_is_contact"), "contact")
-                                            .when(F.col("_replied"), "replied_thread"))
-             .drop("_is_contact", "_replied"))
+    x = x.withColumn("protected_by", F.when(F.col("_is_contact"), "contact").when(F.col("_replied"), "replied_thread"))
+    if keep_flags:
+        return (x.withColumn("is_contact", F.coalesce(F.col("_is_contact"), F.lit(False)))
+                 .withColumn("replied", F.coalesce(F.col("_replied"), F.lit(False)))
+                 .drop("_is_contact", "_replied"))
+    return x.drop("_is_contact", "_replied")
 
 
 def prune(m: DataFrame, rules: list[Rule], contacts: DataFrame, as_of_epoch: int,

@@ -742,3 +742,72 @@ SELECT mbox_offset, subject, from_email FROM messages WHERE mbox_offset IN (
   WHERE token IN ('google', 'alert') GROUP BY mbox_offset HAVING COUNT(DISTINCT token) = 2)"""))(
     lambda s, sf: SE.search(_m(s, sf).select("mbox_offset", "subject", "from_email"),
                             SE.build_index(_m(s, sf), "mbox_offset", _MSG_FIELDS), "Google ALERT", "mbox_offset"))
+
+
+# ---------------------------------------------------------------- scoring
+from ..operators import score as SC  # noqa: E402
+
+
+def _flagged(spark, sf):
+    return SC.with_protection_flags(_m(spark, sf), fx.contacts(spark, sf))
+
+
+def _duck_clause_chain(drop):
+    subj = "lower(coalesce(subject, ''))"
+    clauses = [
+        ("forwarded", "keep", "0.8", f"regexp_matches({subj}, '{SC.FWD_RE}')"),
+        ("auto_reply", "delete", "0.9", DR._subject(SC.AUTOREPLY)),
+        ("contact", "keep", "0.9", "coalesce(is_contact, false)"),
+        ("replied_thread", "keep", "0.9", "coalesce(replied, false)"),
+        ("receipt_or_travel", "keep", "0.85", DR._subject(SC.RECEIPTS)),
+        ("signature_request", "keep", "0.85", DR._sender(SC.SIGNATURE_DOMAINS)),
+        ("mailing_list", "delete", "0.8", f"regexp_matches({subj}, '{SC.LIST_RE}')"),
+        ("expired_notice", "delete", "0.8", DR._subject(SC.NOTICES)),
+        ("bulk_category", "delete", "0.7", "coalesce(lower(category) IN ('promotions', 'social'), false)"),
+        ("no_reply_sender", "delete", "0.6", f"coalesce(regexp_matches(lower(from_email), '{SC.NO_REPLY_RE}'), false)"),
+    ]
+    whens = " ".join(f"WHEN {c} THEN {{'label': '{lab}', 'confidence': CAST({conf} AS DOUBLE), 'reason': '{n}'}}"
+                     for n, lab, conf, c in clauses if n != drop)
+    return f"CASE {whens} ELSE {{'label': 'uncertain', 'confidence': CAST(NULL AS DOUBLE), 'reason': 'no_rule'}} END"
+
+
+_FLAGS = """flagged AS (SELECT m.*, ct.from_email IS NOT NULL AS is_contact,
+    rt.thread_id IS NOT NULL AS replied
+  FROM messages m
+  LEFT JOIN (SELECT DISTINCT lower(trim(email)) AS from_email FROM contacts) ct ON m.from_email = ct.from_email
+  LEFT JOIN (SELECT DISTINCT thread_id FROM messages WHERE in_sent = 1 AND thread_id IS NOT NULL) rt
+    ON m.thread_id = rt.thread_id)"""
+register("rule_classify", W(["messages", "contacts"], f"""WITH {_FLAGS},
+v AS (""" + "\nUNION ALL\n".join(
+    f"SELECT mbox_offset, '{name}' AS model, {_duck_clause_chain(drop)} AS v FROM flagged"
+    for name, drop in SC.RULE_MODELS.items()) + """)
+SELECT mbox_offset, model, 'v1.7.0' AS prompt_version, v.label AS label, v.confidence AS confidence, v.reason AS reason
+FROM v"""))(
+    lambda s, sf: SC.rule_classify(_flagged(s, sf), "v1.7.0", key="mbox_offset"))
+
+
+def _rule_votes(spark, sf):
+    c = SC.rule_classify(_flagged(spark, sf), "v1.7.0", key="mbox_offset").withColumnRenamed("mbox_offset", "message_id")
+    return K.vote(c)
+
+
+register("rule_vote", W(["messages", "contacts"], f"""WITH {_FLAGS},
+v AS (""" + "\nUNION ALL\n".join(
+    f"SELECT mbox_offset, {_duck_clause_chain(drop)}.label AS label FROM flagged"
+    for name, drop in SC.RULE_MODELS.items()) + """)
+SELECT mbox_offset AS message_id, 'v1.7.0' AS prompt_version,
+  CASE WHEN MIN(label) = MAX(label) THEN MIN(label) ELSE 'uncertain' END AS vote, COUNT(label) AS n_votes
+FROM v GROUP BY mbox_offset"""))(_rule_votes)
+
+
+def _score_pipeline(spark, sf):
+    """Plug-in path end to end: turns -> pending pairs -> batched classifier -> parse -> stored rows."""
+    turns = SC.user_turns(_m(spark, sf))
+    done = spark.createDataFrame([], "message_id string, model string, prompt_version string")
+    pairs = K.pending(turns, ["kw-a", "kw-b"], done, "v1.7.0")
+    raw = SC.classify(pairs, SC.keyword_responder, "system", "v1.7.0")
+    stored, _errors = SC.split_errors(SC.parse_scored(raw, "2026-06-18T00:00:00Z"))
+    return stored.drop("raw_response")
+
+
+register("score_pipeline")(_score_pipeline)
