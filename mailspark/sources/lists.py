@@ -45,11 +45,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
     full = T.StructType(schema.fields + [T.StructField(corrupt, T.StringType())])
     if not _exists(spark, path):
         empty = spark.createDataFrame([], full)
-        return empty.drop(corrupt), empty.select(corrupt)
-    df = (spark.read.schema(full).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", corrupt).json(path))
-    good = df.where(F.col(corrupt).isNull()).drop(corrupt)
-    bad = df.where(F.col(corrupt).isNotNull()).select(corrupt)
+        return empty.drop(corrupt).withColumn("line_no", F.lit(0).cast("long")), empty.select(corrupt)
+    # Lines in file order; line_no orders ties ("later line wins", W3).
+    lines = (spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+             .where(F.trim("value") != ""))
+    parsed = lines.select("value", "line_no", F.from_json("value", full, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}).alias("r"))
+    ok = parsed["r"].isNotNull() & parsed["r"][corrupt].isNull()
+    good = parsed.where(ok).select("r.*", "line_no").drop(corrupt)
+    bad = parsed.where(~ok).select(F.col("value").alias(corrupt))
     return good, bad
 
 
@@ -80,10 +84,10 @@ def read_contacts(spark: SparkSession, path: str) -> DataFrame:
 def read_noisy_senders(spark: SparkSession, path: str) -> DataFrame:
     """(address, exclude_keywords): 'address' or 'address<TAB>kw1,kw2'."""
     parts = F.split(F.col("value"), "\t", 2)
-    kws = F.filter(F.transform(F.split(F.coalesce(F.element_at(parts, 2), F.lit("")), ","), lambda k: F.trim(k)),
+    kws = F.filter(F.transform(F.split(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), ","), lambda k: F.trim(k)),
                    lambda k: k != "")
     return (_lines(spark, path)
-            .select(F.lower(F.trim(F.element_at(parts, 1))).alias("address"), kws.alias("exclude_keywords"))
+            .select(F.lower(F.trim(F.try_element_at(parts, F.lit(1)))).alias("address"), kws.alias("exclude_keywords"))
             .where(F.col("address") != ""))
 
 
@@ -91,7 +95,7 @@ def read_tab_rows(spark: SparkSession, path: str) -> DataFrame:
     """S6: 'name<TAB>rest' rows in file order; rows without a tab are dropped."""
     parts = F.split(F.col("value"), "\t", 2)
     return (_lines(spark, path).where(F.size(parts) == 2)
-            .select("line_no", F.trim(F.element_at(parts, 1)).alias("name"), F.trim(F.element_at(parts, 2)).alias("rest"))
+            .select("line_no", F.trim(F.try_element_at(parts, F.lit(1))).alias("name"), F.trim(F.try_element_at(parts, F.lit(2))).alias("rest"))
             .where(F.col("name") != ""))
 
 
