@@ -20,6 +20,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .util import spread
+
 SPARK_EPOCH = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o.o_orderdate)"
 DUCK_EPOCH = "CAST(epoch(o.o_orderdate) AS BIGINT)"
 
@@ -141,7 +143,8 @@ AS_OF_EPOCH = 996624000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; spread over the cores when it scans as too few splits."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _with_time_columns(m: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ Python's string semantics are kept where they matter: ``str.strip`` /
 from __future__ import annotations
 
 import html as _html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,8 +57,8 @@ def py_rstrip(c) -> Column:
 
 
 def is_blank(c) -> Column:
-    """``not text or not text.strip()``."""
-    return col(c).isNull() | (py_strip(c) == "")
+    """``not text or not text.strip()``: no non-whitespace character at all."""
+    return F.coalesce(~col(c).rlike(f"[^{_WS}]"), F.lit(True))
 
 
 @F.pandas_udf(T.StringType())
@@ -91,19 +92,34 @@ def split_lines(c) -> Column:
 
 
 def _injection(line: Column) -> Column:
-    s = py_strip(line)
-    cond = F.lit(False)
-    for p in INJECTION_PREFIXES:
-        cond = cond | s.startswith(p)
+    """Per-line test (used on arrays of lines): lstrip + prefix, or a token anywhere."""
+    cond = line.rlike(INJECTION_LINE_RE)
     for tok in INJECTION_TOKENS:
         cond = cond | line.contains(tok)
     return cond
 
 
+# One line (after normalising every splitlines() break to '\n') that starts, after
+# leading whitespace, with an injection prefix, or contains an injection token.
+INJECTION_LINE_RE = (f"^[{_WS_NO_NL}]*(?:" + "|".join(re.escape(p) for p in INJECTION_PREFIXES) + ")")
+_REDACT_RE = ("(?m)^(?:[" + _WS_NO_NL + "]*(?:" + "|".join(re.escape(p) for p in INJECTION_PREFIXES) + ")"
+              + "|.*(?:" + "|".join(re.escape(t) for t in INJECTION_TOKENS) + ")).*$")
+
+
+def normalize_lines(c) -> Column:
+    """``'\n'.join(text.splitlines())``: every line break becomes '\n', one trailing break dropped."""
+    t = F.regexp_replace(col(c), f"(?:{LINE_BREAK})\\z", "")
+    return F.regexp_replace(t, LINE_BREAK, "\n")
+
+
 def redact_injection(c) -> Column:
-    """replace every line carrying an injection marker by the redaction text."""
-    lines = F.transform(split_lines(c), lambda ln: F.when(_injection(ln), F.lit(REDACTED)).otherwise(ln))
-    return F.array_join(lines, "\n")
+    """replace every line carrying an injection marker by the redaction text.
+
+    Two codegen'd regex passes over the whole text (no per-line lambdas):
+    normalise the line breaks as ``str.splitlines`` sees them, then replace
+    each offending line in multiline mode.
+    """
+    return F.regexp_replace(normalize_lines(c), _REDACT_RE, REDACTED.replace("[", "\\[").replace("]", "\\]"))
 
 
 def redact_pii(c) -> Column:

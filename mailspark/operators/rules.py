@@ -105,9 +105,16 @@ def rule_name(rules: list[Rule], ordinal: Column) -> Column:
 
 
 def match_rules(m: DataFrame, rules: list[Rule], as_of_epoch: int) -> DataFrame:
-    """Messages claimed by a rule, with ``rule_no`` and ``category`` (rule name)."""
-    x = m.withColumn("rule_no", first_match(rules, as_of_epoch))
-    return x.where(F.col("rule_no").isNotNull()).withColumn("category", rule_name(rules, F.col("rule_no")))
+    """Messages claimed by a rule, with ``rule_no`` and ``category`` (rule name).
+
+    The ordinal is emitted by exploding a 0/1-element array instead of a
+    ``rule_no IS NOT NULL`` filter: a filter would be pushed below the
+    projection and evaluate the whole CASE chain twice (once to filter, once
+    to project); the generator evaluates it exactly once per message.
+    """
+    hit = F.array_compact(F.array(first_match(rules, as_of_epoch)))
+    x = m.select("*", F.explode(hit).alias("rule_no"))
+    return x.withColumn("category", rule_name(rules, F.col("rule_no")))
 
 
 # ------------------------------------------------------------- protections

@@ -66,3 +66,20 @@ def small_side(df, max_bytes: int | None = None):
     if size is not None and size <= max_bytes:
         return F.broadcast(df)
     return df
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin an under-partitioned input over the cluster's cores.
+
+    A table stored as one small file / row group scans as a single task, so
+    all row-level CPU work (regexes over long texts, rule predicates) would
+    run on one core.  Only when the scan yields fewer partitions than the
+    default parallelism is a (small) round-robin shuffle added; a large
+    table already has many splits and is returned untouched.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: leave the plan as is
+        return df
+    return df.repartition(target) if n < target else df
