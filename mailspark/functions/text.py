@@ -177,14 +177,6 @@ _JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "al
 LABELS = ("keep", "delete", "uncertain")
 
 
-def _strip_fences(c) -> Column:
-    t = py_strip(c)
-    nl = F.instr(t, "\n")
-    body = F.when(nl > 0, F.substring(t, nl + 1, 1 << 30)).otherwise(F.substring(t, 4, 1 << 30))
-    body = F.when(body.endswith("```"), py_rstrip(F.substring(body, 1, F.length(body) - 3))).otherwise(body)
-    return F.when(t.startswith("```"), py_strip(body)).otherwise(t)
-
-
 def _parse(text: Column) -> Column:
     return F.from_json(text, _RESP_SCHEMA, _JSON_OPTS)
 
@@ -193,25 +185,40 @@ def _ok(parsed: Column) -> Column:
     return parsed.isNotNull() & parsed["_corrupt"].isNull()
 
 
-def parse_label_response(raw) -> Column:
-    """model reply -> struct(label, confidence, reason, error).
+def parse_label_responses(df, raw: str = "raw_response", prefix: str = ""):
+    """model replies -> columns label, confidence, reason, error (added to ``df``).
 
     Attempts, in order: the fence-stripped text; the text up to its last
     '}'; the same with a '"' inserted before that brace when missing.
     Labels are lower-cased and anything outside keep/delete/uncertain
     becomes 'uncertain' (Q11); no parse -> 'uncertain' + 'json_parse_error'.
+
+    Every intermediate is its own projection step, so each regex / JSON
+    parse runs once per row (composing them as one expression would repeat
+    the shared sub-expressions in every branch).
     """
-    t = _strip_fences(raw)
-    rpos = F.instr(F.reverse(t), "}")
-    lb = F.when(rpos > 0, F.length(t) - rpos + 1)           # 1-based position of the last '}'
-    cut = F.when(lb > 1, F.substring(t, 1, lb))
-    quoted = F.when((lb > 1) & (F.substring(t, lb - 1, 1) != '"'),
-                    F.concat(F.substring(t, 1, lb - 1), F.lit('"'), F.substring(t, lb, 1 << 30)))
-    p1, p2, p3 = _parse(t), _parse(cut), _parse(quoted)
-    parsed = F.when(_ok(p1), p1).when(_ok(p2), p2).when(_ok(p3), p3)
-    lab = F.lower(parsed["label"])
-    label = F.when(parsed.isNull(), F.lit("uncertain")).when(lab.isin(*LABELS), lab).otherwise(F.lit("uncertain"))
-    return F.struct(label.alias("label"),
-                    parsed["confidence"].try_cast("double").alias("confidence"),
-                    parsed["reason"].alias("reason"),
-                    F.when(parsed.isNull(), F.lit("json_parse_error")).alias("error"))
+    c = F.col
+    x = df.withColumn("_t0", py_strip(raw))
+    nl = F.instr(c("_t0"), "\n")
+    x = x.withColumn("_fb", F.when(c("_t0").startswith("```"),
+                                   F.when(nl > 0, F.substring(c("_t0"), nl + 1, 1 << 30))
+                                    .otherwise(F.substring(c("_t0"), 4, 1 << 30))))
+    x = x.withColumn("_t", F.when(c("_fb").isNull(), c("_t0")).otherwise(py_strip(
+        F.when(c("_fb").endswith("```"), F.substring(c("_fb"), 1, F.length(c("_fb")) - 3)).otherwise(c("_fb")))))
+    rpos = F.instr(F.reverse(c("_t")), "}")
+    x = x.withColumn("_lb", F.when(rpos > 0, F.length(c("_t")) - rpos + 1))   # 1-based last '}'
+    x = x.withColumn("_p1", _parse(c("_t")))
+    x = x.withColumn("_p2", F.when(~_ok(c("_p1")) & (c("_lb") > 1), _parse(F.substring(c("_t"), 1, c("_lb")))))
+    quoted = F.concat(F.substring(c("_t"), 1, c("_lb") - 1), F.lit('"'), F.substring(c("_t"), c("_lb"), 1 << 30))
+    x = x.withColumn("_p3", F.when(~_ok(c("_p1")) & ~F.coalesce(_ok(c("_p2")), F.lit(False)) & (c("_lb") > 1)
+                                   & (F.substring(c("_t"), c("_lb") - 1, 1) != '"'), _parse(quoted)))
+    x = x.withColumn("_p", F.when(_ok(c("_p1")), c("_p1")).when(_ok(c("_p2")), c("_p2")).when(_ok(c("_p3")), c("_p3")))
+    lab = F.lower(c("_p")["label"])
+    x = x.withColumns({
+        prefix + "label": F.when(c("_p").isNull(), F.lit("uncertain")).when(lab.isin(*LABELS), lab)
+                           .otherwise(F.lit("uncertain")),
+        prefix + "confidence": c("_p")["confidence"].try_cast("double"),
+        prefix + "reason": c("_p")["reason"],
+        prefix + "error": F.when(c("_p").isNull(), F.lit("json_parse_error")),
+    })
+    return x.drop("_t0", "_fb", "_t", "_lb", "_p1", "_p2", "_p3", "_p")

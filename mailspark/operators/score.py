@@ -93,13 +93,11 @@ def classify(pairs: DataFrame, fn: Responder, system_prompt: str, version: str,
 
 def parse_scored(raw: DataFrame, classified_at: str | None = None) -> DataFrame:
     """F7 on the raw replies; hard errors keep NULL raw_response."""
-    p = TX.parse_label_response("raw_response")
-    out = raw.select("message_id", "model", "prompt_version", "raw_response", F.col("error").alias("_hard"),
-                     p.alias("p"))
+    out = TX.parse_label_responses(raw.withColumnRenamed("error", "_hard"), "raw_response", prefix="p_")
     ts = F.lit(classified_at) if classified_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return out.select("message_id", "model", "prompt_version", F.col("p.label").alias("label"),
-                      F.col("p.confidence").alias("confidence"), F.col("p.reason").alias("reason"),
-                      "raw_response", F.coalesce(F.col("_hard"), F.col("p.error")).alias("error"),
+    return out.select("message_id", "model", "prompt_version", F.col("p_label").alias("label"),
+                      F.col("p_confidence").alias("confidence"), F.col("p_reason").alias("reason"),
+                      "raw_response", F.coalesce(F.col("_hard"), F.col("p_error")).alias("error"),
                       ts.alias("classified_at"))
 
 
@@ -188,14 +186,11 @@ def with_protection_flags(m: DataFrame, contacts: DataFrame, email_col: str = "e
 
 
 def keyword_responder(model: str, system_prompt: str, turns: list[str]) -> list[str]:
-    """Example plug-in for tests and demos: a JSON reply per turn from subject keywords."""
-    out = []
-    for t in turns:
-        subj = t.split("\n", 2)[1].lower() if "\n" in t else ""
-        if any(w in subj for w in ("invoice", "statement", "boarding")):
-            out.append('{"label": "keep", "confidence": 0.9, "reason": "document"}')
-        elif any(w in subj for w in ("verification", "alert", "digest")):
-            out.append('```json\n{"label": "Delete", "confidence": 0.8, "reason": "notice"}\n```')
-        else:
-            out.append("I cannot decide.")
-    return out
+    """Example plug-in for tests and demos: a JSON reply per turn from subject keywords (vectorised)."""
+    subj = pd.Series(turns, dtype="object").str.split("\n", n=2).str[1].fillna("").str.lower()
+    keep = subj.str.contains("invoice|statement|boarding", regex=True)
+    delete = subj.str.contains("verification|alert|digest", regex=True)
+    out = pd.Series("I cannot decide.", index=subj.index, dtype="object")
+    out[delete] = '```json\n{"label": "Delete", "confidence": 0.8, "reason": "notice"}\n```'
+    out[keep] = '{"label": "keep", "confidence": 0.9, "reason": "document"}'
+    return out.tolist()

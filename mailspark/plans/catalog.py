@@ -687,8 +687,7 @@ FROM (SELECT doc_id, {_PREV_BODY} AS b FROM documents) x""")(_preview)
 
 
 def _responses(spark, sf):
-    r = fx.responses(spark, sf).select("doc_id", TX.parse_label_response("raw_response").alias("p"))
-    return r.select("doc_id", "p.label", "p.confidence", "p.reason", "p.error")
+    return TX.parse_label_responses(fx.responses(spark, sf)).drop("raw_response")
 
 
 register("parse_label_response", W(["responses"], """

@@ -91,7 +91,7 @@ def test_build_user_turn(spark):
     ('{"label": null, "confidence": "0.7"}', "uncertain", 0.7, None),
 ])
 def test_parse_label_response(spark, raw, label, conf, err):
-    r = one(spark, TX.parse_label_response, raw)
+    r = TX.parse_label_responses(spark.createDataFrame([(raw,)], "raw_response string")).first()
     assert r["label"] == label and r["error"] == err
     assert (r["confidence"] is None and conf is None) or r["confidence"] == pytest.approx(conf)
 
