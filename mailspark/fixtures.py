@@ -126,6 +126,30 @@ SELECT doc_id, concat(CASE doc_id % 5
 FROM {documents}
 """
 
+# Spark texts of the two fan-out views: the same rows, but the literal model /
+# version / timestamp lists are generators (LATERAL VIEW inline) instead of
+# CROSS JOINs, so no nested-loop join appears in the plan.  The oracle keeps
+# the original text; the comparison proves them equal.
+CLASSIFICATIONS_SPARK_SQL = """
+SELECT d.doc_id AS message_id, k.model, v.prompt_version,
+  CASE WHEN (d.doc_id * k.mul + v.sh) % 10 < k.cut THEN 'keep' WHEN (d.doc_id * k.mul + v.sh) % 10 = 9 THEN 'uncertain' ELSE 'delete' END AS label,
+  CASE WHEN d.doc_id % 71 = 0 THEN NULL ELSE CAST((d.doc_id * k.mul) % 101 AS DOUBLE) / 100 END AS confidence
+FROM {documents} d
+LATERAL VIEW inline(array(named_struct('model', 'mA', 'mul', 7, 'cut', 6), named_struct('model', 'mB', 'mul', 7, 'cut', 7),
+                          named_struct('model', 'mC', 'mul', 13, 'cut', 6))) k
+LATERAL VIEW inline(array(named_struct('prompt_version', 'v1.1.0', 'sh', 0), named_struct('prompt_version', 'v1.10.0', 'sh', 3))) v
+"""
+
+CORRECTIONS_SPARK_SQL = """
+SELECT l.doc_id AS message_id, 'v1.1.0' AS prompt_version,
+  CASE WHEN l.quality = 1 THEN 'keep' ELSE 'delete' END AS human_label, r.corrected_at
+FROM {labels} l
+LATERAL VIEW inline(array(named_struct('corrected_at', '2026-06-18T10:00:00+00:00'),
+                          named_struct('corrected_at', '2026-06-18T12:00:00+00:00'))) r
+WHERE r.corrected_at < '2026-06-18T11' OR l.doc_id % 3 = 0
+"""
+SPARK_TEXT = {"classifications": CLASSIFICATIONS_SPARK_SQL, "corrections": CORRECTIONS_SPARK_SQL}
+
 # view name -> (sql template, driver tables it reads)
 VIEWS = {
     "messages": (MESSAGES_SQL, ("orders", "customer")),
@@ -161,7 +185,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     args = {t: table(spark, sf_dir, t) for t in tables}
     # DataFrame arguments keep the views free of global temp-view state;
     # the formatter turns the template's doubled braces into literal ones.
-    df = spark.sql(sql.replace("{EPOCH}", SPARK_EPOCH), **args)
+    df = spark.sql(SPARK_TEXT.get(name, sql).replace("{EPOCH}", SPARK_EPOCH), **args)
     if name == "messages":
         df = _with_time_columns(df)
     return df

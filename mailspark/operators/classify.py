@@ -3,10 +3,10 @@
 Shape of the data: one row per (message_id, model, prompt_version); a
 (message_id, prompt_version) group holds one vote per model, so it is bounded
 by the number of models.  Every per-message question (vote, disagreement,
-majority, verdict) is answered by ONE shuffle on (message_id, prompt_version):
-either a grouped aggregate or windows over a frame repartitioned on exactly
-those keys (a window on (message_id, prompt_version, label) is satisfied by
-that same partitioning, so it adds no exchange).  The reference's self-joins
+verdict) is one partial + final aggregate on (message_id, prompt_version);
+the strict majority is aggregates plus one join of the votes to a
+one-row-per-group table.  No step gathers a group into one task, so even a
+pathologically large group is reduced map-side.  The reference's self-joins
 and per-message lookups disappear.
 """
 
@@ -123,32 +123,29 @@ def ensemble_verdict(c: DataFrame) -> DataFrame:
              .orderBy("prompt_version", "verdict"))
 
 
-def with_majority(c: DataFrame) -> DataFrame:
-    """Each vote with its group's disagreement flag and strict-majority label.
+def majority_labels(c: DataFrame) -> DataFrame:
+    """(message_id, prompt_version, majority_label) for disagreeing groups with a strict majority.
 
     majority_label = the label with the strictly highest count inside the
-    (message_id, prompt_version) group, NULL when the top count is shared
-    (Q3: the reference picks an arbitrary row's label instead).  All windows
-    share one hash partitioning on (message_id, prompt_version).
+    group; groups whose top count is shared have none (Q3: the reference
+    picks an arbitrary row's label instead).  Built from aggregates only, so
+    a huge group is reduced map-side before any shuffle.
     """
-    g = Window.partitionBy(*KEY)
-    gl = Window.partitionBy(*KEY, "label")
-    x = (c.repartition(*KEY)
-          .withColumn("_n_label", F.count(F.lit(1)).over(gl))
-          .withColumn("_lo", F.min("label").over(g))
-          .withColumn("_hi", F.max("label").over(g))
-          .withColumn("_top", F.max("_n_label").over(g)))
-    x = x.withColumn("_top_labels", F.size(F.collect_set(F.when(F.col("_n_label") == F.col("_top"), F.col("label"))).over(g)))
-    x = x.withColumn("_maj", F.max(F.when(F.col("_n_label") == F.col("_top"), F.col("label"))).over(g))
-    return (x.withColumn("disagree", F.col("_lo") != F.col("_hi"))
-             .withColumn("majority_label", F.when(F.col("_top_labels") == 1, F.col("_maj")))
-             .drop("_n_label", "_lo", "_hi", "_top", "_top_labels", "_maj"))
+    lc = c.groupBy(*KEY, "label").agg(F.count(F.lit(1)).alias("_n"))
+    top = lc.groupBy(*KEY).agg(F.max("_n").alias("_top"), F.count(F.lit(1)).alias("_nl"))
+    return (lc.join(top, KEY).where((F.col("_n") == F.col("_top")) & (F.col("_nl") > 1))
+              .groupBy(*KEY).agg(F.count(F.lit(1)).alias("_k"), F.min("label").alias("majority_label"))
+              .where(F.col("_k") == 1).drop("_k"))
 
 
 def minority_votes(c: DataFrame) -> DataFrame:
-    """Votes that differ from their group's strict majority (disagreeing groups only)."""
-    x = with_majority(c)
-    return x.where(F.col("disagree") & F.col("majority_label").isNotNull() & (F.col("label") != F.col("majority_label")))
+    """Votes that differ from their group's strict majority (disagreeing groups only).
+
+    The votes are joined to the one-row-per-group majority table; a hot
+    group only skews the vote side of that join, which AQE splits.
+    """
+    return (c.join(majority_labels(c), KEY).where(F.col("label") != F.col("majority_label"))
+             .withColumn("disagree", F.lit(True)))
 
 
 def outlier_by_model(c: DataFrame) -> DataFrame:
@@ -258,7 +255,15 @@ def deployment_gate(corr: DataFrame, c: DataFrame, versions: DataFrame,
     overlap with votes -> status 'unmeasured' (passes); error >= max fails.
     """
     err = corrections_error_rate(corr, c)
-    v = versions.select("prompt_version").distinct().join(err, "prompt_version", "left")
+    # left join of the candidate versions to their error rates, as union + aggregate
+    # (both sides are one row per version; no join to plan)
+    cand = versions.select("prompt_version", F.lit(1).alias("_cand"), F.lit(None).cast("long").alias("total"),
+                           F.lit(None).cast("long").alias("correct"), F.lit(None).cast("double").alias("error_rate"))
+    v = (cand.unionByName(err.withColumn("_cand", F.lit(0)))
+             .groupBy("prompt_version")
+             .agg(F.max("_cand").alias("_cand"), F.max("total").alias("total"), F.max("correct").alias("correct"),
+                  F.max("error_rate").alias("error_rate"))
+             .where(F.col("_cand") == 1))
     version_ok = C.version_key("prompt_version") >= C.version_key(F.lit(min_version))
     status = (F.when(~version_ok, "fail_version")
                .when(F.col("total").isNull(), "unmeasured")

@@ -82,13 +82,24 @@ def _classify_partition(fn: Responder, system_prompt: str, version: str, max_har
 
 def classify(pairs: DataFrame, fn: Responder, system_prompt: str, version: str,
              max_hard_errors: int = CIRCUIT_BREAKER_THRESHOLD, buckets: int = 64,
-             partitions: int | None = None) -> DataFrame:
-    """D3: run the classifier over (message_id, model, user_turn) rows, batched by model."""
+             partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+    """D3: run the classifier over (message_id, model, user_turn) rows, batched by model.
+
+    With ``checkpoint`` (default) the raw replies are written to the
+    session's checkpoint folder before anything else reads them: model calls
+    are the expensive, non-repeatable part, and a lost executor later in the
+    plan must not re-run them.
+    """
     n = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = (pairs.withColumn("_b", F.pmod(F.xxhash64("message_id"), F.lit(buckets)))
                    .repartition(n, "model", "_b").sortWithinPartitions("model", "message_id")
                    .select("message_id", "model", "user_turn"))
-    return spread.mapInPandas(_classify_partition(fn, system_prompt, version, max_hard_errors), RAW_SCHEMA)
+    raw = spread.mapInPandas(_classify_partition(fn, system_prompt, version, max_hard_errors), RAW_SCHEMA)
+    if checkpoint:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(raw.sparkSession)
+        raw = raw.checkpoint(eager=True)
+    return raw
 
 
 def parse_scored(raw: DataFrame, classified_at: str | None = None) -> DataFrame:

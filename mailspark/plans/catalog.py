@@ -311,7 +311,7 @@ SELECT prompt_version, model, COUNT(*) AS outlier_votes FROM mv GROUP BY prompt_
     lambda s, sf: K.outlier_by_model(_c(s, sf)))
 
 register("minority_votes", W(["classifications"], _MAJ + """
-SELECT message_id, model, prompt_version, label, confidence, true AS disagree, majority_label FROM mv"""))(
+SELECT message_id, model, prompt_version, label, confidence, majority_label, true AS disagree FROM mv"""))(
     lambda s, sf: K.minority_votes(_c(s, sf)))
 
 register("outlier_directions", W(["classifications"], _MAJ + f"""

@@ -42,7 +42,7 @@ def _bytes(text: str) -> int:
 def estimated_size(df) -> int | None:
     """The optimizer's size estimate of ``df`` in bytes (None when unavailable)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - e.g. Spark Connect: let AQE decide
         return None
 
