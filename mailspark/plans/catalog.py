@@ -690,13 +690,27 @@ def _responses(spark, sf):
     return TX.parse_label_responses(fx.responses(spark, sf)).drop("raw_response")
 
 
-register("parse_label_response", W(["responses"], """
+_T0 = DT.strip("raw_response")
+_T = DT.strip("CASE WHEN ends_with(fb, '```') THEN substr(fb, 1, length(fb) - 3) ELSE fb END")
+register("parse_label_response", W(["responses"], f"""
 SELECT doc_id,
-  CASE doc_id % 6 WHEN 0 THEN 'keep' WHEN 1 THEN 'delete' WHEN 2 THEN 'delete' WHEN 3 THEN 'keep' ELSE 'uncertain' END AS label,
-  CASE doc_id % 6 WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 WHEN 2 THEN 0.7 WHEN 3 THEN 0.6 WHEN 4 THEN 0.5 END AS confidence,
-  CASE WHEN doc_id % 6 = 2 THEN 'text (no-reply@)' WHEN doc_id % 6 < 5 THEN 'r' END AS reason,
-  CASE WHEN doc_id % 6 = 5 THEN 'json_parse_error' END AS error
-FROM responses"""))(_responses)
+  CASE WHEN p IS NULL THEN 'uncertain'
+       WHEN lower(json_extract_string(p, '$.label')) IN ('keep', 'delete', 'uncertain') THEN lower(json_extract_string(p, '$.label'))
+       ELSE 'uncertain' END AS label,
+  TRY_CAST(json_extract_string(p, '$.confidence') AS DOUBLE) AS confidence,
+  json_extract_string(p, '$.reason') AS reason,
+  CASE WHEN p IS NULL THEN 'json_parse_error' END AS error
+FROM (SELECT doc_id,
+        CASE WHEN json_valid(t) AND json_type(t) = 'OBJECT' THEN t
+             WHEN lb > 1 AND json_valid(substr(t, 1, lb)) AND json_type(substr(t, 1, lb)) = 'OBJECT' THEN substr(t, 1, lb)
+             WHEN lb > 1 AND substr(t, lb - 1, 1) <> '"' AND json_valid(substr(t, 1, lb - 1) || '"' || substr(t, lb))
+               THEN substr(t, 1, lb - 1) || '"' || substr(t, lb) END AS p
+      FROM (SELECT doc_id, t, CASE WHEN instr(reverse(t), '}}') > 0 THEN length(t) - instr(reverse(t), '}}') + 1 END AS lb
+            FROM (SELECT doc_id, CASE WHEN fb IS NULL THEN t0 ELSE {_T} END AS t
+                  FROM (SELECT doc_id, t0, CASE WHEN starts_with(t0, '```') THEN
+                          CASE WHEN instr(t0, chr(10)) > 0 THEN substr(t0, instr(t0, chr(10)) + 1) ELSE substr(t0, 4) END
+                        END AS fb
+                        FROM (SELECT doc_id, {_T0} AS t0 FROM responses) a) b) c) d) e"""))(_responses)
 
 
 # ---------------------------------------------------------------- search
