@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..util import sort_small
+
 # Action synonyms (Q7).
 PRUNED = ("pruned", "trash")
 RESCUED = ("rescued", "rescue")
@@ -42,7 +44,7 @@ def audit_by_category(a: DataFrame, since=None) -> DataFrame:
     """Pruned / rescued per category, most pruned first."""
     return (_since(a, since).groupBy("category")
             .agg(_n(is_pruned()).alias("pruned"), _n(is_rescued()).alias("rescued"))
-            .orderBy(F.col("pruned").desc(), F.col("category").asc_nulls_first()))
+            .transform(lambda d: sort_small(d, F.col("pruned").desc(), F.col("category").asc_nulls_first())))
 
 
 def audit_conflict_senders(a: DataFrame, since=None, sender: str = "sender") -> DataFrame:

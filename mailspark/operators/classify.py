@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..util import count_if
+from ..util import count_if, sort_small
 
 KEY = ["message_id", "prompt_version"]
 LABELS = ("keep", "delete", "uncertain")
@@ -37,7 +37,7 @@ def label_distribution(c: DataFrame) -> DataFrame:
     w = Window.partitionBy("model", "prompt_version")
     return (g.withColumn("_tot", F.sum("count").over(w))
              .select("model", "prompt_version", "label", "count", _pct_text(F.col("count"), F.col("_tot")).alias("pct"))
-             .orderBy("model", "prompt_version", "label"))
+             .transform(lambda d: sort_small(d, "model", "prompt_version", "label")))
 
 
 def uncertain_rate_by_version(c: DataFrame, gate: float = UNCERTAIN_RATE_WARN) -> DataFrame:
@@ -48,14 +48,14 @@ def uncertain_rate_by_version(c: DataFrame, gate: float = UNCERTAIN_RATE_WARN) -
                      _pct_text(F.col("uncertain"), F.col("total")).alias("uncertain_rate"),
                      F.when(F.col("uncertain").cast("double") / F.col("total") > gate, GATE_WARN_TEXT)
                       .otherwise("OK").alias("gate_status"))
-             .orderBy("prompt_version", "model"))
+             .transform(lambda d: sort_small(d, "prompt_version", "model")))
 
 
 def confidence_distribution(c: DataFrame) -> DataFrame:
     """Confidence histogram (truncated to tenths; NULL confidence kept as a bucket)."""
     return (c.groupBy("model", "prompt_version", "label", C.confidence_bucket("confidence").alias("confidence_bucket"))
              .agg(F.count(F.lit(1)).alias("count"))
-             .orderBy("model", "prompt_version", "label", "confidence_bucket"))
+             .transform(lambda d: sort_small(d, "model", "prompt_version", "label", "confidence_bucket")))
 
 
 def label_drift_by_model(c: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def label_drift_by_model(c: DataFrame) -> DataFrame:
         count_if(F.col("label") == "keep").alias("keeps"),
         count_if(F.col("label") == "uncertain").alias("uncertain"))
     return (g.withColumn("delete_rate", _pct_text(F.col("deletes"), F.col("total")))
-             .orderBy("model", "prompt_version"))
+             .transform(lambda d: sort_small(d, "model", "prompt_version")))
 
 
 def single_model_uncertain_rate(c: DataFrame, model: str, version: str,
@@ -109,7 +109,7 @@ def disagreement_rate(c: DataFrame, m: DataFrame | None = None, category_col: st
         keys.append(category_col)
     g = pm.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_messages"), F.sum("_dis").cast("long").alias("disagreements"))
     return (g.withColumn("disagreement_rate", _pct_text(F.col("disagreements"), F.col("total_messages")))
-             .orderBy(*keys))
+             .transform(lambda d: sort_small(d, *keys)))
 
 
 def ensemble_verdict(c: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def ensemble_verdict(c: DataFrame) -> DataFrame:
     w = Window.partitionBy("prompt_version")
     return (g.withColumn("_tot", F.sum("messages").over(w))
              .select("prompt_version", "verdict", "messages", _pct_text(F.col("messages"), F.col("_tot")).alias("pct"))
-             .orderBy("prompt_version", "verdict"))
+             .transform(lambda d: sort_small(d, "prompt_version", "verdict")))
 
 
 def majority_labels(c: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def outlier_by_model(c: DataFrame) -> DataFrame:
     """Outlier votes (against the strict majority) per (version, model)."""
     return (minority_votes(c).groupBy("prompt_version", "model")
             .agg(F.count(F.lit(1)).alias("outlier_votes"))
-            .orderBy("prompt_version", F.col("outlier_votes").desc(), "model"))
+            .transform(lambda d: sort_small(d, "prompt_version", F.col("outlier_votes").desc(), "model")))
 
 
 def outlier_directions(c: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def outlier_directions(c: DataFrame) -> DataFrame:
                 count_if((F.col("label") == "delete") & (F.col("majority_label") == "keep")).alias("false_deletes"),
                 count_if((F.col("label") == "keep") & (F.col("majority_label") == "delete")).alias("false_keeps"),
                 count_if(F.col("label") == "uncertain").alias("uncertain"))
-              .orderBy("prompt_version", F.col("outlier_votes").desc(), "model"))
+              .transform(lambda d: sort_small(d, "prompt_version", F.col("outlier_votes").desc(), "model")))
 
 
 def disagreement_history(c: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def disagreement_history(c: DataFrame) -> DataFrame:
     g = pm.groupBy("prompt_version", "models").agg(
         F.count(F.lit(1)).alias("sample"), F.sum("_dis").cast("long").alias("disagreements"))
     return (g.withColumn("disagreement_rate", _pct_text(F.col("disagreements"), F.col("sample")))
-             .orderBy("prompt_version", "models"))
+             .transform(lambda d: sort_small(d, "prompt_version", "models")))
 
 
 def vote_text(model: Column, label: Column, conf: Column) -> Column:
@@ -244,7 +244,8 @@ def corrections_error_rate(corr: DataFrame, c: DataFrame) -> DataFrame:
     j = corrections_vs_votes(corr, c)
     g = j.groupBy("prompt_version").agg(
         F.count(F.lit(1)).alias("total"), count_if(F.col("vote") == F.col("human_label")).alias("correct"))
-    return g.withColumn("error_rate", 1.0 - F.col("correct").cast("double") / F.col("total")).orderBy("prompt_version")
+    return (g.withColumn("error_rate", 1.0 - F.col("correct").cast("double") / F.col("total"))
+             .transform(lambda d: sort_small(d, "prompt_version")))
 
 
 def deployment_gate(corr: DataFrame, c: DataFrame, versions: DataFrame,

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..util import count_if, flag, newest_key
+from ..util import count_if, flag, newest_key, sort_small
 
 # Columns hidden in the default table browse (B1).
 HIDDEN_COLUMNS = ["headers_json", "mbox_offset", "mbox_size", "references_hdr",
@@ -50,14 +50,14 @@ def by_month(m: DataFrame) -> DataFrame:
     """A1: message volume by year_month, newest month first."""
     return (m.where(F.col("year_month").isNotNull())
              .groupBy("year_month").agg(*_volume_aggs())
-             .orderBy(F.col("year_month").desc()))
+             .transform(lambda d: sort_small(d, F.col("year_month").desc())))
 
 
 def by_year(m: DataFrame) -> DataFrame:
     """A2: message volume by year."""
     return (m.where(F.col("year").isNotNull())
              .groupBy("year").agg(*_volume_aggs())
-             .orderBy(F.col("year").desc()))
+             .transform(lambda d: sort_small(d, F.col("year").desc())))
 
 
 def received_per_year(m: DataFrame) -> DataFrame:
@@ -67,14 +67,14 @@ def received_per_year(m: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("received"),
                  F.sum("is_unread").cast("long").alias("still_unread"),
                  F.sum("is_starred").cast("long").alias("starred"))
-            .orderBy(F.col("year").desc()))
+            .transform(lambda d: sort_small(d, F.col("year").desc())))
 
 
 def sent_per_year(m: DataFrame) -> DataFrame:
     """A4: sent mail per year."""
     return (m.where(F.col("year").isNotNull() & (F.col("in_sent") == 1))
              .groupBy("year").agg(F.count(F.lit(1)).alias("sent"))
-             .orderBy(F.col("year").desc()))
+             .transform(lambda d: sort_small(d, F.col("year").desc())))
 
 
 def _received_sent_aggs():
@@ -88,7 +88,7 @@ def by_day_of_week(m: DataFrame) -> DataFrame:
     return (m.where(F.col("date_ts").isNotNull())
              .groupBy(C.day_of_week_label(C.ts_of("date_ts")).alias("day_of_week"))
              .agg(*_received_sent_aggs())
-             .orderBy("day_of_week"))
+             .transform(lambda d: sort_small(d, "day_of_week")))
 
 
 def by_hour_of_day(m: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def by_hour_of_day(m: DataFrame) -> DataFrame:
     return (m.where(F.col("date_ts").isNotNull())
              .groupBy(F.hour(C.ts_of("date_ts")).alias("hour_utc"))
              .agg(*_received_sent_aggs())
-             .orderBy("hour_utc"))
+             .transform(lambda d: sort_small(d, "hour_utc")))
 
 
 def top_senders(m: DataFrame, k: int = 200, key: str = "mbox_offset") -> DataFrame:
@@ -182,7 +182,7 @@ def by_label(m: DataFrame) -> DataFrame:
     """Message count per label."""
     return (m.where(F.col("labels").isNotNull()).select(F.explode("labels").alias("label"))
              .groupBy("label").agg(F.count(F.lit(1)).alias("message_count"))
-             .orderBy(F.col("message_count").desc(), F.col("label")))
+             .transform(lambda d: sort_small(d, F.col("message_count").desc(), F.col("label"))))
 
 
 def top_recipients(m: DataFrame, k: int = 100) -> DataFrame:
@@ -200,7 +200,7 @@ def inbox_age_buckets(m: DataFrame, as_of_epoch: int) -> DataFrame:
     return (m.where(F.col("in_inbox") == 1)
              .groupBy(C.age_bucket("date_ts", as_of_epoch).alias("age_bucket"))
              .agg(F.count(F.lit(1)).alias("messages"), F.sum("is_unread").cast("long").alias("unread"))
-             .orderBy("age_bucket"))
+             .transform(lambda d: sort_small(d, "age_bucket")))
 
 
 def unread_by_sender(m: DataFrame, k: int = 200, key: str = "mbox_offset") -> DataFrame:
@@ -274,7 +274,7 @@ def monthly_unread_rate(m: DataFrame) -> DataFrame:
            .agg(F.count(F.lit(1)).alias("received"), F.sum("is_unread").cast("long").alias("unread")))
     return (agg.select("year_month", "received", "unread",
                        C.fixed_text(F.col("unread") * 100, "received", 1, "%").alias("unread_rate"))
-               .orderBy(F.col("year_month").desc()))
+               .transform(lambda d: sort_small(d, F.col("year_month").desc())))
 
 
 def import_summary(ledger: DataFrame) -> DataFrame:
@@ -374,7 +374,7 @@ def facets(df: DataFrame, cols: list[str] | None = None, k: int = 30) -> DataFra
     from pyspark.sql import Window
     w = Window.partitionBy("facet").orderBy(F.col("count").desc(), F.col("value").asc_nulls_first())
     return (counts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
-                  .orderBy("facet", F.col("count").desc()))
+                  .transform(lambda d: sort_small(d, "facet", F.col("count").desc())))
 
 
 def scoring_input(m: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import REFERENCE_LABELS, MIB, Rule, rule_predicate, has_label
-from ..util import small_side
+from ..util import small_side, sort_small
 
 # The standing prune rules, in cascade order (names and terms as the reference uses them).
 PRUNE_AGES = {"promo": "6m", "social": "3m", "auth": "7d", "autoreply": "30d", "calendar": "30d",
@@ -217,7 +217,7 @@ def run_summary(decisions: DataFrame, failed: DataFrame | None = None) -> DataFr
                 F.sum(F.when((F.col("decision") == "prune") & ~is_failed, 1).otherwise(0)).cast("long").alias("moved"),
                 F.sum(F.when(F.col("decision") == "skip", 1).otherwise(0)).cast("long").alias("skipped"),
                 F.sum(F.when((F.col("decision") == "prune") & is_failed, 1).otherwise(0)).cast("long").alias("failed"))
-             .orderBy("category"))
+             .transform(lambda d: sort_small(d, "category")))
 
 
 def preview(m: DataFrame, rules: list[Rule], as_of_epoch: int, n: int = 10, key: str = "mbox_offset") -> DataFrame:

@@ -83,3 +83,16 @@ def spread(df, min_partitions: int | None = None):
     except Exception:  # noqa: BLE001 - e.g. Spark Connect: leave the plan as is
         return df
     return df.repartition(target) if n < target else df
+
+
+def sort_small(df, *cols):
+    """Final ORDER BY for results whose size is bounded by a fixed domain.
+
+    Months, hours, weekdays, age buckets, labels, (model, version) pairs, rule
+    categories: such results have at most a few thousand rows at any data
+    size.  A global ``orderBy`` would run a sampling job to range-partition
+    them; one shuffle to a single partition and a local sort gives the same
+    order without it.  The aggregation feeding it stays fully parallel.
+    Never use this for outputs that grow with the data.
+    """
+    return df.repartition(1).sortWithinPartitions(*cols)

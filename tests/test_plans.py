@@ -48,3 +48,11 @@ def test_contacts_broadcast_only_when_small(spark):
     assert "ResolvedHint" in small_side(small)._jdf.queryExecution().analyzed().toString() or \
         "broadcast" in small_side(small)._jdf.queryExecution().analyzed().toString().lower()
     assert small_side(small, max_bytes=1) is small
+
+
+def test_bounded_sorts_keep_order(spark):
+    rows = M.by_month(fx.messages(spark, SF_SMALL)).collect()
+    months = [r.year_month for r in rows]
+    assert months == sorted(months, reverse=True) and len(months) > 10
+    hours = [r.hour_utc for r in M.by_hour_of_day(fx.messages(spark, SF_SMALL)).collect()]
+    assert hours == sorted(hours)
