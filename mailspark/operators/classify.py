@@ -212,10 +212,17 @@ def disagreements(c: DataFrame, models: list[str], version: str | None = None) -
 
 # -------------------------------------------------------------- upsert / log
 def upsert_classifications(old: DataFrame, new: DataFrame) -> DataFrame:
-    """K3: latest classified_at wins per (message_id, model, prompt_version) (Q4 fixed)."""
+    """K3: latest classified_at wins per (message_id, model, prompt_version) (Q4 fixed).
+
+    A ``max_by`` aggregate, not a window: repeated runs of one key collapse
+    map-side, so no key ever gathers its whole history in one task.
+    """
     both = old.unionByName(new, allowMissingColumns=True)
-    w = Window.partitionBy("message_id", "model", "prompt_version").orderBy(F.col("classified_at").desc_nulls_last())
-    return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    key = ["message_id", "model", "prompt_version"]
+    rest = [c for c in both.columns if c not in key]
+    order = F.struct(F.col("classified_at").isNotNull(), F.col("classified_at"))
+    return (both.groupBy(*key).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), order).alias("_r"))
+                .select(*key, "_r.*"))
 
 
 def valid_labels(c: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -226,12 +233,15 @@ def valid_labels(c: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # --------------------------------------------------------------- corrections
 def latest_corrections(corr: DataFrame, order_col: str | None = None) -> DataFrame:
-    """Latest corrected_at per (message_id, prompt_version); ties -> later line."""
-    order = [F.coalesce(F.col("corrected_at"), F.lit("")).desc()]
-    if order_col:
-        order.append(F.col(order_col).desc())
-    w = Window.partitionBy(*KEY).orderBy(*order)
-    return corr.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """Latest corrected_at per (message_id, prompt_version); ties -> later line.
+
+    Missing corrected_at sorts as ''.  Written as a ``max_by`` aggregate (partial
+    per partition) rather than a ranking window.
+    """
+    rest = [c for c in corr.columns if c not in KEY]
+    order = [F.coalesce(F.col("corrected_at"), F.lit(""))] + ([F.col(order_col)] if order_col else [])
+    return (corr.groupBy(*KEY).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(*order)).alias("_r"))
+                .select(*KEY, "_r.*"))
 
 
 def corrections_vs_votes(corr: DataFrame, c: DataFrame) -> DataFrame:

@@ -327,6 +327,20 @@ SELECT message_id, prompt_version FROM classifications GROUP BY message_id, prom
 HAVING MIN(label) <> MAX(label)"""))(
     lambda s, sf: K.disagreeing_keys(_c(s, sf)))
 
+def _docs_category(spark, sf):
+    return _docs_as_messages(spark, sf).select("message_id", F.col("source").alias("category"))
+
+
+register("disagreement_rate_by_category", W(["classifications"], f"""
+SELECT prompt_version, category, total_messages, disagreements,
+  {D.fixed_text('disagreements * 100', 'total_messages', 1, '%')} AS disagreement_rate
+FROM (SELECT pm.prompt_version, d.source AS category, COUNT(*) AS total_messages, {D.count_if('lo <> hi')} AS disagreements
+      FROM (SELECT message_id, prompt_version, MIN(label) AS lo, MAX(label) AS hi
+            FROM classifications GROUP BY message_id, prompt_version) pm
+      LEFT JOIN documents d ON d.doc_id = pm.message_id
+      GROUP BY pm.prompt_version, d.source) g"""))(
+    lambda s, sf: K.disagreement_rate(_c(s, sf), _docs_category(s, sf)))
+
 register("disagreement_history", W(["classifications"], f"""
 SELECT prompt_version, models, sample, disagreements, {D.fixed_text('disagreements * 100', 'sample', 1, '%')} AS disagreement_rate
 FROM (SELECT prompt_version, models, COUNT(*) AS sample, {D.count_if('dis')} AS disagreements
