@@ -358,3 +358,20 @@ def stratified_sample(m: DataFrame, n: int, cols: list[str], key: str = "mbox_of
     if distinct:
         out = out.dropDuplicates(["message_id"])
     return out
+
+
+# ------------------------------------------------------------------ browse
+# Default facets of the classifications table (B2).
+CLASSIFICATION_FACETS = ["model", "prompt_version", "label"]
+
+
+def browse_classifications(c: DataFrame) -> DataFrame:
+    """B2: classifications, newest first (key columns break ties)."""
+    return c.orderBy(F.col("classified_at").desc_nulls_last(), "message_id", "model", "prompt_version")
+
+
+def exclude_checkpointed(m: DataFrame, audit: DataFrame, category: str = "ai_classify") -> DataFrame:
+    """Messages without an audit checkpoint row of the live classifier."""
+    done = (audit.where(F.col("category") == category).where(F.col("message_id").isNotNull())
+                 .select(F.col("message_id").cast("string").alias("_mid")).distinct())
+    return m.join(done, m["message_id"].cast("string") == done["_mid"], "left_anti")

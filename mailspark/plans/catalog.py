@@ -838,3 +838,43 @@ def _score_pipeline(spark, sf):
 
 
 register("score_pipeline")(_score_pipeline)
+
+
+register("browse_classifications", W(["classifications"], """
+SELECT message_id, model, prompt_version, label, confidence, classified_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY message_id, model, prompt_version ORDER BY classified_at DESC) AS rn
+  FROM (SELECT *, '2026-01-01T00:00:00+00:00' AS classified_at FROM classifications
+        UNION ALL
+        SELECT message_id, model, prompt_version, 'uncertain' AS label, confidence, '2026-02-01T00:00:00+00:00'
+        FROM classifications WHERE model = 'mB') u) r WHERE rn = 1
+ORDER BY classified_at DESC, message_id, model, prompt_version"""))(
+    lambda s, sf: K.browse_classifications(_upsert(s, sf)))
+
+register("classification_facets", W(["classifications"], """
+SELECT facet, value, count FROM (
+  SELECT facet, value, count, row_number() OVER (PARTITION BY facet ORDER BY count DESC, value ASC NULLS FIRST) AS rn
+  FROM (SELECT facet, value, COUNT(*) AS count FROM (
+    SELECT 'model' AS facet, model AS value FROM classifications
+    UNION ALL SELECT 'prompt_version', prompt_version FROM classifications
+    UNION ALL SELECT 'label', label FROM classifications) u GROUP BY facet, value) g) r WHERE rn <= 30"""))(
+    lambda s, sf: M.facets(_c(s, sf), K.CLASSIFICATION_FACETS))
+
+register("exclude_checkpointed", W(["audit"], """
+SELECT d.doc_id AS message_id, d.lang FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM audit a WHERE a.category = 'ai_classify' AND a.message_id = CAST(d.doc_id AS VARCHAR))"""))(
+    lambda s, sf: K.exclude_checkpointed(_docs_as_messages(s, sf).select("message_id", "lang"), _a(s, sf)))
+
+from ..functions import columns as C  # noqa: E402
+
+register("sender_display", W(["messages"], """
+SELECT mbox_offset, CASE WHEN coalesce(from_name, '') <> '' THEN from_name || ' <' || coalesce(from_email, '') || '>'
+                         WHEN coalesce(from_email, '') <> '' THEN from_email ELSE '(unknown)' END AS sender
+FROM messages"""))(
+    lambda s, sf: _m(s, sf).select("mbox_offset", C.sender_display("from_email", "from_name").alias("sender")))
+
+register("vote_actions", W(["classifications"], """
+SELECT message_id, prompt_version, vote, n_votes,
+  CASE vote WHEN 'keep' THEN 'AI/Keep' WHEN 'delete' THEN 'AI/Delete' ELSE 'AI/Uncertain' END AS action_label
+FROM (SELECT message_id, prompt_version, CASE WHEN MIN(label) = MAX(label) THEN MIN(label) ELSE 'uncertain' END AS vote,
+        COUNT(label) AS n_votes FROM classifications GROUP BY message_id, prompt_version) v"""))(
+    lambda s, sf: K.vote(_c(s, sf)).withColumn("action_label", C.action_label("vote")))
