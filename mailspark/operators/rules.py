@@ -275,3 +275,52 @@ def noisy_senders(m: DataFrame, as_of_epoch: int, min_count: int = 5, max_read_p
 def has_reference_label(labels: str = "labels") -> Column:
     """Reference label present (either spelling)."""
     return has_label(REFERENCE_LABELS, labels)
+
+
+# ------------------------------------------------ noisy senders as a join (R1c/R1d at scale)
+NOISY_PLAIN_NAME = "Noisy senders (low engagement)"
+
+
+def _token_text(c: Column) -> Column:
+    """Lower-cased text with every non letter/number run as one space, padded: ' a b '."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}]+", " ")), F.lit(" "))
+
+
+def noisy_table(noisy: DataFrame) -> DataFrame:
+    """(address, exclude_keywords) -> (address, category, kws): one row per address (first line wins)."""
+    kws = F.coalesce(F.col("exclude_keywords"), F.array().cast("array<string>"))
+    k = F.col("kws")
+    cat = F.when(F.size(k) == 0, F.lit(NOISY_PLAIN_NAME)).otherwise(
+        F.concat(F.lit("Noisy sender: "), F.col("address"), F.lit(" (excluding: "), F.array_join(k, ","), F.lit(")")))
+    return (noisy.select(F.lower(F.trim("address")).alias("address"), kws.alias("kws"))
+                 .groupBy("address").agg(F.first("kws").alias("kws"))
+                 .select("address", cat.alias("noisy_category"), "kws"))
+
+
+def prune_with_noisy(m: DataFrame, rules: list[Rule], noisy: DataFrame, contacts: DataFrame, as_of_epoch: int,
+                     key: str = "mbox_offset") -> DataFrame:
+    """R1 with the noisy-sender rules as a join instead of a CASE chain.
+
+    ``rules`` (standing + industry) keep their ordinal chain; a message the
+    chain does not claim is matched to the noisy table by sender address
+    (broadcast when the table's size estimate allows, else a shuffle join),
+    then checked for the shared noisy conditions and its subject exclusions
+    (whole-token, as padded token text).  Noisy categories get ordinals after
+    the chain.  Output columns equal ``prune``.
+    """
+    common = Rule("noisy", category_any=NOISY_CATEGORIES, older_than=PRUNE_AGES["noisy"], **_G)
+    nt = noisy_table(noisy)
+    x = (m.withColumn("_chain", first_match(rules, as_of_epoch))
+          .join(small_side(nt), F.lower(F.col("from_email")) == F.col("address"), "left"))
+    subj = _token_text(F.coalesce(F.col("subject"), F.lit("")))
+    excluded = F.exists("kws", lambda k: subj.contains(_token_text(k)))
+    noisy_hit = F.col("address").isNotNull() & rule_predicate(common, as_of_epoch) & ~F.coalesce(excluded, F.lit(False))
+    x = x.withColumn("_cat", F.when(F.col("_chain").isNotNull(), rule_name(rules, F.col("_chain")))
+                              .when(noisy_hit, F.col("noisy_category")))
+    hit = F.array_compact(F.array(F.when(F.col("_cat").isNotNull(), F.struct(F.col("_chain").alias("n"),
+                                                                               F.col("_cat").alias("c")))))
+    cand = (x.select(key, "message_id", "thread_id", "from_email", "subject", F.explode(hit).alias("h"))
+             .select(key, "message_id", "thread_id", "from_email", "subject",
+                     F.col("h.n").alias("rule_no"), F.col("h.c").alias("category")))
+    p = protect(cand, contacts, m)
+    return p.withColumn("decision", F.when(F.col("protected_by").isNull(), "prune").otherwise("skip")).drop("thread_id")

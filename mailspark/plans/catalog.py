@@ -523,6 +523,21 @@ register("prune_all_rules", W(["messages", "contacts"], _prune_sql(ALL_PRUNE_RUL
 SELECT {_PRUNE_COLS}, CASE WHEN protected_by IS NULL THEN 'prune' ELSE 'skip' END AS decision FROM p"""))(
     _prune(ALL_PRUNE_RULES))
 
+def _prune_noisy_join(spark, sf):
+    noisy = spark.createDataFrame([(a, []) for a in NOISY_PLAIN] + [(a, k) for a, k in NOISY_EXCL],
+                                  "address string, exclude_keywords array<string>")
+    rules = R.STANDING_RULES + R.industry_rules(INDUSTRY)
+    out = R.prune_with_noisy(_m(spark, sf), rules, noisy, fx.contacts(spark, sf), AS_OF)
+    # noisy categories follow the chain's ordinals, as in the all-CASE cascade
+    n = len(rules)
+    return out.withColumn("rule_no", F.coalesce(F.col("rule_no"), F.when(
+        F.col("category") == R.NOISY_PLAIN_NAME, F.lit(n + 1)).otherwise(F.lit(n + 2))))
+
+
+register("prune_noisy_join", W(["messages", "contacts"], _prune_sql(ALL_PRUNE_RULES) + f"""
+SELECT {_PRUNE_COLS}, CASE WHEN protected_by IS NULL THEN 'prune' ELSE 'skip' END AS decision FROM p"""))(
+    _prune_noisy_join)
+
 register("run_summary", W(["messages", "contacts"], _prune_sql(R.STANDING_RULES) + """
 SELECT category, CAST(SUM(CASE WHEN protected_by IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS moved,
   CAST(SUM(CASE WHEN protected_by IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS failed
