@@ -128,3 +128,20 @@ def test_streaming_equals_batch(spark, mbox_file):
     batch = P.dedup_messages(P.split_parsed(P.parse_messages(MB.read_mbox(spark, mbox_file)))[0])
     key = ["path", "mbox_offset"]
     assert sorted(tuple(r) for r in got.select(*key).collect()) == sorted(tuple(r) for r in batch.select(*key).collect())
+
+
+def test_dedup_within_watermark_stream(spark):
+    from mailspark.streaming.ingest import dedup_within_watermark
+    tmp = tempfile.mkdtemp(prefix="wm-")
+    os.makedirs(tmp + "/in")
+    import json as _j
+    with open(tmp + "/in/a.json", "w") as f:
+        for i, mid in enumerate(["a", "b", "a", "c", "b"]):
+            f.write(_j.dumps({"message_id": mid, "ts": f"2024-01-01 00:00:0{i}"}) + "\n")
+    s = spark.readStream.schema("message_id string, ts timestamp").json(tmp + "/in")
+    q = (dedup_within_watermark(s, "ts", "1 hour").writeStream.format("memory").queryName("wm_t")
+         .option("checkpointLocation", tmp + "/ck").start())
+    q.processAllAvailable()
+    got = sorted(r.message_id for r in spark.sql("SELECT * FROM wm_t").collect())
+    q.stop()
+    assert got == ["a", "b", "c"]
