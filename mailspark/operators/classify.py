@@ -342,19 +342,19 @@ def stratified_sample(m: DataFrame, n: int, cols: list[str], key: str = "mbox_of
                       distinct: bool = False) -> DataFrame:
     """Five strata, newest ``n // 5`` messages with an id each, unioned (Q5: overlaps kept).
 
-    Each stratum is a TakeOrderedAndProject: per-partition top-k then a
-    k-row merge, so no stratum is ever gathered whole.
+    One scan: every message emits the strata it belongs to (``explode``), and
+    a per-stratum ``row_number() <= n // 5`` window picks the newest ones.
+    Spark applies that limit per partition before the shuffle
+    (WindowGroupLimit), so at most ``n // 5`` rows per stratum and partition
+    move, however large a stratum is.
     """
     per = n // 5
-    base = m.where(F.col("message_id").isNotNull())
-    parts = []
-    for name, spec in STRATA:
-        parts.append(base.where(_stratum_cond(spec))
-                         .orderBy(F.col("date_ts").desc_nulls_last(), F.col(key)).limit(per)
-                         .select(F.lit(name).alias("stratum"), *cols))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    strata = F.array(*[F.when(_stratum_cond(spec), F.lit(name)) for name, spec in STRATA])
+    x = (m.where(F.col("message_id").isNotNull())
+          .select(*cols, F.col("date_ts"), F.col(key).alias("_key"),
+                  F.explode(F.array_compact(strata)).alias("stratum")))
+    w = Window.partitionBy("stratum").orderBy(F.col("date_ts").desc_nulls_last(), F.col("_key"))
+    out = x.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per).select("stratum", *cols)
     if distinct:
         out = out.dropDuplicates(["message_id"])
     return out

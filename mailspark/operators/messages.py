@@ -255,16 +255,32 @@ def threads_without_reply(m: DataFrame, candidates: DataFrame | None = None, nul
 
 
 def one_way_threads(m: DataFrame, k: int = 200, null_aware: bool = False, key: str = "mbox_offset") -> DataFrame:
-    """Threads never replied to."""
-    cand = _received(m)
-    rows = threads_without_reply(m, cand, null_aware=null_aware)
-    return (rows.groupBy("thread_id")
-                .agg(F.count(F.lit(1)).alias("received_count"),
-                     F.max("subject").alias("subject"),
-                     F.max_by("from_email", newest_key(key=key)).alias("primary_sender"),
-                     C.epoch_text(F.max("date_ts")).alias("last_received"))
-                .orderBy(F.col("received_count").desc(), F.col("thread_id"))
-                .limit(k))
+    """Threads never replied to.
+
+    One aggregate per thread over a single scan: received messages are
+    counted and summarised while sent ones only flag the thread; threads with
+    any sent message are dropped.  Equal to "received rows whose thread is not
+    in the sent-thread set, grouped", without the second scan and anti join.
+    ``null_aware=True`` keeps ``NOT IN`` semantics (Q1): a sent message with a
+    NULL thread id empties the result.
+    """
+    recv = ~flag("in_sent")
+    g = (m.where(F.col("thread_id").isNotNull())
+          .groupBy("thread_id")
+          .agg(F.sum(F.when(F.col("in_sent") == 1, 1).otherwise(0)).alias("_sent"),
+               count_if(recv).alias("received_count"),
+               F.max(F.when(recv, F.col("subject"))).alias("subject"),
+               F.max_by("from_email", F.when(recv, newest_key(key=key))).alias("primary_sender"),
+               F.max(F.when(recv, F.col("date_ts"))).alias("_last")))
+    g = g.where((F.col("_sent") == 0) & (F.col("received_count") > 0))
+    if null_aware:
+        nulls = (m.where((F.col("in_sent") == 1) & F.col("thread_id").isNull())
+                  .agg(F.count(F.lit(1)).alias("n")))
+        g = g.where(nulls.scalar() == 0)
+    return (g.select("thread_id", "received_count", "subject", "primary_sender",
+                     C.epoch_text("_last").alias("last_received"))
+             .orderBy(F.col("received_count").desc(), F.col("thread_id"))
+             .limit(k))
 
 
 def monthly_unread_rate(m: DataFrame) -> DataFrame:
