@@ -893,3 +893,46 @@ SELECT message_id, prompt_version, vote, n_votes,
 FROM (SELECT message_id, prompt_version, CASE WHEN MIN(label) = MAX(label) THEN MIN(label) ELSE 'uncertain' END AS vote,
         COUNT(label) AS n_votes FROM classifications GROUP BY message_id, prompt_version) v"""))(
     lambda s, sf: K.vote(_c(s, sf)).withColumn("action_label", C.action_label("vote")))
+
+
+# ---------------------------------------------------------------- contact export, sender extraction
+from ..sources import api as API  # noqa: E402
+from ..sources import lists as LS  # noqa: E402
+
+
+def _contact_exports(spark, sf):
+    """People-API-shaped exports derived from the driver tables.
+
+    connections: one person per customer, addresses in mixed case (a second
+    one for every third customer); other contacts: one per supplier.
+    """
+    cust = fx.table(spark, sf, "customer")
+    first = F.struct(F.concat(F.lit("C"), F.col("c_custkey").cast("string"), F.lit("@D"),
+                              (F.col("c_custkey") % 13).cast("string"), F.lit(".Example.com")).alias("value"))
+    second = F.struct(F.concat(F.lit("alt"), F.col("c_custkey").cast("string"), F.lit("@x.org")).alias("value"))
+    conns = cust.select(F.when(F.col("c_custkey") % 3 == 0, F.array(first, second)).otherwise(F.array(first))
+                        .alias("emailAddresses"))
+    sup = fx.table(spark, sf, "supplier")
+    other = sup.select(F.array(F.struct(F.concat(F.lit("S"), F.col("s_suppkey").cast("string"),
+                                                 F.lit("@Supply.example")).alias("value"))).alias("emailAddresses"))
+    return conns, other
+
+
+register("build_contacts", """
+SELECT DISTINCT lower(email) AS email FROM (
+  SELECT 'C' || CAST(c_custkey AS VARCHAR) || '@D' || CAST(c_custkey % 13 AS VARCHAR) || '.Example.com' AS email FROM customer
+  UNION ALL SELECT 'alt' || CAST(c_custkey AS VARCHAR) || '@x.org' FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT 'S' || CAST(s_suppkey AS VARCHAR) || '@Supply.example' FROM supplier) u
+ORDER BY email""")(lambda s, sf: LS.build_contacts(*_contact_exports(s, sf)))
+
+register("sender_extract", W(["messages"], """
+SELECT mbox_offset,
+  CASE WHEN e <> '' THEN e ELSE lower(from_raw) END AS sender
+FROM (SELECT mbox_offset, from_raw,
+        regexp_replace(lower(regexp_extract(from_raw, '[^<\\s]+@[^>\\s]+', 0)), '^[<>]+|[<>]+$', '', 'g') AS e
+      FROM (SELECT mbox_offset, coalesce(from_name, '') || ' <' || upper(coalesce(from_email, 'nobody')) || '>' AS from_raw
+            FROM messages) r) x"""))(
+    lambda s, sf: _m(s, sf).select("mbox_offset", F.concat(F.coalesce("from_name", F.lit("")), F.lit(" <"),
+                                                         F.upper(F.coalesce("from_email", F.lit("nobody"))),
+                                                         F.lit(">")).alias("from_raw"))
+                   .select("mbox_offset", API.sender_email(F.col("from_raw")).alias("sender")))
