@@ -636,7 +636,7 @@ register("audit_totals", W(["audit"], f"SELECT {D.count_if(_P)} AS pruned, {D.co
 
 register("audit_totals_since", W(["audit"], f"""
 SELECT {D.count_if(_P)} AS pruned, {D.count_if(_R)} AS rescued FROM audit WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'"""))(
-    lambda s, sf: AU.audit_totals(_a(s, sf), since=__import__("datetime").datetime(2024, 1, 15)))
+    lambda s, sf: AU.audit_totals(_a(s, sf), since="2024-01-15 00:00:00"))
 
 register("audit_by_category", W(["audit"], f"""
 SELECT category, {D.count_if(_P)} AS pruned, {D.count_if(_R)} AS rescued FROM audit GROUP BY category"""))(
