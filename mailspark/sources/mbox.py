@@ -7,7 +7,9 @@ START inside it: it looks back one byte to know whether it begins at a line
 start, skips to the first envelope line (``^From \\S``) and reads past its
 end to finish its last message.  Bytes before the first envelope of a file
 form a message of their own (offset 0), as in a sequential read.  The rows
-are identical for any split size.
+are identical for any split size.  With ``option("parse", "true")`` the reader
+parses each message as it reads it (schema ``parse.PARSED``), so raw bytes
+never cross from the Python worker into the JVM and back.
 
 Files are opened with ``pyarrow.fs`` so local, HDFS and object-store paths
 work the same on executors.  The streaming reader uses the byte position
@@ -134,12 +136,23 @@ def split_ranges(files: list[tuple[str, int]], split: int) -> list[MboxPartition
     return parts
 
 
+def _parsed_rows(rows, max_bytes: int):
+    """Parse inside the reader: raw bytes never leave the Python worker."""
+    from .parse import PARSED, parse_row
+    names = [f.name for f in PARSED.fields]
+    for path, off, size, raw in rows:
+        r = parse_row(path, off, size, raw, max_bytes)
+        yield tuple(r[n] for n in names)
+
+
 class MboxReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options.get("path")
         if not self.path:
             raise ValueError("mbox: option 'path' is required")
         self.split = int(options.get("splitSize", DEFAULT_SPLIT))
+        self.parse = str(options.get("parse", "false")).lower() == "true"
+        self.max_bytes = int(options.get("maxBodyKb", 500)) * 1024
 
     def partitions(self):
         return split_ranges(list_files(self.path), self.split) or [MboxPartition(self.path, 0, 0)]
@@ -147,7 +160,8 @@ class MboxReader(DataSourceReader):
     def read(self, partition: MboxPartition):
         if partition.end <= partition.start:
             return iter(())
-        return read_range(partition.path, partition.start, partition.end)
+        rows = read_range(partition.path, partition.start, partition.end)
+        return _parsed_rows(rows, self.max_bytes) if self.parse else rows
 
 
 def _complete_end(path: str, size: int) -> int:
@@ -179,6 +193,8 @@ class MboxStreamReader(DataSourceStreamReader):
         self.split = int(options.get("splitSize", DEFAULT_SPLIT))
         # 'true': files are written whole (no partial tail), so EOF ends the last message
         self.eof_complete = str(options.get("eofComplete", "false")).lower() == "true"
+        self.parse = str(options.get("parse", "false")).lower() == "true"
+        self.max_bytes = int(options.get("maxBodyKb", 500)) * 1024
 
     def initialOffset(self) -> dict:
         return {}
@@ -200,7 +216,8 @@ class MboxStreamReader(DataSourceStreamReader):
         if partition.end <= partition.start:
             return iter(())
         # messages starting before the batch end also end by it (the next envelope)
-        return read_range(partition.path, partition.start, partition.end)
+        rows = read_range(partition.path, partition.start, partition.end)
+        return _parsed_rows(rows, self.max_bytes) if self.parse else rows
 
     def commit(self, end: dict) -> None:
         pass
@@ -212,6 +229,9 @@ class MboxDataSource(DataSource):
         return "mbox"
 
     def schema(self):
+        if str(self.options.get("parse", "false")).lower() == "true":
+            from .parse import PARSED
+            return PARSED
         return SCHEMA
 
     def reader(self, schema):
@@ -225,6 +245,8 @@ def register(spark) -> None:
     spark.dataSource.register(MboxDataSource)
 
 
-def read_mbox(spark, path: str, split_size: int = DEFAULT_SPLIT):
+def read_mbox(spark, path: str, split_size: int = DEFAULT_SPLIT, parse: bool = False):
+    """Raw messages, or with ``parse=True`` parsed rows (schema ``parse.PARSED``) straight from the reader."""
     register(spark)
-    return spark.read.format("mbox").option("path", path).option("splitSize", str(split_size)).load()
+    return (spark.read.format("mbox").option("path", path).option("splitSize", str(split_size))
+            .option("parse", str(parse).lower()).load())

@@ -24,9 +24,9 @@ def _target_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def ingest_batch(spark: SparkSession, target: str, quarantine: str | None = None):
+def ingest_batch(spark: SparkSession, target: str, quarantine: str | None = None, parsed_input: bool = False):
     def run(batch: DataFrame, batch_id: int) -> None:
-        parsed = P.parse_messages(batch)
+        parsed = P.with_derived_columns(batch) if parsed_input else P.parse_messages(batch)
         good, bad = P.split_parsed(parsed)
         fresh = P.new_messages(good, _target_or_none(spark, target))
         P.write_messages(fresh, target, "append")
@@ -36,12 +36,19 @@ def ingest_batch(spark: SparkSession, target: str, quarantine: str | None = None
 
 
 def ingest_stream(spark: SparkSession, source_path: str, target: str, checkpoint: str,
-                  quarantine: str | None = None, eof_complete: bool = False, split_size: int = MB.DEFAULT_SPLIT):
-    """Start the ingest stream; returns the StreamingQuery."""
+                  quarantine: str | None = None, eof_complete: bool = False, split_size: int = MB.DEFAULT_SPLIT,
+                  parse_in_reader: bool = True):
+    """Start the ingest stream; returns the StreamingQuery.
+
+    By default the reader parses messages as it reads them (no raw bytes
+    through the JVM); ``parse_in_reader=False`` ships raw messages to the
+    Arrow parse job instead.
+    """
     MB.register(spark)
     raw = (spark.readStream.format("mbox").option("path", source_path)
-           .option("splitSize", str(split_size)).option("eofComplete", str(eof_complete).lower()).load())
-    return (raw.writeStream.foreachBatch(ingest_batch(spark, target, quarantine))
+           .option("splitSize", str(split_size)).option("eofComplete", str(eof_complete).lower())
+           .option("parse", str(parse_in_reader).lower()).load())
+    return (raw.writeStream.foreachBatch(ingest_batch(spark, target, quarantine, parse_in_reader))
                .option("checkpointLocation", checkpoint).start())
 
 

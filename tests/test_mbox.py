@@ -117,11 +117,13 @@ def test_dedup_first_wins(spark, mbox_file):
     assert sum(1 for r in rows if r.message_id is None) == parsed.where("message_id IS NULL").count()
 
 
-def test_streaming_equals_batch(spark, mbox_file):
+@pytest.mark.parametrize("parse_in_reader", [True, False])
+def test_streaming_equals_batch(spark, mbox_file, parse_in_reader):
     from mailspark.streaming.ingest import ingest_stream
     out = tempfile.mkdtemp(prefix="mbox-stream-out-")
     ck = tempfile.mkdtemp(prefix="mbox-stream-ck-")
-    q = ingest_stream(spark, os.path.dirname(mbox_file), out + "/t", ck, eof_complete=True)
+    q = ingest_stream(spark, os.path.dirname(mbox_file), out + "/t", ck, eof_complete=True,
+                      parse_in_reader=parse_in_reader)
     q.processAllAvailable()
     q.stop()
     got = spark.read.parquet(out + "/t")
@@ -145,3 +147,11 @@ def test_dedup_within_watermark_stream(spark):
     got = sorted(r.message_id for r in spark.sql("SELECT * FROM wm_t").collect())
     q.stop()
     assert got == ["a", "b", "c"]
+
+
+def test_parse_in_reader_equals_parse_job(spark, mbox_file):
+    cols = ["path", "mbox_offset", "message_id", "from_email", "subject", "date_ts", "labels", "headers_json",
+            "body_text", "attachment_names", "parse_error", "year_month", "in_inbox"]
+    a = P.parse_messages(MB.read_mbox(spark, mbox_file, 3000)).select(*cols)
+    b = P.read_parsed(spark, mbox_file, 5000).select(*cols)
+    assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
