@@ -20,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..util import col
+from ..util import col, ship_package
 
 # Python's whitespace (str.isspace) as a Java character class body, without and with '\n'.
 _WS_NO_NL = "\\t\\x0B\\f\\r \\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
@@ -68,6 +68,7 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 def html_unescape(c) -> Column:
     """HTML entity decoding (Python ``html.unescape``) for rows containing '&'."""
+    ship_package()
     x = col(c)
     return F.coalesce(_unescape(F.when(x.contains("&"), x)), x)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions.predicates import category_is, sender_any, subject_any
-from ..util import col
+from ..util import col, ship_package
 
 CIRCUIT_BREAKER_THRESHOLD = 5
 Responder = Callable[[str, str, list[str]], list]
@@ -90,6 +90,7 @@ def classify(pairs: DataFrame, fn: Responder, system_prompt: str, version: str,
     are the expensive, non-repeatable part, and a lost executor later in the
     plan must not re-run them.
     """
+    ship_package(pairs.sparkSession)
     n = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = (pairs.withColumn("_b", F.pmod(F.xxhash64("message_id"), F.lit(buckets)))
                    .repartition(n, "model", "_b").sortWithinPartitions("model", "message_id")

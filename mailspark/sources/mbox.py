@@ -242,6 +242,8 @@ class MboxDataSource(DataSource):
 
 
 def register(spark) -> None:
+    from ..util import ship_package
+    ship_package(spark)
     spark.dataSource.register(MboxDataSource)
 
 

@@ -96,3 +96,51 @@ def sort_small(df, *cols):
     Never use this for outputs that grow with the data.
     """
     return df.repartition(1).sortWithinPartitions(*cols)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark=None) -> None:
+    """Make ``mailspark`` importable in the executors' Python workers.
+
+    Code that runs inside Python workers (data source readers, Arrow / pandas
+    functions) references this package.  Once per application the package
+    sources are zipped into the session's shared checkpoint folder and added
+    with ``addPyFile`` (the same mechanism as ``--py-files``).  A no-op when
+    there is no active classic session.
+    """
+    import hashlib
+    import io
+    import os
+    import zipfile
+
+    from pyspark.sql import SparkSession
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    try:
+        sc = spark.sparkContext
+        key = sc.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect: ship with the client's artifacts instead
+        return
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    data = buf.getvalue()
+    from .session import checkpoint_dir
+    path = checkpoint_dir(spark, f"pyfiles/mailspark-{hashlib.sha1(data).hexdigest()[:16]}.zip")
+    from pyarrow import fs
+    filesystem, p = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    filesystem.create_dir(os.path.dirname(p), recursive=True)
+    with filesystem.open_output_stream(p) as out:
+        out.write(data)
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
