@@ -10,8 +10,8 @@ lookup's ``token IN (...)`` is answered from Parquet row-group statistics.
 
 A search is implicit AND over the query tokens, in any indexed field:
 postings of the query tokens -> count distinct tokens per key -> keys that
-have them all.  The query's tokens form a tiny DataFrame (bounded by the
-query length), the only side that is broadcast.
+have them all.  The query tokens become a literal IN-list on the postings
+scan, so a stored index is read only where those tokens live.
 """
 
 from __future__ import annotations
@@ -52,13 +52,22 @@ def query_tokens(spark, query: str) -> DataFrame:
 
 
 def search_keys(index: DataFrame, query: str, key: str, fields: list[str] | None = None) -> DataFrame:
-    """Q1s: keys whose indexed text contains every query token (any field unless ``fields``)."""
-    spark = index.sparkSession
-    qt = query_tokens(spark, query)
-    post = index if not fields else index.where(F.col("field").isin(*fields))
-    hits = post.join(F.broadcast(qt), "token").groupBy(key).agg(F.count_distinct("token").alias("_n"))
-    n_tokens = qt.agg(F.count(F.lit(1)).alias("n"))
-    return hits.where((F.col("_n") == n_tokens.scalar()) & (n_tokens.scalar() > 0)).select(key)
+    """Q1s: keys whose indexed text contains every query token (any field unless ``fields``).
+
+    The query string is a literal the caller already holds: it is tokenised
+    by the same Spark expression as the index (one-row frame, a handful of
+    tokens collected), so the postings scan gets a literal ``token IN (...)``
+    that reaches the Parquet reader and its row-group statistics (the stored
+    index is sorted by token inside each file).
+    """
+    toks = sorted(r.token for r in query_tokens(index.sparkSession, query).collect())
+    if not toks:
+        return index.where(F.lit(False)).select(key)
+    post = index.where(F.col("token").isin(toks))
+    if fields:
+        post = post.where(F.col("field").isin(*fields))
+    hits = post.groupBy(key).agg(F.count_distinct("token").alias("_n"))
+    return hits.where(F.col("_n") == len(toks)).select(key)
 
 
 def search(df: DataFrame, index: DataFrame, query: str, key: str, fields: list[str] | None = None) -> DataFrame:

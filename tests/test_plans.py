@@ -56,3 +56,22 @@ def test_bounded_sorts_keep_order(spark):
     assert months == sorted(months, reverse=True) and len(months) > 10
     hours = [r.hour_utc for r in M.by_hour_of_day(fx.messages(spark, SF_SMALL)).collect()]
     assert hours == sorted(hours)
+
+
+def test_prune_broadcasts_contacts_and_shuffles_threads(spark):
+    plan = executed(E.queries()["prune"](spark, SF_SMALL))
+    bhj = [ln for ln in plan.split("\n") if "BroadcastHashJoin" in ln]
+    assert any("from_email" in ln for ln in bhj)
+
+
+def test_written_index_pushes_token_filter(spark):
+    from mailspark.operators import search as SE
+    out = tempfile.mkdtemp(prefix="idx-") + "/index"
+    idx = SE.build_index(fx.table(spark, SF_SMALL, "documents"), "doc_id", ["text"])
+    SE.write_index(idx, out, "doc_id", partitions=4)
+    stored = spark.read.parquet(out)
+    hits = SE.search_keys(stored, "the of", "doc_id")
+    plan = executed(hits)
+    scan = [ln for ln in plan.split("\n") if "FileScan parquet" in ln and "index" in ln][0]
+    assert "PushedFilters: [In(token, [of,the])]" in scan
+    assert hits.count() == SE.search_keys(idx, "the of", "doc_id").count() > 0
