@@ -145,3 +145,22 @@ def test_streaming_audit_counts_equal_batch(spark):
     q.stop()
     batch = AU.audit_by_category(spark.read.schema(L.AUDIT_SCHEMA).json(tmp + "/in"))
     assert got == {r.category: (r.pruned, r.rescued) for r in batch.collect()} == {"A": (2, 1), "B": (0, 1)}
+
+
+def test_noisy_direction_q8(spark):
+    old = [msg(i, from_email="n@x.com", is_unread=1, date_ts=AS_OF - 200 * 86400) for i in range(6)]
+    new = [msg(10 + i, from_email="m@x.com", is_unread=1, date_ts=AS_OF - 10 * 86400) for i in range(6)]
+    m = spark.createDataFrame(old + new, MSCHEMA)
+    coded = [r.from_email for r in R.noisy_senders(m, AS_OF).collect()]
+    documented = [r.from_email for r in R.noisy_senders(m, AS_OF, direction="newer").collect()]
+    assert coded == ["n@x.com"] and documented == ["m@x.com"]
+
+
+def test_stratified_overlap_q5(spark):
+    from mailspark.operators import classify as K
+    rows = [msg(i, labels=["Category Promotions", "Category Social"], in_inbox=0) for i in range(10)]
+    m = spark.createDataFrame(rows, MSCHEMA)
+    s = K.stratified_sample(m, 10, ["message_id"])                 # 2 per stratum
+    assert sorted(r.stratum for r in s.collect()) == ["promotions", "promotions", "social", "social"]
+    assert {r.message_id for r in s.collect()} == {"m0", "m1"}      # same newest rows in both strata
+    assert K.stratified_sample(m, 10, ["message_id"], distinct=True).count() == 2
