@@ -155,3 +155,19 @@ def test_parse_in_reader_equals_parse_job(spark, mbox_file):
     a = P.parse_messages(MB.read_mbox(spark, mbox_file, 3000)).select(*cols)
     b = P.read_parsed(spark, mbox_file, 5000).select(*cols)
     assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+
+
+def test_batch_ingest_is_idempotent_and_keeps_a_ledger(spark, mbox_file):
+    from mailspark.operators import messages as M
+    from mailspark.streaming.ingest import ingest_files
+    out = tempfile.mkdtemp(prefix="ingest-")
+    c1 = ingest_files(spark, os.path.dirname(mbox_file), out + "/t", out + "/ledger", out + "/q")
+    c2 = ingest_files(spark, os.path.dirname(mbox_file), out + "/t", out + "/ledger", out + "/q")
+    t = spark.read.parquet(out + "/t")
+    ids = [r.message_id for r in t.collect() if r.message_id]
+    assert len(ids) == len(set(ids)) == 17
+    assert c1["new"] == t.count() and c2["new"] == 0
+    assert t.rdd.getNumPartitions() >= 1 and "year" in t.columns
+    ledger = P.update_ledger(spark.read.parquet(out + "/ledger").limit(0), spark.read.parquet(out + "/ledger"))
+    summ = M.import_summary(ledger).collect()
+    assert len(summ) == 1 and summ[0].pct_done == "100.0%" and summ[0].messages_imported == 61
