@@ -164,3 +164,25 @@ def test_stratified_overlap_q5(spark):
     assert sorted(r.stratum for r in s.collect()) == ["promotions", "promotions", "social", "social"]
     assert {r.message_id for r in s.collect()} == {"m0", "m1"}      # same newest rows in both strata
     assert K.stratified_sample(m, 10, ["message_id"], distinct=True).count() == 2
+
+
+def test_api_body_choice_edges(spark):
+    import base64
+    enc = lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("=")
+    docs = [
+        {"id": "a", "payload": {"parts": [{"mimeType": "text/plain", "body": {"data": enc("plain first")}},
+                                          {"mimeType": "text/html", "body": {"data": ""}}]}},
+        {"id": "b", "payload": {"parts": [{"mimeType": "text/html", "body": {"data": enc("<b>h</b>")}},
+                                          {"mimeType": "text/plain", "body": {"data": enc("later plain")}}]}},
+        {"id": "c", "payload": {"body": {"data": enc("single part")}}},
+        {"id": "d", "payload": {"headers": [{"name": "Subject", "value": "one"}, {"name": "subject", "value": "two"}]}},
+    ]
+    tmp = tempfile.mkdtemp(prefix="api2-")
+    with open(os.path.join(tmp, "a.json"), "w") as f:
+        f.write("\n".join(json.dumps(d) for d in docs) + "\n")
+    got = {r.message_id: r for r in API.api_to_messages(API.read_api_messages(spark, tmp)).collect()}
+    assert got["a"].body_text == "plain first"          # empty html part: the plain part before it
+    assert got["b"].body_text == "<b>h</b>"
+    assert got["c"].body_text == "single part"
+    assert got["d"].body_text == "" and got["d"].subject == "one"   # first header wins
+    assert got["c"].subject == "(no subject)"
