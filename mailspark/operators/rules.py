@@ -176,18 +176,34 @@ def label_reference(m: DataFrame, rules: list[Rule], as_of_epoch: int, key: str
     return match_rules(m, rules, as_of_epoch).select(key, "message_id", "from_email", "subject", "rule_no", "category")
 
 
-def apply_actions(m: DataFrame, actions: DataFrame, kind: str, key: str = "mbox_offset") -> DataFrame:
+def apply_actions(m: DataFrame, actions: DataFrame, kind: str, key: str = "mbox_offset",
+                  broadcast_max_bytes: int | None = None) -> DataFrame:
     """Next table version with the actions applied to the label arrays and flags.
 
     kind='prune':  add Trash + 'Audit/Pruned/<category>', in_trash = 1
     kind='rescue': remove Trash, add Reference + 'Audit/Rescued/<category>', in_trash = 0
     kind='reference': add Reference
     Only rows with decision 'prune' (when present) are acted on.
+
+    The action list is checkpointed once (the cascade runs a single time and
+    its lineage is cut), then counted: its size is bounded by rows x (key +
+    longest category name).  Under the broadcast bound it is broadcast, so
+    the table itself is never shuffled; above it the join stays a shuffle join.
     """
+    from ..session import ensure_checkpoint_dir
+    from ..util import _bytes
     a = actions
     if "decision" in a.columns:
         a = a.where(F.col("decision") == "prune")
     a = a.select(F.col(key), F.col("category").alias("_act_cat"))
+    ensure_checkpoint_dir(m.sparkSession)
+    a = a.checkpoint(eager=True)
+    if broadcast_max_bytes is None:
+        broadcast_max_bytes = _bytes(m.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
+    stats = a.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("_act_cat")).alias("w")).first()
+    row_bytes = 8 + 16 + 4 * (stats["w"] or 0)          # key + string header + UTF-8 upper bound
+    if 0 <= stats["n"] * row_bytes <= broadcast_max_bytes:
+        a = F.broadcast(a)
     x = m.join(a, key, "left")
     labels = F.coalesce(F.col("labels"), F.array().cast("array<string>"))
     hit = F.col("_act_cat").isNotNull()
