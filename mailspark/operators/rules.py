@@ -7,8 +7,8 @@ first matching rule, so a message can only ever be claimed by one rule (the
 reference gets the same effect because a trashed message fails ``-in:trash``
 in later rules).  Protection is two anti/semi joins:
 
-* contacts (J1): a user-sized list, broadcast only when the optimizer's size
-  estimate is under the broadcast bound, otherwise a shuffle join;
+* contacts (J1): a user-sized list, broadcast only when its counted size bound
+  (rows x widest row) is under the broadcast threshold, otherwise a shuffle join;
 * replied threads (J2): distinct thread ids of sent mail, joined by shuffle
   (NULL thread ids are split off first: they never match and would skew).
 """
