@@ -319,7 +319,7 @@ def prune_with_noisy(m: DataFrame, rules: list[Rule], noisy: DataFrame, contacts
 
     ``rules`` (standing + industry) keep their ordinal chain; a message the
     chain does not claim is matched to the noisy table by sender address
-    (broadcast when the table's size estimate allows, else a shuffle join),
+    (broadcast under its counted size bound, else a shuffle join),
     then checked for the shared noisy conditions and its subject exclusions
     (whole-token, as padded token text).  Noisy categories get ordinals after
     the chain.  Output columns equal ``prune``.
