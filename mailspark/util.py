@@ -39,14 +39,6 @@ def _bytes(text: str) -> int:
     return int(t)
 
 
-def estimated_size(df) -> int | None:
-    """The optimizer's size estimate of ``df`` in bytes (None when unavailable)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect: let AQE decide
-        return None
-
-
 def size_bound(df) -> int:
     """A proven upper bound of ``df``'s in-memory size: rows x widest row.
 
