@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tools.check_oracle import TABLES, rows_of
+from tools.check_oracle import TABLES, TYPE_MAP, rows_of
 
 SF_SMALL = os.environ.get("MAILSPARK_ORACLE_SF", "/root/testdata/sf0.001")
 ORACLE = E.oracle_sql()
@@ -29,6 +29,8 @@ def test_query_matches_oracle(spark, duck, name):
     cur = duck.execute(ORACLE[name])
     dcols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(dcols)
+    dtypes = dict(zip(dcols, [str(t) for t in duck.sql(ORACLE[name]).types]))
+    assert [(c, TYPE_MAP.get(t, t)) for c, t in df.dtypes] == [(c, dtypes[c]) for c, _ in df.dtypes]
     assert rows_of(df.columns, rows) == rows_of(dcols, cur.fetchall())
 
 
