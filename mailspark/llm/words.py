@@ -52,17 +52,28 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.StringArray:
+    """Byte spans (in order, disjoint) as a string array."""
+    size = ends - starts
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1                                          # a span may begin where another ends
+    kept = data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(kept))
+
+
 class Words:
     """Words of a slice of texts.
 
-    data: lower-cased bytes, each text followed by one line end; starts, ends:
+    data: bytes (lower-cased, if so asked), each text followed by one line end; starts, ends:
     the words' spans in it; first: index of each text's first word, and one
     more; doc: the text of each word.
     """
 
-    def __init__(self, texts: pa.Array, member: np.ndarray = IS_WORD):
+    def __init__(self, texts: pa.Array, member: np.ndarray = IS_WORD, lower: bool = True):
         raw, self.offsets = ended(texts)
-        self.data = LOWER[raw]
+        self.data = LOWER[raw] if lower else raw
         inside = member[self.data]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1 if len(inside) else np.zeros(0, np.int64)
         if len(inside) and inside[0]:
@@ -73,6 +84,10 @@ class Words:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.n_docs), self.counts)
 
+    def strings(self) -> pa.StringArray:
+        """The words themselves."""
+        return strings(self.data, self.starts, self.ends)
+
     def hashes(self) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends)
 
