@@ -10,13 +10,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, sentencepiece_bpe, token_files
+from . import decontaminate, minhash, quality, sentencepiece_bpe, token_files
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_probminhash_dedup": lambda s, d: minhash.report(table(s, d, "documents")),
     "op5_wu_manber_decontamination": lambda s, d: decontaminate.report(table(s, d, "documents"), table(s, d, "benchmark")),
     "op6_token_files": lambda s, d: token_files.report(table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
+    "op8_subword_quality": lambda s, d: quality.report(table(s, d, "documents"), table(s, d, "labels")),
     "op9_sentencepiece_backtracking": lambda s, d: sentencepiece_bpe.report(table(s, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
 }
 
