@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, quality, sentencepiece_bpe, token_files
+from . import decontaminate, lattice_lm, minhash, quality, sentencepiece_bpe, token_files
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": lambda s, d: token_files.report(table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
     "op8_subword_quality": lambda s, d: quality.report(table(s, d, "documents"), table(s, d, "labels")),
     "op9_sentencepiece_backtracking": lambda s, d: sentencepiece_bpe.report(table(s, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
+    "op10_subword_lattice_lm": lambda s, d: lattice_lm.report(table(s, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
 }
 
 ORACLE: dict[str, str] = {}
