@@ -10,10 +10,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lattice_lm, minhash, quality, sentencepiece_bpe, token_files
+from . import decontaminate, embed_dedup, lattice_lm, minhash, quality, sentencepiece_bpe, token_files
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_collision_counting_dedup": lambda s, d: embed_dedup.report(table(s, d, "embeddings")),
     "op4_probminhash_dedup": lambda s, d: minhash.report(table(s, d, "documents")),
     "op5_wu_manber_decontamination": lambda s, d: decontaminate.report(table(s, d, "documents"), table(s, d, "benchmark")),
     "op6_token_files": lambda s, d: token_files.report(table(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
