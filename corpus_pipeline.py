@@ -5,25 +5,44 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mailspark.llm import decontaminate, minhash
+from mailspark.llm import decontaminate, minhash, quality, sentencepiece_bpe, substring
 from mailspark.llm.base import staged, table
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
     return minhash.deduplicated(docs)
 
 
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut."""
+    return substring.deduplicated(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of the benchmark go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, with digests of the ids and of what they decode to."""
+    return sentencepiece_bpe.coded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 STAGES = [
+    ("quality_filter", quality_filter),
     ("near_dedup", near_dedup),
+    ("passage_dedup", passage_dedup),
     ("decontamination", decontamination),
+    ("tokens", tokens),
 ]
 
 #: The stages learn, hash and encode with fixed vocabularies: SQL cannot express them.

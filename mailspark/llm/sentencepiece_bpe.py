@@ -331,8 +331,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(run, f"id {dict(encoded.dtypes)['id']}, text string")
 
 
-def report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digest of both directions: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def coded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Both directions: doc_id, n_tokens, ids, ids_sha256 (of the decimal ids, comma-joined), decoded_sha256."""
     prepare(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
@@ -341,14 +341,19 @@ def report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         digits = [str(i) for i in range(len(m.bytes_of))]
         for batch in batches:
             for a, b, texts in text_slices(batch, text_col):
-                n, coded, back = [], [], []
+                ids_, first, back = [], [], []
                 for t in texts.to_pylist():
                     x = m.encode(t)
-                    n.append(len(x))
-                    coded.append(hashlib.sha256(",".join(map(digits.__getitem__, x)).encode()).hexdigest())
+                    ids_.append(x)
+                    first.append(hashlib.sha256(",".join(map(digits.__getitem__, x)).encode()).hexdigest())
                     back.append(hashlib.sha256(m.decode(x).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [column_ids(batch, id_col).slice(a, b - a), pa.array(n, pa.int64()), pa.array(coded), pa.array(back)],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    [column_ids(batch, id_col).slice(a, b - a), pa.array([len(x) for x in ids_], pa.int64()), pa.array(ids_, pa.list_(pa.int32())),
+                     pa.array(first, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
     return docs.select(id_col, text_col).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        run, f"doc_id {kind}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
+def report(docs: DataFrame, path: str) -> DataFrame:
+    """Digest of both directions: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return coded(docs, path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
