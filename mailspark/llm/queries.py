@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, html_text, lattice_lm, licenses, minhash, quality, sentencepiece_bpe, substring, token_files
+from . import decontaminate, embed_dedup, html_text, lattice_lm, licenses, minhash, oracle, quality, sentencepiece_bpe, substring, token_files
 from .base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,4 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_subword_lattice_lm": lambda s, d: lattice_lm.report(table(s, d, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_collision_counting_dedup": oracle.EMBEDDINGS,
+    "op3_scored_html_region": oracle.PAGES,
+    "op5_wu_manber_decontamination": oracle.BENCHMARK,
+}
