@@ -20,6 +20,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.columns import category_of
 from .util import spread
 
 SPARK_EPOCH = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o.o_orderdate)"
@@ -27,7 +28,7 @@ DUCK_EPOCH = "CAST(epoch(o.o_orderdate) AS BIGINT)"
 
 # The fixture definitions shared with the oracle.
 MESSAGES_SQL = """
-SELECT o.o_orderkey AS mbox_offset,
+SELECT concat('box', CAST(o.o_orderkey % 4 AS STRING), '.mbox') AS path, CAST((o.o_orderkey - o.o_orderkey % 4) / 4 AS BIGINT) AS mbox_offset,
   CASE WHEN o.o_orderkey % 97 = 0 THEN NULL ELSE concat('m', CAST(o.o_orderkey % 14000 AS STRING), '@x.example') END AS message_id,
   CASE WHEN o.o_orderkey % 53 = 0 THEN NULL ELSE CAST(o.o_orderkey % 4001 AS STRING) END AS thread_id,
   CASE WHEN o.o_orderkey % 211 = 0 THEN NULL ELSE {EPOCH} + (o.o_orderkey * 7919) % 86400 END AS date_ts,
@@ -54,9 +55,8 @@ SELECT o.o_orderkey AS mbox_offset,
   CASE WHEN o.o_orderstatus = 'O' THEN 1 ELSE 0 END AS in_inbox,
   CASE WHEN o.o_orderstatus = 'F' AND o.o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS in_sent,
   CASE WHEN o.o_orderstatus = 'P' AND o.o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS in_trash,
-  CASE substr(o.o_orderpriority, 1, 1) WHEN '1' THEN 'promotions' WHEN '2' THEN 'social' WHEN '3' THEN 'updates' WHEN '4' THEN 'forums' ELSE 'primary' END AS category,
   split(concat_ws(',',
-    concat('Category ', CASE substr(o.o_orderpriority, 1, 1) WHEN '1' THEN 'Promotions' WHEN '2' THEN 'Social' WHEN '3' THEN 'Updates' WHEN '4' THEN 'Forums' ELSE 'Primary' END),
+    concat('Category ', CASE substr(o.o_orderpriority, 1, 1) WHEN '1' THEN 'Promotions' WHEN '2' THEN 'Social' WHEN '3' THEN 'Updates' WHEN '4' THEN 'Forums' ELSE 'Personal' END),
     CASE WHEN o.o_orderkey % 3 = 0 THEN 'Unread' END,
     CASE WHEN o.o_orderkey % 41 = 0 THEN 'Reference' END,
     CASE WHEN o.o_orderkey % 59 = 0 THEN 'Chats' END,
@@ -66,6 +66,12 @@ SELECT o.o_orderkey AS mbox_offset,
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
 """
 
+# messages with a body (some have none) and the date's text
+FULL_MESSAGES_SQL = """
+SELECT m.*, CASE WHEN m.date_ts IS NOT NULL THEN concat('on ', CAST(m.date_ts AS STRING)) END AS date_str, d.text AS body_text
+FROM {messages} m LEFT JOIN {documents} d ON m.mbox_offset = d.doc_id
+"""
+
 CONTACTS_SQL = """
 SELECT DISTINCT concat('c', CAST(c_custkey AS STRING), '@d', CAST(c_custkey % 13 AS STRING), '.example.com') AS email
 FROM {customer} WHERE c_custkey % 17 = 0
@@ -150,9 +156,14 @@ WHERE r.corrected_at < '2026-06-18T11' OR l.doc_id % 3 = 0
 """
 SPARK_TEXT = {"classifications": CLASSIFICATIONS_SPARK_SQL, "corrections": CORRECTIONS_SPARK_SQL}
 
+# the first category label, as ``functions.columns.category_of`` reads it
+DUCK_CATEGORY = """coalesce(replace(list_filter(list_transform(labels,
+  lambda l: regexp_extract(lower(l), '^category[ _](.+)$', 1)), lambda c: c <> '')[1], 'personal', 'primary'), 'primary')"""
+
 # view name -> (sql template, driver tables it reads)
 VIEWS = {
     "messages": (MESSAGES_SQL, ("orders", "customer")),
+    "full_messages": (FULL_MESSAGES_SQL, ("messages", "documents")),
     "contacts": (CONTACTS_SQL, ("customer",)),
     "classifications": (CLASSIFICATIONS_SQL, ("documents",)),
     "corrections": (CORRECTIONS_SQL, ("labels",)),
@@ -178,9 +189,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _with_time_columns(m: DataFrame) -> DataFrame:
-    """Add ts (UTC wall clock, TIMESTAMP_NTZ), year and year_month from date_ts."""
+    """Add ts (UTC wall clock, TIMESTAMP_NTZ), year and year_month from date_ts, and category from the labels."""
     ts = F.expr("timestampadd(SECOND, date_ts, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
-    return (m.withColumn("ts", ts)
+    return (m.withColumn("category", category_of("labels")).withColumn("ts", ts)
              .withColumn("year", F.year("ts"))
              .withColumn("year_month", F.date_format("ts", "yyyy-MM")))
 
@@ -188,7 +199,7 @@ def _with_time_columns(m: DataFrame) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame over the parquet scans of ``sf_dir``."""
     sql, tables = VIEWS[name]
-    args = {t: table(spark, sf_dir, t) for t in tables}
+    args = {t: view(spark, sf_dir, t) if t in VIEWS else table(spark, sf_dir, t) for t in tables}
     # DataFrame arguments keep the views free of global temp-view state;
     # the formatter turns the template's doubled braces into literal ones.
     df = spark.sql(SPARK_TEXT.get(name, sql).replace("{EPOCH}", SPARK_EPOCH), **args)
@@ -201,6 +212,10 @@ def messages(spark, sf_dir):
     return view(spark, sf_dir, "messages")
 
 
+def full_messages(spark, sf_dir):
+    return view(spark, sf_dir, "full_messages")
+
+
 def contacts(spark, sf_dir):
     return view(spark, sf_dir, "contacts")
 
@@ -238,7 +253,7 @@ def duck_view_sql(name: str) -> str:
         text = text.replace("{" + t + "}", t)
     text = text.replace("{{", "{").replace("}}", "}")
     if name == "messages":
-        text = ("SELECT *, make_timestamp(date_ts * 1000000) AS ts, "
+        text = (f"SELECT *, {DUCK_CATEGORY} AS category, make_timestamp(date_ts * 1000000) AS ts, "
                 "CAST(year(make_timestamp(date_ts * 1000000)) AS INTEGER) AS year, "
                 "strftime(make_timestamp(date_ts * 1000000), '%Y-%m') AS year_month FROM (" + text + ") mb")
     return text

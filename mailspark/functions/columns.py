@@ -41,6 +41,18 @@ def attachment_ext(name) -> Column:
     return F.lower(F.when(pos > 0, F.substring(v, pos + 1, F.length(v))).otherwise(F.lit("(no extension)")))
 
 
+# The label of the primary category, and the name of a message without one.
+_PERSONAL, PRIMARY = "personal", "primary"
+
+
+def category_of(labels="labels") -> Column:
+    """Mail category (lower case) from the label array: 'Category X' or 'CATEGORY_X', the first; 'primary' without one."""
+    found = F.filter(F.transform(F.coalesce(col(labels), F.array().cast("array<string>")),
+                                 lambda x: F.regexp_extract(F.lower(x), "^category[ _](.+)$", 1)), lambda c: c != "")
+    first = F.try_element_at(found, F.lit(1))
+    return F.when(first.isNull() | (first == _PERSONAL), PRIMARY).otherwise(first)
+
+
 # Age-bucket labels and their day limits.
 AGE_BUCKETS = [
     (7, "1 – this week"),

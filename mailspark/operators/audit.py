@@ -3,17 +3,15 @@
 The audit log is append-only JSONL: ts, action, category, message_id, from
 (``sender`` here), subject.  Actions are normalised first: the example rows
 say trash/rescue while the code writes pruned/rescued (Q7).  Each report is
-one aggregation; R12 picks the first pruned and first rescued row of a
-message with ``min_by`` on (ts, line) inside the same aggregation.
+one aggregation; R12 joins the first pruned and the first rescued row of a
+message, each ranked by (ts, line).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..util import sort_small
-
 # Action synonyms (Q7).
 PRUNED = ("pruned", "trash")
 RESCUED = ("rescued", "rescue")
@@ -44,7 +42,7 @@ def audit_by_category(a: DataFrame, since=None) -> DataFrame:
     """Pruned / rescued per category, most pruned first."""
     return (_since(a, since).groupBy("category")
             .agg(_n(is_pruned()).alias("pruned"), _n(is_rescued()).alias("rescued"))
-            .transform(lambda d: sort_small(d, F.col("pruned").desc(), F.col("category").asc_nulls_first())))
+            .orderBy(F.col("pruned").desc(), F.col("category").asc_nulls_first()))
 
 
 def audit_conflict_senders(a: DataFrame, since=None, sender: str = "sender") -> DataFrame:
@@ -61,14 +59,13 @@ def audit_near_misses(a: DataFrame, since=None, strict_order: bool = False, send
     ``strict_order=True`` also requires the rescue to come after the prune
     (the reference does not check the order).
     """
-    order = F.struct(F.col("ts"), F.col(line))
-    row = F.struct(F.col("ts").alias("ts"), F.col("category").alias("category"),
-                   F.col(sender).alias("sender"), F.col("subject").alias("subject"))
-    g = (_since(a, since).where(F.col("message_id").isNotNull()).groupBy("message_id").agg(
-        F.min_by(row, F.when(is_pruned(), order)).alias("p"),
-        F.min_by(row, F.when(is_rescued(), order)).alias("r"),
-        _n(is_pruned()).alias("_np"), _n(is_rescued()).alias("_nr")))
-    g = g.where((F.col("_np") > 0) & (F.col("_nr") > 0))
+    a = _since(a, since).where(F.col("message_id").isNotNull())
+    w = Window.partitionBy("message_id").orderBy("ts", line)
+
+    def first(cond, side):
+        return (a.where(cond).withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+                 .select("message_id", F.struct("ts", "category", F.col(sender).alias("sender"), "subject").alias(side)))
+    g = first(is_pruned(), "p").join(first(is_rescued(), "r"), "message_id")
     if strict_order:
         g = g.where(F.col("r.ts") > F.col("p.ts"))
     return g.select("message_id", F.col("p.category").alias("pruned_as"), F.col("r.category").alias("rescued_as"),

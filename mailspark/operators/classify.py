@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..util import count_if, sort_small
+from ..util import KEY as MESSAGE_KEY
+from ..util import count_if, names, sort_small
 
 KEY = ["message_id", "prompt_version"]
 LABELS = ("keep", "delete", "uncertain")
@@ -81,28 +82,39 @@ def single_model_uncertain_rate(c: DataFrame, model: str, version: str,
 
 
 # ------------------------------------------------------ per-message questions
-def vote(c: DataFrame) -> DataFrame:
-    """Unanimous label, else 'uncertain'; n_votes = number of votes (Q13)."""
-    return (c.groupBy(*KEY)
-             .agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("label").alias("n_votes"))
-             .select(*KEY, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise("uncertain").alias("vote"),
-                     "n_votes"))
+def _label_counts(c: DataFrame) -> DataFrame:
+    """Per (message, version): votes for each of the three labels, and what follows from them.
+
+    Labels are a closed set, so counts (a hash aggregate) hold all that
+    minimum, maximum and majority of the label texts would.  ``kinds``: labels
+    voted for; ``max_label``: the last of them in text order; ``majority_label``:
+    the one with strictly most votes, NULL on a tie.
+    """
+    n = {x: F.col("n_" + x) for x in LABELS}
+    g = c.groupBy(*KEY).agg(*[count_if(F.col("label") == x).alias("n_" + x) for x in LABELS], F.count("label").alias("n_votes"),
+                            F.count(F.lit(1)).alias("n_rows"))
+    some = [F.when(n[x] > 0, F.lit(x)) for x in sorted(LABELS, reverse=True)]
+    majority = F.lit(None).cast("string")
+    for x in LABELS:
+        others = F.greatest(*[n[y] for y in LABELS if y != x])
+        majority = F.when(n[x] > others, F.lit(x)).otherwise(majority)
+    return (g.withColumn("kinds", sum(((n[x] > 0).cast("int") for x in LABELS), F.lit(0)))
+             .withColumn("max_label", F.coalesce(*some)).withColumn("majority_label", majority))
 
 
-def _per_message(c: DataFrame) -> DataFrame:
-    """Per (message, version): distinct-label test and max label (one aggregate)."""
-    return c.groupBy(*KEY).agg(
-        F.min("label").alias("_lo"), F.max("label").alias("max_label"), F.count(F.lit(1)).alias("n_votes"))
+def vote(c: DataFrame) -> DataFrame:
+    """Unanimous label, else 'uncertain'; n_votes = number of votes (Q13)."""
+    return _label_counts(c).select(*KEY, F.when(F.col("kinds") == 1, F.col("max_label")).otherwise("uncertain").alias("vote"), "n_votes")
 
 
 def disagreeing_keys(c: DataFrame) -> DataFrame:
     """(message_id, prompt_version) groups with at least two distinct labels."""
-    return _per_message(c).where(F.col("_lo") != F.col("max_label")).select(*KEY)
+    return _label_counts(c).where("kinds > 1").select(*KEY)
 
 
 def disagreement_rate(c: DataFrame, m: DataFrame | None = None, category_col: str = "category") -> DataFrame:
     """Share of messages with a disagreement, per version (optionally per category of ``m``)."""
-    pm = _per_message(c).withColumn("_dis", (F.col("_lo") != F.col("max_label")).cast("int"))
+    pm = _label_counts(c).withColumn("_dis", (F.col("kinds") > 1).cast("int"))
     keys = ["prompt_version"]
     if m is not None:
         pm = pm.join(m.select("message_id", category_col), "message_id", "left")
@@ -114,8 +126,7 @@ def disagreement_rate(c: DataFrame, m: DataFrame | None = None, category_col: st
 
 def ensemble_verdict(c: DataFrame) -> DataFrame:
     """Unanimous keep / unanimous delete / all uncertain / disagreement, share per version."""
-    pm = _per_message(c).withColumn(
-        "verdict", C.verdict_name(F.when(F.col("_lo") == F.col("max_label"), 1).otherwise(2), "max_label"))
+    pm = _label_counts(c).withColumn("verdict", C.verdict_name("kinds", "max_label"))
     g = pm.groupBy("prompt_version", "verdict").agg(F.count(F.lit(1)).alias("messages"))
     w = Window.partitionBy("prompt_version")
     return (g.withColumn("_tot", F.sum("messages").over(w))
@@ -128,14 +139,9 @@ def majority_labels(c: DataFrame) -> DataFrame:
 
     majority_label = the label with the strictly highest count inside the
     group; groups whose top count is shared have none (Q3: the reference
-    picks an arbitrary row's label instead).  Built from aggregates only, so
-    a huge group is reduced map-side before any shuffle.
+    picks an arbitrary row's label instead).
     """
-    lc = c.groupBy(*KEY, "label").agg(F.count(F.lit(1)).alias("_n"))
-    top = lc.groupBy(*KEY).agg(F.max("_n").alias("_top"), F.count(F.lit(1)).alias("_nl"))
-    return (lc.join(top, KEY).where((F.col("_n") == F.col("_top")) & (F.col("_nl") > 1))
-              .groupBy(*KEY).agg(F.count(F.lit(1)).alias("_k"), F.min("label").alias("majority_label"))
-              .where(F.col("_k") == 1).drop("_k"))
+    return _label_counts(c).where("kinds > 1 AND majority_label IS NOT NULL").select(*KEY, "majority_label")
 
 
 def minority_votes(c: DataFrame) -> DataFrame:
@@ -170,7 +176,8 @@ def disagreement_history(c: DataFrame) -> DataFrame:
     """Per run = (prompt_version, sorted model set): sample, disagreements, rate."""
     pm = c.groupBy(*KEY).agg(
         F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"),
-        (F.min("label") != F.max("label")).cast("int").alias("_dis"))
+        *[F.max((F.col("label") == x).cast("int")).alias("n_" + x) for x in LABELS])
+    pm = pm.withColumn("_dis", (sum((F.coalesce("n_" + x, F.lit(0)) for x in LABELS), F.lit(0)) > 1).cast("int"))
     g = pm.groupBy("prompt_version", "models").agg(
         F.count(F.lit(1)).alias("sample"), F.sum("_dis").cast("long").alias("disagreements"))
     return (g.withColumn("disagreement_rate", _pct_text(F.col("disagreements"), F.col("sample")))
@@ -214,15 +221,18 @@ def disagreements(c: DataFrame, models: list[str], version: str | None = None) -
 def upsert_classifications(old: DataFrame, new: DataFrame) -> DataFrame:
     """K3: latest classified_at wins per (message_id, model, prompt_version) (Q4 fixed).
 
-    A ``max_by`` aggregate, not a window: repeated runs of one key collapse
-    map-side, so no key ever gathers its whole history in one task.
+    Ranked inside the key; Spark limits each partition to its first row a key
+    before the shuffle, so repeated runs of a key never gather in one task.
     """
     both = old.unionByName(new, allowMissingColumns=True)
-    key = ["message_id", "model", "prompt_version"]
-    rest = [c for c in both.columns if c not in key]
-    order = F.struct(F.col("classified_at").isNotNull(), F.col("classified_at"))
-    return (both.groupBy(*key).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), order).alias("_r"))
-                .select(*key, "_r.*"))
+    rest = [F.col(c).desc_nulls_last() for c in both.columns if c not in ("message_id", "model", "prompt_version", "classified_at")]
+    return _first(both, ["message_id", "model", "prompt_version"], [F.col("classified_at").desc_nulls_last(), *rest])
+
+
+def _first(df: DataFrame, key: list[str], order: list) -> DataFrame:
+    """The first row of each key."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def valid_labels(c: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -235,13 +245,11 @@ def valid_labels(c: DataFrame) -> tuple[DataFrame, DataFrame]:
 def latest_corrections(corr: DataFrame, order_col: str | None = None) -> DataFrame:
     """Latest corrected_at per (message_id, prompt_version); ties -> later line.
 
-    Missing corrected_at sorts as ''.  Written as a ``max_by`` aggregate (partial
-    per partition) rather than a ranking window.
+    Missing corrected_at sorts as ''.
     """
-    rest = [c for c in corr.columns if c not in KEY]
-    order = [F.coalesce(F.col("corrected_at"), F.lit(""))] + ([F.col(order_col)] if order_col else [])
-    return (corr.groupBy(*KEY).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(*order)).alias("_r"))
-                .select(*KEY, "_r.*"))
+    order = [F.coalesce(F.col("corrected_at"), F.lit("")).desc()] + ([F.col(order_col).desc_nulls_last()] if order_col else [])
+    rest = [F.col(c).desc_nulls_last() for c in corr.columns if c not in (*KEY, "corrected_at", order_col) and c != "model_labels"]
+    return _first(corr, KEY, order + rest)
 
 
 def corrections_vs_votes(corr: DataFrame, c: DataFrame) -> DataFrame:
@@ -338,7 +346,7 @@ def _stratum_cond(spec: str) -> Column:
     return F.coalesce(F.exists("labels", lambda lab: F.lower(lab).contains(word)), F.lit(False))
 
 
-def stratified_sample(m: DataFrame, n: int, cols: list[str], key: str = "mbox_offset",
+def stratified_sample(m: DataFrame, n: int, cols: list[str], key=MESSAGE_KEY,
                       distinct: bool = False) -> DataFrame:
     """Five strata, newest ``n // 5`` messages with an id each, unioned (Q5: overlaps kept).
 
@@ -351,7 +359,7 @@ def stratified_sample(m: DataFrame, n: int, cols: list[str], key: str = "mbox_of
     per = n // 5
     strata = F.array(*[F.when(_stratum_cond(spec), F.lit(name)) for name, spec in STRATA])
     x = (m.where(F.col("message_id").isNotNull())
-          .select(*cols, F.col("date_ts"), F.col(key).alias("_key"),
+          .select(*cols, F.col("date_ts"), F.struct(*names(key)).alias("_key"),
                   F.explode(F.array_compact(strata)).alias("stratum")))
     w = Window.partitionBy("stratum").orderBy(F.col("date_ts").desc_nulls_last(), F.col("_key"))
     out = x.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per).select("stratum", *cols)

@@ -14,14 +14,14 @@ gets the group key as a final tie-breaker.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..util import count_if, flag, newest_key, sort_small
+from ..util import KEY, count_if, flag, names, newest_key, sort_small
 
 # Columns hidden in the default table browse (B1).
-HIDDEN_COLUMNS = ["headers_json", "mbox_offset", "mbox_size", "references_hdr",
+HIDDEN_COLUMNS = ["headers_json", "path", "mbox_offset", "mbox_size", "references_hdr",
                   "x_received", "bcc_raw", "delivered_to", "content_type"]
 # Default facet columns.
 FACET_COLUMNS = ["year_month", "from_email", "is_unread", "is_starred", "in_inbox",
@@ -99,69 +99,83 @@ def by_hour_of_day(m: DataFrame) -> DataFrame:
              .transform(lambda d: sort_small(d, "hour_utc")))
 
 
-def top_senders(m: DataFrame, k: int = 200, key: str = "mbox_offset") -> DataFrame:
-    """Top senders by message count."""
-    return (m.where(F.col("from_email").isNotNull())
-             .groupBy("from_email")
-             .agg(F.max_by("from_name", newest_key(key=key)).alias("from_name"),
-                  F.count(F.lit(1)).alias("message_count"),
-                  F.sum("is_unread").cast("long").alias("unread"),
-                  F.sum("is_starred").cast("long").alias("starred"),
-                  C.epoch_text(F.min("date_ts")).alias("first_seen"),
-                  C.epoch_text(F.max("date_ts")).alias("last_seen"))
-             .orderBy(F.col("message_count").desc(), F.col("from_email"))
-             .limit(k))
+def _with_newest(top: DataFrame, rows: DataFrame, by: str, value: str, key, out: str) -> DataFrame:
+    """``out``: the newest row's ``value`` of each ``by`` in ``top`` (the first k of a report, so few of the rows meet)."""
+    w = Window.partitionBy(by).orderBy(newest_key(key=key).desc())
+    named = (rows.select(by, value, "date_ts", *names(key)).join(F.broadcast(top.select(by)), by, "left_semi")
+                 .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(by, F.col(value).alias(out)))
+    return top.join(named, by, "left")
 
 
-def top_senders_inbox(m: DataFrame, k: int = 200, key: str = "mbox_offset") -> DataFrame:
+def top_senders(m: DataFrame, k: int = 200, key=KEY) -> DataFrame:
+    """Top senders by message count; numbers first (a hash aggregate), names for the first k only."""
+    rows = m.where(F.col("from_email").isNotNull())
+    top = (rows.groupBy("from_email")
+               .agg(F.count(F.lit(1)).alias("message_count"), F.sum("is_unread").cast("long").alias("unread"),
+                    F.sum("is_starred").cast("long").alias("starred"), F.min("date_ts").alias("_lo"), F.max("date_ts").alias("_hi"))
+               .orderBy(F.col("message_count").desc(), F.col("from_email")).limit(k))
+    return (_with_newest(top, rows, "from_email", "from_name", key, "from_name")
+            .select("from_email", "from_name", "message_count", "unread", "starred",
+                    C.epoch_text("_lo").alias("first_seen"), C.epoch_text("_hi").alias("last_seen"))
+            .orderBy(F.col("message_count").desc(), F.col("from_email")))
+
+
+def top_senders_inbox(m: DataFrame, k: int = 200, key=KEY) -> DataFrame:
     """Top senders among inbox messages."""
-    return (m.where((F.col("in_inbox") == 1) & F.col("from_email").isNotNull())
-             .groupBy("from_email")
-             .agg(F.max_by("from_name", newest_key(key=key)).alias("from_name"),
-                  F.count(F.lit(1)).alias("message_count"),
-                  F.sum("is_unread").cast("long").alias("unread"),
-                  C.epoch_text(F.max("date_ts")).alias("last_message"))
-             .orderBy(F.col("message_count").desc(), F.col("from_email"))
-             .limit(k))
+    rows = m.where((F.col("in_inbox") == 1) & F.col("from_email").isNotNull())
+    top = (rows.groupBy("from_email")
+               .agg(F.count(F.lit(1)).alias("message_count"), F.sum("is_unread").cast("long").alias("unread"),
+                    F.max("date_ts").alias("_hi"))
+               .orderBy(F.col("message_count").desc(), F.col("from_email")).limit(k))
+    return (_with_newest(top, rows, "from_email", "from_name", key, "from_name")
+            .select("from_email", "from_name", "message_count", "unread", C.epoch_text("_hi").alias("last_message"))
+            .orderBy(F.col("message_count").desc(), F.col("from_email")))
 
 
-def top_senders_trash(m: DataFrame, k: int = 100, key: str = "mbox_offset") -> DataFrame:
+def top_senders_trash(m: DataFrame, k: int = 100, key=KEY) -> DataFrame:
     """Top senders among trashed messages (unsubscribe candidates)."""
-    return (m.where((F.col("in_trash") == 1) & F.col("from_email").isNotNull())
-             .groupBy("from_email")
-             .agg(F.max_by("from_name", newest_key(key=key)).alias("from_name"),
-                  F.count(F.lit(1)).alias("trashed_count"),
-                  C.epoch_text(F.max("date_ts")).alias("last_trashed"))
-             .orderBy(F.col("trashed_count").desc(), F.col("from_email"))
-             .limit(k))
+    rows = m.where((F.col("in_trash") == 1) & F.col("from_email").isNotNull())
+    top = (rows.groupBy("from_email").agg(F.count(F.lit(1)).alias("trashed_count"), F.max("date_ts").alias("_hi"))
+               .orderBy(F.col("trashed_count").desc(), F.col("from_email")).limit(k))
+    return (_with_newest(top, rows, "from_email", "from_name", key, "from_name")
+            .select("from_email", "from_name", "trashed_count", C.epoch_text("_hi").alias("last_trashed"))
+            .orderBy(F.col("trashed_count").desc(), F.col("from_email")))
 
 
-def storage_by_sender(m: DataFrame, k: int = 100, key: str = "mbox_offset") -> DataFrame:
+def storage_by_sender(m: DataFrame, k: int = 100, key=KEY) -> DataFrame:
     """A10: storage footprint by sender; text sizes plus the exact byte total."""
-    agg = (m.where(F.col("from_email").isNotNull())
-            .groupBy("from_email")
-            .agg(F.max_by("from_name", newest_key(key=key)).alias("from_name"),
-                 F.count(F.lit(1)).alias("message_count"),
-                 F.sum("body_size_bytes").cast("long").alias("total_bytes")))
-    return (agg.select("from_email", "from_name", "message_count",
-                       C.fixed_text("total_bytes", F.lit(1048576), 1, " MB").alias("total_size"),
-                       C.fixed_text("total_bytes", F.col("message_count") * 1024, 1, " KB").alias("avg_size"),
-                       "total_bytes")
-               .orderBy(F.col("total_bytes").desc(), F.col("from_email"))
-               .limit(k))
+    rows = m.where(F.col("from_email").isNotNull())
+    top = (rows.groupBy("from_email")
+               .agg(F.count(F.lit(1)).alias("message_count"), F.sum("body_size_bytes").cast("long").alias("total_bytes"))
+               .orderBy(F.col("total_bytes").desc(), F.col("from_email")).limit(k))
+    return (_with_newest(top, rows, "from_email", "from_name", key, "from_name")
+            .select("from_email", "from_name", "message_count",
+                    C.fixed_text("total_bytes", F.lit(1048576), 1, " MB").alias("total_size"),
+                    C.fixed_text("total_bytes", F.col("message_count") * 1024, 1, " KB").alias("avg_size"),
+                    "total_bytes")
+            .orderBy(F.col("total_bytes").desc(), F.col("from_email")))
+
+
+def _with_greatest(top: DataFrame, rows: DataFrame, by: str, value: str) -> DataFrame:
+    """``value``: the greatest text of each ``by`` in ``top``."""
+    w = Window.partitionBy(by).orderBy(F.col(value).desc_nulls_last())
+    found = (rows.select(by, value).join(F.broadcast(top.select(by)), by, "left_semi")
+                 .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
+    return top.join(found, by, "left")
 
 
 def busiest_threads(m: DataFrame, k: int = 100) -> DataFrame:
-    """Most active threads."""
-    return (m.where(F.col("thread_id").isNotNull())
-             .groupBy("thread_id")
-             .agg(F.count(F.lit(1)).alias("message_count"),
-                  C.epoch_text(F.min("date_ts")).alias("started"),
-                  C.epoch_text(F.max("date_ts")).alias("last_message"),
-                  F.count_distinct("from_email").alias("participants"),
-                  F.max("subject").alias("subject"))
-             .orderBy(F.col("message_count").desc(), F.col("thread_id"))
-             .limit(k))
+    """Most active threads; participants and subject are looked up for the first k only."""
+    rows = m.where(F.col("thread_id").isNotNull())
+    top = (rows.groupBy("thread_id")
+               .agg(F.count(F.lit(1)).alias("message_count"), F.min("date_ts").alias("_lo"), F.max("date_ts").alias("_hi"))
+               .orderBy(F.col("message_count").desc(), F.col("thread_id")).limit(k))
+    people = (rows.join(F.broadcast(top.select("thread_id")), "thread_id", "left_semi")
+                  .groupBy("thread_id").agg(F.count_distinct("from_email").alias("participants")))
+    return (_with_greatest(top, rows, "thread_id", "subject").join(people, "thread_id")
+            .select("thread_id", "message_count", C.epoch_text("_lo").alias("started"), C.epoch_text("_hi").alias("last_message"),
+                    "participants", "subject")
+            .orderBy(F.col("message_count").desc(), F.col("thread_id")))
 
 
 def explode_array(m: DataFrame, column: str, alias: str = "value") -> DataFrame:
@@ -171,8 +185,7 @@ def explode_array(m: DataFrame, column: str, alias: str = "value") -> DataFrame:
 
 def attachment_types(m: DataFrame, k: int = 50) -> DataFrame:
     """Attachment counts by file extension (text after the first dot)."""
-    names = m.where(F.col("attachment_names").isNotNull()).select(F.explode("attachment_names").alias("value"))
-    return (names.groupBy(C.attachment_ext("value").alias("extension"))
+    return (explode_array(m, "attachment_names").groupBy(C.attachment_ext("value").alias("extension"))
                  .agg(F.count(F.lit(1)).alias("count"))
                  .orderBy(F.col("count").desc(), F.col("extension"))
                  .limit(k))
@@ -180,9 +193,9 @@ def attachment_types(m: DataFrame, k: int = 50) -> DataFrame:
 
 def by_label(m: DataFrame) -> DataFrame:
     """Message count per label."""
-    return (m.where(F.col("labels").isNotNull()).select(F.explode("labels").alias("label"))
-             .groupBy("label").agg(F.count(F.lit(1)).alias("message_count"))
-             .transform(lambda d: sort_small(d, F.col("message_count").desc(), F.col("label"))))
+    return (explode_array(m, "labels", "label")
+            .groupBy("label").agg(F.count(F.lit(1)).alias("message_count"))
+            .orderBy(F.col("message_count").desc(), F.col("label")))
 
 
 def top_recipients(m: DataFrame, k: int = 100) -> DataFrame:
@@ -203,20 +216,18 @@ def inbox_age_buckets(m: DataFrame, as_of_epoch: int) -> DataFrame:
              .transform(lambda d: sort_small(d, "age_bucket")))
 
 
-def unread_by_sender(m: DataFrame, k: int = 200, key: str = "mbox_offset") -> DataFrame:
+def unread_by_sender(m: DataFrame, k: int = 200, key=KEY) -> DataFrame:
     """Unread messages per sender (senders with at least one unread)."""
-    agg = (_received(m).where(F.col("from_email").isNotNull())
-           .groupBy("from_email")
-           .agg(F.max_by("from_name", newest_key(key=key)).alias("from_name"),
-                F.count(F.lit(1)).alias("total_received"),
-                F.sum("is_unread").cast("long").alias("unread"),
-                F.max("date_ts").alias("_last")))
-    return (agg.where(F.col("unread") > 0)
-               .select("from_email", "from_name", "total_received", "unread",
-                       C.fixed_text(F.col("unread") * 100, "total_received", 0, "%").alias("unread_pct"),
-                       C.epoch_text("_last").alias("last_message"))
-               .orderBy(F.col("unread").desc(), F.col("from_email"))
-               .limit(k))
+    rows = _received(m).where(F.col("from_email").isNotNull())
+    top = (rows.groupBy("from_email")
+               .agg(F.count(F.lit(1)).alias("total_received"), F.sum("is_unread").cast("long").alias("unread"),
+                    F.max("date_ts").alias("_last"))
+               .where(F.col("unread") > 0).orderBy(F.col("unread").desc(), F.col("from_email")).limit(k))
+    return (_with_newest(top, rows, "from_email", "from_name", key, "from_name")
+            .select("from_email", "from_name", "total_received", "unread",
+                    C.fixed_text(F.col("unread") * 100, "total_received", 0, "%").alias("unread_pct"),
+                    C.epoch_text("_last").alias("last_message"))
+            .orderBy(F.col("unread").desc(), F.col("from_email")))
 
 
 def sender_domain_volume(m: DataFrame, k: int = 100) -> DataFrame:
@@ -254,7 +265,7 @@ def threads_without_reply(m: DataFrame, candidates: DataFrame | None = None, nul
     return out
 
 
-def one_way_threads(m: DataFrame, k: int = 200, null_aware: bool = False, key: str = "mbox_offset") -> DataFrame:
+def one_way_threads(m: DataFrame, k: int = 200, null_aware: bool = False, key=KEY) -> DataFrame:
     """Threads never replied to.
 
     One aggregate per thread over a single scan: received messages are
@@ -265,22 +276,21 @@ def one_way_threads(m: DataFrame, k: int = 200, null_aware: bool = False, key: s
     NULL thread id empties the result.
     """
     recv = ~flag("in_sent")
-    g = (m.where(F.col("thread_id").isNotNull())
-          .groupBy("thread_id")
-          .agg(F.sum(F.when(F.col("in_sent") == 1, 1).otherwise(0)).alias("_sent"),
-               count_if(recv).alias("received_count"),
-               F.max(F.when(recv, F.col("subject"))).alias("subject"),
-               F.max_by("from_email", F.when(recv, newest_key(key=key))).alias("primary_sender"),
-               F.max(F.when(recv, F.col("date_ts"))).alias("_last")))
-    g = g.where((F.col("_sent") == 0) & (F.col("received_count") > 0))
+    rows = m.where(F.col("thread_id").isNotNull())
+    g = (rows.groupBy("thread_id")
+             .agg(F.sum(F.when(F.col("in_sent") == 1, 1).otherwise(0)).alias("_sent"),
+                  count_if(recv).alias("received_count"),
+                  F.max(F.when(recv, F.col("date_ts"))).alias("_last"))
+             .where((F.col("_sent") == 0) & (F.col("received_count") > 0)))
     if null_aware:
         nulls = (m.where((F.col("in_sent") == 1) & F.col("thread_id").isNull())
                   .agg(F.count(F.lit(1)).alias("n")))
         g = g.where(nulls.scalar() == 0)
-    return (g.select("thread_id", "received_count", "subject", "primary_sender",
-                     C.epoch_text("_last").alias("last_received"))
-             .orderBy(F.col("received_count").desc(), F.col("thread_id"))
-             .limit(k))
+    top = g.orderBy(F.col("received_count").desc(), F.col("thread_id")).limit(k)
+    received = rows.where(recv)
+    named = _with_newest(_with_greatest(top, received, "thread_id", "subject"), received, "thread_id", "from_email", key, "primary_sender")
+    return (named.select("thread_id", "received_count", "subject", "primary_sender", C.epoch_text("_last").alias("last_received"))
+                 .orderBy(F.col("received_count").desc(), F.col("thread_id")))
 
 
 def monthly_unread_rate(m: DataFrame) -> DataFrame:
@@ -310,17 +320,17 @@ def messages_without_date(m: DataFrame, k: int = 200) -> DataFrame:
     """Messages whose Date header did not parse, in file order."""
     date_str = F.col("date_str") if "date_str" in m.columns else F.lit(None).cast("string").alias("date_str")
     return (m.where(F.col("date_ts").isNull())
-             .select("message_id", "from_email", "subject", date_str, "mbox_offset")
-             .orderBy("mbox_offset").limit(k))
+             .select("message_id", "from_email", "subject", date_str, *KEY)
+             .orderBy(*KEY).limit(k))
 
 
-def _newest(df: DataFrame, key: str, asc: bool = False) -> DataFrame:
+def _newest(df: DataFrame, key, asc: bool = False) -> DataFrame:
     if asc:  # NULL dates first, as in SQLite
-        return df.orderBy(F.col("date_ts").asc_nulls_first(), F.col(key))
-    return df.orderBy(F.col("date_ts").desc_nulls_last(), F.col(key))
+        return df.orderBy(F.col("date_ts").asc_nulls_first(), *names(key))
+    return df.orderBy(F.col("date_ts").desc_nulls_last(), *names(key))
 
 
-def unread_inbox(m: DataFrame, k: int = 500, key: str = "mbox_offset") -> DataFrame:
+def unread_inbox(m: DataFrame, k: int = 500, key=KEY) -> DataFrame:
     """Unread inbox messages, newest first."""
     rows = m.where((F.col("in_inbox") == 1) & (F.col("is_unread") == 1))
     return (_newest(rows, key).limit(k)
@@ -328,7 +338,7 @@ def unread_inbox(m: DataFrame, k: int = 500, key: str = "mbox_offset") -> DataFr
                     F.to_json("labels").alias("labels"), "message_id"))
 
 
-def starred(m: DataFrame, k: int = 500, key: str = "mbox_offset") -> DataFrame:
+def starred(m: DataFrame, k: int = 500, key=KEY) -> DataFrame:
     """Starred messages, newest first."""
     rows = m.where(F.col("is_starred") == 1)
     return (_newest(rows, key).limit(k)
@@ -336,7 +346,7 @@ def starred(m: DataFrame, k: int = 500, key: str = "mbox_offset") -> DataFrame:
                     F.to_json("labels").alias("labels"), "message_id"))
 
 
-def oldest_unread(m: DataFrame, k: int = 200, key: str = "mbox_offset") -> DataFrame:
+def oldest_unread(m: DataFrame, k: int = 200, key=KEY) -> DataFrame:
     """Unread messages, oldest first (undated first)."""
     rows = m.where(F.col("is_unread") == 1)
     return (_newest(rows, key, asc=True).limit(k)
@@ -344,16 +354,16 @@ def oldest_unread(m: DataFrame, k: int = 200, key: str = "mbox_offset") -> DataF
                     F.to_json("labels").alias("labels"), "message_id"))
 
 
-def largest_messages(m: DataFrame, k: int = 100, key: str = "mbox_offset") -> DataFrame:
+def largest_messages(m: DataFrame, k: int = 100, key=KEY) -> DataFrame:
     """T4: largest messages by size."""
-    return (m.orderBy(F.col("body_size_bytes").desc_nulls_last(), F.col(key)).limit(k)
+    return (m.orderBy(F.col("body_size_bytes").desc_nulls_last(), *names(key)).limit(k)
              .select(C.epoch_text("date_ts").alias("date"), "from_email", "subject",
                      C.fixed_text("body_size_bytes", F.lit(1048576), 1, " MB").alias("size"),
                      "body_size_bytes", "has_attachments",
                      F.to_json("attachment_names").alias("attachment_names"), "message_id"))
 
 
-def with_attachments(m: DataFrame, k: int = 500, key: str = "mbox_offset") -> DataFrame:
+def with_attachments(m: DataFrame, k: int = 500, key=KEY) -> DataFrame:
     """T5: messages with attachments, newest first."""
     rows = m.where(F.col("has_attachments") == 1)
     return (_newest(rows, key).limit(k)

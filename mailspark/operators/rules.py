@@ -7,10 +7,15 @@ first matching rule, so a message can only ever be claimed by one rule (the
 reference gets the same effect because a trashed message fails ``-in:trash``
 in later rules).  Protection is two anti/semi joins:
 
-* contacts (J1): a user-sized list, broadcast only when its counted size bound
-  (rows x widest row) is under the broadcast threshold, otherwise a shuffle join;
-* replied threads (J2): distinct thread ids of sent mail, joined by shuffle
-  (NULL thread ids are split off first: they never match and would skew).
+* contacts (J1): distinct addresses; Spark broadcasts them if their run-time
+  size allows, otherwise it shuffles;
+* replied threads (J2): distinct thread ids of sent mail, joined by shuffle.
+
+NULL senders and NULL thread ids match nothing; they enter a shuffle under
+keys of their own (``_spread_null``), so they never gather in one task.
+
+A message's key is (path, mbox_offset): an offset alone is unique only inside
+one file.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import REFERENCE_LABELS, MIB, Rule, rule_predicate, has_label
-from ..util import small_side, sort_small
+from ..util import KEY, names
 
 # The standing prune rules, in cascade order (names and terms as the reference uses them).
 PRUNE_AGES = {"promo": "6m", "social": "3m", "auth": "7d", "autoreply": "30d", "calendar": "30d",
@@ -118,19 +123,31 @@ def match_rules(m: DataFrame, rules: list[Rule], as_of_epoch: int) -> DataFrame:
 
 
 # ------------------------------------------------------------- protections
+def _spread_null(c: str, salt: Column) -> Column:
+    """A join key: the value, or for NULL a text that no value equals, different from row to row."""
+    return F.coalesce(F.col(c), F.concat(F.lit("\u0000"), salt.cast("string")))
+
+
+def _row_salt(df: DataFrame) -> Column:
+    return F.xxhash64(*[c for c in (*KEY, "message_id") if c in df.columns])
+
+
+def contact_addresses(contacts: DataFrame, email_col: str = "email") -> DataFrame:
+    return contacts.select(F.lower(F.trim(F.col(email_col))).alias("_contact")).where("_contact IS NOT NULL").distinct()
+
+
 def exclude_contacts(m: DataFrame, contacts: DataFrame, email_col: str = "email") -> DataFrame:
     """Rows whose sender is not a contact (NULL sender is never a contact)."""
-    c = contacts.select(F.lower(F.trim(F.col(email_col))).alias("from_email")).distinct()
-    return m.join(small_side(c), "from_email", "left_anti")
+    return m.join(contact_addresses(contacts, email_col), _spread_null("from_email", _row_salt(m)) == F.col("_contact"), "left_anti")
 
 
 def replied_thread_ids(m: DataFrame) -> DataFrame:
-    return m.where((F.col("in_sent") == 1) & F.col("thread_id").isNotNull()).select("thread_id").distinct()
+    return m.where((F.col("in_sent") == 1) & F.col("thread_id").isNotNull()).select(F.col("thread_id").alias("_thread")).distinct()
 
 
 def exclude_replied(m: DataFrame, sent: DataFrame) -> DataFrame:
     """Rows whose thread never got a reply; a NULL thread counts as not replied."""
-    return m.join(replied_thread_ids(sent), "thread_id", "left_anti")
+    return m.join(replied_thread_ids(sent), _spread_null("thread_id", _row_salt(m)) == F.col("_thread"), "left_anti")
 
 
 def protect(cands: DataFrame, contacts: DataFrame, m: DataFrame, email_col: str = "email",
@@ -138,73 +155,54 @@ def protect(cands: DataFrame, contacts: DataFrame, m: DataFrame, email_col: str
     """R2: mark candidates protected by contact (J1) or by a replied thread.
 
     Adds ``protected_by`` ('contact', 'replied_thread' or NULL).  Both lookups
-    are semi-join flags computed with left joins on de-duplicated keys, so a
-    candidate row is never multiplied.
+    are left joins on distinct keys, so a candidate row is never multiplied.
     """
-    c = contacts.select(F.lower(F.trim(F.col(email_col))).alias("from_email")).distinct() \
-                .withColumn("_is_contact", F.lit(True))
-    t = replied_thread_ids(m).withColumn("_replied", F.lit(True))
-    x = cands.join(small_side(c), "from_email", "left").join(t, "thread_id", "left")
-    x = x.withColumn("protected_by", F.when(F.col("_is_contact"), "contact").when(F.col("_replied"), "replied_thread"))
+    salt = _row_salt(cands)
+    x = (cands.join(contact_addresses(contacts, email_col), _spread_null("from_email", salt) == F.col("_contact"), "left")
+              .join(replied_thread_ids(m), _spread_null("thread_id", salt) == F.col("_thread"), "left"))
+    x = x.withColumn("protected_by", F.when(F.col("_contact").isNotNull(), "contact")
+                                      .when(F.col("_thread").isNotNull(), "replied_thread"))
     if keep_flags:
-        return (x.withColumn("is_contact", F.coalesce(F.col("_is_contact"), F.lit(False)))
-                 .withColumn("replied", F.coalesce(F.col("_replied"), F.lit(False)))
-                 .drop("_is_contact", "_replied"))
-    return x.drop("_is_contact", "_replied")
+        x = x.withColumn("is_contact", F.col("_contact").isNotNull()).withColumn("replied", F.col("_thread").isNotNull())
+    return x.drop("_contact", "_thread")
 
 
 def prune(m: DataFrame, rules: list[Rule], contacts: DataFrame, as_of_epoch: int,
-          key: str = "mbox_offset") -> DataFrame:
+          key=KEY) -> DataFrame:
     """The prune cascade with protections.
 
     One row per claimed message: key, message_id, from_email, subject,
     rule_no, category, decision ('prune' or 'skip'), protected_by.
     """
-    cand = match_rules(m, rules, as_of_epoch).select(key, "message_id", "thread_id", "from_email", "subject",
+    cand = match_rules(m, rules, as_of_epoch).select(*names(key), "message_id", "thread_id", "from_email", "subject",
                                                       "rule_no", "category")
     p = protect(cand, contacts, m)
     return p.withColumn("decision", F.when(F.col("protected_by").isNull(), "prune").otherwise("skip")).drop("thread_id")
 
 
-def rescue(m: DataFrame, rules: list[Rule], as_of_epoch: int, key: str = "mbox_offset") -> DataFrame:
+def rescue(m: DataFrame, rules: list[Rule], as_of_epoch: int, key=KEY) -> DataFrame:
     """Trashed messages matching a keep rule (first match) -> rescue actions."""
-    return match_rules(m, rules, as_of_epoch).select(key, "message_id", "from_email", "subject", "rule_no", "category")
+    return match_rules(m, rules, as_of_epoch).select(*names(key), "message_id", "from_email", "subject", "rule_no", "category")
 
 
-def label_reference(m: DataFrame, rules: list[Rule], as_of_epoch: int, key: str = "mbox_offset") -> DataFrame:
+def label_reference(m: DataFrame, rules: list[Rule], as_of_epoch: int, key=KEY) -> DataFrame:
     """Messages to label Reference (not in trash, not already labelled): idempotent."""
-    return match_rules(m, rules, as_of_epoch).select(key, "message_id", "from_email", "subject", "rule_no", "category")
+    return match_rules(m, rules, as_of_epoch).select(*names(key), "message_id", "from_email", "subject", "rule_no", "category")
 
 
-def apply_actions(m: DataFrame, actions: DataFrame, kind: str, key: str = "mbox_offset",
-                  broadcast_max_bytes: int | None = None) -> DataFrame:
+def apply_actions(m: DataFrame, actions: DataFrame, kind: str, key=KEY) -> DataFrame:
     """Next table version with the actions applied to the label arrays and flags.
 
     kind='prune':  add Trash + 'Audit/Pruned/<category>', in_trash = 1
     kind='rescue': remove Trash, add Reference + 'Audit/Rescued/<category>', in_trash = 0
     kind='reference': add Reference
     Only rows with decision 'prune' (when present) are acted on.
-
-    The action list is checkpointed once (the cascade runs a single time and
-    its lineage is cut), then counted: its size is bounded by rows x (key +
-    longest category name).  Under the broadcast bound it is broadcast, so
-    the table itself is never shuffled; above it the join stays a shuffle join.
     """
-    from ..session import ensure_checkpoint_dir
-    from ..util import _bytes
     a = actions
     if "decision" in a.columns:
         a = a.where(F.col("decision") == "prune")
-    a = a.select(F.col(key), F.col("category").alias("_act_cat"))
-    ensure_checkpoint_dir(m.sparkSession)
-    a = a.checkpoint(eager=True)
-    if broadcast_max_bytes is None:
-        broadcast_max_bytes = _bytes(m.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
-    stats = a.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("_act_cat")).alias("w")).first()
-    row_bytes = 8 + 16 + 4 * (stats["w"] or 0)          # key + string header + UTF-8 upper bound
-    if 0 <= stats["n"] * row_bytes <= broadcast_max_bytes:
-        a = F.broadcast(a)
-    x = m.join(a, key, "left")
+    a = a.select(*names(key), F.col("category").alias("_act_cat"))
+    x = m.join(a, names(key), "left")
     labels = F.coalesce(F.col("labels"), F.array().cast("array<string>"))
     hit = F.col("_act_cat").isNotNull()
     if kind == "prune":
@@ -233,10 +231,10 @@ def run_summary(decisions: DataFrame, failed: DataFrame | None = None) -> DataFr
                 F.sum(F.when((F.col("decision") == "prune") & ~is_failed, 1).otherwise(0)).cast("long").alias("moved"),
                 F.sum(F.when(F.col("decision") == "skip", 1).otherwise(0)).cast("long").alias("skipped"),
                 F.sum(F.when((F.col("decision") == "prune") & is_failed, 1).otherwise(0)).cast("long").alias("failed"))
-             .transform(lambda d: sort_small(d, "category")))
+             .orderBy("category"))
 
 
-def preview(m: DataFrame, rules: list[Rule], as_of_epoch: int, n: int = 10, key: str = "mbox_offset") -> DataFrame:
+def preview(m: DataFrame, rules: list[Rule], as_of_epoch: int, n: int = 10, key=KEY) -> DataFrame:
     """Dry-run preview: per rule, its INDEPENDENT match count and newest ``n`` messages.
 
     Every rule is evaluated on its own (no cascade).  A message matching k
@@ -247,12 +245,12 @@ def preview(m: DataFrame, rules: list[Rule], as_of_epoch: int, n: int = 10, key:
     """
     hits = F.filter(F.array(*[F.when(rule_predicate(r, as_of_epoch), F.lit(i))
                               for i, r in enumerate(rules, start=1)]), lambda x: x.isNotNull())
-    x = m.select(key, "message_id", "date_ts", "from_email", "subject", F.explode(hits).alias("rule_no"))
+    x = m.select(*names(key), "message_id", "date_ts", "from_email", "subject", F.explode(hits).alias("rule_no"))
     counts = x.groupBy("rule_no").agg(F.count(F.lit(1)).alias("matches"))
-    w = Window.partitionBy("rule_no").orderBy(F.col("date_ts").desc_nulls_last(), F.col(key))
+    w = Window.partitionBy("rule_no").orderBy(F.col("date_ts").desc_nulls_last(), *names(key))
     top = x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     return (top.join(counts, "rule_no").withColumn("category", rule_name(rules, F.col("rule_no")))
-               .select("rule_no", "category", "matches", "rank", key, "message_id", "date_ts", "from_email", "subject"))
+               .select("rule_no", "category", "matches", "rank", *names(key), "message_id", "date_ts", "from_email", "subject"))
 
 
 def reference_stale(last_run_epoch: Column, as_of_epoch: int, max_days: int = REFERENCE_MAX_AGE_DAYS) -> Column:
@@ -263,7 +261,7 @@ def reference_stale(last_run_epoch: Column, as_of_epoch: int, max_days: int = RE
 
 def noisy_senders(m: DataFrame, as_of_epoch: int, min_count: int = 5, max_read_pct: int = 10,
                   lookback: str = "180d", direction: str = "older", sample: int | None = None,
-                  key: str = "mbox_offset") -> DataFrame:
+                  key=KEY) -> DataFrame:
     """Low-engagement senders in promotions/updates/social.
 
     ``direction='older'`` keeps the coded ``older_than`` (Q8); 'newer' gives
@@ -276,7 +274,7 @@ def noisy_senders(m: DataFrame, as_of_epoch: int, min_count: int = 5, max_read_p
                not_starred=True, not_important=True, not_reference=True, in_trash=False)
     x = m.where(rule_predicate(age, as_of_epoch) & F.col("from_email").isNotNull())
     if sample is not None:
-        x = x.orderBy(F.col("date_ts").desc_nulls_last(), F.col(key)).limit(sample)
+        x = x.orderBy(F.col("date_ts").desc_nulls_last(), *names(key)).limit(sample)
     g = x.groupBy(F.lower("from_email").alias("from_email")).agg(
         F.count(F.lit(1)).alias("count"),
         F.sum(F.when(F.coalesce(F.col("is_unread"), F.lit(0)) == 0, 1).otherwise(0)).cast("long").alias("read"),
@@ -297,46 +295,90 @@ def has_reference_label(labels: str = "labels") -> Column:
 NOISY_PLAIN_NAME = "Noisy senders (low engagement)"
 
 
-def _token_text(c: Column) -> Column:
-    """Lower-cased text with every non letter/number run as one space, padded: ' a b '."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}]+", " ")), F.lit(" "))
-
-
 def noisy_table(noisy: DataFrame) -> DataFrame:
-    """(address, exclude_keywords) -> (address, category, kws): one row per address (first line wins)."""
-    kws = F.coalesce(F.col("exclude_keywords"), F.array().cast("array<string>"))
+    """(address, exclude_keywords[, line_no]) -> (address, noisy_no, noisy_category, excluded).
+
+    One row per line.  ``noisy_no`` is the line's place in the cascade: all
+    plain senders are one rule and come first, then each line with exclusions
+    in file order.  ``excluded`` is the pattern of its keywords (as
+    ``subject_none`` has it), NULL for a plain line.
+    """
+    line = F.col("line_no") if "line_no" in noisy.columns else F.monotonically_increasing_id()
+    kws = F.filter(F.coalesce(F.col("exclude_keywords"), F.array().cast("array<string>")), lambda k: F.trim(k) != "")
+    t = (noisy.select(F.lower(F.trim("address")).alias("address"), kws.alias("kws"), line.alias("line_no"))
+              .where("address <> ''"))
     k = F.col("kws")
-    cat = F.when(F.size(k) == 0, F.lit(NOISY_PLAIN_NAME)).otherwise(
+    plain = F.size(k) == 0
+    cat = F.when(plain, F.lit(NOISY_PLAIN_NAME)).otherwise(
         F.concat(F.lit("Noisy sender: "), F.col("address"), F.lit(" (excluding: "), F.array_join(k, ","), F.lit(")")))
-    return (noisy.select(F.lower(F.trim("address")).alias("address"), kws.alias("kws"))
-                 .groupBy("address").agg(F.first("kws").alias("kws"))
-                 .select("address", cat.alias("noisy_category"), "kws"))
+    quoted = F.transform(k, lambda w: F.concat(F.lit("\\Q"), F.replace(F.lower(w), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.when(~plain, F.concat(F.lit("(?<![\\p{L}\\p{N}])(?:"), F.array_join(quoted, "|"), F.lit(")(?![\\p{L}\\p{N}])")))
+    order = Window.orderBy(F.when(plain, 0).otherwise(1), F.when(plain, F.lit(0).cast("long")).otherwise(F.col("line_no")))
+    return t.select("address", F.dense_rank().over(order).alias("noisy_no"), cat.alias("noisy_category"), pattern.alias("excluded"))
+
+
+def sender_keys(email: Column) -> Column:
+    """What a sender rule may name: the address, its domain, and each parent domain."""
+    e = F.lower(email)
+    labels = F.split(F.regexp_extract(e, "@([^@]*)$", 1), "\\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.when(email.isNotNull(), F.array_distinct(F.concat(F.array(e), suffixes)))
 
 
 def prune_with_noisy(m: DataFrame, rules: list[Rule], noisy: DataFrame, contacts: DataFrame, as_of_epoch: int,
-                     key: str = "mbox_offset") -> DataFrame:
+                     key=KEY) -> DataFrame:
     """R1 with the noisy-sender rules as a join instead of a CASE chain.
 
-    ``rules`` (standing + industry) keep their ordinal chain; a message the
-    chain does not claim is matched to the noisy table by sender address
-    (broadcast under its counted size bound, else a shuffle join),
-    then checked for the shared noisy conditions and its subject exclusions
-    (whole-token, as padded token text).  Noisy categories get ordinals after
-    the chain.  Output columns equal ``prune``.
+    ``rules`` (standing + industry) keep their ordinal chain.  A message that
+    the chain does not claim and that meets the shared noisy conditions is
+    joined to the noisy lines by its address and its domains; lines whose
+    keywords the subject has fall out, and the first line left claims it.
+    Output equals ``prune`` with ``noisy_rules`` appended to the chain.
     """
     common = Rule("noisy", category_any=NOISY_CATEGORIES, older_than=PRUNE_AGES["noisy"], **_G)
-    nt = noisy_table(noisy)
-    x = (m.withColumn("_chain", first_match(rules, as_of_epoch))
-          .join(small_side(nt), F.lower(F.col("from_email")) == F.col("address"), "left"))
-    subj = _token_text(F.coalesce(F.col("subject"), F.lit("")))
-    excluded = F.exists("kws", lambda k: subj.contains(_token_text(k)))
-    noisy_hit = F.col("address").isNotNull() & rule_predicate(common, as_of_epoch) & ~F.coalesce(excluded, F.lit(False))
-    x = x.withColumn("_cat", F.when(F.col("_chain").isNotNull(), rule_name(rules, F.col("_chain")))
-                              .when(noisy_hit, F.col("noisy_category")))
-    hit = F.array_compact(F.array(F.when(F.col("_cat").isNotNull(), F.struct(F.col("_chain").alias("n"),
-                                                                               F.col("_cat").alias("c")))))
-    cand = (x.select(key, "message_id", "thread_id", "from_email", "subject", F.explode(hit).alias("h"))
-             .select(key, "message_id", "thread_id", "from_email", "subject",
-                     F.col("h.n").alias("rule_no"), F.col("h.c").alias("category")))
-    p = protect(cand, contacts, m)
+    columns = [*names(key), "message_id", "thread_id", "from_email", "subject"]
+    chain = first_match(rules, as_of_epoch)
+    state = F.when(chain.isNotNull(), chain).when(rule_predicate(common, as_of_epoch), F.lit(0))
+    x = m.select(*columns, F.explode(F.array_compact(F.array(state))).alias("rule_no"))
+    claimed = x.where("rule_no > 0").withColumn("category", rule_name(rules, F.col("rule_no")))
+    lines = noisy_table(noisy)
+    met = (x.where("rule_no = 0").withColumn("_key", F.explode(sender_keys(F.col("from_email"))))
+            .join(lines, F.col("_key") == F.col("address"))
+            .where(F.col("excluded").isNull() | ~F.coalesce(F.rlike(F.lower("subject"), F.col("excluded")), F.lit(False))))
+    first = (met.groupBy(*names(key)).agg(F.min("noisy_no").alias("_no")))
+    by_no = lines.select(F.col("noisy_no").alias("_no"), "noisy_category").distinct()
+    noisy_claim = (x.where("rule_no = 0").drop("rule_no").join(first, names(key)).join(by_no, "_no")
+                    .select(*columns, (F.col("_no") + len(rules)).cast("int").alias("rule_no"), F.col("noisy_category").alias("category")))
+    p = protect(claimed.unionByName(noisy_claim), contacts, m)
     return p.withColumn("decision", F.when(F.col("protected_by").isNull(), "prune").otherwise("skip")).drop("thread_id")
+
+
+# ------------------------------------------------ a whole retention run
+def retention_run(m: DataFrame, rules: list[Rule], contacts: DataFrame, as_of_epoch: int, table_path: str, audit_path: str,
+                  summary_path: str, run_ts: str, dry_run: bool = False, key=KEY) -> DataFrame:
+    """R1 -> R5, K7, K9: decide once, write the next table version, the audit rows and the run summary.
+
+    The decisions are written to the shared folder first and everything else
+    reads them there, so all three outputs agree and a lost executor repeats
+    no rule.  A dry run returns the summary and writes nothing.  Returns the
+    run summary.
+    """
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    spark = m.sparkSession
+    d = prune(m, rules, contacts, as_of_epoch, key)
+    if dry_run:
+        return run_summary(d)
+    staged = checkpoint_dir(spark, f"retention-{uuid.uuid4().hex}")
+    d.write.parquet(staged)
+    d = spark.read.schema(d.schema).parquet(staged)
+    # the audit rows go first (write-ahead): a run that stops here is repeated, and nothing moved unrecorded
+    (d.where("decision = 'prune'")
+      .select(F.lit(run_ts).alias("ts"), F.lit("pruned").alias("action"), "category", "message_id",
+              F.col("from_email").alias("from"), "subject").write.mode("append").json(audit_path))
+    apply_actions(m, d, "prune", key).write.mode("overwrite").parquet(table_path)
+    summary = run_summary(d)
+    summary.withColumn("run_ts", F.lit(run_ts)).write.mode("append").parquet(summary_path)
+    return summary

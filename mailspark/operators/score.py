@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions.predicates import category_is, sender_any, subject_any
-from ..util import col, ship_package
+from ..util import col, names, ship_package
 
 CIRCUIT_BREAKER_THRESHOLD = 5
 Responder = Callable[[str, str, list[str]], list]
@@ -185,12 +185,22 @@ def rule_classify(m: DataFrame, version: str, models: dict[str, str | None] | No
     models = models or RULE_MODELS
     variants = F.array(*[F.struct(F.lit(name).alias("model"), _verdict(drop).alias("v"))
                          for name, drop in models.items()])
-    x = m.select(F.col(key), F.explode(variants).alias("mv"))
-    return x.select(key, F.col("mv.model").alias("model"), F.lit(version).alias("prompt_version"),
+    x = m.select(*names(key), F.explode(variants).alias("mv"))
+    return x.select(*names(key), F.col("mv.model").alias("model"), F.lit(version).alias("prompt_version"),
                     F.col("mv.v.label").alias("label"), F.col("mv.v.confidence").alias("confidence"),
                     F.col("mv.v.reason").alias("reason"))
 
 
+def rule_vote(m: DataFrame, version: str, models: dict[str, str | None] | None = None, key: str = "message_id") -> DataFrame:
+    """A27 over ``rule_classify``: unanimous label of the variants, taken in place (no explode, no shuffle)."""
+    models = models or RULE_MODELS
+    labels = F.array_distinct(F.array(*[_verdict(drop)["label"] for drop in models.values()]))
+    x = m.select(*names(key), labels.alias("_l"))
+    return x.select(*names(key), F.lit(version).alias("prompt_version"),
+                    F.when(F.size("_l") == 1, F.col("_l")[0]).otherwise("uncertain").alias("vote"),
+                    F.lit(len(models)).cast("long").alias("n_votes"))
+
+
 def with_protection_flags(m: DataFrame, contacts: DataFrame, email_col: str = "email") -> DataFrame:
     """Adds ``is_contact`` and ``replied`` (J1/J2 as flags, rows never multiplied)."""
     from .rules import protect

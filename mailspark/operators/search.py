@@ -1,8 +1,8 @@
 """Full-text search (K10 index build, Q1s match).
 
 The index is a plain DataFrame of postings ``(field, token, <key>, tf)``:
-text is lower-cased and split on runs of non letter/number characters
-(as the unicode61 tokenizer does, without diacritic folding).  Postings are
+text is lower-cased, stripped of the marks of Latin letters and split on runs
+of non letter/number characters (as the reference's default tokenizer does).  Postings are
 aggregated with the document key in the group key, so a very common token
 never becomes one hot group.  ``write_index`` lays the postings out hashed on
 (token, key) for even files and sorted by token inside each file, so a
@@ -16,60 +16,81 @@ scan, so a stored index is read only where those tokens live.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..util import names
+
 TOKEN_SPLIT = "[^\\p{L}\\p{N}]+"
 # Indexed message fields.
 INDEX_FIELDS = ["subject", "from_email", "from_name", "body_text"]
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case Latin letters with a mark, and the letters without it (from the character database)."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xDF, 0x250)] + \
+            [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0x1E00, 0x1F00)]
+    own = [(a, b[0]) for a, b in pairs if len(b) > 1 and b[0].isascii() and a == a.lower() and all(unicodedata.combining(x) for x in b[1:])]
+    return "".join(a for a, _ in own), "".join(b for _, b in own)
+
+
+MARKED, PLAIN = _plain_letters()
+#: Combining marks, where a text writes them apart from their letter.
+MARKS = "[\\u0300-\\u036F]+"
+
+
+def fold(c):
+    """Lower case without the marks of Latin letters."""
+    return F.regexp_replace(F.translate(F.lower(c), MARKED, PLAIN), MARKS, "")
+
+
 def tokens(c):
-    """Array of lower-cased tokens of a text column."""
-    return F.filter(F.split(F.lower(c), TOKEN_SPLIT, -1), lambda t: t != "")
+    """Array of folded tokens of a text column."""
+    return F.filter(F.split(fold(c), TOKEN_SPLIT, -1), lambda t: t != "")
 
 
-def build_index(df: DataFrame, key: str, fields: list[str] | None = None) -> DataFrame:
+def build_index(df: DataFrame, key, fields: list[str] | None = None) -> DataFrame:
     """Postings (field, token, key, tf) over the given text fields (one pass)."""
     fields = [f for f in (fields or INDEX_FIELDS) if f in df.columns]
     per_field = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in fields])
-    x = (df.select(F.col(key), F.explode(per_field).alias("fv"))
-           .select(key, F.col("fv.field").alias("field"), F.explode("fv.toks").alias("token")))
-    return x.groupBy("field", "token", key).agg(F.count(F.lit(1)).alias("tf"))
+    x = (df.select(*names(key), F.explode(per_field).alias("fv"))
+           .select(*names(key), F.col("fv.field").alias("field"), F.explode("fv.toks").alias("token")))
+    return x.groupBy("field", "token", *names(key)).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def write_index(index: DataFrame, path: str, key: str, partitions: int | None = None) -> None:
+def write_index(index: DataFrame, path: str, key, partitions: int | None = None) -> None:
     """Persist postings: hash-distributed on (token, key), token-sorted inside each file."""
     n = partitions or index.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    (index.repartition(int(n), "token", key).sortWithinPartitions("token", key)
+    (index.repartition(int(n), "token", *names(key)).sortWithinPartitions("token", *names(key))
           .write.mode("overwrite").parquet(path))
 
 
-def query_tokens(spark, query: str) -> DataFrame:
-    """Distinct tokens of the query string, tokenised exactly as the index."""
-    q = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("token")).distinct()
-    return q
+def query_tokens(query: str) -> list[str]:
+    """Distinct tokens of a query string, cut as the index cuts its texts."""
+    text = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not "\u0300" <= c <= "\u036f")
+    out = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in unicodedata.normalize("NFC", text))
+    return sorted(set(out.split()))
 
 
-def search_keys(index: DataFrame, query: str, key: str, fields: list[str] | None = None) -> DataFrame:
+def search_keys(index: DataFrame, query: str, key, fields: list[str] | None = None) -> DataFrame:
     """Q1s: keys whose indexed text contains every query token (any field unless ``fields``).
 
-    The query string is a literal the caller already holds: it is tokenised
-    by the same Spark expression as the index (one-row frame, a handful of
-    tokens collected), so the postings scan gets a literal ``token IN (...)``
-    that reaches the Parquet reader and its row-group statistics (the stored
-    index is sorted by token inside each file).
+    The query string is a literal the caller holds, so the postings scan gets
+    a literal ``token IN (...)`` that reaches the Parquet reader and its
+    row-group statistics (the stored index is sorted by token inside each file).
     """
-    toks = sorted(r.token for r in query_tokens(index.sparkSession, query).collect())
+    toks = query_tokens(query)
     if not toks:
-        return index.where(F.lit(False)).select(key)
+        return index.where(F.lit(False)).select(*names(key))
     post = index.where(F.col("token").isin(toks))
     if fields:
         post = post.where(F.col("field").isin(*fields))
-    hits = post.groupBy(key).agg(F.count_distinct("token").alias("_n"))
-    return hits.where(F.col("_n") == len(toks)).select(key)
+    hits = post.groupBy(*names(key)).agg(F.count_distinct("token").alias("_n"))
+    return hits.where(F.col("_n") == len(toks)).select(*names(key))
 
 
-def search(df: DataFrame, index: DataFrame, query: str, key: str, fields: list[str] | None = None) -> DataFrame:
+def search(df: DataFrame, index: DataFrame, query: str, key, fields: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` matching the query (semi-join on the key)."""
-    return df.join(search_keys(index, query, key, fields), key, "left_semi")
+    return df.join(search_keys(index, query, key, fields), names(key), "left_semi")

@@ -161,7 +161,7 @@ ORDER BY message_count DESC, domain LIMIT 100"""))(
 
 _ONE_WAY = f"""
 SELECT r.thread_id, COUNT(*) AS received_count, MAX(r.subject) AS subject,
-  arg_max_null(r.from_email, {D.newest('r.date_ts', 'r.mbox_offset')}) AS primary_sender,
+  arg_max_null(r.from_email, {D.newest('r.date_ts', 'r.')}) AS primary_sender,
   {D.epoch_text('MAX(r.date_ts)')} AS last_received
 FROM messages r
 WHERE (r.in_sent = 0 OR r.in_sent IS NULL) AND r.thread_id IS NOT NULL AND {{cond}}
@@ -182,8 +182,8 @@ FROM (SELECT year_month, COUNT(*) AS received, {D.isum('is_unread')} AS unread F
     lambda s, sf: M.monthly_unread_rate(_m(s, sf)))
 
 register("messages_without_date", W(["messages"], """
-SELECT message_id, from_email, subject, CAST(NULL AS VARCHAR) AS date_str, mbox_offset
-FROM messages WHERE date_ts IS NULL ORDER BY mbox_offset LIMIT 200"""))(
+SELECT message_id, from_email, subject, CAST(NULL AS VARCHAR) AS date_str, path, mbox_offset
+FROM messages WHERE date_ts IS NULL ORDER BY path, mbox_offset LIMIT 200"""))(
     lambda s, sf: M.messages_without_date(_m(s, sf)))
 
 # ---------------------------------------------------------------- T1-T5
@@ -191,31 +191,31 @@ register("unread_inbox", W(["messages"], f"""
 SELECT {D.epoch_text('date_ts')} AS date, from_email, from_name, subject,
   CAST(to_json(labels) AS VARCHAR) AS labels, message_id
 FROM messages WHERE in_inbox = 1 AND is_unread = 1
-ORDER BY date_ts DESC NULLS LAST, mbox_offset LIMIT 500"""))(
+ORDER BY date_ts DESC NULLS LAST, path, mbox_offset LIMIT 500"""))(
     lambda s, sf: M.unread_inbox(_m(s, sf)))
 
 register("starred", W(["messages"], f"""
 SELECT {D.epoch_text('date_ts')} AS date, from_email, subject, CAST(to_json(labels) AS VARCHAR) AS labels, message_id
-FROM messages WHERE is_starred = 1 ORDER BY date_ts DESC NULLS LAST, mbox_offset LIMIT 500"""))(
+FROM messages WHERE is_starred = 1 ORDER BY date_ts DESC NULLS LAST, path, mbox_offset LIMIT 500"""))(
     lambda s, sf: M.starred(_m(s, sf)))
 
 register("oldest_unread", W(["messages"], f"""
 SELECT {D.epoch_text('date_ts')} AS date, from_email, subject, CAST(to_json(labels) AS VARCHAR) AS labels, message_id
-FROM messages WHERE is_unread = 1 ORDER BY date_ts ASC NULLS FIRST, mbox_offset LIMIT 200"""))(
+FROM messages WHERE is_unread = 1 ORDER BY date_ts ASC NULLS FIRST, path, mbox_offset LIMIT 200"""))(
     lambda s, sf: M.oldest_unread(_m(s, sf)))
 
 register("largest_messages", W(["messages"], f"""
 SELECT {D.epoch_text('date_ts')} AS date, from_email, subject,
   {D.fixed_text('body_size_bytes', '1048576', 1, ' MB')} AS size, body_size_bytes, has_attachments,
   CAST(to_json(attachment_names) AS VARCHAR) AS attachment_names, message_id
-FROM messages ORDER BY body_size_bytes DESC NULLS LAST, mbox_offset LIMIT 100"""))(
+FROM messages ORDER BY body_size_bytes DESC NULLS LAST, path, mbox_offset LIMIT 100"""))(
     lambda s, sf: M.largest_messages(_m(s, sf)))
 
 register("with_attachments", W(["messages"], f"""
 SELECT {D.epoch_text('date_ts')} AS date, from_email, subject,
   CAST(to_json(attachment_names) AS VARCHAR) AS attachment_names,
   {D.fixed_text('body_size_bytes', '1048576', 1, ' MB')} AS size, message_id
-FROM messages WHERE has_attachments = 1 ORDER BY date_ts DESC NULLS LAST, mbox_offset LIMIT 500"""))(
+FROM messages WHERE has_attachments = 1 ORDER BY date_ts DESC NULLS LAST, path, mbox_offset LIMIT 500"""))(
     lambda s, sf: M.with_attachments(_m(s, sf)))
 
 # ---------------------------------------------------------------- B1-B4
@@ -236,9 +236,9 @@ SELECT facet, value, count FROM (
   ) u GROUP BY facet, value) g) r WHERE rn <= 30"""))(
     lambda s, sf: M.facets(_m(s, sf), _FACETS))
 
-register("scoring_input", W(["messages"], """
-SELECT message_id, from_email, from_name, subject FROM messages WHERE message_id IS NOT NULL"""))(
-    lambda s, sf: M.scoring_input(_m(s, sf), ["message_id", "from_email", "from_name", "subject"]))
+register("scoring_input", W(["messages", "full_messages"], """
+SELECT message_id, from_email, from_name, subject, date_str, body_text FROM full_messages WHERE message_id IS NOT NULL"""))(
+    lambda s, sf: M.scoring_input(fx.full_messages(s, sf)))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -479,7 +479,7 @@ _STRATA_SQL = [
 ]
 register("stratified_sample", W(["messages"], "\nUNION ALL\n".join(
     f"""(SELECT '{n}' AS stratum, message_id, from_email, from_name, subject FROM messages
-   WHERE message_id IS NOT NULL AND coalesce({cond}, false) ORDER BY date_ts DESC NULLS LAST, mbox_offset LIMIT 40)"""
+   WHERE message_id IS NOT NULL AND coalesce({cond}, false) ORDER BY date_ts DESC NULLS LAST, path, mbox_offset LIMIT 40)"""
     for n, cond in _STRATA_SQL)))(
     lambda s, sf: K.stratified_sample(_m(s, sf), 200, ["message_id", "from_email", "from_name", "subject"]))
 
@@ -491,12 +491,13 @@ from . import duck_rules as DR  # noqa: E402
 
 # Derived from the driver data: the fixture's own sender population.
 NOISY_PLAIN = ["noreply@medium.com"]
-NOISY_EXCL = [("ship@amazon.com", ["invoice", "statement"])]
+NOISY_EXCL = [("ship@amazon.com", ["invoice", "statement"]), ("d3.example.com", ["re-order", "Payment due"]),
+              ("example.com", ["policy update"])]
 INDUSTRY = [("Parcel carriers", ["track@mail.ups.com", "fedex.com"])]
 ALL_PRUNE_RULES = R.STANDING_RULES + R.industry_rules(INDUSTRY) + R.noisy_rules(NOISY_PLAIN, NOISY_EXCL)
 
 
-def _cand_sql(rules, cols="mbox_offset, message_id, thread_id, from_email, subject"):
+def _cand_sql(rules, cols="path, mbox_offset, message_id, thread_id, from_email, subject"):
     return f"""cand AS (SELECT {cols}, rule_no, {DR.names(rules)}[rule_no] AS category
   FROM (SELECT *, {DR.first_match(rules, AS_OF)} AS rule_no FROM messages) x WHERE rule_no IS NOT NULL)"""
 
@@ -514,7 +515,7 @@ def _prune(rules):
     return lambda s, sf: R.prune(_m(s, sf), rules, fx.contacts(s, sf), AS_OF)
 
 
-_PRUNE_COLS = "mbox_offset, message_id, from_email, subject, rule_no, category, protected_by"
+_PRUNE_COLS = "path, mbox_offset, message_id, from_email, subject, rule_no, category, protected_by"
 register("prune", W(["messages", "contacts"], _prune_sql(R.STANDING_RULES) + f"""
 SELECT {_PRUNE_COLS}, CASE WHEN protected_by IS NULL THEN 'prune' ELSE 'skip' END AS decision FROM p"""))(
     _prune(R.STANDING_RULES))
@@ -524,14 +525,9 @@ SELECT {_PRUNE_COLS}, CASE WHEN protected_by IS NULL THEN 'prune' ELSE 'skip' EN
     _prune(ALL_PRUNE_RULES))
 
 def _prune_noisy_join(spark, sf):
-    noisy = spark.createDataFrame([(a, []) for a in NOISY_PLAIN] + [(a, k) for a, k in NOISY_EXCL],
-                                  "address string, exclude_keywords array<string>")
-    rules = R.STANDING_RULES + R.industry_rules(INDUSTRY)
-    out = R.prune_with_noisy(_m(spark, sf), rules, noisy, fx.contacts(spark, sf), AS_OF)
-    # noisy categories follow the chain's ordinals, as in the all-CASE cascade
-    n = len(rules)
-    return out.withColumn("rule_no", F.coalesce(F.col("rule_no"), F.when(
-        F.col("category") == R.NOISY_PLAIN_NAME, F.lit(n + 1)).otherwise(F.lit(n + 2))))
+    lines = [(a, []) for a in NOISY_PLAIN] + NOISY_EXCL
+    noisy = spark.createDataFrame([(a, k, i) for i, (a, k) in enumerate(lines)], "address string, exclude_keywords array<string>, line_no long")
+    return R.prune_with_noisy(_m(spark, sf), R.STANDING_RULES + R.industry_rules(INDUSTRY), noisy, fx.contacts(spark, sf), AS_OF)
 
 
 register("prune_noisy_join", W(["messages", "contacts"], _prune_sql(ALL_PRUNE_RULES) + f"""
@@ -544,11 +540,11 @@ SELECT category, CAST(SUM(CASE WHEN protected_by IS NULL THEN 1 ELSE 0 END) AS B
 FROM p GROUP BY category"""))(
     lambda s, sf: R.run_summary(_prune(R.STANDING_RULES)(s, sf)))
 
-register("rescue", W(["messages"], f"""WITH {_cand_sql(R.RESCUE_RULES, 'mbox_offset, message_id, from_email, subject')}
+register("rescue", W(["messages"], f"""WITH {_cand_sql(R.RESCUE_RULES, 'path, mbox_offset, message_id, from_email, subject')}
 SELECT * FROM cand"""))(
     lambda s, sf: R.rescue(_m(s, sf), R.RESCUE_RULES, AS_OF))
 
-register("label_reference", W(["messages"], f"""WITH {_cand_sql(R.REFERENCE_RULES, 'mbox_offset, message_id, from_email, subject')}
+register("label_reference", W(["messages"], f"""WITH {_cand_sql(R.REFERENCE_RULES, 'path, mbox_offset, message_id, from_email, subject')}
 SELECT * FROM cand"""))(
     lambda s, sf: R.label_reference(_m(s, sf), R.REFERENCE_RULES, AS_OF))
 
@@ -556,43 +552,43 @@ SELECT * FROM cand"""))(
 def _applied(spark, sf):
     m = _m(spark, sf)
     out = R.apply_actions(m, _prune(R.STANDING_RULES)(spark, sf), "prune")
-    return out.select("mbox_offset", "in_trash", F.to_json("labels").alias("labels"))
+    return out.select("path", "mbox_offset", "in_trash", F.to_json("labels").alias("labels"))
 
 
 register("apply_prune_actions", W(["messages", "contacts"], _prune_sql(R.STANDING_RULES) + """
-SELECT m.mbox_offset, CASE WHEN p.category IS NOT NULL THEN 1 ELSE m.in_trash END AS in_trash,
+SELECT m.path, m.mbox_offset, CASE WHEN p.category IS NOT NULL THEN 1 ELSE m.in_trash END AS in_trash,
   CAST(to_json(CASE WHEN p.category IS NOT NULL
        THEN list_concat(coalesce(m.labels, CAST([] AS VARCHAR[])), list_filter(['Trash', 'Audit/Pruned/' || p.category],
                    lambda x: NOT list_contains(coalesce(m.labels, CAST([] AS VARCHAR[])), x)))
        ELSE m.labels END) AS VARCHAR) AS labels
-FROM messages m LEFT JOIN (SELECT * FROM p WHERE protected_by IS NULL) p ON m.mbox_offset = p.mbox_offset"""))(
+FROM messages m LEFT JOIN (SELECT * FROM p WHERE protected_by IS NULL) p ON m.path = p.path AND m.mbox_offset = p.mbox_offset"""))(
     _applied)
 
 
 def _applied_rescue(spark, sf):
     m = _m(spark, sf)
     out = R.apply_actions(m, R.rescue(m, R.RESCUE_RULES, AS_OF), "rescue")
-    return out.select("mbox_offset", "in_trash", F.to_json("labels").alias("labels"))
+    return out.select("path", "mbox_offset", "in_trash", F.to_json("labels").alias("labels"))
 
 
-register("apply_rescue_actions", W(["messages"], f"""WITH {_cand_sql(R.RESCUE_RULES, 'mbox_offset')}
-SELECT m.mbox_offset, CASE WHEN c.category IS NOT NULL THEN 0 ELSE m.in_trash END AS in_trash,
+register("apply_rescue_actions", W(["messages"], f"""WITH {_cand_sql(R.RESCUE_RULES, 'path, mbox_offset')}
+SELECT m.path, m.mbox_offset, CASE WHEN c.category IS NOT NULL THEN 0 ELSE m.in_trash END AS in_trash,
   CAST(to_json(CASE WHEN c.category IS NOT NULL
        THEN list_concat(list_filter(coalesce(m.labels, CAST([] AS VARCHAR[])), lambda x: x <> 'Trash'),
                    list_filter(['Reference', 'Audit/Rescued/' || c.category],
                                lambda x: NOT list_contains(coalesce(m.labels, CAST([] AS VARCHAR[])), x)))
        ELSE m.labels END) AS VARCHAR) AS labels
-FROM messages m LEFT JOIN cand c ON m.mbox_offset = c.mbox_offset"""))(
+FROM messages m LEFT JOIN cand c ON m.path = c.path AND m.mbox_offset = c.mbox_offset"""))(
     _applied_rescue)
 
 _PREVIEW_HITS = "list_filter([" + ", ".join(
     f"CASE WHEN {DR.predicate(r, AS_OF)} THEN {i} END" for i, r in enumerate(R.STANDING_RULES, 1)) + "], lambda x: x IS NOT NULL)"
 register("preview", W(["messages"], f"""WITH x AS (
-  SELECT mbox_offset, message_id, date_ts, from_email, subject, unnest({_PREVIEW_HITS}) AS rule_no FROM messages),
+  SELECT path, mbox_offset, message_id, date_ts, from_email, subject, unnest({_PREVIEW_HITS}) AS rule_no FROM messages),
 counts AS (SELECT rule_no, COUNT(*) AS matches FROM x GROUP BY rule_no),
-top AS (SELECT *, row_number() OVER (PARTITION BY rule_no ORDER BY date_ts DESC NULLS LAST, mbox_offset) AS rank FROM x)
+top AS (SELECT *, row_number() OVER (PARTITION BY rule_no ORDER BY date_ts DESC NULLS LAST, path, mbox_offset) AS rank FROM x)
 SELECT t.rule_no, {DR.names(R.STANDING_RULES)}[t.rule_no] AS category, c.matches, CAST(t.rank AS INTEGER) AS rank,
-  t.mbox_offset, t.message_id, t.date_ts, t.from_email, t.subject
+  t.path, t.mbox_offset, t.message_id, t.date_ts, t.from_email, t.subject
 FROM top t JOIN counts c ON t.rule_no = c.rule_no WHERE t.rank <= 10"""))(
     lambda s, sf: R.preview(_m(s, sf), R.STANDING_RULES, AS_OF, 10))
 
@@ -608,14 +604,20 @@ WHERE count >= 5 AND read_pct <= 10"""))(
     lambda s, sf: R.noisy_senders(_m(s, sf), AS_OF))
 
 register("exclude_contacts", W(["messages", "contacts"], """
-SELECT mbox_offset, from_email FROM messages m
+SELECT path, mbox_offset, from_email FROM messages m
 WHERE NOT EXISTS (SELECT 1 FROM contacts c WHERE lower(trim(c.email)) = m.from_email)"""))(
-    lambda s, sf: R.exclude_contacts(_m(s, sf), fx.contacts(s, sf)).select("mbox_offset", "from_email"))
+    lambda s, sf: R.exclude_contacts(_m(s, sf), fx.contacts(s, sf)).select("path", "mbox_offset", "from_email"))
+
+for _null_aware, _name in ((False, "threads_without_reply"), (True, "threads_without_reply_null_aware")):
+    register(_name, W(["messages"], "SELECT path, mbox_offset, thread_id FROM messages m WHERE thread_id IS NOT NULL AND " + (
+        "thread_id NOT IN (SELECT DISTINCT thread_id FROM messages WHERE in_sent = 1)" if _null_aware else
+        "NOT EXISTS (SELECT 1 FROM messages s WHERE s.in_sent = 1 AND s.thread_id = m.thread_id)")))(
+        (lambda n: lambda s, sf: M.threads_without_reply(_m(s, sf), null_aware=n).select("path", "mbox_offset", "thread_id"))(_null_aware))
 
 register("exclude_replied", W(["messages"], """
-SELECT mbox_offset, thread_id FROM messages m
+SELECT path, mbox_offset, thread_id FROM messages m
 WHERE NOT EXISTS (SELECT 1 FROM messages s WHERE s.in_sent = 1 AND s.thread_id = m.thread_id)"""))(
-    lambda s, sf: R.exclude_replied(_m(s, sf), _m(s, sf)).select("mbox_offset", "thread_id"))
+    lambda s, sf: R.exclude_replied(_m(s, sf), _m(s, sf)).select("path", "mbox_offset", "thread_id"))
 
 register("exclude_replied_conversations", W(["conversation_messages"], """
 SELECT message_id, thread_id FROM conversation_messages m
@@ -745,7 +747,7 @@ FROM (SELECT doc_id,
 # ---------------------------------------------------------------- search
 from ..operators import search as SE  # noqa: E402
 
-_DUCK_TOK = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+_DUCK_TOK = "list_filter(regexp_split_to_array(strip_accents(lower({x})), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
 def _duck_tokens(x):
@@ -774,16 +776,19 @@ for _q in ("the of", "queeux ouch"):
         (lambda q: lambda s, sf: SE.search(fx.table(s, sf, "documents").select("doc_id", "lang", "n_chars"),
                                            _doc_index(s, sf), q, "doc_id"))(_q))
 
-_MSG_FIELDS = ["subject", "from_email", "from_name"]
-register("search_messages", W(["messages"], f"""
-SELECT mbox_offset, subject, from_email FROM messages WHERE mbox_offset IN (
-  SELECT mbox_offset FROM (
-    SELECT mbox_offset, unnest({_duck_tokens('subject')}) AS token FROM messages
-    UNION ALL SELECT mbox_offset, unnest({_duck_tokens('from_email')}) FROM messages
-    UNION ALL SELECT mbox_offset, unnest({_duck_tokens('from_name')}) FROM messages) x
-  WHERE token IN ('google', 'alert') GROUP BY mbox_offset HAVING COUNT(DISTINCT token) = 2)"""))(
-    lambda s, sf: SE.search(_m(s, sf).select("mbox_offset", "subject", "from_email"),
-                            SE.build_index(_m(s, sf), "mbox_offset", _MSG_FIELDS), "Google ALERT", "mbox_offset"))
+def _msg_search_sql(tokens):
+    found = "\n    UNION ALL ".join(f"SELECT path, mbox_offset, unnest({_duck_tokens(f)}) AS token FROM full_messages" for f in SE.INDEX_FIELDS)
+    return f"""
+SELECT path, mbox_offset, subject, from_email FROM full_messages SEMI JOIN (
+  SELECT path, mbox_offset FROM ({found}) x
+  WHERE token IN ({', '.join(repr(t) for t in tokens)}) GROUP BY path, mbox_offset HAVING COUNT(DISTINCT token) = {len(tokens)}) k
+  USING (path, mbox_offset)"""
+
+
+for _name, _q, _toks in (("search_messages", "Google ALERT", ["google", "alert"]), ("search_messages_folded", "Etre queeau", ["etre", "queeau"])):
+    register(_name, W(["messages", "full_messages"], _msg_search_sql(_toks)))(
+        (lambda q: lambda s, sf: SE.search(_m(s, sf).select("path", "mbox_offset", "subject", "from_email"),
+                                           SE.build_index(fx.full_messages(s, sf), M.KEY), q, M.KEY))(_q))
 
 
 # ---------------------------------------------------------------- scoring
@@ -821,25 +826,21 @@ _FLAGS = """flagged AS (SELECT m.*, ct.from_email IS NOT NULL AS is_contact,
     ON m.thread_id = rt.thread_id)"""
 register("rule_classify", W(["messages", "contacts"], f"""WITH {_FLAGS},
 v AS (""" + "\nUNION ALL\n".join(
-    f"SELECT mbox_offset, '{name}' AS model, {_duck_clause_chain(drop)} AS v FROM flagged"
+    f"SELECT path, mbox_offset, '{name}' AS model, {_duck_clause_chain(drop)} AS v FROM flagged"
     for name, drop in SC.RULE_MODELS.items()) + """)
-SELECT mbox_offset, model, 'v1.7.0' AS prompt_version, v.label AS label, v.confidence AS confidence, v.reason AS reason
+SELECT path, mbox_offset, model, 'v1.7.0' AS prompt_version, v.label AS label, v.confidence AS confidence, v.reason AS reason
 FROM v"""))(
-    lambda s, sf: SC.rule_classify(_flagged(s, sf), "v1.7.0", key="mbox_offset"))
-
-
-def _rule_votes(spark, sf):
-    c = SC.rule_classify(_flagged(spark, sf), "v1.7.0", key="mbox_offset").withColumnRenamed("mbox_offset", "message_id")
-    return K.vote(c)
+    lambda s, sf: SC.rule_classify(_flagged(s, sf), "v1.7.0", key=M.KEY))
 
 
 register("rule_vote", W(["messages", "contacts"], f"""WITH {_FLAGS},
 v AS (""" + "\nUNION ALL\n".join(
-    f"SELECT mbox_offset, {_duck_clause_chain(drop)}.label AS label FROM flagged"
+    f"SELECT path, mbox_offset, {_duck_clause_chain(drop)}.label AS label FROM flagged"
     for name, drop in SC.RULE_MODELS.items()) + """)
-SELECT mbox_offset AS message_id, 'v1.7.0' AS prompt_version,
+SELECT path, mbox_offset, 'v1.7.0' AS prompt_version,
   CASE WHEN MIN(label) = MAX(label) THEN MIN(label) ELSE 'uncertain' END AS vote, COUNT(label) AS n_votes
-FROM v GROUP BY mbox_offset"""))(_rule_votes)
+FROM v GROUP BY path, mbox_offset"""))(
+    lambda s, sf: SC.rule_vote(_flagged(s, sf), "v1.7.0", key=M.KEY))
 
 
 def _score_pipeline(spark, sf):
@@ -882,10 +883,10 @@ WHERE NOT EXISTS (SELECT 1 FROM audit a WHERE a.category = 'ai_classify' AND a.m
 from ..functions import columns as C  # noqa: E402
 
 register("sender_display", W(["messages"], """
-SELECT mbox_offset, CASE WHEN coalesce(from_name, '') <> '' THEN from_name || ' <' || coalesce(from_email, '') || '>'
+SELECT path, mbox_offset, CASE WHEN coalesce(from_name, '') <> '' THEN from_name || ' <' || coalesce(from_email, '') || '>'
                          WHEN coalesce(from_email, '') <> '' THEN from_email ELSE '(unknown)' END AS sender
 FROM messages"""))(
-    lambda s, sf: _m(s, sf).select("mbox_offset", C.sender_display("from_email", "from_name").alias("sender")))
+    lambda s, sf: _m(s, sf).select("path", "mbox_offset", C.sender_display("from_email", "from_name").alias("sender")))
 
 register("vote_actions", W(["classifications"], """
 SELECT message_id, prompt_version, vote, n_votes,
@@ -926,13 +927,13 @@ SELECT DISTINCT lower(email) AS email FROM (
 ORDER BY email""")(lambda s, sf: LS.build_contacts(*_contact_exports(s, sf)))
 
 register("sender_extract", W(["messages"], """
-SELECT mbox_offset,
+SELECT path, mbox_offset,
   CASE WHEN e <> '' THEN e ELSE lower(from_raw) END AS sender
-FROM (SELECT mbox_offset, from_raw,
+FROM (SELECT path, mbox_offset, from_raw,
         regexp_replace(lower(regexp_extract(from_raw, '[^<\\s]+@[^>\\s]+', 0)), '^[<>]+|[<>]+$', '', 'g') AS e
-      FROM (SELECT mbox_offset, coalesce(from_name, '') || ' <' || upper(coalesce(from_email, 'nobody')) || '>' AS from_raw
+      FROM (SELECT path, mbox_offset, coalesce(from_name, '') || ' <' || upper(coalesce(from_email, 'nobody')) || '>' AS from_raw
             FROM messages) r) x"""))(
-    lambda s, sf: _m(s, sf).select("mbox_offset", F.concat(F.coalesce("from_name", F.lit("")), F.lit(" <"),
+    lambda s, sf: _m(s, sf).select("path", "mbox_offset", F.concat(F.coalesce("from_name", F.lit("")), F.lit(" <"),
                                                          F.upper(F.coalesce("from_email", F.lit("nobody"))),
                                                          F.lit(">")).alias("from_raw"))
-                   .select("mbox_offset", API.sender_email(F.col("from_raw")).alias("sender")))
+                   .select("path", "mbox_offset", API.sender_email(F.col("from_raw")).alias("sender")))

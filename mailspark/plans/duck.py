@@ -24,8 +24,9 @@ def fixed_text(num: str, den: str, dec: int, suffix: str = "") -> str:
             f"lpad(CAST({scaled} % {scale} AS VARCHAR), {dec}, '0'), '{suffix}')")
 
 
-def newest(date: str = "date_ts", key: str = "mbox_offset") -> str:
-    return f"{{'d': coalesce({date}, CAST(-9223372036854775807 - 1 AS BIGINT)), 'k': {key}}}"
+def newest(date: str = "date_ts", prefix: str = "") -> str:
+    return (f"{{'d': coalesce({date}, CAST(-9223372036854775807 - 1 AS BIGINT)), 'path': {prefix}path, "
+            f"'mbox_offset': {prefix}mbox_offset}}")
 
 
 def isum(x: str) -> str:

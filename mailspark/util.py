@@ -21,13 +21,22 @@ def count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
 
 
-def newest_key(date="date_ts", key="mbox_offset") -> Column:
+#: Key of the messages table: an offset is unique only inside its file.
+KEY = ("path", "mbox_offset")
+
+
+def names(key) -> list[str]:
+    """A key given as one column name or several, as a list."""
+    return [key] if isinstance(key, str) else list(key)
+
+
+def newest_key(date="date_ts", key=KEY) -> Column:
     """Deterministic total order for bare columns: newest date, then message key.
 
     NULL dates rank below every real date; the key is unique, so ties never
     make ``max_by`` pick an arbitrary row.
     """
-    return F.struct(F.coalesce(col(date), F.lit(-(2 ** 63)).cast("long")).alias("d"), col(key).alias("k"))
+    return F.struct(F.coalesce(col(date), F.lit(-(2 ** 63)).cast("long")).alias("d"), *[col(k) for k in names(key)])
 
 
 def _bytes(text: str) -> int:
