@@ -10,7 +10,7 @@ from __future__ import annotations
 import calendar
 import datetime as dt
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,7 +44,12 @@ class Rule:
     subject_any: tuple[str, ...] = ()
     subject_none: tuple[str, ...] = ()
     smaller_than: int | None = None
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
+    starred: bool | None = None         # True: is:starred, False: -is:starred
+    important: bool | None = None
+    sent: bool | None = None
+    chats: bool | None = None
+    label_any: tuple[str, ...] = ()
+    label_none: tuple[str, ...] = ()
 
 
 def parse_age(spec: str) -> tuple[int, str]:
@@ -158,6 +163,15 @@ def rule_predicate(r: Rule, as_of_epoch: int, date: str = "date_ts") -> Column:
         conds.append(_flag_is("in_sent", 0))
     if r.not_chats:
         conds.append(~has_label(["Chats"]))
+    for want, column in ((r.starred, "is_starred"), (r.important, "is_important"), (r.sent, "in_sent")):
+        if want is not None:
+            conds.append(_flag_is(column, 1 if want else 0))
+    if r.chats is not None:
+        conds.append(has_label(["Chats"]) if r.chats else ~has_label(["Chats"]))
+    if r.label_any:
+        conds.append(has_label(list(r.label_any)))
+    if r.label_none:
+        conds.append(~has_label(list(r.label_none)))
     if r.no_user_labels:
         conds.append(no_user_labels())
     if r.from_any:

@@ -41,6 +41,7 @@ CONTENT_OPEN = "[EMAIL_CONTENT]"
 CONTENT_CLOSE = "[/EMAIL_CONTENT]"
 REVIEW_BODY_CHARS = 400
 
+# HTML patterns.
 SCRIPT_STYLE_RE = "(?is)<(script|style)[^>]*>.*?</(script|style)>"
 BR_RE = "(?i)<br\\s*/?>"
 BLOCK_END_RE = "(?i)</(?:p|div|li|tr|h[1-6]|blockquote)>"
@@ -52,10 +53,6 @@ def py_strip(c) -> Column:
     return F.regexp_replace(col(c), f"^[{_WS}]+|[{_WS}]+$", "")
 
 
-def py_rstrip(c) -> Column:
-    return F.regexp_replace(col(c), f"[{_WS}]+$", "")
-
-
 def is_blank(c) -> Column:
     """``not text or not text.strip()``: no non-whitespace character at all."""
     return F.coalesce(~col(c).rlike(f"[^{_WS}]"), F.lit(True))
@@ -86,23 +83,8 @@ def strip_html(c, unescape: bool = True) -> Column:
     return py_strip(t)
 
 
-def split_lines(c) -> Column:
-    """``str.splitlines()`` as an array (no trailing empty element)."""
-    t = F.regexp_replace(col(c), f"(?:{LINE_BREAK})\\z", "")
-    return F.split(t, LINE_BREAK, -1)
-
-
-def _injection(line: Column) -> Column:
-    """Per-line test (used on arrays of lines): lstrip + prefix, or a token anywhere."""
-    cond = line.rlike(INJECTION_LINE_RE)
-    for tok in INJECTION_TOKENS:
-        cond = cond | line.contains(tok)
-    return cond
-
-
 # One line (after normalising every splitlines() break to '\n') that starts, after
 # leading whitespace, with an injection prefix, or contains an injection token.
-INJECTION_LINE_RE = (f"^[{_WS_NO_NL}]*(?:" + "|".join(re.escape(p) for p in INJECTION_PREFIXES) + ")")
 _REDACT_RE = ("(?m)^(?:[" + _WS_NO_NL + "]*(?:" + "|".join(re.escape(p) for p in INJECTION_PREFIXES) + ")"
               + "|.*(?:" + "|".join(re.escape(t) for t in INJECTION_TOKENS) + ")).*$")
 

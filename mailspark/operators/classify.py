@@ -24,6 +24,7 @@ LABELS = ("keep", "delete", "uncertain")
 UNCERTAIN_RATE_WARN = 0.30          # single-model gate (G1)
 MIN_PROMPT_VERSION = "v1.1.0"       # deployment gate (G2)
 MAX_ERROR_RATE = 0.05               # deployment gate (G2)
+# Labels, gates and their texts.
 GATE_WARN_TEXT = "WARN: refine prompt before Stage 3"
 
 
@@ -213,6 +214,8 @@ def disagreements(c: DataFrame, models: list[str], version: str | None = None) -
     g = (c.groupBy(*KEY).pivot("model", models).agg(F.max("label"))
           .withColumnsRenamed({mm: f"{mm}_label" for mm in models}))
     cols = [F.col(f"{mm}_label") for mm in models]
+    if len(cols) < 2:                                        # one model cannot disagree with itself
+        return g.where(F.lit(False))
     lo, hi = F.least(*cols), F.greatest(*cols)
     return g.where(lo != hi)
 
@@ -321,10 +324,16 @@ def fan_out(msgs: DataFrame, models: list[str]) -> DataFrame:
 
 
 def pending(msgs: DataFrame, models: list[str], done: DataFrame, version: str) -> DataFrame:
-    """(message, model) pairs not yet scored for ``version`` (resume)."""
-    fo = fan_out(msgs.where(F.col("message_id").isNotNull()), models).withColumn("prompt_version", F.lit(version))
-    d = done.where(F.col("prompt_version") == version).select("message_id", "model", "prompt_version")
-    return fo.join(d, ["message_id", "model", "prompt_version"], "left_anti")
+    """(message, model) pairs not yet scored for ``version`` (resume).
+
+    What is done is gathered per message on narrow keys; a message's row (its
+    long turn with it) meets that once and fans out to its open models after.
+    """
+    d = (done.where(F.col("prompt_version") == version).where(F.col("model").isin(models))
+             .groupBy(F.col("message_id").alias("_done_id")).agg(F.collect_set("model").alias("_done")))    # models at most
+    x = msgs.where(F.col("message_id").isNotNull()).join(d, F.col("message_id") == F.col("_done_id"), "left")
+    open_models = F.array_except(F.array(*[F.lit(mm) for mm in models]), F.coalesce("_done", F.array().cast("array<string>")))
+    return x.withColumn("model", F.explode(open_models)).drop("_done", "_done_id").withColumn("prompt_version", F.lit(version))
 
 
 # ----------------------------------------------------------------- sampling

@@ -47,6 +47,26 @@ class ErrorBudgetExceeded(RuntimeError):
     pass
 
 
+def _replies(fn: Responder, model: str, system_prompt: str, turns: list[str]):
+    """A reply or an exception for each turn.
+
+    Turns go to the model in one call; if a call fails it is halved, down to
+    single turns, so that one bad message costs no other its reply.
+    """
+    try:
+        out = list(fn(model, system_prompt, turns))
+        if len(out) != len(turns):
+            raise ValueError(f"{len(out)} replies to {len(turns)} turns")
+        yield from out
+    except Exception as exc:  # noqa: BLE001 - a hard error of the responder
+        if len(turns) == 1:
+            yield exc
+        else:
+            half = len(turns) // 2
+            yield from _replies(fn, model, system_prompt, turns[:half])
+            yield from _replies(fn, model, system_prompt, turns[half:])
+
+
 def _classify_partition(fn: Responder, system_prompt: str, version: str, max_hard_errors: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         streak = 0
@@ -56,12 +76,8 @@ def _classify_partition(fn: Responder, system_prompt: str, version: str, max_har
             run_id = (pdf["model"] != pdf["model"].shift()).cumsum()
             for _, grp in pdf.groupby(run_id, sort=False):
                 model = grp["model"].iloc[0]
-                try:
-                    res = list(fn(model, system_prompt, grp["user_turn"].tolist()))
-                except Exception as exc:  # noqa: BLE001 - whole batch failed: per-row hard errors
-                    res = [exc] * len(grp)
                 raws, errs = [], []
-                for r in res:
+                for r in _replies(fn, model, system_prompt, grp["user_turn"].tolist()):
                     if r is None or isinstance(r, Exception):
                         streak += 1
                         raws.append(None)
@@ -81,18 +97,19 @@ def _classify_partition(fn: Responder, system_prompt: str, version: str, max_har
 
 
 def classify(pairs: DataFrame, fn: Responder, system_prompt: str, version: str,
-             max_hard_errors: int = CIRCUIT_BREAKER_THRESHOLD, buckets: int = 64,
-             partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+             max_hard_errors: int = CIRCUIT_BREAKER_THRESHOLD, partitions: int | None = None,
+             checkpoint: bool = True) -> DataFrame:
     """D3: run the classifier over (message_id, model, user_turn) rows, batched by model.
 
-    With ``checkpoint`` (default) the raw replies are written to the
-    session's checkpoint folder before anything else reads them: model calls
-    are the expensive, non-repeatable part, and a lost executor later in the
-    plan must not re-run them.
+    Each model's rows are spread over all partitions.  With ``checkpoint``
+    (default) the raw replies are written to the session's checkpoint folder
+    before anything else reads them: model calls are the expensive,
+    non-repeatable part, and a lost executor later in the plan must not re-run
+    them.  ``scoring_run`` stores replies as it goes.
     """
     ship_package(pairs.sparkSession)
     n = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = (pairs.withColumn("_b", F.pmod(F.xxhash64("message_id"), F.lit(buckets)))
+    spread = (pairs.withColumn("_b", F.pmod(F.xxhash64("message_id"), F.lit(n)))
                    .repartition(n, "model", "_b").sortWithinPartitions("model", "message_id")
                    .select("message_id", "model", "user_turn"))
     raw = spread.mapInPandas(_classify_partition(fn, system_prompt, version, max_hard_errors), RAW_SCHEMA)
@@ -103,6 +120,42 @@ def classify(pairs: DataFrame, fn: Responder, system_prompt: str, version: str,
     return raw
 
 
+def scoring_run(spark, m: DataFrame, models: list[str], fn: Responder, system_prompt: str, version: str, store: str,
+                waves: int = 8, strip_html: bool = False, max_hard_errors: int = CIRCUIT_BREAKER_THRESHOLD) -> dict[str, str]:
+    """A corpus scoring run: J4 -> D3 -> K3, K4, K5 under the folder ``store``.
+
+    The pending (message, model) pairs are scored in waves of whole messages;
+    a wave's raw replies are committed to ``store/replies`` before the next
+    begins, so an aborted pass keeps what it paid for and the next run takes
+    up the rest.  At the end the latest reply of each pair gives ``votes`` (K3),
+    ``errors`` (K4) and ``disagreements`` (K5).  Returns their paths.
+    """
+    from ..sources.lists import exists
+    from . import classify as K
+
+    replies = store.rstrip("/") + "/replies"
+    schema = RAW_SCHEMA + ", classified_at string"
+    turns = user_turns(m, strip_html)
+    for wave in range(waves):
+        known = spark.read.schema(schema).parquet(replies) if exists(spark, replies) else spark.createDataFrame([], schema)
+        done = known.where("raw_response IS NOT NULL").select("message_id", "model", "prompt_version").distinct()
+        own = turns.where(F.pmod(F.xxhash64("message_id"), F.lit(waves)) == wave)
+        todo = K.pending(own, models, done, version)
+        now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        (classify(todo, fn, system_prompt, version, max_hard_errors, checkpoint=False)
+         .withColumn("classified_at", now).write.mode("append").parquet(replies))
+    raw = spark.read.schema(schema).parquet(replies)
+    key = ["message_id", "model", "prompt_version"]
+    latest = K._first(raw, key, [F.col("raw_response").isNotNull().desc(), F.col("classified_at").desc()])
+    scored = parse_scored(latest.drop("classified_at")).drop("classified_at").join(latest.select(*key, "classified_at"), key)
+    stored, errors = split_errors(scored)
+    paths = {k: store.rstrip("/") + "/" + k for k in ("votes", "errors", "disagreements")}
+    stored.write.mode("overwrite").parquet(paths["votes"])
+    errors.write.mode("overwrite").json(paths["errors"])
+    K.disagreements(spark.read.parquet(paths["votes"]), models, version).write.mode("overwrite").json(paths["disagreements"])
+    return {"replies": replies, **paths}
+
+
 def parse_scored(raw: DataFrame, classified_at: str | None = None) -> DataFrame:
     """F7 on the raw replies; hard errors keep NULL raw_response."""
     out = TX.parse_label_responses(raw.withColumnRenamed("error", "_hard"), "raw_response", prefix="p_")
@@ -156,9 +209,6 @@ def _clauses() -> list[tuple[str, str, float | None, Column]]:
     ]
 
 
-CLAUSE_NAMES = [
-    "forwarded", "auto_reply", "contact", "replied_thread", "receipt_or_travel", "signature_request",
-    "mailing_list", "expired_notice", "bulk_category", "no_reply_sender"]
 # model name -> clause it leaves out (None = full rule set)
 RULE_MODELS = {"rules-full": None, "rules-no-contact": "contact", "rules-no-category": "bulk_category"}
 

@@ -62,6 +62,15 @@ def predicate(r: Rule, as_of: int) -> str:
         c.append(_flag("in_sent", 0))
     if r.not_chats:
         c.append(f"NOT {_has(['Chats'])}")
+    for want, column in ((r.starred, "is_starred"), (r.important, "is_important"), (r.sent, "in_sent")):
+        if want is not None:
+            c.append(_flag(column, 1 if want else 0))
+    if r.chats is not None:
+        c.append(("" if r.chats else "NOT ") + _has(["Chats"]))
+    if r.label_any:
+        c.append(_has(r.label_any))
+    if r.label_none:
+        c.append(f"NOT {_has(r.label_none)}")
     if r.no_user_labels:
         c.append("len(list_filter(coalesce(labels, CAST([] AS VARCHAR[])), lambda x: NOT starts_with(x, 'Category ') "
                  f"AND NOT list_contains({_lst(SYSTEM_LABELS)}, x))) = 0")

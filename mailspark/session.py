@@ -41,8 +41,9 @@ def local_session(cores: int | str = "*", app: str = "mailspark", conf: dict | N
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) do we point it at a fresh scratch folder.
+    ``spark.checkpoint.dir`` is read from the session.  Only a session on one
+    machine (a local master) may go without: it gets a fresh scratch folder.
+    On a cluster a folder of the driver is no shared folder, so that fails.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
@@ -51,6 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(cur)
         return cur
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
     path = tempfile.mkdtemp(prefix="mailspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

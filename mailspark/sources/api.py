@@ -52,8 +52,11 @@ def sender_email(from_raw: Column, fallback: bool = True) -> Column:
 
 
 def b64url_text(data: Column) -> Column:
-    return F.when(F.coalesce(data, F.lit("")) != "",
-                  F.decode(F.unbase64(F.translate(data, "-_", "+/")), "UTF-8"))
+    """Text of base64url data; bytes that are no UTF-8 are replaced, data that is no base64 gives ''."""
+    plain = F.regexp_replace(F.translate(data, "-_", "+/"), "[=\\s]+", "")
+    padded = F.concat(plain, F.repeat(F.lit("="), F.pmod(-F.length(plain), F.lit(4))))
+    text = F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+    return F.when(F.coalesce(data, F.lit("")) != "", F.coalesce(text, F.lit("")))
 
 
 def api_body(payload: Column) -> Column:

@@ -8,6 +8,7 @@ typed rule rows for the cascade; they never carry message data.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +17,35 @@ from pyspark.sql import types as T
 from ..functions.predicates import Rule
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path)
-    try:
-        spark.read.text(path).limit(0).collect()
-        return True
-    except Exception:  # noqa: BLE001
-        return False
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, as Spark's own file systems see it.
+
+    Only a file system that answers "not there" makes an input empty; one
+    that cannot be reached, or a wrong scheme, fails: an empty contact list
+    would switch the protection off.
+    """
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (value, line_no); line_no orders them by file time, file name, place in the file."""
+    return (spark.read.text(path).select("value", F.struct(
+        F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("line_no")))
+
+
+_LINE_NO = "struct<time:timestamp,file:string,block:bigint,line:bigint>"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank, non-comment lines (value, line_no) of a text file; empty when missing."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], "value string, line_no long")
-    df = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"value string, line_no {_LINE_NO}")
     v = F.trim(F.col("value"))
-    return df.where((v != "") & ~v.startswith("#"))
+    return _numbered(spark, path).where((v != "") & ~v.startswith("#"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -43,12 +56,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
     """
     corrupt = "_corrupt_record"
     full = T.StructType(schema.fields + [T.StructField(corrupt, T.StringType())])
-    if not _exists(spark, path):
+    if not exists(spark, path):
         empty = spark.createDataFrame([], full)
-        return empty.drop(corrupt).withColumn("line_no", F.lit(0).cast("long")), empty.select(corrupt)
+        return empty.drop(corrupt).withColumn("line_no", F.lit(None).cast(_LINE_NO)), empty.select(corrupt)
     # Lines in file order; line_no orders ties ("later line wins", W3).
-    lines = (spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-             .where(F.trim("value") != ""))
+    lines = _numbered(spark, path).where(F.trim("value") != "")
     parsed = lines.select("value", "line_no", F.from_json("value", full, {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}).alias("r"))
     ok = parsed["r"].isNotNull() & parsed["r"][corrupt].isNull()
@@ -87,7 +99,7 @@ def read_noisy_senders(spark: SparkSession, path: str) -> DataFrame:
     kws = F.filter(F.transform(F.split(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), ","), lambda k: F.trim(k)),
                    lambda k: k != "")
     return (_lines(spark, path)
-            .select(F.lower(F.trim(F.try_element_at(parts, F.lit(1)))).alias("address"), kws.alias("exclude_keywords"))
+            .select(F.lower(F.trim(F.try_element_at(parts, F.lit(1)))).alias("address"), kws.alias("exclude_keywords"), "line_no")
             .where(F.col("address") != ""))
 
 
@@ -99,12 +111,9 @@ def read_tab_rows(spark: SparkSession, path: str) -> DataFrame:
             .where(F.col("name") != ""))
 
 
-def _collect_config(df: DataFrame, limit: int = 10000) -> list:
-    """Config files are user-sized; refuse anything that is not."""
-    rows = df.orderBy("line_no").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"config file has more than {limit} rules")
-    return rows
+def _collect_config(df: DataFrame) -> list:
+    """Rows of a rule file, in line order (rules are conditions of the plan, so the driver holds them)."""
+    return df.orderBy("line_no").collect()
 
 
 def industry_rows(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
@@ -115,20 +124,25 @@ def industry_rows(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]
 def keep_rules(spark: SparkSession, path: str, mode: str) -> list[Rule]:
     """Keep-rule file -> typed rules for rescue (mode='rescue') or reference labelling.
 
-    The documented fragment forms are supported as typed fields:
-    ``from:addr``, ``from:(a OR b)``, ``subject:word`` / ``subject:(a OR "b c")``;
-    other fragments are rejected (no general query-string parser).
+    A fragment is one or more fields (``_fragment``): from, subject, category
+    and label terms, ages and states; anything else is rejected.
     """
     out = []
     for r in _collect_config(read_tab_rows(spark, path)):
         fields = _fragment(r.rest)
         if mode == "rescue":
-            out.append(Rule(r.name, in_trash=True, **fields))
+            out.append(Rule(r.name, **{"in_trash": True, **fields}))
         else:
-            out.append(Rule(r.name, not_reference=True, in_trash=False, **fields))
+            out.append(Rule(r.name, **{"not_reference": True, "in_trash": False, **fields}))
     return out
 
 
+_FIELD = re.compile(r"""(-?)([a-z_]+):(\([^)]*\)|"[^"]*"|\S+)\s*""")
+# Flags that a fragment may ask for or exclude.
+_STATES = {"is:starred": "starred", "is:important": "important", "in:sent": "sent", "in:chats": "chats", "in:inbox": "in_inbox",
+           "in:trash": "in_trash", "is:unread": "unread"}
+
+
 def _terms(v: str) -> tuple[str, ...]:
     v = v.strip()
     if v.startswith("(") and v.endswith(")"):
@@ -137,11 +151,29 @@ def _terms(v: str) -> tuple[str, ...]:
 
 
 def _fragment(frag: str) -> dict:
-    frag = frag.strip()
-    for key, field in (("from:", "from_any"), ("subject:", "subject_any")):
-        if frag.startswith(key):
-            return {field: _terms(frag[len(key):])}
-    raise ValueError(f"unsupported keep-rule fragment: {frag!r} (use from:… or subject:…)")
+    """The fields of a fragment such as ``from:(a OR b) subject:"c d" older_than:1y -is:starred``."""
+    out: dict = {}
+    at, frag = 0, frag.strip()
+    while at < len(frag):
+        m = _FIELD.match(frag, at)
+        if not m:
+            raise ValueError(f"unsupported keep-rule fragment: {frag[at:]!r} in {frag!r}")
+        minus, name, value = bool(m[1]), m[2], m[3]
+        state = f"{name}:{value.lower()}"
+        if name in ("from", "subject", "category", "label") and not (minus and name == "from"):
+            out[f"{name}_{'none' if minus else 'any'}"] = _terms(value)
+        elif name in ("older_than", "newer_than") and not minus:
+            out[name] = value
+        elif state == "is:read":
+            out["unread"] = minus
+        elif state in _STATES:
+            out[_STATES[state]] = not minus
+        else:
+            raise ValueError(f"unsupported keep-rule field: {m[0].strip()!r} in {frag!r}")
+        at = m.end()
+    if not out:
+        raise ValueError("empty keep-rule fragment")
+    return out
 
 
 def build_contacts(connections: DataFrame, other: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ never cross from the Python worker into the JVM and back.
 Files are opened with ``pyarrow.fs`` so local, HDFS and object-store paths
 work the same on executors.  The streaming reader uses the byte position
 per file as its offset: a micro-batch covers the complete messages appended
-since the last committed position (a message is complete once the next
-envelope line exists; the file's tail stays pending until then).
+since the last committed position.  A message is complete once the next
+envelope line exists; a file's last message is, once the file has kept its
+size from one trigger to the next.
 """
 
 from __future__ import annotations
@@ -67,6 +68,20 @@ class _Lines:
         f.seek(pos)
         self.buf, self.i = b"", 0
 
+    def skip_line(self, end: int) -> None:
+        """Pass the rest of a line without keeping it; stops early once the position reaches ``end``."""
+        while self.pos < end:
+            if self.i >= len(self.buf):
+                self.buf, self.i = self.f.read(BLOCK), 0
+                if not self.buf:
+                    return
+            j = self.buf.find(b"\n", self.i)
+            stop = len(self.buf) if j < 0 else j + 1
+            self.pos += stop - self.i
+            self.i = stop
+            if j >= 0:
+                return
+
     def readline(self) -> bytes:
         parts = []
         while True:
@@ -95,11 +110,13 @@ def read_range(path: str, start: int, end: int) -> Iterator[tuple]:
             at_line_start = True
         rd = _Lines(f, start)
         if not at_line_start:
-            rd.readline()                                   # finish the line we landed in
+            rd.skip_line(end)                               # pass the line we landed in
         msg_start = 0 if start == 0 else None               # bytes before a first envelope
         buf: list[bytes] = []
         while True:
             line_pos = rd.pos
+            if msg_start is None and line_pos >= end:       # no message begins in this range
+                return
             line = rd.readline()
             if not line:
                 break
@@ -107,8 +124,6 @@ def read_range(path: str, start: int, end: int) -> Iterator[tuple]:
             if msg_start is None:                           # looking for the first envelope
                 if not is_env:
                     continue
-                if line_pos >= end:
-                    return
                 msg_start = line_pos
             elif is_env and buf:
                 yield (path, msg_start, line_pos - msg_start, b"".join(buf))
@@ -153,9 +168,15 @@ class MboxReader(DataSourceReader):
         self.split = int(options.get("splitSize", DEFAULT_SPLIT))
         self.parse = str(options.get("parse", "false")).lower() == "true"
         self.max_bytes = int(options.get("maxBodyKb", 500)) * 1024
+        # JSON list of [path, start, end]: read these byte ranges only (messages that begin in them)
+        self.ranges = json.loads(options.get("ranges", "null"))
 
     def partitions(self):
-        return split_ranges(list_files(self.path), self.split) or [MboxPartition(self.path, 0, 0)]
+        if self.ranges is not None:
+            parts = [MboxPartition(p, a, min(a + self.split, e)) for p, s, e in self.ranges for a in range(s, e, self.split)]
+        else:
+            parts = split_ranges(list_files(self.path), self.split)
+        return parts or [MboxPartition(self.path, 0, 0)]
 
     def read(self, partition: MboxPartition):
         if partition.end <= partition.start:
@@ -191,18 +212,26 @@ class MboxStreamReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path = options.get("path")
         self.split = int(options.get("splitSize", DEFAULT_SPLIT))
-        # 'true': files are written whole (no partial tail), so EOF ends the last message
+        # 'true': files are written whole (no partial tail), so EOF ends the last message at once;
+        # otherwise it does when a file has not changed since the trigger before
         self.eof_complete = str(options.get("eofComplete", "false")).lower() == "true"
         self.parse = str(options.get("parse", "false")).lower() == "true"
         self.max_bytes = int(options.get("maxBodyKb", 500)) * 1024
 
+        self.seen: dict[str, tuple[int, int]] = {}           # path: size at the last trigger, complete up to there
+
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        if self.eof_complete:
-            return {p: size for p, size in list_files(self.path)}
-        return {p: _complete_end(p, size) for p, size in list_files(self.path)}
+        out = {}
+        for p, size in list_files(self.path):
+            if self.eof_complete or self.seen.get(p, (-1, 0))[0] == size:
+                out[p] = size
+            else:
+                out[p] = max(_complete_end(p, size), self.seen.get(p, (0, 0))[1])
+            self.seen[p] = (size, out[p])
+        return out
 
     def partitions(self, start: dict, end: dict):
         parts = []

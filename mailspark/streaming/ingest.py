@@ -15,21 +15,21 @@ from pyspark.sql import functions as F
 
 from ..sources import mbox as MB
 from ..sources import parse as P
+from ..sources.lists import exists
 
 
-def _target_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - first batch: no table yet
-        return None
+def _target_or_none(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
+    """The target table (its columns are those of ``like``), or None before the first batch has written it."""
+    return spark.read.schema(like.schema).parquet(path) if exists(spark, path) else None
 
 
 def ingest_batch(spark: SparkSession, target: str, quarantine: str | None = None, parsed_input: bool = False):
     def run(batch: DataFrame, batch_id: int) -> None:
         parsed = P.with_derived_columns(batch) if parsed_input else P.parse_messages(batch)
         good, bad = P.split_parsed(parsed)
-        fresh = P.new_messages(good, _target_or_none(spark, target))
-        P.write_messages(fresh, target, "append")
+        good = good.persist()
+        P.write_messages(P.new_messages(good, _target_or_none(spark, target, good)), target, "append")
+        good.unpersist()
         if quarantine:
             bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(quarantine)
     return run
@@ -40,7 +40,8 @@ def ingest_stream(spark: SparkSession, source_path: str, target: str, checkpoint
                   parse_in_reader: bool = True):
     """Start the ingest stream; returns the StreamingQuery.
 
-    By default the reader parses messages as it reads them (no raw bytes
+    A file's last message comes with the next trigger that finds the file
+    unchanged.  By default the reader parses messages as it reads them (no raw bytes
     through the JVM); ``parse_in_reader=False`` ships raw messages to the
     Arrow parse job instead.
     """
@@ -57,39 +58,82 @@ def dedup_within_watermark(stream: DataFrame, ts_col: str = "ts", delay: str = "
     return stream.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(["message_id"])
 
 
+_STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+
+
+def _ledger_rows(spark: SparkSession, rows: list[dict], ledger_path: str) -> None:
+    """Append ledger rows; ids ascend over runs (microseconds, then the row's number), so "latest" has no ties."""
+    import time
+
+    stamp = spark.range(1).select(F.date_format(F.current_timestamp(), _STAMP).alias("t")).first()["t"]
+    base = time.time_ns() // 1000 * 1000
+    data = [(base + i, r["path"], r["size"], r["offset"], r["seen"], r["new"], r.get("started") or stamp, stamp,
+             stamp if r["offset"] >= r["size"] else None) for i, r in enumerate(rows)]
+    schema = P.LEDGER_SCHEMA.replace("messages_imported long,", "messages_imported long, messages_new long,")
+    spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(ledger_path)
+
+
 def ingest_files(spark: SparkSession, source_path: str, target: str, ledger_path: str | None = None,
-                 quarantine: str | None = None, split_size: int = MB.DEFAULT_SPLIT) -> dict:
+                 quarantine: str | None = None, split_size: int = MB.DEFAULT_SPLIT, wave_bytes: int = 64 << 30) -> dict:
     """Batch ingest (S1 -> S2 -> K1 -> table, K2 ledger).
 
-    Reads every mbox file under ``source_path`` (parsed inside the reader),
-    drops what the target already holds, appends the rest with the table
-    layout, quarantines unparseable messages, and appends one ledger row per
-    file (messages seen, new messages, completion time).  Re-running it is
-    idempotent.  The parsed messages are checkpointed once to the shared
-    checkpoint folder, so the source is parsed a single time and a lost
-    executor never re-parses it.  Returns the counts.
+    Files go in waves of about ``wave_bytes`` bytes.  A wave is parsed once
+    into a staged table in the shared folder, what the target lacks is
+    appended, unparseable messages are quarantined, and each file's ledger row
+    is written: how far it is read, messages seen and messages new, and when it
+    was completed.  A later run reads the ledger, leaves completed files
+    alone and takes up the others where their last row ends; a file whose size
+    changed is read anew.  Returns the counts of this run.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    # parse once: the write, the counts and the ledger all read this checkpoint
-    parsed = P.read_parsed(spark, source_path, split_size).checkpoint(eager=True)
-    good, bad = P.split_parsed(parsed)
-    target_df = _target_or_none(spark, target)
-    fresh = P.new_messages(good, target_df)
-    P.write_messages(fresh, target, "append")
-    if quarantine:
-        bad.write.mode("append").parquet(quarantine)
-    counts = {"seen": good.count(), "new": None, "quarantined": bad.count()}
-    after = spark.read.parquet(target)
-    counts["new"] = after.count() - (target_df.count() if target_df is not None else 0)
-    if ledger_path:
-        now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-        files = spark.createDataFrame(MB.list_files(source_path), "mbox_path string, mbox_size_bytes long")
-        per_file = good.groupBy(F.col("path").alias("mbox_path")).agg(F.count(F.lit(1)).alias("messages_imported"))
-        rows = (files.join(per_file, "mbox_path", "left")
-                .select(F.monotonically_increasing_id().alias("id"), "mbox_path", "mbox_size_bytes",
-                        F.col("mbox_size_bytes").alias("last_offset"),
-                        F.coalesce("messages_imported", F.lit(0)).cast("long").alias("messages_imported"),
-                        now.alias("started_at"), now.alias("updated_at"), now.alias("completed_at")))
-        rows.write.mode("append").parquet(ledger_path)
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    left = []
+    state: dict[tuple[str, int], dict] = {}
+    if ledger_path and exists(spark, ledger_path):
+        rows = spark.read.parquet(ledger_path)
+        for r in P.update_ledger(rows.limit(0), rows).collect():          # a row a file
+            state[r["mbox_path"], r["mbox_size_bytes"]] = {
+                "offset": r["last_offset"], "seen": r["messages_imported"], "new": r["messages_new"], "started": r["started_at"]}
+    for path, size in MB.list_files(source_path):
+        at = state.get((path, size), {}).get("offset", 0)
+        if at < size:
+            left.append([path, size, at])
+    counts = {"seen": 0, "new": 0, "quarantined": 0}
+    while left:
+        ranges, room, rest = [], wave_bytes, []
+        for path, size, at in left:
+            if room <= 0:
+                rest.append([path, size, at])
+                continue
+            stop = min(size, at + room)
+            ranges.append([path, at, stop])
+            room -= stop - at
+            if stop < size:
+                rest.append([path, size, stop])
+        sizes = {path: size for path, size, _ in left}
+        staged = checkpoint_dir(spark, f"ingest-{uuid.uuid4().hex}")
+        P.read_parsed(spark, source_path, split_size, ranges=ranges).write.parquet(staged)
+        good, bad = P.split_parsed(spark.read.parquet(staged))
+        fresh = P.new_messages(good, _target_or_none(spark, target, good))
+        chosen = checkpoint_dir(spark, f"ingest-{uuid.uuid4().hex}")
+        fresh.write.parquet(chosen)                          # before the append: the target is one of its inputs
+        fresh = spark.read.schema(fresh.schema).parquet(chosen)
+        P.write_messages(fresh, target, "append")
+        n_bad = bad.count()
+        if quarantine and n_bad:
+            bad.write.mode("append").parquet(quarantine)
+        per_file = {r["path"]: r["n"] for r in good.groupBy("path").agg(F.count(F.lit(1)).alias("n")).collect()}
+        per_new = {r["path"]: r["n"] for r in fresh.groupBy("path").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts = {"seen": counts["seen"] + sum(per_file.values()), "new": counts["new"] + sum(per_new.values()),
+                  "quarantined": counts["quarantined"] + n_bad}
+        out = []
+        for path, _, stop in ranges:
+            own = state.setdefault((path, sizes[path]), {"seen": 0, "new": 0, "started": None})
+            own.update(offset=stop, seen=own["seen"] + per_file.get(path, 0), new=(own["new"] or 0) + per_new.get(path, 0))
+            out.append({"path": path, "size": sizes[path], **own})
+        if ledger_path:
+            _ledger_rows(spark, out, ledger_path)
+        left = rest
     return counts

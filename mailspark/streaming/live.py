@@ -1,16 +1,16 @@
 """Live scoring (St3) as Structured Streaming.
 
-Stream of API messages -> exclusions in the reference's order: already
-checkpointed (J5), sender is a contact (J1), Reference label, thread already
-replied to (J2) -> per micro-batch: sanitise (HTML stripped: Q14) -> every
+Stream of API messages in the inbox -> exclusions in the reference's order:
+already checkpointed (J5: by the rows given and by this sink's own), sender is
+a contact (J1), Reference label, thread already replied to (J2) -> per micro-batch: sanitise (HTML stripped: Q14) -> every
 model (J12) -> batched classifier (D3) -> parse (F7) -> unanimous vote (A27)
 -> action label (F17).
 
 The sink is ``foreachBatch`` with a write-ahead order (K8): the checkpoint /
 audit rows of a batch are written before its action rows, both as the
 batch's own partition (``batch_id=<n>``, overwritten on replay), so a replayed
-batch never duplicates output.  Action rows carry ``applied=False`` in dry
-runs; applying labels to a mailbox is outside Spark (remote side effects).
+batch never duplicates output.  A dry run writes its actions (``applied=False``)
+and no checkpoint, so the real run scores the same messages again; applying labels to a mailbox is outside Spark (remote side effects).
 """
 
 from __future__ import annotations
@@ -23,12 +23,17 @@ from ..functions import text as TX
 from ..operators import classify as K
 from ..operators import score as SC
 from ..sources import api as API
+from ..sources.lists import exists
+
+
+# Fixed value: the inbox label of the mailbox API.
+INBOX = "INBOX"
 
 
 def live_candidates(api_stream: DataFrame, checkpointed: DataFrame, contacts: DataFrame,
                     replied_threads: DataFrame) -> DataFrame:
     """Stream-static exclusions, in order; every lookup side is static."""
-    m = API.api_to_messages(api_stream)
+    m = API.api_to_messages(api_stream).where(F.array_contains("label_ids", INBOX))
     m = m.join(checkpointed.select("message_id").distinct(), "message_id", "left_anti")
     m = m.join(contacts.select(F.lower(F.trim("email")).alias("from_email")).distinct(), "from_email", "left_anti")
     m = m.where(~F.col("has_reference"))
@@ -46,15 +51,26 @@ def score_batch(batch: DataFrame, models: list[str], fn, system_prompt: str, ver
     return votes.withColumn("action_label", C.action_label("vote"))
 
 
+_CHECKPOINT = "ts string, category string, message_id string, label string, prompt_version string, batch_id long"
+
+
+def _own_checkpoint(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_CHECKPOINT).json(path) if exists(spark, path) else spark.createDataFrame([], _CHECKPOINT)
+
+
 def live_sink(out_dir: str, models: list[str], fn, system_prompt: str, version: str, dry_run: bool = True):
     def run(batch: DataFrame, batch_id: int) -> None:
-        res = score_batch(batch, models, fn, system_prompt, version).cache()
+        # what earlier batches have checkpointed (the static side of the stream does not see that)
+        done = _own_checkpoint(batch.sparkSession, out_dir + "/audit").where(F.col("batch_id") != batch_id)
+        fresh = batch.join(done.select("message_id").distinct(), "message_id", "left_anti")
+        res = score_batch(fresh, models, fn, system_prompt, version).cache()
         ts = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
         audit = res.select(ts.alias("ts"), F.lit("ai_classify").alias("category"), "message_id",
-                           F.col("vote").alias("label"), F.lit(version).alias("prompt_version"),
+                           F.col("action_label").alias("label"), F.lit(version).alias("prompt_version"),
                            F.lit(batch_id).alias("batch_id"))
-        (audit.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-              .partitionBy("batch_id").json(out_dir + "/audit"))
+        if not dry_run:
+            (audit.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                  .partitionBy("batch_id").json(out_dir + "/audit"))
         actions = res.select("message_id", "vote", "action_label", F.lit(not dry_run).alias("applied"),
                              F.lit(batch_id).alias("batch_id"))
         (actions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

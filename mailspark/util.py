@@ -39,54 +39,6 @@ def newest_key(date="date_ts", key=KEY) -> Column:
     return F.struct(F.coalesce(col(date), F.lit(-(2 ** 63)).cast("long")).alias("d"), *[col(k) for k in names(key)])
 
 
-def _bytes(text: str) -> int:
-    t = text.strip().lower()
-    for suf, mul in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("k", 1 << 10), ("m", 1 << 20),
-                     ("g", 1 << 30), ("b", 1)):
-        if t.endswith(suf):
-            return int(float(t[: -len(suf)]) * mul)
-    return int(t)
-
-
-def size_bound(df) -> int:
-    """A proven upper bound of ``df``'s in-memory size: rows x widest row.
-
-    One aggregate job: the row count and, per row, 8 bytes for each
-    fixed-width column plus 16 + 4 x length for each string column (UTF-8 upper
-    bound).  Only for the small side of a join: it scans ``df`` once.
-    """
-    width = F.lit(0)
-    for name, t in df.dtypes:
-        if t == "string":
-            width = width + F.coalesce(F.length(F.col(name)), F.lit(0)) * 4 + 16
-        elif t.startswith(("array", "map", "struct")):
-            width = width + F.coalesce(F.length(F.to_json(F.col(name))), F.lit(0)) * 4 + 16
-        else:
-            width = width + 8
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.max(width).alias("w")).first()
-    return int(r["n"]) * int(r["w"] or 0)
-
-
-def small_side(df, max_bytes: int | None = None):
-    """Broadcast ``df`` only under a proven size bound (``size_bound``).
-
-    The bound defaults to the session's ``spark.sql.autoBroadcastJoinThreshold``
-    (-1 disables).  Above it the DataFrame is returned untouched and the join
-    stays a shuffle join (AQE may still demote it at run time from real
-    statistics).
-    """
-    if max_bytes is None:
-        try:
-            max_bytes = _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
-        except Exception:  # noqa: BLE001
-            max_bytes = 10485760
-    if max_bytes < 0:
-        return df
-    if size_bound(df) <= max_bytes:
-        return F.broadcast(df)
-    return df
-
-
 def spread(df, min_partitions: int | None = None):
     """Round-robin an under-partitioned input over the cluster's cores.
 

@@ -99,5 +99,112 @@ def test_live_scoring_stream(spark):
     assert set(acts) == {"id0", "id1"}
     assert acts["id0"].action_label == "AI/Keep" and acts["id1"].action_label == "AI/Delete"
     assert all(r.applied is False for r in acts.values())
-    audit = spark.read.json(tmp + "/out/audit")
-    assert audit.count() == 2 and audit.where("category = 'ai_classify'").count() == 2
+    assert not os.path.exists(tmp + "/out/audit")                          # a dry run marks nothing as done
+
+    def real(n):
+        q = start_live(spark, tmp + "/in", tmp + "/real", f"{tmp}/ck{n}", checkpointed, contacts, replied,
+                       ["kw-a", "kw-b"], SC.keyword_responder, "p", "v1.1.0", dry_run=False, trigger_once=True)
+        q.awaitTermination(180)
+        return spark.read.json(tmp + "/real/audit")
+    audit = real(1)
+    assert {(r.message_id, r.label, r.category) for r in audit.collect()} == {
+        ("id0", "AI/Keep", "ai_classify"), ("id1", "AI/Delete", "ai_classify")}
+    # mail that comes later, and a message already checkpointed by this sink, in a new batch of a running stream
+    again = [dict(msgs[0]), dict(msgs[1], id="id9"), dict(msgs[1], id="id10", labelIds=["SENT"])]
+    again[1]["payload"] = {"headers": msgs[1]["payload"]["headers"], "body": {"data": base64.urlsafe_b64encode(b"caf\xe9").decode()}}
+    with open(tmp + "/in/later.json", "w") as f:
+        f.write("\n".join(json.dumps(m) for m in again) + "\n")
+    assert sorted(r.message_id for r in real(1).collect()) == ["id0", "id1", "id9"]
+
+
+def test_api_bodies_of_any_bytes(spark):
+    from mailspark.sources import api as API
+    vals = [base64.urlsafe_b64encode(b"caf\xe9 \xc3\xa9").decode().rstrip("="), "***", "", None,
+            base64.urlsafe_b64encode("\u00e9?>".encode()).decode()]
+    df = spark.createDataFrame([(v,) for v in vals], "d string").select(API.b64url_text(F.col("d")).alias("t"))
+    assert [r.t for r in df.collect()] == ["caf\ufffd \u00e9", "", None, None, "\u00e9?>"]
+
+
+def _responder(bad):
+    """A model that fails a whole call where ``bad(model, turn)`` holds (a closure, so that workers need no test module)."""
+    def fn(model, prompt, turns):
+        if any(bad(model, t) for t in turns):
+            raise TimeoutError("slow")
+        return ['{"label": "keep", "confidence": 0.9, "reason": "r"}' for _ in turns]
+    return fn
+
+
+def test_one_bad_call_costs_one_message(spark):
+    pairs = spark.createDataFrame([(f"m{i}", "a", "poison" if i == 7 else "fine") for i in range(40)],
+                                  "message_id string, model string, user_turn string")
+    rows = SC.classify(pairs, _responder(lambda m, t: "poison" in t), "p", "v1.1.0", partitions=1).collect()
+    assert [r.message_id for r in rows if r.error] == ["m7"] and len(rows) == 40
+
+
+def test_scoring_run_keeps_what_it_has_and_resumes(spark):
+    tmp = tempfile.mkdtemp(prefix="score-run-")
+    m = spark.createDataFrame([(f"m{i}", "a@x", "A", f"s{i}", "body") for i in range(30)],
+                              "message_id string, from_email string, from_name string, subject string, body_text string")
+    try:
+        SC.scoring_run(spark, m, ["a", "b"], _responder(lambda m, t: m == "b"), "p", "v1.1.0", tmp, waves=3)
+        raise AssertionError("the budget must end the pass")
+    except Exception as exc:  # noqa: BLE001
+        assert "hard errors" in str(exc)
+    SC.scoring_run(spark, m, ["a"], _responder(lambda m, t: m == "b"), "p", "v1.1.0", tmp, waves=3)
+    n = spark.read.parquet(tmp + "/replies").count()
+    assert n == 30
+    paths = SC.scoring_run(spark, m, ["a", "b"], SC.keyword_responder, "p", "v1.1.0", tmp, waves=3)
+    votes = spark.read.parquet(paths["votes"])
+    assert votes.count() == 60 and votes.where("model = 'a' AND label = 'keep'").count() == 30
+    assert spark.read.json(paths["disagreements"]).count() == 30 and spark.read.json(paths["errors"]).count() == 30
+
+
+def test_unreachable_inputs_fail(spark):
+    assert L.read_contacts(spark, "/nowhere/contacts.txt").count() == 0                  # proven missing
+    for path in ("nosuchscheme://x/contacts.txt", "hdfs://127.0.0.1:1/contacts.txt"):
+        spark.sparkContext._jsc.hadoopConfiguration().set("ipc.client.connect.max.retries", "0")
+        try:
+            L.read_contacts(spark, path).count()
+            raise AssertionError("an unreachable contact list must fail")
+        except AssertionError:
+            raise
+        except Exception:  # noqa: BLE001
+            pass
+
+
+def test_keep_rule_fragments():
+    f = L._fragment('from:(a@b.com OR shop.com) subject:"order 66" older_than:1y -is:starred label:Receipts -category:promotions is:read')
+    assert f == {"from_any": ("a@b.com", "shop.com"), "subject_any": ("order 66",), "older_than": "1y", "starred": False,
+                 "label_any": ("Receipts",), "category_none": ("promotions",), "unread": False}
+    for bad in ("", "has:nothing", "from:a@b.com larger words", "-from:a@b.com"):
+        try:
+            L._fragment(bad)
+            raise AssertionError(bad)
+        except ValueError:
+            pass
+
+
+def test_retention_run_from_mbox_files_to_new_table(spark):
+    from mailspark.operators import rules as R
+    from mailspark.sources import mbox as MB
+    tmp = tempfile.mkdtemp(prefix="retention-")
+    head = "From x Mon Jan 01 00:00:00 2024\nDate: Sat, 01 Jan 2022 00:00:00 +0000\nMessage-ID: <{}>\nFrom: <{}>\nSubject: s\nX-Gmail-Labels: {}\n\nb\n"
+    with open(tmp + "/a.mbox", "w") as f:
+        f.write(head.format("p1", "ads@shop.com", "Category Promotions,Unread") + head.format("p2", "friend@x.com", "Category Promotions,Unread"))
+    with open(tmp + "/b.mbox", "w") as f:                                  # the same offset, protected by its flags
+        f.write(head.format("k1", "boss@x.com", "Category Promotions,Unread,Starred,Important"))
+    m = P.read_parsed(spark, tmp)
+    assert {r.mbox_offset for r in m.where("message_id IN ('p1', 'k1')").collect()} == {0}
+    contacts = spark.createDataFrame([(" Friend@X.com ",)], "email string")
+    out = tempfile.mkdtemp(prefix="retention-out-")
+    args = (m, R.STANDING_RULES, contacts, 1704067200, out + "/t", out + "/audit", out + "/sum", "2024-01-01T00:00:00Z")
+    R.retention_run(*args, dry_run=True).collect()
+    assert os.listdir(out) == []
+    s = R.retention_run(*args).collect()
+    assert [(r.category, r.moved, r.skipped) for r in s] == [("Old promotions", 1, 1)]
+    t = {r.message_id: r for r in spark.read.parquet(out + "/t").collect()}
+    assert len(t) == 3 and {k for k, r in t.items() if r.in_trash} == {"p1"} and "Audit/Pruned/Old promotions" in t["p1"].labels
+    a = spark.read.json(out + "/audit").collect()
+    assert [(r.message_id, r.action, r["from"]) for r in a] == [("p1", "pruned", "ads@shop.com")]
+    assert spark.read.parquet(out + "/sum").count() == 1
+    assert MB is not None

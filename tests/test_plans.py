@@ -42,12 +42,13 @@ def test_stored_layout_prunes_partitions_and_pushes_dates(spark):
     assert q.count() > 0
 
 
-def test_contacts_broadcast_only_when_small(spark):
-    from mailspark.util import small_side
-    small = spark.range(10)
-    assert "ResolvedHint" in small_side(small)._jdf.queryExecution().analyzed().toString() or \
-        "broadcast" in small_side(small)._jdf.queryExecution().analyzed().toString().lower()
-    assert small_side(small, max_bytes=1) is small
+@pytest.mark.parametrize("name", ["vote", "disagreeing_keys", "disagreement_rate", "ensemble_verdict", "minority_votes", "outlier_by_model",
+                                  "top_senders", "storage_by_sender", "unread_by_sender", "busiest_threads", "one_way_threads",
+                                  "upsert_classifications", "latest_corrections", "audit_near_misses", "rule_vote"])
+def test_no_sort_aggregate(spark, name):
+    import __spark_entry__ as E
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
 
 
 def test_bounded_sorts_keep_order(spark):

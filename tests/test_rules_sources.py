@@ -12,13 +12,13 @@ from mailspark.sources import api as API
 from mailspark.sources import lists as L
 
 AS_OF = 996624000  # 2001-08-01
-MSCHEMA = ("mbox_offset long, message_id string, thread_id string, date_ts long, from_email string, subject string, "
+MSCHEMA = ("path string, mbox_offset long, message_id string, thread_id string, date_ts long, from_email string, subject string, "
            "category string, labels array<string>, is_unread int, is_starred int, is_important int, in_inbox int, "
            "in_sent int, in_trash int, body_size_bytes long")
 
 
 def msg(off, **kw):
-    base = dict(mbox_offset=off, message_id=f"m{off}", thread_id=f"t{off}", date_ts=AS_OF - 400 * 86400,
+    base = dict(path="a.mbox", mbox_offset=off, message_id=f"m{off}", thread_id=f"t{off}", date_ts=AS_OF - 400 * 86400,
                 from_email="a@b.com", subject="hello", category="promotions", labels=["Category Promotions"],
                 is_unread=1, is_starred=0, is_important=0, in_inbox=1, in_sent=0, in_trash=0, body_size_bytes=10)
     base.update(kw)
