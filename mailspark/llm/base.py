@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from ..util import ship_package
@@ -42,6 +44,37 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the filter that ``near`` sends to the tasks (8 MB).
+FILTER_BITS = 1 << 26
+
+
+def near(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among ``ids`` (one column): a Bloom filter of fixed size.
+
+    Put before a join that would shuffle long texts of which few match.  It
+    lets every match pass; with very many ids it lets all else pass too, and
+    the join alone decides.
+    """
+    spark = df.sparkSession
+    h = F.xxhash64(F.col(ids.columns[0]))
+    places = F.array(F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftright(h, 32), F.lit(FILTER_BITS)))
+    words = (ids.select(F.explode(places).alias("p"))
+             .groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+             .collect())                                     # FILTER_BITS / 64 short rows at most
+    table = np.zeros(FILTER_BITS >> 6, np.int64)
+    if words:
+        table[np.array([w["word"] for w in words])] = np.array([w["bits"] for w in words], np.int64)
+    sent = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def holds(p: pd.Series, q: pd.Series) -> pd.Series:
+        t = sent.value
+        x, y = p.to_numpy(np.int64), q.to_numpy(np.int64)
+        return pd.Series((t[x >> 6] >> (x & 63) & 1 & t[y >> 6] >> (y & 63)).astype(bool))
+    own = F.xxhash64(F.col(column))
+    return df.filter(holds(F.pmod(own, F.lit(FILTER_BITS)), F.pmod(F.shiftright(own, 32), F.lit(FILTER_BITS))))
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS):
     """Yield (start, stop, texts) runs of rows whose texts hold about ``limit`` bytes; null texts become empty."""
     arr = batch.column(batch.schema.get_field_index(column))
@@ -61,6 +94,20 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, ro
         start = stop
 
 
+def merged(batches, limit: int):
+    """Arrow batches joined until they hold about ``limit`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def ended(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, each with one line end put behind it, and where each text starts (one more than texts)."""
     big = pa.types.is_large_string(texts.type)

@@ -34,15 +34,16 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import uuid
+import itertools
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import ids as column_ids
-from .base import prepare, staged, text_slices
+from .base import merged, prepare, staged, text_slices
 from .quality import remainder
 from .words import _BYTE, IS_SPACE, Words, _power_tables
 
@@ -51,9 +52,11 @@ ROUNDS = 2
 DISCOUNT = 0.7
 #: Weight of the first distribution among the expected counts, in events.
 PRIOR = 5_000.0
+#: Text of a chunk, in bytes (a longer text is a chunk of its own).
+CHUNK_BYTES = 5 << 20
 _PACK = "zstd"
-#: Words, and bytes of them, whose lattices are built at once.
-LATTICE_WORDS, LATTICE_BYTES = 16_000, 400_000
+#: Bytes of words whose lattices are built at once.
+LATTICE_BYTES = 400_000
 
 
 class Pieces:
@@ -189,9 +192,11 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        for batch in batches:
+        # numbers of chunks: unique among the tasks whose output is kept
+        number_of = itertools.count(TaskContext.get().partitionId() << 32)
+        for batch in merged(batches, CHUNK_BYTES):
             learn = column_ids(batch, "learn").to_numpy(zero_copy_only=False)
-            for a, b, texts in text_slices(batch, "text"):
+            for a, b, texts in text_slices(batch, "text", 2 * CHUNK_BYTES, batch.num_rows):
                 w = Words(texts, ~IS_SPACE)
                 coded = w.strings().dictionary_encode()
                 number = coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32)
@@ -203,7 +208,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 number = place[number]
                 packed = [pa.compress(x.astype("<u2").tobytes(), _PACK, asbytes=True) for x in (number & 0xFFFF, number >> 16)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([uuid.uuid4().int >> 65], pa.int64()),
+                    pa.array([next(number_of)], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), column_ids(batch, "id").slice(a, b - a)),
                     pa.array([w.counts.tolist()], pa.list_(pa.int32())),
                     pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), coded.dictionary.take(pa.array(order))),
@@ -215,22 +220,6 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         run, f"chunk long, ids array<{kind}>, counts array<int>, words array<string>, times array<int>, low binary, high binary")
 
 
-def _batches_of_words(batches):
-    """Arrow batches joined to lattice size."""
-    held, rows, size = [], 0, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        size += batch.column(0).nbytes
-        if rows >= LATTICE_WORDS or size >= LATTICE_BYTES:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, rows, size = [], 0, 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Natural log probability of each piece, from counted words (word, c)."""
     spark = prepare(words.sparkSession)
@@ -242,7 +231,7 @@ def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
         def run(batches, sent=sent):
             v = vocabulary(path)
             total = np.zeros(v.size)
-            for batch in _batches_of_words(batches):
+            for batch in merged(batches, LATTICE_BYTES):
                 own = [x.encode() for x in batch.column(0).to_pylist()]
                 total += Lattice(own, v).expected(sent.value, np.ones(len(own)), v.size)
             used = np.flatnonzero(total)
@@ -272,7 +261,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     def words(batches):
         v = vocabulary(path)
-        for batch in _batches_of_words(batches):
+        for batch in merged(batches, LATTICE_BYTES):
             own = [x.encode() for x in batch.column(0).to_pylist()]
             p = Lattice(own, v).likelihood(sent.value)
             c = batch.column(1).to_numpy()
