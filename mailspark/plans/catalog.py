@@ -845,15 +845,25 @@ FROM v GROUP BY path, mbox_offset"""))(
 
 def _score_pipeline(spark, sf):
     """Plug-in path end to end: turns -> pending pairs -> batched classifier -> parse -> stored rows."""
-    turns = SC.user_turns(_m(spark, sf))
-    done = spark.createDataFrame([], "message_id string, model string, prompt_version string")
+    turns = SC.user_turns(fx.full_messages(spark, sf))
+    done = (_m(spark, sf).where("mbox_offset % 3 = 0 AND message_id IS NOT NULL").select("message_id").distinct()
+            .select("message_id", F.lit("kw-a").alias("model"), F.lit("v1.7.0").alias("prompt_version")))
     pairs = K.pending(turns, ["kw-a", "kw-b"], done, "v1.7.0")
     raw = SC.classify(pairs, SC.keyword_responder, "system", "v1.7.0")
     stored, _errors = SC.split_errors(SC.parse_scored(raw, "2026-06-18T00:00:00Z"))
     return stored.drop("raw_response")
 
 
-register("score_pipeline")(_score_pipeline)
+register("score_pipeline", W(["messages"], """
+SELECT m.message_id, k.model, 'v1.7.0' AS prompt_version,
+  CASE WHEN keep THEN 'keep' WHEN del THEN 'delete' ELSE 'uncertain' END AS label,
+  CASE WHEN keep THEN 0.9::DOUBLE WHEN del THEN 0.8::DOUBLE END AS confidence,
+  CASE WHEN keep THEN 'document' WHEN del THEN 'notice' END AS reason, '2026-06-18T00:00:00Z' AS classified_at
+FROM (SELECT *, regexp_matches(lower(subject), 'invoice|statement|boarding') AS keep,
+        regexp_matches(lower(subject), 'verification|alert|digest') AS del FROM messages) m
+CROSS JOIN (VALUES ('kw-a'), ('kw-b')) k(model)
+WHERE m.message_id IS NOT NULL AND NOT (k.model = 'kw-a' AND m.message_id IN (
+  SELECT message_id FROM messages WHERE mbox_offset % 3 = 0 AND message_id IS NOT NULL))"""))(_score_pipeline)
 
 
 register("browse_classifications", W(["classifications"], """
@@ -937,3 +947,35 @@ FROM (SELECT path, mbox_offset, from_raw,
                                                          F.upper(F.coalesce("from_email", F.lit("nobody"))),
                                                          F.lit(">")).alias("from_raw"))
                    .select("path", "mbox_offset", API.sender_email(F.col("from_raw")).alias("sender")))
+
+
+def _parsed_messages(spark, sf):
+    from ..sources import parse as P
+    return P.dedup_messages(_m(spark, sf)).select("path", "mbox_offset", "message_id", "subject")
+
+
+register("dedup_messages", W(["messages"], """
+SELECT path, mbox_offset, message_id, subject FROM (
+  SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY path, mbox_offset) AS rn FROM messages) x
+WHERE message_id IS NULL OR rn = 1"""))(_parsed_messages)
+
+
+def _api_documents(spark, sf):
+    """Documents as mailbox-API messages: a plain part and, for some, an HTML part, base64url without padding."""
+    d = fx.table(spark, sf, "documents")
+    data = F.regexp_replace(F.translate(F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), "+/", "-_"), "[=\\s]", "")
+    part = lambda kind, c: F.struct(F.lit(kind).alias("mimeType"), F.struct(c.alias("data")).alias("body"))
+    parts = F.when(F.col("doc_id") % 3 == 0, F.array(part("text/html", data))).when(
+        F.col("doc_id") % 3 == 1, F.array(part("text/plain", data), part("image/png", F.lit("AA"))))
+    header = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
+    headers = F.array(header("FROM", F.concat(F.lit("Doc <D"), F.col("doc_id").cast("string"), F.lit("@X.example>"))),
+                      header("Subject", F.col("source")))
+    api = d.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("threadId"), F.array(F.lit("INBOX")).alias("labelIds"),
+                   F.struct(F.lit("multipart/mixed").alias("mimeType"), headers.alias("headers"),
+                            F.struct(F.when(F.col("doc_id") % 3 == 2, data).alias("data")).alias("body"), parts.alias("parts")).alias("payload"))
+    return API.api_to_messages(api).select("message_id", "thread_id", "from_email", "subject", "body_text", "has_reference")
+
+
+register("api_messages", """
+SELECT CAST(doc_id AS VARCHAR) AS message_id, lang AS thread_id, 'd' || doc_id || '@x.example' AS from_email,
+  coalesce(source, '(no subject)') AS subject, coalesce(text, '') AS body_text, false AS has_reference FROM documents""")(_api_documents)

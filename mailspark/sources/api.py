@@ -64,11 +64,11 @@ def api_body(payload: Column) -> Column:
     parts = F.coalesce(payload["parts"], F.array().cast(T.ArrayType(_PART)))
     idx = F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
     html = F.filter(idx, lambda x: x["p"]["mimeType"] == "text/html")
-    html_i = F.coalesce(F.element_at(html, 1)["i"], F.size(parts))
-    html_body = b64url_text(F.element_at(html, 1)["p"]["body"]["data"])
+    html_i = F.coalesce(F.try_element_at(html, F.lit(1))["i"], F.size(parts))
+    html_body = b64url_text(F.try_element_at(html, F.lit(1))["p"]["body"]["data"])
     plain = F.filter(idx, lambda x: (x["p"]["mimeType"] == "text/plain") & (x["i"] < html_i)
                      & (F.coalesce(x["p"]["body"]["data"], F.lit("")) != ""))
-    plain_body = b64url_text(F.element_at(plain, 1)["p"]["body"]["data"])
+    plain_body = b64url_text(F.try_element_at(plain, F.lit(1))["p"]["body"]["data"])
     from_parts = F.coalesce(html_body, plain_body, F.lit(""))
     return F.when(F.size(parts) > 0, from_parts).otherwise(F.coalesce(b64url_text(payload["body"]["data"]), F.lit("")))
 
