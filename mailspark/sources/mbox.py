@@ -28,6 +28,8 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceStreamReader, InputPartition)
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from .parse import PARSED, parse_row
+
 ENVELOPE = re.compile(rb"^From \S")
 SCHEMA = StructType([
     StructField("path", StringType(), False),
@@ -153,7 +155,6 @@ def split_ranges(files: list[tuple[str, int]], split: int) -> list[MboxPartition
 
 def _parsed_rows(rows, max_bytes: int):
     """Parse inside the reader: raw bytes never leave the Python worker."""
-    from .parse import PARSED, parse_row
     names = [f.name for f in PARSED.fields]
     for path, off, size, raw in rows:
         r = parse_row(path, off, size, raw, max_bytes)
@@ -259,7 +260,6 @@ class MboxDataSource(DataSource):
 
     def schema(self):
         if str(self.options.get("parse", "false")).lower() == "true":
-            from .parse import PARSED
             return PARSED
         return SCHEMA
 
@@ -271,8 +271,21 @@ class MboxDataSource(DataSource):
 
 
 def register(spark) -> None:
+    """Make ``format("mbox")`` known.
+
+    The source travels by value: the process that asks a stream for its
+    offsets runs beside the driver and sees neither the caller's Python path
+    nor the files shipped to executors.
+    """
+    import sys
+
+    from pyspark import cloudpickle
+
+    from . import parse
     from ..util import ship_package
     ship_package(spark)
+    for module in (sys.modules[__name__], parse):
+        cloudpickle.register_pickle_by_value(module)
     spark.dataSource.register(MboxDataSource)
 
 
