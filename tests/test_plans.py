@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from mailspark import fixtures as fx
 from mailspark.operators import messages as M
+from mailspark.plans import catalog
 from mailspark.sources import parse as P
 
 SF_SMALL = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_cartesian_or_nested_loop(spark, name):
     plan = executed(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
