@@ -12,7 +12,8 @@ ascends in both, each seed adds its words, each gap costs by its length; a
 Fenwick tree over the places in the earlier document gives the best
 predecessor.  Chains are then aligned word by word: gaps between seeds by
 edit distance, ends by extension until mismatches outweigh matches.  An
-aligned chain of 50 words or more, of which 80% agree, is a repeated passage.
+aligned chain of 50 words or more, of which 80% agree, is a repeated passage;
+one that agrees less is cut at its widest gap, and its parts are tried.
 The first document that has it keeps it.
 
 Cases: null and empty texts, and texts of fewer than 50 words, have no
@@ -38,7 +39,7 @@ WINNOW = 16                              # a power of two
 MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Cost of one word of a gap (of either document), in words matched.
-GAP = 0.125
+GAP = 1 / 16
 #: Words around a chain that alignment may extend into.
 MARGIN = 48
 #: An extension ends when mismatches put it this far below its best.
@@ -141,28 +142,44 @@ def matches(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(words, matches) of the best common beginning of two word rows, word against word."""
+def _run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(words, matches, score) of the best common beginning of two word rows, word against word."""
     n = min(len(a), len(b))
     if not n:
-        return 0, 0
+        return 0, 0, 0
     same = a[:n] == b[:n]
     total = np.cumsum(np.where(same, 1, -2))
     low = np.flatnonzero(np.maximum.accumulate(np.maximum(total, 0)) - total >= DROP)
     if len(low):
         total = total[:low[0]]
     if not len(total) or total.max() <= 0:
-        return 0, 0
+        return 0, 0, 0
     k = int(total.argmax()) + 1
-    return k, int(same[:k].sum())
+    return k, int(same[:k].sum()), int(total[k - 1])
+
+
+def extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(words of a, words of b, matches) of their best common beginning; up to two words may be left out at a time."""
+    x = y = good = 0
+    while True:
+        k, same, _ = _run(a[x:], b[y:])
+        x, y, good = x + k, y + k, good + same
+        best = (4, 0, 0)                                     # a step aside must gain more
+        for i, j in ((0, 1), (1, 0), (1, 1), (0, 2), (2, 0), (1, 2), (2, 1)):
+            gain = _run(a[x + i:], b[y + j:])[2] - i - j
+            if gain > best[0]:
+                best = (gain, i, j)
+        if best[0] == 4:
+            return x, y, good
+        x, y = x + best[1], y + best[2]
 
 
 def align(a: np.ndarray, b: np.ndarray, shift: int, xs: np.ndarray, ys: np.ndarray):
     """(start, stop, other start, other stop, matches) of a chain; b holds the other document's words from ``shift`` on."""
     ys = ys - shift
     x, y = int(xs[0]), int(ys[0])
-    back, good = extension(a[:x][::-1], b[:y][::-1])
-    start, other = x - back, y - back
+    back, behind, good = extension(a[:x][::-1], b[:y][::-1])
+    start, other = x - back, y - behind
     good += SEED
     x, y = x + SEED, y + SEED
     for i in range(1, len(xs)):
@@ -174,8 +191,8 @@ def align(a: np.ndarray, b: np.ndarray, shift: int, xs: np.ndarray, ys: np.ndarr
         else:                                                # overlaps the seed before
             good += min(nx + SEED - x, ny + SEED - y)
         x, y = nx + SEED, ny + SEED
-    on, more = extension(a[x:], b[y:])
-    return start, x + on, other + shift, y + on + shift, good + more
+    on, beyond, more = extension(a[x:], b[y:])
+    return start, x + on, other + shift, y + beyond + shift, good + more
 
 
 def _seeder(batches):
@@ -252,12 +269,20 @@ def found(number: np.ndarray, rows: list[dict]) -> list[dict]:
     """Repeated passages of one document, by its word numbers and its chains."""
     out = []
     for c in rows:
-        xs, ys = np.frombuffer(c["xs"], "<i4"), np.frombuffer(c["ys"], "<i4")
-        if xs[-1] + SEED > len(number):                      # of another row of the same id
+        other = np.frombuffer(c["words"], np.uint32)
+        tries = [(np.frombuffer(c["xs"], "<i4"), np.frombuffer(c["ys"], "<i4"))]
+        if tries[0][0][-1] + SEED > len(number):             # of another row of the same id
             continue
-        start, stop, o, p, good = align(number, np.frombuffer(c["words"], np.uint32), c["shift"], xs, ys)
-        if stop - start >= MIN_WORDS and good >= SIMILARITY * max(stop - start, p - o):
-            out.append({"start": start, "stop": stop, "ref": c["ref"], "ref_start": o, "ref_stop": p, "n_same": good})
+        while tries:
+            xs, ys = tries.pop()
+            start, stop, o, p, good = align(number, other, c["shift"], xs, ys)
+            if stop - start < MIN_WORDS:
+                continue
+            if good >= SIMILARITY * max(stop - start, p - o):
+                out.append({"start": start, "stop": stop, "ref": c["ref"], "ref_start": o, "ref_stop": p, "n_same": good})
+            elif len(xs) > 1:
+                k = int((np.diff(xs) + np.diff(ys)).argmax()) + 1
+                tries += [(xs[:k], ys[:k]), (xs[k:], ys[k:])]
     return sorted(out, key=lambda r: (r["start"], -r["stop"]))
 
 
