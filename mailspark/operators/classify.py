@@ -121,8 +121,7 @@ def disagreement_rate(c: DataFrame, m: DataFrame | None = None, category_col: st
         pm = pm.join(m.select("message_id", category_col), "message_id", "left")
         keys.append(category_col)
     g = pm.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_messages"), F.sum("_dis").cast("long").alias("disagreements"))
-    return (g.withColumn("disagreement_rate", _pct_text(F.col("disagreements"), F.col("total_messages")))
-             .transform(lambda d: sort_small(d, *keys)))
+    return g.withColumn("disagreement_rate", _pct_text(F.col("disagreements"), F.col("total_messages"))).orderBy(*keys)
 
 
 def ensemble_verdict(c: DataFrame) -> DataFrame:
