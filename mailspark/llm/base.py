@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +13,10 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from ..util import ship_package
 
-#: Rows of one Arrow batch.  Texts can be long, so batches stay short.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch.  Texts can be long, so batches stay short.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes of text that a kernel works on at once (one longer text is a slice of its own).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Rows that a kernel works on at once.
 SLICE_ROWS = 4096
 
@@ -26,6 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Ship the package to the Python workers and keep Arrow batches short."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -66,11 +66,11 @@ def near(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
         table[np.array([w["word"] for w in words])] = np.array([w["bits"] for w in words], np.int64)
     sent = spark.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def holds(p: pd.Series, q: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def holds(p: pa.Array, q: pa.Array) -> pa.Array:
         t = sent.value
-        x, y = p.to_numpy(np.int64), q.to_numpy(np.int64)
-        return pd.Series((t[x >> 6] >> (x & 63) & 1 & t[y >> 6] >> (y & 63)).astype(bool))
+        x, y = (v.to_numpy(zero_copy_only=False) for v in (p, q))
+        return pa.array((t[x >> 6] >> (x & 63) & 1 & t[y >> 6] >> (y & 63)).astype(bool))
     own = F.xxhash64(F.col(column))
     return df.filter(holds(F.pmod(own, F.lit(FILTER_BITS)), F.pmod(F.shiftright(own, 32), F.lit(FILTER_BITS))))
 
