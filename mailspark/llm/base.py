@@ -15,8 +15,9 @@ from ..util import ship_package
 
 #: Rows and bytes of one Arrow batch.  Texts can be long, so batches stay short.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-#: Bytes of text that a kernel works on at once (one longer text is a slice of its own).
-SLICE_BYTES = 1 << 20
+#: Bytes of text that a kernel works on at once (one longer text is a slice of its own); with a line end
+#: a row they stay below 2^20, the least size of the hash tables.
+SLICE_BYTES = 1_000_000
 #: Rows that a kernel works on at once.
 SLICE_ROWS = 4096
 

@@ -9,15 +9,17 @@ with probability equal to their probability Jaccard similarity
 
     J_P = sum over common d of 1 / sum over d' of max(x[d'] / x[d], y[d'] / y[d]).
 
-Registers are banded; documents that share a band are candidates; candidates
-are verified by exact J_P >= 0.8.
+Registers (cut to one byte) are banded; documents that share a band are
+candidates; candidates are verified by exact J_P >= 0.8.
 
 Documents with the same words in the same order are one class text and enter
-once.  Within a band's bucket all are compared with the bucket's smallest id
-first; 1 - J_P is a metric, so of the rest only those pairs remain that lie in
-different components and whose distances from that document differ by 0.2 at
-most.  So no link between components is lost and no bucket is expanded into
-all its pairs.
+once.  Within a band's bucket all are first verified against its most central
+document, the one with most company in all its buckets.  What then still lies
+in another component is compared with the bucket block by block on the
+registers alone, in numpy; only pairs of different components whose registers
+agree often enough (4.2 standard deviations below 0.8) leave the task, once
+for each pair, and are verified in turn.  So a bucket is never expanded into
+its pairs, and no link between components is lost.
 
 Cases: null and empty texts, or texts without words, are classes of their own;
 texts of one to four words are one shingle; rows that repeat a doc_id give one row
@@ -33,14 +35,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import ids, mix, prepare, staged, text_slices
+from .base import ids, mix, near, prepare, staged, text_slices
 from .components import components
 from .words import Words, shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 25
-ROWS = 5                                 # a pair at 0.8 shares some band with probability 0.99995
+BANDS = 32
+ROWS = 6                                 # a pair at 0.8 shares some band with probability 0.99994
+REGISTERS = 512                          # all serve the estimate, the first BANDS * ROWS are banded
+#: Registers that agree in a pair worth verifying: 0.8 less 4.2 standard deviations.
+AGREE = int(REGISTERS * (SIMILARITY - 4.2 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5))
+#: Documents of a bucket that one task compares at once.
+BLOCK = 1024
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -54,7 +61,7 @@ def weighted(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray
 
 
 def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs: int,
-               registers: int = BANDS * ROWS) -> np.ndarray:
+               registers: int = REGISTERS) -> np.ndarray:
     """ProbMinHash registers (n_docs x registers) of weighted shingles."""
     total = np.bincount(doc, weights=count, minlength=n_docs)
     rate = count / total[doc]
@@ -78,13 +85,20 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
     return who.reshape(n_docs, registers)
 
 
+def cut(registers: np.ndarray) -> np.ndarray:
+    """One byte of each register."""
+    return (mix(registers) >> np.uint64(56)).astype(np.uint8)
+
+
 def bands(registers: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Bucket of each band of cut registers; a bucket's number modulo n_bands is its band."""
     out = np.zeros((len(registers), n_bands), np.uint64)
     for b in range(n_bands):
         x = np.full(len(registers), b + 1, np.uint64)
         for r in range(rows):
             x = mix(x * np.uint64(0x100000001B3) + registers[:, b * rows + r])
-        out[:, b] = x
+        x = (x >> np.uint64(1)) // np.uint64(n_bands) * np.uint64(n_bands) + np.uint64(b)
+        out[:, b] = np.where(x < np.uint64(1 << 63), x, x - np.uint64(n_bands))
     return out
 
 
@@ -93,7 +107,8 @@ def _sketcher(id_col, text_col):
         for batch in batches:
             for a, b, texts in text_slices(batch, text_col):
                 w, h, doc, s, n = weighted(texts)
-                sig = bands(signatures(doc, s, n, len(texts)))
+                sig = cut(signatures(doc, s, n, len(texts)))
+                buckets = bands(sig)
                 some = w.counts > 0
                 # order-sensitive 128-bit fingerprint of the word sequence
                 place = (np.arange(len(h)) - w.first[:-1][w.doc]).astype(np.uint64)
@@ -104,19 +119,20 @@ def _sketcher(id_col, text_col):
                     fp.append(pa.array((c[w.first[1:]] - c[w.first[:-1]]).view(np.int64)))
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)),
-                    pa.array(sig[some].reshape(-1).view(np.int64)))
+                    pa.array(buckets[some].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids(batch, id_col).slice(a, b - a), pa.array(w.counts, pa.int64()), *fp, lists],
-                    ["id", "n_words", "fp1", "fp2", "bands"])
+                    [ids(batch, id_col).slice(a, b - a), pa.array(w.counts, pa.int64()), *fp, lists,
+                     pa.array([x.tobytes() for x in sig], pa.binary())],
+                    ["id", "n_words", "fp1", "fp2", "bands", "sig"])
     return run
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, fp1, fp2, bands) of each document row with an id."""
+    """(id, n_words, fp1, fp2, bands, sig) of each document row with an id."""
     prepare(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return docs.filter(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(
-        _sketcher(id_col, text_col), f"id {kind}, n_words long, fp1 long, fp2 long, bands array<long>")
+        _sketcher(id_col, text_col), f"id {kind}, n_words long, fp1 long, fp2 long, bands array<long>, sig binary")
 
 
 def probability_jaccard(xk: np.ndarray, xn: np.ndarray, yk: np.ndarray, yn: np.ndarray) -> float:
@@ -166,6 +182,57 @@ def verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
                   .mapInArrow(_verifier, f"a {kind}, b {kind}, jp double"), name)
 
 
+def agreeing(rest_ids, rest_of, rest_sig, ids, of, sig, band: int) -> list[tuple[int, int]]:
+    """Index pairs (rest, member) of different components that agree in AGREE registers and share no band before this."""
+    out = []
+    for a in range(0, len(rest_ids), 32):
+        same = rest_sig[a:a + 32, None, :] == sig[None, :, :]
+        i, j = np.nonzero((same.sum(axis=2, dtype=np.uint16) >= AGREE) & (rest_of[a:a + 32, None] != of[None, :]))
+        if len(i):
+            shared = same[i, j, :BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
+            own = shared.argmax(axis=1) == band
+            out += zip((i[own] + a).tolist(), j[own].tolist())
+    return out
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Pairs of one bucket block: its rest rows against its member rows."""
+    ids_, sig = table.column("id").to_pylist(), table.column("sig").to_pylist()
+    _, of = np.unique(np.array(table.column("component").to_pylist()), return_inverse=True)
+    rest = table.column("rest").to_numpy().astype(bool)
+    sig = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, REGISTERS)
+    r, m = np.flatnonzero(rest), np.flatnonzero(~rest)
+    pairs = agreeing(r, of[r], sig[r], m, of[m], sig[m], table.column("bucket")[0].as_py() % BANDS)
+    # two rest rows meet twice, each as the other's member: once is enough
+    twice = table.column("twice").to_numpy().astype(bool)
+    pairs = [(i, j) for i, j in pairs if not twice[m[j]] or ids_[r[i]] > ids_[m[j]]]
+    return pa.table({"a": pa.array([ids_[r[i]] for i, _ in pairs], table.schema.field("id").type),
+                     "b": pa.array([ids_[m[j]] for _, j in pairs], table.schema.field("id").type)})
+
+
+def _across(members: DataFrame, comp: DataFrame, table: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of different components within a bucket."""
+    kind = dict(members.dtypes)["id"]
+    where = members.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    heads = where.filter("id = pivot").select("bucket", F.col("component").alias("head"))
+    where = staged(where.join(heads, "bucket").withColumn("rest", F.col("component") != F.col("head")), "placed")
+    mixed = where.filter("rest").groupBy("bucket").agg(F.count("*").alias("n_rest"))
+    here = where.join(mixed, "bucket")
+    sigs = table.join(here.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("sig").alias("sig"))
+    here = here.join(sigs, "id").select(
+        "bucket", "id", "component", "sig", "rest",
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_rest") / BLOCK).cast("int").alias("rest_blocks"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["bucket", "id", "component", "sig"]
+    left = here.filter("rest").select(*columns, F.lit(1).alias("rest"), F.lit(1).alias("twice"), own("rest_blocks").alias("i"),
+                                      every("blocks").alias("j"))
+    right = here.select(*columns, F.lit(0).alias("rest"), F.col("rest").cast("int").alias("twice"), own("blocks").alias("j"),
+                        every("rest_blocks").alias("i"))
+    pairs = left.unionByName(right).groupBy("bucket", "i", "j").applyInArrow(_compare, f"a {kind}, b {kind}")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, kept) of every document: its class is the smallest id that links reach."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -177,30 +244,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                           ["fp1", "fp2", "n_words"], "left")
                  .select("id", F.coalesce("rep", "id").alias("rep"), (F.col("n_words") > 0).alias("some")), "texts")
     alone = rep.filter("some and id = rep").select("id")
-    spread = (table.join(alone, "id", "left_semi").select("id", F.explode("bands").alias("bucket")).distinct())
-    pivots = spread.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    members = staged(spread.join(pivots.select("bucket", "pivot"), "bucket"), "buckets")
+    spread = table.join(alone, "id", "left_semi").select("id", F.explode("bands").alias("bucket")).distinct()
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = staged(spread.join(sizes, "bucket"), "buckets")
+    central = members.groupBy("id").agg(F.sum("n").alias("company"))
+    pivots = members.join(central, "id").groupBy("bucket").agg(F.max(F.struct("company", "id"))["id"].alias("pivot"))
+    members = staged(members.join(pivots, "bucket"), "pivots")
     texts = docs.filter(F.col("id").isNotNull())
-    texts = staged(texts.join(members.select("id").distinct(), "id", "left_semi"), "bucket-texts")
+    within = members.select("id").distinct()
+    texts = staged(near(texts, "id", within).join(within, "id", "left_semi"), "bucket-texts")
     first = verified(members.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(),
                      texts, "links")
-    near = first.filter(F.col("jp") >= SIMILARITY).select("a", "b")
-    comp = staged(components(near, "a", "b", "near"), "near-components")
-    far = first.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("jp")).alias("away"))
-    where = (members.select("id", "bucket", "pivot").join(far, ["id", "pivot"], "left")
-             .join(comp, "id", "left")
-             .select("bucket", "id", "pivot", F.coalesce("away", F.lit(0.0)).alias("away"),
-                     F.coalesce("component", "id").alias("component")))
-    heads = where.filter("id = pivot").select("bucket", F.col("component").alias("head"))
-    where = staged(where.join(heads, "bucket"), "placed")
-    rest = where.filter("component <> head").select("bucket", F.col("id").alias("r"), F.col("component").alias("rc"),
-                                                    F.col("away").alias("ra"))
-    other = where.join(rest.select("bucket").distinct(), "bucket", "left_semi")
-    cross = (rest.join(other, "bucket")
-             .filter("id <> pivot and component <> rc")
-             .filter(F.abs(F.col("ra") - F.col("away")) <= 1 - SIMILARITY + 1e-9)
-             .select(F.greatest("id", "r").alias("a"), F.least("id", "r").alias("b")).distinct())
-    second = verified(cross, texts, "cross-links").filter(F.col("jp") >= SIMILARITY).select("a", "b")
+    linked = first.filter(F.col("jp") >= SIMILARITY).select("a", "b")
+    comp = staged(components(linked, "a", "b", "near"), "near-components")
+    second = verified(_across(members, comp, table), texts, "cross-links").filter(F.col("jp") >= SIMILARITY).select("a", "b")
     if not second.isEmpty():
         # components join: link their ids
         joined = (second.join(comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
