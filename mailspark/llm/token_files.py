@@ -45,8 +45,8 @@ from .words import Words, strings
 
 #: The id appended to each document.
 END_ID = 1
-#: Words that a worker keeps encoded.
-CACHE = 250_000
+#: Words that a worker keeps encoded: of the current generation, and as many of the one before.
+CACHE = 350_000
 #: About so many documents make a shard.
 SHARD_ROWS = 20_000
 
@@ -75,6 +75,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 4096):
@@ -95,10 +96,13 @@ class WordEncoder:
         known = self.known
         new = [x for x in words if x not in known]
         if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = words
-            self.learn(new)
+            if len(known) + len(new) > CACHE:                # the older generation goes, its words in use come along
+                self.older, self.known = known, {}
+                known, new = self.known, words
+            for x in new:
+                if x in self.older:
+                    known[x] = self.older[x]
+            self.learn([x for x in new if x not in known])
         entries = [known[x] for x in words]
         size = np.fromiter(map(len, entries), np.int64, len(entries)) >> 2
         flat = np.frombuffer(b"".join(entries), np.uint32)
