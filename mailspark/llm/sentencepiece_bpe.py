@@ -36,8 +36,8 @@ from .base import prepare, text_slices
 
 SPACE = "▁"
 _NEVER = float("-inf")
-#: Entries of each cache of a worker.
-CACHE = 150_000
+#: Entries of each cache of a worker, in the current generation; as many of the one before are kept.
+CACHE = 200_000
 
 
 class PieceModel:
@@ -66,14 +66,16 @@ class PieceModel:
         for p in self.id_of:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        self.pairs = {p[i:i + 2] for p in self.id_of for i in range(len(p) - 1)}
+        self.pairs = {(a, b) for p in self.id_of for a, b in zip(p, p[1:])}
         seen: dict[float, str] = {}
         self.tied = {q for p, s in self.score.items() if len(p) > 1 for q in (p, seen.setdefault(s, p)) if q != p or seen[s] != p}
         self.tied_pairs = {p[i:i + 2] for p in self.tied for i in range(len(p) - 1)}
+        self.inner = {c for p in self.id_of for c in p} - self.id_of.keys()
         # words between spaces and line ends may be looked up at once if no piece reaches across
         across = any(a != SPACE and b == SPACE or "\n" in (a, b) for a, b in self.pairs)
         self.groups = None if across else re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+").findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self.borders: dict[str, object] = {}
         self.fits: dict[tuple[str, str], bool] = {}
@@ -121,17 +123,14 @@ class PieceModel:
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether the joined text of two pieces merges to these two (left may be empty)."""
-        key = (left, right)
-        fits = self.fits.get(key)
-        if fits is None:
-            if len(self.fits) >= CACHE:
-                self.fits.clear()
-            fits = self.fits[key] = self.remerged(left, right)
+        if len(self.fits) >= CACHE:
+            self.fits.clear()
+        fits = self.fits[left, right] = self.remerged(left, right)
         return fits
 
     def remerged(self, left: str, right: str) -> bool:
         own = self.edges(right)
-        if not left or own is None:
+        if own is None or not left:
             return own is not None
         other = self.edges(left)
         if other is None:
@@ -155,33 +154,32 @@ class PieceModel:
                 y, y_ends = next(b)
 
     def segment(self, text: str) -> list[str]:
-        """Backtracking over the matches of each position."""
+        """Backtracking over the pieces that begin at each position, longest first; every character is a piece."""
         n = len(text)
-        matches: list[list[str]] = [[c] for c in text]       # shortest first; a single character always stands
-        for end, piece in self.automaton.iter(text):
-            if len(piece) > 1:
-                matches[end + 1 - len(piece)].append(piece)
+        pieces, fits, longest = self.id_of, self.fits, self.automaton.longest_prefix
         out: list[str] = []
         failed = 0                                           # bit field of positions
-        pos, tries = 0, len(matches[0])
+        pos, last = 0, ""
+        size = longest(text)                                 # no piece from here is longer
         while pos < n:
-            own = matches[pos]
-            last = out[-1] if out else ""
-            while tries:
-                tries -= 1
-                piece = own[tries]
-                end = pos + len(piece)
-                if not failed >> end & 1 and self.compatible(last, piece):
+            while size:
+                piece = text[pos:pos + size]
+                end = pos + size
+                size -= 1
+                if piece not in pieces or failed >> end & 1:
+                    continue
+                ok = fits.get((last, piece))
+                if ok or ok is None and self.compatible(last, piece):
                     out.append(piece)
-                    pos = end
-                    if pos < n:
-                        tries = len(matches[pos])
+                    pos, last = end, piece
+                    size = longest(text[pos:]) if pos < n else 0
                     break
             else:
                 failed |= 1 << pos
                 out.pop()                                    # position 0 cannot fail: the merged segmentation exists
                 pos -= len(last)
-                tries = matches[pos].index(last)
+                size = len(last) - 1
+                last = out[-1] if out else ""
         return out
 
     def part(self, text: str) -> tuple[int, ...]:
@@ -190,13 +188,16 @@ class PieceModel:
             if len(self.parts) >= CACHE:
                 self.parts.clear()
             if len(text) > 1:
-                tied = any(text[i:i + 2] in self.tied_pairs for i in range(len(text) - 1))
-                pieces = self.runs(text) if tied else self.segment(text)
+                pieces = self.runs(text) if self.special(text) else self.segment(text)
             else:
                 pieces = [text]
             got = self.parts[text] = tuple(chain.from_iterable(map(self.piece_ids, pieces)))
         return got
 
+    def special(self, text: str) -> bool:
+        """Equal scores may compete in the text, or a character of it is a piece only within longer ones."""
+        return (any(p in text for p in self.tied_pairs) or not self.inner.isdisjoint(text))
+
     def runs(self, text: str) -> list[str]:
         """Merges in the model's order by a heap: for stretches where equal scores compete."""
         import heapq
@@ -240,7 +241,7 @@ class PieceModel:
     def group(self, text: str) -> tuple[int, ...]:
         """Ids of a stretch: cut where no piece holds the two characters."""
         pairs = self.pairs
-        cuts = [i for i in range(1, len(text)) if text[i - 1:i + 1] not in pairs]
+        cuts = [i for i, p in enumerate(zip(text, text[1:]), 1) if p not in pairs]
         if not cuts:
             return self.part(text)
         cuts = [0, *cuts, len(text)]
@@ -256,11 +257,13 @@ class PieceModel:
             return list(chain.from_iterable(map(known.__getitem__, groups)))
         except KeyError:
             pass
-        if len(known) >= CACHE:
-            known.clear()
+        if len(known) >= CACHE:                              # the older generation goes, its words in use come along
+            self.older, self.known = known, {}
+            known = self.known
+        older = self.older
         for g in groups:
             if g not in known:
-                known[g] = self.group(g)
+                known[g] = older[g] if g in older else self.group(g)
         return list(chain.from_iterable(map(known.__getitem__, groups)))
 
     def decode(self, ids: list[int]) -> str:
