@@ -1,8 +1,8 @@
 """Substring dedup: fuzzy passages that repeat across documents, by collinear chaining.
 
-Seeds are runs of eight words, thinned by winnowing: of every sixteen
+Seeds are runs of five words, thinned by winnowing: of every four
 consecutive runs of a document the one with the smallest hash is a seed, so two
-documents that share 23 words in a row share a seed.  A seed joins each
+documents that share eight words in a row share a seed.  A seed joins each
 document that has it with the first such document (the smallest id); a passage
 that thousands share gives one match a seed and document, never a pair of
 every two.
@@ -10,7 +10,7 @@ every two.
 The matches of a document with one earlier document are chained: a chain
 ascends in both, each seed adds its words, each gap costs by its length; a
 Fenwick tree over the places in the earlier document gives the best
-predecessor.  Chains are then aligned word by word: gaps between seeds by
+predecessor.  Chains, also of a single seed, are then aligned word by word: gaps between seeds by
 edit distance, ends by extension until mismatches outweigh matches.  An
 aligned chain of 50 words or more, of which 80% agree, is a repeated passage;
 one that agrees less is cut at its widest gap, and its parts are tried.
@@ -34,8 +34,8 @@ from .base import ids as column_ids
 from .base import mix, prepare, staged, text_slices
 from .words import Words, shingles
 
-SEED = 8
-WINNOW = 16                              # a power of two
+SEED = 5
+WINNOW = 4                               # a power of two
 MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Cost of one word of a gap (of either document), in words matched.
@@ -79,7 +79,7 @@ def chains(xs: list[int], ys: list[int]) -> list[tuple[list[int], list[int]]]:
     """Collinear chains of matches (x ascending), best first, as lists of x and y."""
     n = len(xs)
     if n == 1:
-        return []
+        return [(xs, ys)]
     places = sorted(set(ys))
     rank = {y: i + 1 for i, y in enumerate(places)}
     tree: list[tuple[float, int]] = [(0.0, -1)] * (len(places) + 1)     # prefix maxima of score + cost of place
@@ -112,7 +112,7 @@ def chains(xs: list[int], ys: list[int]) -> list[tuple[list[int], list[int]]]:
             used[j] = True
             path.append(j)
             j = before[j]
-        if len(path) > 1:
+        if path:
             path.reverse()
             out.append(([xs[i] for i in path], [ys[i] for i in path]))
     return out
@@ -195,6 +195,21 @@ def align(a: np.ndarray, b: np.ndarray, shift: int, xs: np.ndarray, ys: np.ndarr
     return start, x + on, other + shift, y + beyond + shift, good + more
 
 
+def widened(a: np.ndarray, b: np.ndarray, shift: int, start: int, stop: int, o: int, p: int, good: int):
+    """A short alignment with words around it, word against word, up to MIN_WORDS: where most of them agree."""
+    need, o, p = MIN_WORDS - (stop - start), o - shift, p - shift
+    left, right = min(need, start, o), min(need, len(a) - stop, len(b) - p)
+    if left + right >= need:
+        before = np.concatenate(([0], np.cumsum(a[start - left:start][::-1] == b[o - left:o][::-1])))
+        behind = np.concatenate(([0], np.cumsum(a[stop:stop + right] == b[p:p + right])))
+        e = np.arange(need - right, left + 1)                # words before
+        total = before[e] + behind[need - e]
+        k = int(total.argmax())
+        e, good = int(e[k]), good + int(total[k])
+        start, stop, o, p = start - e, stop + need - e, o - e, p + need - e
+    return start, stop, o + shift, p + shift, good
+
+
 def _seeder(batches):
     for batch in batches:
         for a, b, texts in text_slices(batch, "text"):
@@ -219,7 +234,7 @@ def _chainer(id_type):
         for batch in batches:
             for i, r, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if (i, r) != key:
-                    if len(xs) > 1:
+                    if xs:
                         flush(key, xs, ys, out)
                     key, xs, ys = (i, r), [], []
                 xs.append(x)
@@ -227,7 +242,7 @@ def _chainer(id_type):
             if len(out) >= 1000:
                 yield table(out)
                 out = []
-        if len(xs) > 1:
+        if xs:
             flush(key, xs, ys, out)
         yield table(out)
     return run
@@ -268,14 +283,19 @@ def _cutter(batches):
 def found(number: np.ndarray, rows: list[dict]) -> list[dict]:
     """Repeated passages of one document, by its word numbers and its chains."""
     out = []
-    for c in rows:
+    for c in sorted(rows, key=lambda c: -len(c["xs"])):
         other = np.frombuffer(c["words"], np.uint32)
         tries = [(np.frombuffer(c["xs"], "<i4"), np.frombuffer(c["ys"], "<i4"))]
         if tries[0][0][-1] + SEED > len(number):             # of another row of the same id
             continue
         while tries:
             xs, ys = tries.pop()
+            if any(r["ref"] == c["ref"] and r["start"] <= xs[0] and xs[-1] + SEED <= r["stop"]
+                   and r["ref_start"] <= ys[0] and ys[-1] + SEED <= r["ref_stop"] for r in out):
+                continue                                     # within a passage found
             start, stop, o, p, good = align(number, other, c["shift"], xs, ys)
+            if stop - start < MIN_WORDS:
+                start, stop, o, p, good = widened(number, other, c["shift"], start, stop, o, p, good)
             if stop - start < MIN_WORDS:
                 continue
             if good >= SIMILARITY * max(stop - start, p - o):

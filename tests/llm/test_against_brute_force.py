@@ -174,6 +174,28 @@ def test_fuzzy_passages_in_foreign_text(spark):
     assert abs(got[0]["start"] - 30) <= 1 and abs(got[0]["stop"] - 30 - len(edited)) <= 1
 
 
+def test_recall_of_fuzzy_passages(spark):
+    """Passages with words replaced at random, at 80 to 95% agreement, each in foreign text."""
+    from mailspark.llm import substring
+
+    rng = np.random.default_rng(11)
+    least = {(55, 0.95): 0.95, (55, 0.9): 0.95, (55, 0.8): 0.9, (80, 0.9): 0.97, (80, 0.8): 0.95, (120, 0.8): 0.97}
+    data, kind = [], {}
+    for n, agree in least:
+        for _ in range(60):
+            i = 2 * len(kind)
+            passage = [f"p{i}x{k}" for k in range(n)]
+            edited = list(passage)
+            for k in rng.choice(n, round(n * (1 - agree)), replace=False):
+                edited[k] = f"q{i}x{k}"
+            data += [(i, " ".join([f"a{i}x{k}" for k in range(70)] + passage)), (i + 1, " ".join(edited + [f"b{i}x{k}" for k in range(70)]))]
+            kind[i + 1] = n, agree
+    got = substring.report(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert all(r["ref_doc_id"] == r["doc_id"] - 1 and r["n_same"] >= 0.8 * (r["stop"] - r["start"]) for r in got)
+    hit = Counter(kind[i] for i in {r["doc_id"] for r in got})
+    assert not {k: hit[k] for k in least if hit[k] < 60 * least[k]}
+
+
 def test_a_passage_next_to_other_shared_words(spark):
     """Two stretches shared with one document, far apart in foreign words: the long one is found, and only it."""
     from mailspark.llm import substring
