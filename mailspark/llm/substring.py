@@ -5,7 +5,11 @@ consecutive runs of a document the one with the smallest hash is a seed, so two
 documents that share eight words in a row share a seed.  A seed joins each
 document that has it with the first such document (the smallest id); a passage
 that thousands share gives one match a seed and document, never a pair of
-every two.
+every two.  The seeds of one passage may so lead to several documents of which
+none has all of it; therefore each run of 50 words that two documents share
+joins those that have it with the first that has all 50.  Only runs whose
+seeds are all shared (by a filter of fixed size, which lets every match pass)
+are looked at, and of adjacent runs with one source every sixteenth is kept.
 
 The matches of a document with one earlier document are chained: a chain
 ascends in both, each seed adds its words, each gap costs by its length; a
@@ -46,6 +50,8 @@ MARGIN = 48
 DROP = 6
 #: Documents whose matches with one document travel in one row.
 TOGETHER = 128
+#: Bits of the filter of shared seeds that the tasks get (8 MB).
+FILTER_BITS = 1 << 26
 
 
 def _slide(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -56,25 +62,50 @@ def _slide(x: np.ndarray, n: int, pick) -> np.ndarray:
     return x
 
 
+def _winnowed(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which runs are seeds, by the runs' texts and hashes and the texts' numbers of runs."""
+    if len(h) < WINNOW:
+        return np.zeros(0, np.int64)
+    least = _slide(h, WINNOW, np.minimum)                    # of the window that starts here
+    least[doc[:len(least)] != doc[WINNOW - 1:]] = 0          # a window lies in one text
+    pad = np.zeros(WINNOW - 1, np.uint64)
+    most = _slide(np.concatenate((pad, least, pad)), WINNOW, np.maximum)
+    return np.flatnonzero((most == h) & (size[doc] >= WINNOW))
+
+
 def seeds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash, word place) of the winnowed seeds, each hash once a text."""
     w = Words(texts)
     doc, h = shingles(w, w.hashes(), SEED)
-    none = np.zeros(0, np.int64)
-    if len(h) < WINNOW:
-        return none, np.zeros(0, np.uint64), none
     size = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(size) - size
-    least = _slide(h, WINNOW, np.minimum)                    # of the window that starts here
-    least[doc[:len(least)] != doc[WINNOW - 1:]] = 0          # a window lies in one text
-    pad = np.zeros(WINNOW - 1, np.uint64)
-    most = _slide(np.concatenate((pad, least, pad)), WINNOW, np.maximum)
-    at = np.flatnonzero((most == h) & (size[doc] >= WINNOW))
+    at = _winnowed(doc, h, size)
     _, keep = np.unique((doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ mix(h[at]), return_index=True)
     at = at[np.sort(keep)]
     return doc[at], h[at], at - first[doc[at]]
 
 
+def wide(texts: pa.Array, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, word place) of the runs of MIN_WORDS words whose seeds the filter ``shared`` holds."""
+    w = Words(texts)
+    hashes = w.hashes()
+    doc, h = shingles(w, hashes, SEED)
+    at = _winnowed(doc, h, np.bincount(doc, minlength=len(texts)))
+    key = h[at]
+    p, q = ((x & np.uint64(FILTER_BITS - 1)).astype(np.int64) for x in (key, key >> np.uint64(32)))
+    odd = np.zeros(len(w.starts) + 1, np.int64)              # seeds not shared, up to a word
+    first_run = np.searchsorted(doc, doc[at])
+    odd[w.first[doc[at]] + at - first_run + 1] = 1 - (shared[p >> 6] >> (p & 63) & 1 & shared[q >> 6] >> (q & 63))
+    odd = np.cumsum(odd)
+    doc, h = shingles(w, hashes, MIN_WORDS)
+    place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    start = w.first[doc] + place
+    # a run's outer seeds depend on the words around it
+    stop = np.minimum(start + MIN_WORDS - SEED + 1 - (WINNOW - 1), len(w.starts))
+    keep = (w.counts[doc] >= MIN_WORDS) & (odd[stop] == odd[np.minimum(start + WINNOW - 1, len(w.starts))])
+    return doc[keep], h[keep], place[keep]
+
+
 def chains(xs: list[int], ys: list[int]) -> list[tuple[list[int], list[int]]]:
     """Collinear chains of matches (x ascending), best first, as lists of x and y."""
     n = len(xs)
@@ -210,12 +241,34 @@ def widened(a: np.ndarray, b: np.ndarray, shift: int, start: int, stop: int, o:
     return start, stop, o + shift, p + shift, good
 
 
-def _seeder(batches):
-    for batch in batches:
-        for a, b, texts in text_slices(batch, "text"):
-            doc, h, place = seeds(texts)
-            yield pa.RecordBatch.from_arrays([column_ids(batch, "id").slice(a, b - a).take(pa.array(doc)),
-                                              pa.array(h.view(np.int64)), pa.array(place.astype(np.int32))], ["id", "hash", "place"])
+def _runs(of):
+    """Rows (id, hash, place) of the runs that ``of`` picks from some texts."""
+    def run(batches):
+        for batch in batches:
+            for a, b, texts in text_slices(batch, "text"):
+                doc, h, place = of(texts)
+                yield pa.RecordBatch.from_arrays([column_ids(batch, "id").slice(a, b - a).take(pa.array(doc)),
+                                                  pa.array(h.view(np.int64)), pa.array(place.astype(np.int32))], ["id", "hash", "place"])
+    return run
+
+
+def _shared_filter(hashes: DataFrame):
+    """A broadcast Bloom filter of fixed size of the column hash."""
+    places = F.array(F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftright("hash", 32).bitwiseAND(F.lit(FILTER_BITS - 1)))
+    words = (hashes.select(F.explode(places).alias("p"))
+             .groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+             .toArrow())                                     # FILTER_BITS / 64 short rows at most
+    table = np.zeros(FILTER_BITS >> 6, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(table)
+
+
+def _matches(own: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(id, ref, x, y) of the runs that an earlier document has, with the first such; and the shared runs, staged."""
+    shared = own.groupBy("hash").agg(F.min("id").alias("ref"), F.max("id").alias("last")).filter("ref <> last").select("hash", "ref")
+    held = staged(own.join(shared, "hash"), name)
+    origin = held.filter("id = ref").groupBy("hash").agg(F.min("place").alias("y"))
+    return held.filter("id <> ref").join(origin, "hash").select("id", "ref", F.col("place").alias("x"), "y"), held
 
 
 def _chainer(id_type):
@@ -237,8 +290,9 @@ def _chainer(id_type):
                     if xs:
                         flush(key, xs, ys, out)
                     key, xs, ys = (i, r), [], []
-                xs.append(x)
-                ys.append(y)
+                if not xs or (x, y) != (xs[-1], ys[-1]):     # a run of either length
+                    xs.append(x)
+                    ys.append(y)
             if len(out) >= 1000:
                 yield table(out)
                 out = []
@@ -334,11 +388,13 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     kind, id_type = dict(docs.dtypes)["id"], to_arrow_type(docs.schema["id"].dataType)
-    own = docs.mapInArrow(_seeder, f"id {kind}, hash long, place int")
-    shared = own.groupBy("hash").agg(F.min("id").alias("ref"), F.max("id").alias("last")).filter("ref <> last").select("hash", "ref")
-    held = staged(own.join(shared, "hash"), "seeds")
-    origin = held.filter("id = ref").groupBy("hash").agg(F.min("place").alias("y"))
-    hits = held.filter("id <> ref").join(origin, "hash").select("id", "ref", F.col("place").alias("x"), "y")
+    row = f"id {kind}, hash long, place int"
+    hits, held = _matches(docs.mapInArrow(_runs(seeds), row), "seeds")
+    sent = _shared_filter(held.select("hash"))
+    whole, _ = _matches(docs.mapInArrow(_runs(lambda texts: wide(texts, sent.value)), row), "runs")
+    whole = (whole.groupBy("id", "ref", (F.col("y") - F.col("x")).alias("shift"), F.shiftright("x", 4).alias("part"))
+             .agg(F.min("x").alias("x")).select("id", "ref", "x", (F.col("x") + F.col("shift")).alias("y")))
+    hits = hits.unionByName(whole)
     chained = staged(hits.repartition("id").sortWithinPartitions("id", "ref", "x", "y")
                      .mapInArrow(_chainer(id_type), f"id {kind}, ref {kind}, xs binary, ys binary"), "chains")
     # one row holds the matches of at most about TOGETHER documents with a document

@@ -196,6 +196,20 @@ def test_recall_of_fuzzy_passages(spark):
     assert not {k: hit[k] for k in least if hit[k] < 60 * least[k]}
 
 
+def test_a_passage_whose_parts_occur_elsewhere(spark):
+    """Exact passages of 50 words, of lines that earlier documents have one at a time, are found where they occur whole."""
+    from mailspark.llm import substring
+
+    data = []
+    for t in range(0, 100, 10):
+        line = [[f"l{t}x{k}x{i}" for i in range(n)] for k, n in enumerate((17, 16, 17))]
+        foreign = lambda k: [f"d{t}x{k}x{i}" for i in range(60)]
+        some = [line[0] + line[1], line[1] + line[2], line[0] + line[1] + line[2][:-1], line[0][1:] + line[1] + line[2]]
+        data += [(t + k, foreign(k) + part + foreign(k + 20)) for k, part in enumerate([*some, sum(line, []), sum(line, [])])]
+    got = substring.report(spark.createDataFrame([(i, " ".join(w)) for i, w in data], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["start"], r["stop"], r["ref_doc_id"]) for r in got} >= {(t + 5, 60, 110, t + 4) for t in range(0, 100, 10)}
+
+
 def test_a_passage_next_to_other_shared_words(spark):
     """Two stretches shared with one document, far apart in foreign words: the long one is found, and only it."""
     from mailspark.llm import substring
