@@ -4,8 +4,10 @@ Seeds are runs of five words, thinned by winnowing: of every four
 consecutive runs of a document the one with the smallest hash is a seed, so two
 documents that share eight words in a row share a seed.  A seed joins each
 document that has it with the first such document (the smallest id); a passage
-that thousands share gives one match a seed and document, never a pair of
-every two.  The seeds of one passage may so lead to several documents of which
+that thousands share gives one match a seed and place, never a pair of
+every two.  Each place of a seed is joined with its first place in that
+document, so every copy of a passage is found, also within one document (from
+50 words behind the first copy's beginning on).  The seeds of one passage may so lead to several documents of which
 none has all of it; therefore each run of 50 words that two documents share
 joins those that have it with the first that has all 50.  Only runs whose
 seeds are all shared (by a filter of fixed size, which lets every match pass)
@@ -21,8 +23,8 @@ one that agrees less is cut at its widest gap, and its parts are tried.
 The first document that has it keeps it.
 
 Cases: null and empty texts, and texts of fewer than 50 words, have no
-passages; a run that a document itself repeats counts once in it; rows that
-repeat a doc_id are one document (passages refer to any of its rows); rows
+passages; a passage that repeats in its own document has that document as its
+source; rows that repeat a doc_id are one document (passages refer to any of its rows); rows
 with a null id are left alone; an empty table gives an empty result; other
 columns are not read.
 """
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import ids as column_ids
-from .base import mix, prepare, staged, text_slices
+from .base import prepare, staged, text_slices
 from .words import Words, shingles
 
 SEED = 5
@@ -74,14 +76,12 @@ def _winnowed(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def seeds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, word place) of the winnowed seeds, each hash once a text."""
+    """(text, hash, word place) of the winnowed seeds."""
     w = Words(texts)
     doc, h = shingles(w, w.hashes(), SEED)
     size = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(size) - size
     at = _winnowed(doc, h, size)
-    _, keep = np.unique((doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ mix(h[at]), return_index=True)
-    at = at[np.sort(keep)]
     return doc[at], h[at], at - first[doc[at]]
 
 
@@ -264,11 +264,13 @@ def _shared_filter(hashes: DataFrame):
 
 
 def _matches(own: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(id, ref, x, y) of the runs that an earlier document has, with the first such; and the shared runs, staged."""
-    shared = own.groupBy("hash").agg(F.min("id").alias("ref"), F.max("id").alias("last")).filter("ref <> last").select("hash", "ref")
+    """(id, ref, x, y) of the runs with an earlier place, with the first such; and the runs of several places, staged."""
+    shared = (own.groupBy("hash").agg(F.min("id").alias("ref"), F.max("id").alias("last"), F.min("place").alias("low"), F.max("place").alias("high"))
+              .filter("ref <> last or low <> high").select("hash", "ref"))
     held = staged(own.join(shared, "hash"), name)
     origin = held.filter("id = ref").groupBy("hash").agg(F.min("place").alias("y"))
-    return held.filter("id <> ref").join(origin, "hash").select("id", "ref", F.col("place").alias("x"), "y"), held
+    hits = held.join(origin, "hash").filter(f"id <> ref or place - y >= {MIN_WORDS}")
+    return hits.select("id", "ref", F.col("place").alias("x"), "y"), held
 
 
 def _chainer(id_type):
@@ -337,6 +339,7 @@ def _cutter(batches):
 def found(number: np.ndarray, rows: list[dict]) -> list[dict]:
     """Repeated passages of one document, by its word numbers and its chains."""
     out = []
+    at: dict[tuple, list[dict]] = {}                         # passages by document and by 64 words
     for c in sorted(rows, key=lambda c: -len(c["xs"])):
         other = np.frombuffer(c["words"], np.uint32)
         tries = [(np.frombuffer(c["xs"], "<i4"), np.frombuffer(c["ys"], "<i4"))]
@@ -344,8 +347,8 @@ def found(number: np.ndarray, rows: list[dict]) -> list[dict]:
             continue
         while tries:
             xs, ys = tries.pop()
-            if any(r["ref"] == c["ref"] and r["start"] <= xs[0] and xs[-1] + SEED <= r["stop"]
-                   and r["ref_start"] <= ys[0] and ys[-1] + SEED <= r["ref_stop"] for r in out):
+            if any(r["start"] <= xs[0] and xs[-1] + SEED <= r["stop"] and r["ref_start"] <= ys[0] and ys[-1] + SEED <= r["ref_stop"]
+                   for r in at.get((c["ref"], int(xs[0]) >> 6), ())):
                 continue                                     # within a passage found
             start, stop, o, p, good = align(number, other, c["shift"], xs, ys)
             if stop - start < MIN_WORDS:
@@ -354,6 +357,8 @@ def found(number: np.ndarray, rows: list[dict]) -> list[dict]:
                 continue
             if good >= SIMILARITY * max(stop - start, p - o):
                 out.append({"start": start, "stop": stop, "ref": c["ref"], "ref_start": o, "ref_stop": p, "n_same": good})
+                for k in range(start >> 6, (stop >> 6) + 1):
+                    at.setdefault((c["ref"], k), []).append(out[-1])
             elif len(xs) > 1:
                 k = int((np.diff(xs) + np.diff(ys)).argmax()) + 1
                 tries += [(xs[:k], ys[:k]), (xs[k:], ys[k:])]
@@ -379,7 +384,7 @@ def _aligner(id_type):
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, passages) of the documents that repeat an earlier one, staged.
+    """(id, n_words, passages) of the documents that repeat an earlier one or themselves, staged.
 
     passages: array of (start, stop, ref, ref_start, ref_stop, n_same), in words, half open.
     """
@@ -410,8 +415,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """A row for each repeated passage: doc_id, start, stop (words, half open), ref_doc_id, ref_start, ref_stop, n_same."""
-    return (passages(docs).select(F.col("id").alias("doc_id"), F.explode("passages").alias("p"))
+    """A row for each passage of an earlier document: doc_id, start, stop (words, half open), ref_doc_id, ref_start, ref_stop, n_same.
+
+    Passages with their own document as source are in ``passages`` and cut by ``deduplicated``; they have no row here.
+    """
+    return (passages(docs).select(F.col("id").alias("doc_id"), F.explode("passages").alias("p")).filter("p.ref <> doc_id")
             .select("doc_id", "p.start", "p.stop", F.col("p.ref").alias("ref_doc_id"), "p.ref_start", "p.ref_stop", "p.n_same").distinct())
 
 

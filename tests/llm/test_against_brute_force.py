@@ -210,6 +210,23 @@ def test_a_passage_whose_parts_occur_elsewhere(spark):
     assert {(r["doc_id"], r["start"], r["stop"], r["ref_doc_id"]) for r in got} >= {(t + 5, 60, 110, t + 4) for t in range(0, 100, 10)}
 
 
+def test_each_copy_of_a_passage(spark):
+    """A passage three times in a later document, and twice in a document alone: all copies but the first are found and cut."""
+    from mailspark.llm import substring
+
+    foreign = lambda k: [f"d{k}x{i}" for i in range(60)]
+    p, q, r = ([f"{c}{i}" for i in range(60)] for c in "pqr")
+    data = [(1, foreign(1) + p), (2, p + foreign(2) + p + foreign(3) + p), (3, foreign(4) + q + foreign(5) + q + foreign(6)),
+            (4, r + r), (5, ["la"] * 49 + foreign(7)), (6, foreign(8) + [f"s{i}" for i in range(20)] * 8)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in data], "doc_id long, text string")
+    got = [(x["id"], y["start"], y["stop"], y["ref"]) for x in substring.passages(df).collect() for y in x["passages"]]
+    assert {(x["doc_id"], x["start"], x["stop"], x["ref_doc_id"]) for x in substring.report(df).collect()} == {g for g in got if g[0] == 2}
+    assert sorted(g for g in got if g[0] < 6) == [(2, 0, 60, 1), (2, 120, 180, 1), (2, 240, 300, 1), (3, 180, 240, 3), (4, 60, 120, 4)]
+    left = {x["doc_id"]: words(x["text"]) for x in substring.deduplicated(df).collect()}
+    assert left[1] == data[0][1] and left[2] == foreign(2) + foreign(3) and left[3] == foreign(4) + q + foreign(5) + foreign(6)
+    assert left[4] == r and left[5] == data[4][1] and left[6] == foreign(8) + [f"s{i}" for i in range(20)] * 3
+
+
 def test_a_passage_next_to_other_shared_words(spark):
     """Two stretches shared with one document, far apart in foreign words: the long one is found, and only it."""
     from mailspark.llm import substring
