@@ -10,7 +10,8 @@ once, each in its own stretch of the bytes, so numpy does the scanning.
 
 The benchmark is read in blocks of a bounded number of bytes; each block is
 one set of tables for one pass over the documents, so its size never decides
-what a task holds.
+what a task holds.  What several passes found is joined by id and text, and
+as many rows come out as went in.
 
 Cases: null and empty texts have no words and are not contaminated; repeated
 rows are answered row by row; a null id is kept; an empty benchmark leaves all
@@ -173,7 +174,7 @@ def scan(texts: pa.Array, tests: TestStrings) -> tuple[np.ndarray, list[list[tup
 SPANS = "spans array<struct<start:int,stop:int>>"
 
 
-def _scanner(tests, id_col: str, text_col: str):
+def _scanner(tests, id_col: str, text_col: str, key_col: str | None = None):
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches):
@@ -181,11 +182,12 @@ def _scanner(tests, id_col: str, text_col: str):
         for batch in batches:
             for a, b, texts in text_slices(batch, text_col):
                 n, spans, items = scan(texts, t)
+                key = [ids(batch, key_col).slice(a, b - a)] if key_col else []
                 yield pa.RecordBatch.from_arrays([
-                    ids(batch, id_col).slice(a, b - a), pa.array(n, pa.int64()),
+                    *key, ids(batch, id_col).slice(a, b - a), pa.array(n, pa.int64()),
                     pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], span),
                     pa.array([sorted({t.items[i] for i in s}) for s in items], pa.list_(pa.string()))],
-                    ["id", "n_words", "spans", "items"])
+                    [*([key_col] if key_col else []), "id", "n_words", "spans", "items"])
     return run
 
 
@@ -210,18 +212,20 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     spark = prepare(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, n_words long, {SPANS}, items array<string>"
-    parts = [docs.select(id_col, text_col).mapInArrow(_scanner(spark.sparkContext.broadcast(rows), id_col, text_col), schema)
-             for rows in _blocks(benchmark, item_col, item_text_col) or ()]
-    if not parts:
-        return docs.select(id_col, text_col).mapInArrow(_scanner(spark.sparkContext.broadcast([]), id_col, text_col), schema)
-    out = parts[0]
-    if len(parts) > 1:                                       # several passes: what they found for a document joins
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out = (out.groupBy("id").agg(F.max("n_words").alias("n_words"),
-                                     F.flatten(F.collect_list("spans")).alias("spans"),
-                                     F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
-    return out
+    blocks = [spark.sparkContext.broadcast(rows) for rows in _blocks(benchmark, item_col, item_text_col)] or [spark.sparkContext.broadcast([])]
+    if len(blocks) == 1:
+        return docs.select(id_col, text_col).mapInArrow(_scanner(blocks[0], id_col, text_col), schema)
+    # several passes: what they found for an id and text joins; rows alike in both come out as often as they were there
+    keyed = docs.select(id_col, text_col, F.sha2(F.col(text_col).cast("binary"), 256).alias("_llm_key"))
+    out = None
+    for rows in blocks:
+        p = keyed.mapInArrow(_scanner(rows, id_col, text_col, "_llm_key"), f"_llm_key string, {schema}")
+        out = p if out is None else out.unionByName(p)
+    out = (out.groupBy("id", "_llm_key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"),
+                                             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+                                             (F.count("*") / len(blocks)).cast("long").alias("times")))
+    return (out.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+            .select("id", "n_words", "spans", "items"))
 
 
 def n_hit(spans):

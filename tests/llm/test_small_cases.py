@@ -83,6 +83,18 @@ def test_decontamination(spark, full, empty):
     assert decontaminate.report(empty, b).collect() == [] and decontaminate.report(empty, none).collect() == []
 
 
+def test_decontamination_in_blocks_answers_each_row(spark, full, monkeypatch):
+    """Repeated and null ids, with equal and with different texts, a row each whatever the benchmark's size."""
+    more = docs(spark, [(None, "one two", "en", "a"), (None, None, "en", "a"), (7, LONG, "en", "a"), (7, LONG, "en", "a"), (7, None, "en", "a")])
+    both = full.unionByName(more)
+    b = bench(spark, [(k, t, 0, 0) for k, t in ((1, LONG), (2, "one two"), (3, "Same text twice here now"), (4, "x" * 400))])
+    key = lambda r: tuple(map(str, r))
+    one = sorted(decontaminate.report(both, b).collect(), key=key)
+    assert len(one) == len(ROWS) + 5 and sum(r["doc_id"] is None for r in one) == 3
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    assert sorted(decontaminate.report(both, b).collect(), key=key) == one
+
+
 def test_decontamination_in_blocks_is_the_same(spark, full, monkeypatch):
     b = bench(spark, [(i, " ".join(f"word{j}" for j in range(i * 7, i * 7 + 15)), 0, 0) for i in range(20)])
     one = {r["doc_id"]: r for r in decontaminate.report(full.filter("doc_id < 10"), b).collect()}
