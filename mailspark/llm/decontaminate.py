@@ -14,7 +14,8 @@ what a task holds.  What several passes found is joined by id and text, and
 as many rows come out as went in.
 
 Cases: null and empty texts have no words and are not contaminated; repeated
-rows are answered row by row; a null id is kept; an empty benchmark leaves all
+rows are answered row by row; a null id is kept; an item without an id is searched
+like any other but has no place in the list of items; an empty benchmark leaves all
 documents clean; extra columns are not read.
 """
 
@@ -73,7 +74,7 @@ class TestStrings:
                     s = raw[starts[j]:ends[j + n - 1]]
                     strings.setdefault(s, set()).add(i)
                     sizes[s] = n
-        self.items = [str(k) for k, _ in items]
+        self.items = [None if k is None else str(k) for k, _ in items]
         self.groups = []
         top = 1 << 62
         for least in CLASSES:
@@ -186,7 +187,7 @@ def _scanner(tests, id_col: str, text_col: str, key_col: str | None = None):
                 yield pa.RecordBatch.from_arrays([
                     *key, ids(batch, id_col).slice(a, b - a), pa.array(n, pa.int64()),
                     pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], span),
-                    pa.array([sorted({t.items[i] for i in s}) for s in items], pa.list_(pa.string()))],
+                    pa.array([sorted({t.items[i] for i in s} - {None}) for s in items], pa.list_(pa.string()))],
                     [*([key_col] if key_col else []), "id", "n_words", "spans", "items"])
     return run
 
@@ -199,9 +200,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
         if rows and size + n > BLOCK_BYTES:
             yield rows
             rows, size = [], 0
-        if r[0] is not None:
-            rows.append((r[0], r[1]))
-            size += n
+        rows.append((r[0], r[1]))
+        size += n
     if rows:
         yield rows
 

@@ -83,6 +83,14 @@ def test_decontamination(spark, full, empty):
     assert decontaminate.report(empty, b).collect() == [] and decontaminate.report(empty, none).collect() == []
 
 
+def test_decontamination_by_an_item_without_id(spark, full):
+    b = bench(spark, [(None, "one two", 0, 0), (2, "words that no document has", 0, 0)])
+    got = by_id(decontaminate.report(full, b).filter("doc_id is not null"))
+    assert (got[6]["n_hit"], got[6]["n_items"], got[6]["contaminated"]) == (2, 0, True)
+    assert got[6]["items_sha256"] == decontaminate.items_digest([]) and not got[1]["contaminated"]
+    assert {6, 7}.isdisjoint(r["doc_id"] for r in decontaminate.clean(full, b).collect())
+
+
 def test_decontamination_in_blocks_answers_each_row(spark, full, monkeypatch):
     """Repeated and null ids, with equal and with different texts, a row each whatever the benchmark's size."""
     more = docs(spark, [(None, "one two", "en", "a"), (None, None, "en", "a"), (7, LONG, "en", "a"), (7, LONG, "en", "a"), (7, None, "en", "a")])
