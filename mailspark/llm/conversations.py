@@ -14,15 +14,18 @@ survivor that nothing extends is released, up to the first node that still
 has another child.  As long as the root has one child, all survivors share
 it: that child's edits are final and leave the tree at once.  So a task holds
 only the rows on which survivors still differ, however long a conversation
-is; two survivors of equal cost are compared on the whole of that part.  The
-states "nothing" and "system" are given up once an assistant state is so much
-cheaper that they can no longer win or tie (see ``_prune``), or else the way
-that deletes everything would hold the whole conversation.
+is.  (Where the first edits depend on the last row, as among user turns only,
+that is the conversation; no method could say them earlier.)  Survivors of
+equal cost are compared on the whole of that part: each keeps the rank of its
+string among the others', which follows from its parent's rank and its new
+edits.  The states "nothing" and "system" are given up once an assistant state
+is so much cheaper that they can no longer win or tie (see ``_prune``), or
+else the way that deletes everything would hold the whole conversation.
 
 Rows are shuffled once, by conversation, and each partition is read as a
 stream in order of turn.  A conversation is one stream in one task, because
-the digest of its repaired text is defined over its sequence; the task's
-memory does not grow with it.
+the digest of its repaired text is defined over its sequence; the task holds
+no more of it than is undecided.
 
 Cases: nulls in role and text are one space, and so are nulls in the text that
 decides a row's damage; rows without a conv_id are one conversation; null
@@ -64,21 +67,9 @@ class _Node:
         self.parent, self.ops, self.state, self.role, self.text, self.kids = parent, ops, state, role, text, 0
 
 
-def _before(a: tuple, b: tuple) -> bool:
-    """Is the way ``a`` = (cost, node, ops) better than ``b``?  Both have used the same rows."""
-    if a[0] != b[0]:
-        return a[0] < b[0]
-    x, y = a[1], b[1]
-    left, right = [a[2]], [b[2]]
-    while x is not y:
-        left.append(x.ops)
-        right.append(y.ops)
-        x, y = x.parent, y.parent
-    return "".join(reversed(left)) < "".join(reversed(right))
-
-
 def _put(best: list, state: int, way: tuple) -> None:
-    if best[state] is None or _before(way, best[state]):
+    """Keep the better way to ``state``: (cost, rank of the survivor it extends, initials of its new edits, that survivor)."""
+    if best[state] is None or way[:3] < best[state][:3]:
         best[state] = way
 
 
@@ -87,20 +78,22 @@ class Repair:
 
     def __init__(self):
         self.root = _Node(None, "", NOTHING, None, None)
-        self.live = [(0, self.root), None, None, None]       # cheapest (cost, node) of each state
+        # cheapest (cost, rank, node) of each state; the rank orders the whole strings of the survivors
+        self.live = [(0, 0, self.root), None, None, None]
         self.cost = 0
         #: Most steps held at once, for tests.
         self.held = 0
 
     def _inserted(self) -> list:
         """Ways to each state with insertions after the last row."""
-        ways = [None if w is None else (w[0], w[1], "") for w in self.live]
+        ways = [None if w is None else (w[0], w[1], "", w[2]) for w in self.live]
         for s in (NOTHING, SYSTEM, ASSISTANT):
             if self.live[s] is not None:
-                _put(ways, USER, (self.live[s][0] + INSERT, self.live[s][1], "I"))
+                cost, rank, node = self.live[s]
+                _put(ways, USER, (cost + INSERT, rank, "I", node))
         if ways[USER] is not None:
-            cost, node, ops = ways[USER]
-            _put(ways, ASSISTANT, (cost + INSERT, node, ops + "I"))
+            cost, rank, ops, node = ways[USER]
+            _put(ways, ASSISTANT, (cost + INSERT, rank, ops + "I", node))
         return ways
 
     def feed(self, role: str, text: str, fault: int):
@@ -110,28 +103,29 @@ class Repair:
         for s, way in enumerate(self._inserted()):
             if way is None:
                 continue
-            cost, node, ops = way
-            _put(best, s, (cost + DELETE, node, ops + "D"))
+            cost, rank, ops, node = way
+            _put(best, s, (cost + DELETE, rank, ops + "D", node))
             if fault in (BLANK, DUPLICATE):
                 continue
             if s == USER:
-                _put(best, ASSISTANT, (cost + REROLE + extra, node, ops + "R"))
+                _put(best, ASSISTANT, (cost + REROLE + extra, rank, ops + "R", node))
                 if first == "a":
-                    _put(best, ASSISTANT, (cost + KEEP + extra, node, ops + "K"))
+                    _put(best, ASSISTANT, (cost + KEEP + extra, rank, ops + "K", node))
             else:
-                _put(best, USER, (cost + REROLE + extra, node, ops + "R"))
+                _put(best, USER, (cost + REROLE + extra, rank, ops + "R", node))
                 if first == "u":
-                    _put(best, USER, (cost + KEEP + extra, node, ops + "K"))
+                    _put(best, USER, (cost + KEEP + extra, rank, ops + "K", node))
                 elif first == "s" and s == NOTHING:
-                    _put(best, SYSTEM, (cost + KEEP + extra, node, ops + "K"))
+                    _put(best, SYSTEM, (cost + KEEP + extra, rank, ops + "K", node))
         self._prune(best)
-        old = [w[1] for w in self.live if w is not None]
+        old = [w[2] for w in self.live if w is not None]
         self.live = [None] * 4
-        for s, way in enumerate(best):
-            if way is not None:
-                node = _Node(way[1], way[2], s, role, text)
-                way[1].kids += 1
-                self.live[s] = (way[0], node)
+        # strings of one row number differ before either ends, so those of the parents decide, then the new edits
+        order = sorted((way[1], way[2], s) for s, way in enumerate(best) if way is not None)
+        for n, (_, ops, s) in enumerate(order):
+            parent = best[s][3]
+            parent.kids += 1
+            self.live[s] = (best[s][0], n, _Node(parent, ops, s, role, text))
         for node in old:
             while node.kids == 0 and node is not self.root:  # nothing extends it: release it
                 node = node.parent
@@ -163,7 +157,7 @@ class Repair:
     def _settled(self):
         if self.root.kids != 1:
             return
-        chain = self._path(next(w[1] for w in self.live if w is not None))
+        chain = self._path(next(w[2] for w in self.live if w is not None))
         self.held = max(self.held, len(chain))
         while chain and self.root.kids == 1:
             node = chain.pop()
@@ -188,7 +182,7 @@ class Repair:
         for s in (NOTHING, ASSISTANT):
             if ways[s] is not None:
                 _put(best, 0, ways[s])
-        self.cost, last, ops = best[0]
+        self.cost, _, ops, last = best[0]
         state = self.root.state
         for node in reversed(self._path(last)):
             yield from self._edits(state, node.ops, node)

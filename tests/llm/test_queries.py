@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_one_query_an_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
     assert queries.QUERIES.items() <= E.queries().items() and "pipeline" in E.queries()
 
 
