@@ -47,7 +47,9 @@ COVERED = 50
 #: Suffixes that one group's subtrees may stand for, and most prefixes that are lengthened.
 BUDGET, MOST = 2_000_000, 1_000_000
 #: Bytes of text whose equal suffixes are added up before they are shuffled.
-STRETCH_BYTES = 12 << 20
+STRETCH_BYTES = 8 << 20
+#: Bytes of packed suffixes in an Arrow batch.
+PACKED_BYTES = 2 << 20
 UNKNOWN = "und"
 
 MEMBER = np.ones(256, dtype=bool)
@@ -181,6 +183,21 @@ def _second_words(sent):
     return run
 
 
+_LEAF = 8 * LONGEST + 4
+
+
+def _packed(leaves: list[np.ndarray], x: int, y: int) -> bytes:
+    """Suffixes from x to y, word by word and then their numbers: in order, so that equal words stand together."""
+    return b"".join(c[x:y].tobytes() for c in leaves)
+
+
+def _unpacked(runs: list) -> list[np.ndarray]:
+    """Words and numbers of all suffixes of packed runs."""
+    sizes = [len(r) // _LEAF for r in runs]
+    out = [np.concatenate([np.frombuffer(r, np.uint64, n, 8 * n * j) for r, n in zip(runs, sizes)]) for j in range(LONGEST)]
+    return [*out, np.concatenate([np.frombuffer(r, np.uint32, n, 8 * n * LONGEST) for r, n in zip(runs, sizes)]).astype(np.int64)]
+
+
 def _dealt(sent):
     """Suffixes by the group of their prefix: one packed run a stretch and group."""
     def run(batches):
@@ -196,13 +213,21 @@ def _dealt(sent):
             most = more & heavy_pairs.find(a, b)[0]
             prefix[most] = _pair(prefix[most], c[most])
             group = (mix(prefix) % np.uint64(groups)).astype(np.int32)
+            del s, prefix, more, most
             order = np.argsort(group, kind="stable")
-            leaves = np.stack([x[order] for x in (a, b, c, n.astype(np.uint64))], axis=1)
             group = group[order]
+            leaves = [x[order] for x in (a, b, c, n.astype(np.uint32))]
+            del a, b, c, n, order
             first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             ends = np.append(first[1:], len(group))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(group[first]), pa.array([leaves[x:y].tobytes() for x, y in zip(first, ends)], pa.binary())], ["grp", "leaves"])
+            held, size = [], 0
+            for x, y in zip(first, ends):
+                held.append((int(group[x]), _packed(leaves, x, y)))
+                size += len(held[-1][1])
+                if size >= PACKED_BYTES or y == len(group):
+                    yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in held], pa.int32()), pa.array([v for _, v in held], pa.binary())],
+                                                     ["grp", "leaves"])
+                    held, size = [], 0
     return run
 
 
@@ -218,10 +243,9 @@ def _subtrees(sent):
     """
     def run(table: pa.Table) -> pa.Table:
         heavy, heavy_n, pairs, least = sent.value
-        leaves = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, LONGEST + 1) for x in table.column("leaves").combine_chunks()])
-        order = np.lexsort((leaves[:, 2], leaves[:, 1], leaves[:, 0]))
-        a, b, c = (leaves[order, j] for j in range(LONGEST))
-        n = leaves[order, LONGEST].astype(np.int64)
+        leaves = _unpacked([x.as_buffer() for x in table.column("leaves")])
+        order = np.lexsort((leaves[2], leaves[1], leaves[0]))
+        a, b, c, n = (x[order] for x in leaves)
         new1 = np.append(True, a[1:] != a[:-1])
         new2 = new1 | np.append(True, b[1:] != b[:-1])
         new3 = new2 | np.append(True, c[1:] != c[:-1])
