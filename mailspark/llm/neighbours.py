@@ -17,8 +17,10 @@ where the search is exact; so it is in a table of one part.
 Equal vectors are scored once, with their smallest ids (no answer can need
 more than ``k`` + 1 of them).  The rows of a part are dealt into blocks and so
 are its queries; two blocks meet in one task, which returns its best ``k`` + 1
-of each query, and windows merge those lists.  The sample, the network and one
-count a part are all that the driver sees.
+of each query, and windows merge those lists.  A query goes to its ``FIRST``
+likeliest parts first; the other parts return only what is no worse than the
+last of the ``k`` + 1 found there.  The sample, the network and one count a
+part are all that the driver sees.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite values
 take no part, nor do rows without an id; equal rows are one row; rows that
@@ -56,6 +58,8 @@ EDGES = 20
 #: A part may be larger than the mean by this share.
 SLACK = 0.05
 HIDDEN, EPOCHS, RATE = 128, 12, 3e-3
+#: Parts that a query is sent to first, for a bound on its answers.
+FIRST = 4
 #: Rows, and queries, of one block.
 ROWS, QUERIES = 8192, 2048
 _SEED = 20240613
@@ -69,22 +73,27 @@ def exact(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the ``k`` largest inner products of each query, with all that may tie with the last."""
+def nearest(queries: np.ndarray, rows: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the ``k`` largest inner products of each query, with all that may tie with the last.
+
+    bound: least score that each query asks for.
+    """
     out = []
     scale = np.abs(rows).max(initial=0.0) * np.abs(queries).max(initial=0.0) * rows.shape[1]
     for a in range(0, len(queries), 256):
         s = queries[a:a + 256] @ rows.T
         if k < s.shape[1]:
-            last = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            q, r = np.nonzero(s >= last[:, None] - 1e-12 * scale)
+            last = np.maximum(np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k], bound[a:a + 256])
         else:
-            q, r = (x.reshape(-1) for x in np.indices(s.shape))
+            last = bound[a:a + 256]
+        q, r = np.nonzero(s >= last[:, None] - 1e-12 * scale)
         out.append((q + a, r))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     q, r = (np.concatenate(x) for x in zip(*out))
-    return q, r, exact(queries[q], rows[r])
+    score = exact(queries[q], rows[r])
+    keep = score >= bound[q]
+    return q[keep], r[keep], score[keep]
 
 
 def graph(x: np.ndarray, edges: int = EDGES) -> np.ndarray:
@@ -195,13 +204,13 @@ class Router:
                     v1 += 0.001 * (g * g - v1)
                     w -= rate * m1 / (np.sqrt(v1) + 1e-8)
 
-    def routes(self, x: np.ndarray, mass: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, part): the likeliest parts of each row that together hold ``mass``."""
+    def routes(self, x: np.ndarray, mass: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, part, place): the likeliest parts of each row that together hold ``mass``, from place 0 on."""
         p = self.chances(x)
         order = np.argsort(-p, axis=1, kind="stable")
         before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1)
         q, rank = np.nonzero(before < mass)
-        return q, order[q, rank]
+        return q, order[q, rank], rank
 
 
 def learn(x: np.ndarray, parts: int, k: int = K, recall: float = RECALL) -> tuple[Router, float]:
@@ -254,7 +263,7 @@ def _search(dim: int, k: int):
         a, b = np.flatnonzero(asked), np.flatnonzero(~asked)
         vec = table.column("vec")
         x = _matrix(vec, dim)
-        q, r, score = nearest(x[a], x[b], k)
+        q, r, score = nearest(x[a], x[b], k, table.column("bound").to_numpy()[a])
         names = table.column("ids").combine_chunks()
         digest = table.column("h").combine_chunks()
         first = names.values.to_numpy(zero_copy_only=False)[names.offsets.to_numpy()[:-1]] if pa.types.is_integer(names.type.value_type) else \
@@ -304,31 +313,25 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "ve
                 if not batch.num_rows:
                     continue
                 x = _matrix(column_ids(batch, "vec"), dim)
-                if asked:
-                    at, part = router.routes(x, mass)
-                else:
-                    at, part = np.arange(len(x)), router.place(x)
+                at, part, place = router.routes(x, mass) if asked else (np.arange(len(x)), router.place(x), np.zeros(len(x)))
                 out = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(part.astype(np.int32))], [*out.schema.names, "part"])
-        shape = f"vec {dict(own.dtypes)['vec']}, h long, ids array<{kind}>, rep {kind}, part int"
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(part.astype(np.int32)), pa.array(place.astype(np.int32))],
+                                                 [*out.schema.names, "part", "place"])
+        shape = f"vec {dict(own.dtypes)['vec']}, h long, ids array<{kind}>, rep {kind}, part int, place int"
         columns = ["vec", "h", "ids", "rep"]
         placed = staged(own.select(columns).mapInArrow(routed, shape), "placed")
         routes = staged(ask.select(columns).mapInArrow(lambda b, f=routed: f(b, asked=True), shape), "routes")
-        sizes = (placed.groupBy("part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("nr"))
-                 .join(routes.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq")), "part"))
-        sizes = F.broadcast(sizes)                           # one row a part, SAMPLE / LEAST at most
-        block = F.pmod(F.xxhash64("rep", "h"), F.lit(1 << 30)).cast("int")
-        blocks = (placed.join(sizes, "part").withColumn("rb", block % F.col("nr"))
-                  .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).withColumn("asked", F.lit(False))
-                  .unionByName(routes.join(sizes, "part").withColumn("qb", block % F.col("nq"))
-                               .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).withColumn("asked", F.lit(True)))
-                  .select("part", "rb", "qb", "asked", *columns))
-        near = blocks.groupBy("part", "rb", "qb").applyInArrow(_search(dim, k + 1), f"rep {kind}, h long, id {kind}, id_h long, score double")
+        low = F.lit(-math.inf)
+        near = _best(_met(placed, routes.filter(F.col("place") < FIRST).withColumn("bound", low), dim, k + 1, kind), k + 1)
+        if parts > FIRST:
+            near = staged(near, "first")
+            last = near.filter(F.col("n") == k + 1).select("rep", "h", F.col("score").alias("bound"))
+            later = routes.filter(F.col("place") >= FIRST).join(last, ["rep", "h"], "left").withColumn("bound", F.coalesce("bound", low))
+            near = _best(near.drop("n").unionByName(_met(placed, later, dim, k + 1, kind)), k + 1)
         found = near if found is None else found.unionByName(near)
     if found is None:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    best = Window.partitionBy("rep", "h").orderBy(F.desc("score"), "id", "id_h")
-    found = staged(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1), "nearest")
+    found = staged(found, "nearest")
     pairs = (asking.withColumnRenamed("id", "query_id").join(found, ["rep", "h"])
              .filter((F.col("id") != F.col("query_id")) | (F.col("id_h") != F.col("h"))))
     mine = Window.partitionBy("query_id", "h").orderBy("n")
@@ -336,6 +339,26 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "ve
             .select("query_id", "rank", F.col("id").alias("vec_id"), "score"))
 
 
+def _met(placed: DataFrame, routes: DataFrame, dim: int, k: int, kind: str) -> DataFrame:
+    """rep, h, id, id_h, score of the best ``k`` rows of each block of a part for each query that is sent there."""
+    sizes = (placed.groupBy("part").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("nr"))
+             .join(routes.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq")), "part"))
+    sizes = F.broadcast(sizes)                               # one row a part, SAMPLE / LEAST at most
+    block = F.pmod(F.xxhash64("rep", "h"), F.lit(1 << 30)).cast("int")
+    columns = ["part", "rb", "qb", "asked", "bound", "vec", "h", "ids", "rep"]
+    rows = (placed.join(sizes, "part").withColumn("rb", block % F.col("nr")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+            .withColumn("asked", F.lit(False)).withColumn("bound", F.lit(0.0)))
+    asking = (routes.join(sizes, "part").withColumn("qb", block % F.col("nq"))
+              .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).withColumn("asked", F.lit(True)))
+    return rows.select(columns).unionByName(asking.select(columns)).groupBy("part", "rb", "qb").applyInArrow(
+        _search(dim, k), f"rep {kind}, h long, id {kind}, id_h long, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("rep", "h").orderBy(F.desc("score"), "id", "id_h")
+    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
+
+
 def _sample(own: DataFrame, n: int, dim: int) -> np.ndarray:
     """At most SAMPLE vectors, those of the least hashes: the same at every run."""
     if n > SAMPLE:

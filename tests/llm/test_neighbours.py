@@ -57,7 +57,7 @@ def test_parts_are_searched_in_part(spark):
     """With structure, a query reads few of the parts."""
     x = vectors(3000, 16, 12).astype(float)
     router, mass = neighbours.learn(x, 12)
-    q, part = router.routes(x[::20], mass)
+    q, part, _ = router.routes(x[::20], mass)
     assert len(q) < 0.6 * 12 * len(x[::20])
     near = neighbours.graph(x)
     first = neighbours._medians(x, 12, np.random.default_rng(0))
