@@ -45,9 +45,9 @@ LONGEST, LEAST, TOP = 3, 10, 2000
 #: A candidate goes if a longer one around it has at least this share of its occurrences, in percent.
 COVERED = 50
 #: Suffixes that one group's subtrees may stand for, and most prefixes that are lengthened.
-BUDGET, MOST = 2_000_000, 1_000_000
+BUDGET, MOST = 1_500_000, 1_000_000
 #: Bytes of text whose equal suffixes are added up before they are shuffled.
-STRETCH_BYTES = 8 << 20
+STRETCH_BYTES = 4 << 20
 #: Bytes of packed suffixes in an Arrow batch.
 PACKED_BYTES = 2 << 20
 UNKNOWN = "und"
@@ -171,31 +171,56 @@ def _suffixes(s: Stretch, words: int, only: np.ndarray | None = None) -> tuple[l
     return [values[c.astype(np.int64)] for c in codes], times
 
 
+def _runs(group: np.ndarray, words: list[np.ndarray], n: np.ndarray):
+    """Arrow batches of (grp, leaves): a packed run of suffixes a group, word by word and then their numbers.
+
+    Suffixes stay in order within a run, so that equal words stand together.
+    """
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    columns = [x[order] for x in (*words, n.astype(np.uint32))]
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    held, size = [], 0
+    for x, y in zip(first, np.append(first[1:], len(group))):
+        held.append((int(group[x]), b"".join(c[x:y].tobytes() for c in columns)))
+        size += len(held[-1][1])
+        if size >= PACKED_BYTES or y == len(group):
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in held], pa.int32()), pa.array([v for _, v in held], pa.binary())],
+                                             ["grp", "leaves"])
+            held, size = [], 0
+
+
+def _unpacked(column, words: int) -> list[np.ndarray]:
+    """Words and numbers of all suffixes of a group's runs, in order, with equal ones still apart."""
+    runs = [x.as_buffer() for x in column]
+    sizes = [len(r) // (8 * words + 4) for r in runs]
+    out = [np.concatenate([np.frombuffer(r, np.uint64, n, 8 * n * j) for r, n in zip(runs, sizes)]) for j in range(words)]
+    n = np.concatenate([np.frombuffer(r, np.uint32, n, 8 * n * words) for r, n in zip(runs, sizes)]).astype(np.int64)
+    order = np.lexsort(tuple(reversed(out)))
+    return [*(x[order] for x in out), n[order]]
+
+
 def _second_words(sent):
-    """Counts of two-word prefixes that begin with a word of more suffixes than fit."""
+    """Two-word prefixes that begin with a word of more suffixes than fit, dealt by both words."""
     def run(batches):
-        seed, heavy = sent.value
+        seed, heavy, groups = sent.value
         for batch in merged(batches, STRETCH_BYTES):
             s = Stretch(batch, seed)
             if len(s.keys):
                 (a, b), n = _suffixes(s, 2, heavy)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], ["k1", "k2", "n"])
+                if len(a):
+                    yield from _runs((_pair(a, b) % np.uint64(groups)).astype(np.int32), [a, b], n)
     return run
 
 
-_LEAF = 8 * LONGEST + 4
-
-
-def _packed(leaves: list[np.ndarray], x: int, y: int) -> bytes:
-    """Suffixes from x to y, word by word and then their numbers: in order, so that equal words stand together."""
-    return b"".join(c[x:y].tobytes() for c in leaves)
-
-
-def _unpacked(runs: list) -> list[np.ndarray]:
-    """Words and numbers of all suffixes of packed runs."""
-    sizes = [len(r) // _LEAF for r in runs]
-    out = [np.concatenate([np.frombuffer(r, np.uint64, n, 8 * n * j) for r, n in zip(runs, sizes)]) for j in range(LONGEST)]
-    return [*out, np.concatenate([np.frombuffer(r, np.uint32, n, 8 * n * LONGEST) for r, n in zip(runs, sizes)]).astype(np.int64)]
+def _more_than(fits: int):
+    def run(table: pa.Table) -> pa.Table:
+        a, b, n = _unpacked(table.column("leaves"), 2)
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        total = np.add.reduceat(n, first)
+        first, total = first[total > fits], total[total > fits]
+        return pa.table({"k1": a[first].view(np.int64), "k2": b[first].view(np.int64), "n": total})
+    return run
 
 
 def _dealt(sent):
@@ -214,20 +239,7 @@ def _dealt(sent):
             prefix[most] = _pair(prefix[most], c[most])
             group = (mix(prefix) % np.uint64(groups)).astype(np.int32)
             del s, prefix, more, most
-            order = np.argsort(group, kind="stable")
-            group = group[order]
-            leaves = [x[order] for x in (a, b, c, n.astype(np.uint32))]
-            del a, b, c, n, order
-            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            ends = np.append(first[1:], len(group))
-            held, size = [], 0
-            for x, y in zip(first, ends):
-                held.append((int(group[x]), _packed(leaves, x, y)))
-                size += len(held[-1][1])
-                if size >= PACKED_BYTES or y == len(group):
-                    yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in held], pa.int32()), pa.array([v for _, v in held], pa.binary())],
-                                                     ["grp", "leaves"])
-                    held, size = [], 0
+            yield from _runs(group, [a, b, c], n)
     return run
 
 
@@ -243,9 +255,7 @@ def _subtrees(sent):
     """
     def run(table: pa.Table) -> pa.Table:
         heavy, heavy_n, pairs, least = sent.value
-        leaves = _unpacked([x.as_buffer() for x in table.column("leaves")])
-        order = np.lexsort((leaves[2], leaves[1], leaves[0]))
-        a, b, c, n = (x[order] for x in leaves)
+        a, b, c, n = _unpacked(table.column("leaves"), LONGEST)
         new1 = np.append(True, a[1:] != a[:-1])
         new2 = new1 | np.append(True, b[1:] != b[:-1])
         new3 = new2 | np.append(True, c[1:] != c[:-1])
@@ -276,14 +286,14 @@ def nodes(docs: DataFrame, vocabulary: DataFrame, seed: int, total: int, budget:
     """k1, k2, k3, a, l1, l2 of every phrase of two (k3 = 0) or three words with at least ``least`` occurrences."""
     spark = docs.sparkSession
     groups = max(1, math.ceil(total / budget))
-    fits = max(budget // 8, total // MOST)                   # suffixes that a shared group takes from one prefix
+    fits = max(budget // 4, total // MOST)                   # suffixes that a shared group takes from one prefix
     heavy = _sorted(vocabulary.filter(F.col("n") > fits).select("key", "n"))
     pairs = Pairs()
     split = None
     if len(heavy[0]):
-        sent = spark.sparkContext.broadcast((seed, heavy[0]))
-        second = (docs.mapInArrow(_second_words(sent), "k1 long, k2 long, n long")
-                  .groupBy("k1", "k2").agg(F.sum("n").alias("n")).filter(F.col("n") > fits))
+        sent = spark.sparkContext.broadcast((seed, heavy[0], groups))
+        second = (docs.mapInArrow(_second_words(sent), "grp int, leaves binary")
+                  .groupBy("grp").applyInArrow(_more_than(fits), "k1 long, k2 long, n long"))
         t = second.toArrow()                                 # total / fits rows at most
         k1, k2, n = (t.column(i).to_numpy() for i in range(3))
         pairs = Pairs(k1.view(np.uint64), k2.view(np.uint64), n)
