@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import REFERENCE_LABELS, MIB, Rule, rule_predicate, has_label
+from ..sources.versioned import VersionedTable
 from ..util import KEY, names
 
 # The standing prune rules, in cascade order (names and terms as the reference uses them).
@@ -219,11 +220,14 @@ def apply_actions(m: DataFrame, actions: DataFrame, kind: str, key=KEY) -> DataF
     return x.withColumn("labels", F.when(hit, new).otherwise(F.col("labels"))).drop("_act_cat")
 
 
-def run_summary(decisions: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """K9: per category: moved, skipped, failed."""
-    d = decisions
+def run_summary(decisions: DataFrame, failed: DataFrame | None = None, key="message_id") -> DataFrame:
+    """K9: per category: moved, skipped, failed (decided, but what ``failed`` names by ``key`` could not be moved).
+
+    Decisions without a ``decision`` column (rescue, reference) all move.
+    """
+    d = decisions if "decision" in decisions.columns else decisions.withColumn("decision", F.lit("prune"))
     if failed is not None:
-        d = d.join(failed.select("message_id").distinct().withColumn("_failed", F.lit(True)), "message_id", "left")
+        d = d.join(failed.select(*names(key)).distinct().withColumn("_failed", F.lit(True)), names(key), "left")
     else:
         d = d.withColumn("_failed", F.lit(False))
     is_failed = F.coalesce(F.col("_failed"), F.lit(False))
@@ -354,31 +358,56 @@ def prune_with_noisy(m: DataFrame, rules: list[Rule], noisy: DataFrame, contacts
 
 
 # ------------------------------------------------ a whole retention run
-def retention_run(m: DataFrame, rules: list[Rule], contacts: DataFrame, as_of_epoch: int, table_path: str, audit_path: str,
-                  summary_path: str, run_ts: str, dry_run: bool = False, key=KEY) -> DataFrame:
-    """R1 -> R5, K7, K9: decide once, write the next table version, the audit rows and the run summary.
-
-    The decisions are written to the shared folder first and everything else
-    reads them there, so all three outputs agree and a lost executor repeats
-    no rule.  A dry run returns the summary and writes nothing.  Returns the
-    run summary.
-    """
-    import uuid
+# The action that a run's audit rows carry.
+AUDIT_ACTIONS = {"prune": "pruned", "rescue": "rescued", "reference": "labelled"}
 
-    from ..session import checkpoint_dir
 
-    spark = m.sparkSession
-    d = prune(m, rules, contacts, as_of_epoch, key)
+def decide(m: DataFrame, kind: str, rules: list[Rule], as_of_epoch: int, contacts: DataFrame | None = None, key=KEY) -> DataFrame:
+    """The decisions of a run: R1 with protections ('prune'), R3 ('rescue') or R4 ('reference')."""
+    if kind == "prune":
+        return prune(m, rules, contacts, as_of_epoch, key)
+    return (rescue if kind == "rescue" else label_reference)(m, rules, as_of_epoch, key)
+
+
+def apply_by_file(table: VersionedTable, actions: DataFrame, kind: str, key=KEY, run: str | None = None) -> int:
+    """R5 on a versioned table: only the files that hold a row to change are written anew.  Returns the version."""
+    a = actions.where("decision = 'prune'") if "decision" in actions.columns else actions
+    files = [r[0] for r in table.located(a.select(*names(key)), key).where("_file IS NOT NULL").select("_file").distinct().collect()]
+    return table.rewrite(files, lambda rows: apply_actions(rows, a, kind, key), run)
+
+
+def retention_run(table: VersionedTable, kind: str, rules: list[Rule], as_of_epoch: int, out_dir: str, run: str, run_ts: str,
+                  contacts: DataFrame | None = None, dry_run: bool = False, key=KEY) -> DataFrame:
+    """A prune, rescue or reference run over a versioned table; returns its summary (K9).
+
+    Under ``out_dir`` a run has a folder of its own, ``run=<run>``, in each of
+    ``decisions``, ``audit`` (JSON lines) and ``summary``.  It decides once;
+    the audit rows (K7) are written before the table's next version (R5), and
+    all of them from the stored decisions.  A run that is started again under
+    its name takes up its decisions, writes the same audit rows and summary
+    over the old ones, and adds no second version.  A run under another name
+    finds the moved mail moved.  Messages that were decided on but are no
+    longer in the table when it is changed count as ``failed`` and get no
+    audit row.  A dry run returns the summary and writes nothing.
+    """
+    from ..sources.lists import exists
+
+    spark = table.spark
+    where = {n: f"{out_dir.rstrip('/')}/{n}/run={run}" for n in ("decisions", "audit", "summary")}
     if dry_run:
-        return run_summary(d)
-    staged = checkpoint_dir(spark, f"retention-{uuid.uuid4().hex}")
-    d.write.parquet(staged)
-    d = spark.read.schema(d.schema).parquet(staged)
-    # the audit rows go first (write-ahead): a run that stops here is repeated, and nothing moved unrecorded
-    (d.where("decision = 'prune'")
-      .select(F.lit(run_ts).alias("ts"), F.lit("pruned").alias("action"), "category", "message_id",
-              F.col("from_email").alias("from"), "subject").write.mode("append").json(audit_path))
-    apply_actions(m, d, "prune", key).write.mode("overwrite").parquet(table_path)
-    summary = run_summary(d)
-    summary.withColumn("run_ts", F.lit(run_ts)).write.mode("append").parquet(summary_path)
-    return summary
+        return run_summary(decide(table.read(), kind, rules, as_of_epoch, contacts, key))
+    if not exists(spark, where["decisions"] + "/_SUCCESS"):
+        decide(table.read(), kind, rules, as_of_epoch, contacts, key).write.mode("overwrite").parquet(where["decisions"])
+    d = spark.read.parquet(where["decisions"])
+    acted = d.where("decision = 'prune'") if kind == "prune" else d
+    done = table.runs().get(run)
+    at = table.located(acted.select(*names(key)), key, None if done is None else done - 1)
+    gone = at.where("_file IS NULL").select(*names(key))
+    (acted.join(gone, names(key), "left_anti")
+     .select(F.lit(run_ts).alias("ts"), F.lit(AUDIT_ACTIONS[kind]).alias("action"), "category", "message_id",
+             F.col("from_email").alias("from"), "subject").write.mode("overwrite").json(where["audit"]))
+    if done is None:
+        apply_by_file(table, d, kind, key, run)
+    summary = run_summary(d, gone, key)
+    summary.withColumn("run_ts", F.lit(run_ts)).write.mode("overwrite").parquet(where["summary"])
+    return spark.read.parquet(where["summary"]).drop("run_ts").orderBy("category")

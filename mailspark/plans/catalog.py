@@ -9,6 +9,7 @@ aligned on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import fixtures as fx
 from ..fixtures import duck_with as W
 from ..operators import messages as M
+from ..session import checkpoint_dir
+from ..sources.versioned import VersionedTable
 from . import duck as D
 
 AS_OF = fx.AS_OF_EPOCH
@@ -555,14 +558,22 @@ def _applied(spark, sf):
     return out.select("path", "mbox_offset", "in_trash", F.to_json("labels").alias("labels"))
 
 
-register("apply_prune_actions", W(["messages", "contacts"], _prune_sql(R.STANDING_RULES) + """
+_APPLIED_SQL = W(["messages", "contacts"], _prune_sql(R.STANDING_RULES) + """
 SELECT m.path, m.mbox_offset, CASE WHEN p.category IS NOT NULL THEN 1 ELSE m.in_trash END AS in_trash,
   CAST(to_json(CASE WHEN p.category IS NOT NULL
        THEN list_concat(coalesce(m.labels, CAST([] AS VARCHAR[])), list_filter(['Trash', 'Audit/Pruned/' || p.category],
                    lambda x: NOT list_contains(coalesce(m.labels, CAST([] AS VARCHAR[])), x)))
        ELSE m.labels END) AS VARCHAR) AS labels
-FROM messages m LEFT JOIN (SELECT * FROM p WHERE protected_by IS NULL) p ON m.path = p.path AND m.mbox_offset = p.mbox_offset"""))(
-    _applied)
+FROM messages m LEFT JOIN (SELECT * FROM p WHERE protected_by IS NULL) p ON m.path = p.path AND m.mbox_offset = p.mbox_offset""")
+register("apply_prune_actions", _APPLIED_SQL)(_applied)
+
+
+@register("apply_prune_by_file", _APPLIED_SQL)
+def _applied_by_file(spark, sf):
+    """R5 on a versioned table: version 0 holds the messages, version 1 names new files where the run has hits."""
+    table = VersionedTable(spark, checkpoint_dir(spark, f"versioned-{uuid.uuid4().hex}")).create(_m(spark, sf))
+    R.apply_by_file(table, _prune(R.STANDING_RULES)(spark, sf), "prune")
+    return table.read().select("path", "mbox_offset", "in_trash", F.to_json("labels").alias("labels"))
 
 
 def _applied_rescue(spark, sf):

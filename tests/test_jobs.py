@@ -13,6 +13,7 @@ from mailspark.operators import score as SC
 from mailspark.operators.corrections import append_corrections
 from mailspark.sources import lists as L
 from mailspark.sources import parse as P
+from mailspark.sources.versioned import VersionConflict, VersionedTable
 
 
 def test_ledger_and_import_summary(spark):
@@ -186,7 +187,6 @@ def test_keep_rule_fragments():
 
 def test_retention_run_from_mbox_files_to_new_table(spark):
     from mailspark.operators import rules as R
-    from mailspark.sources import mbox as MB
     tmp = tempfile.mkdtemp(prefix="retention-")
     head = "From x Mon Jan 01 00:00:00 2024\nDate: Sat, 01 Jan 2022 00:00:00 +0000\nMessage-ID: <{}>\nFrom: <{}>\nSubject: s\nX-Gmail-Labels: {}\n\nb\n"
     with open(tmp + "/a.mbox", "w") as f:
@@ -197,14 +197,112 @@ def test_retention_run_from_mbox_files_to_new_table(spark):
     assert {r.mbox_offset for r in m.where("message_id IN ('p1', 'k1')").collect()} == {0}
     contacts = spark.createDataFrame([(" Friend@X.com ",)], "email string")
     out = tempfile.mkdtemp(prefix="retention-out-")
-    args = (m, R.STANDING_RULES, contacts, 1704067200, out + "/t", out + "/audit", out + "/sum", "2024-01-01T00:00:00Z")
+    table = VersionedTable(spark, out + "/t").create(m)
+    args = (table, "prune", R.STANDING_RULES, 1704067200, out + "/runs", "p1", "2024-01-01T00:00:00Z", contacts)
     R.retention_run(*args, dry_run=True).collect()
-    assert os.listdir(out) == []
+    assert os.listdir(out) == ["t"] and table.versions() == [0]
     s = R.retention_run(*args).collect()
-    assert [(r.category, r.moved, r.skipped) for r in s] == [("Old promotions", 1, 1)]
-    t = {r.message_id: r for r in spark.read.parquet(out + "/t").collect()}
+    assert [(r.category, r.moved, r.skipped, r.failed) for r in s] == [("Old promotions", 1, 1, 0)]
+    t = {r.message_id: r for r in table.read().collect()}
     assert len(t) == 3 and {k for k, r in t.items() if r.in_trash} == {"p1"} and "Audit/Pruned/Old promotions" in t["p1"].labels
-    a = spark.read.json(out + "/audit").collect()
+    a = spark.read.json(out + "/runs/audit").collect()
     assert [(r.message_id, r.action, r["from"]) for r in a] == [("p1", "pruned", "ads@shop.com")]
-    assert spark.read.parquet(out + "/sum").count() == 1
-    assert MB is not None
+    assert spark.read.parquet(out + "/runs/summary").count() == 1
+
+
+def _mail(spark, n=400):
+    """Mail of 40 months; every 7th is a receipt, every 5th trash, every 50th has no id."""
+    return spark.createDataFrame(
+        [(f"f{i % 2}", i, None if i % 50 == 0 else f"m{i}", f"t{i}", f"a{i % 9}@shop.com", "Your invoice" if i % 7 == 0 else "news",
+          1_500_000_000 + i * 250_000, "promotions", 1, 0, 0, 0, 0, int(i % 5 == 0), 10, ["Category Promotions"] + (["Trash"] if i % 5 == 0 else []))
+         for i in range(n)],
+        "path string, mbox_offset long, message_id string, thread_id string, from_email string, subject string, date_ts long, category string,"
+        " is_unread int, is_starred int, is_important int, in_inbox int, in_sent int, in_trash int, body_size_bytes long, labels array<string>")
+
+
+def _state(table):
+    return {(r.path, r.mbox_offset): (r.in_trash, tuple(r.labels)) for r in table.read().collect()}
+
+
+def test_retention_runs_of_each_kind_can_be_repeated(spark):
+    from mailspark.operators import rules as R
+    m = _mail(spark)
+    contacts = spark.createDataFrame([("a3@shop.com",)], "email string")
+    as_of = 1_500_000_000 + 500 * 250_000
+    for kind, rules, action in (("prune", R.STANDING_RULES, "pruned"), ("rescue", R.RESCUE_RULES, "rescued"),
+                                ("reference", R.REFERENCE_RULES, "labelled")):
+        out = tempfile.mkdtemp(prefix=f"retention-{kind}-")
+        table = VersionedTable(spark, out + "/t").create(m)
+        args = (table, kind, rules, as_of, out + "/runs", "r1", "2024-01-01T00:00:00Z", contacts)
+        first = R.retention_run(*args).collect()
+        audit = sorted(map(str, spark.read.json(out + "/runs/audit").collect()))
+        want = {(r.path, r.mbox_offset): (r.in_trash, tuple(r.labels)) for r in
+                R.apply_actions(m, R.decide(m, kind, rules, as_of, contacts), kind).collect()}
+        assert _state(table) == want and sum(r.moved for r in first) == len(audit) > 10
+        assert {r.action for r in spark.read.json(out + "/runs/audit").collect()} == {action}
+        # the same run again, also as if it had stopped before its version was added
+        assert R.retention_run(*args).collect() == first and table.versions() == [0, 1]
+        os.remove(out + "/t/versions/1")
+        assert R.retention_run(*args).collect() == first
+        assert sorted(map(str, spark.read.json(out + "/runs/audit").collect())) == audit and _state(table) == want
+        # another run finds nothing left to move
+        again = R.retention_run(table, kind, rules, as_of, out + "/runs", "r2", "2024-01-02T00:00:00Z", contacts).collect()
+        assert sum(r.moved for r in again) == 0 and _state(table) == want
+        assert sorted(str(r) for r in spark.read.json(out + "/runs/audit").drop("run").collect()) == \
+            sorted(str(r) for r in spark.read.json(out + "/runs/audit/run=r1").collect())
+
+
+def test_mail_that_is_gone_when_the_run_applies_has_failed(spark):
+    from mailspark.operators import rules as R
+    m = _mail(spark)
+    out = tempfile.mkdtemp(prefix="retention-failed-")
+    as_of = 1_500_000_000 + 500 * 250_000
+    table = VersionedTable(spark, out + "/t").create(m.where("mbox_offset <> 8 AND mbox_offset <> 50"))
+    R.decide(m, "prune", R.STANDING_RULES, as_of, m.select(F.lit("x").alias("email")).limit(0)).write.parquet(out + "/runs/decisions/run=r")
+    s = R.retention_run(table, "prune", R.STANDING_RULES, as_of, out + "/runs", "r", "2024-01-01T00:00:00Z").collect()
+    assert sum(r.failed for r in s) == 1 and sum(r.moved for r in s) == spark.read.json(out + "/runs/audit").count()
+    assert spark.read.json(out + "/runs/audit").where("message_id = 'm8'").count() == 0
+
+
+def test_only_files_with_hits_are_rewritten(spark):
+    from mailspark.operators import rules as R
+    out = tempfile.mkdtemp(prefix="versions-")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = VersionedTable(spark, out + "/t").create(_mail(spark))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    before = set(table.files())
+    assert len(before) >= 4
+    hit = table.read().orderBy("date_ts").limit(3).withColumn("category", F.lit("c"))
+    own = {table._relative(r[0]) for r in table.located(hit.select("path", "mbox_offset")).select("_file").collect()}
+    assert R.apply_by_file(table, hit, "prune") == 1
+    after = set(table.files())
+    assert before - after == own and len(own) < len(before) and len(after - before) >= 1
+    assert table.read().count() == table.read(0).count() == 400
+    changed = table.read().where(F.array_contains("labels", "Audit/Pruned/c"))
+    assert sorted(r.mbox_offset for r in changed.collect()) == [0, 1, 2]
+    # a run that stops while it writes: the data folder is there, the version is not
+    class Stop(Exception):
+        pass
+
+    def stop(*_):
+        raise Stop
+    real, state = table._add, _state(table)
+    table._add = stop
+    try:
+        R.apply_by_file(table, hit, "rescue")
+        raise AssertionError("must stop")
+    except Stop:
+        pass
+    table._add = real
+    assert table.versions() == [0, 1] and _state(table) == state
+    # two writers of one version: the later one fails and changes nothing
+    other = VersionedTable(spark, out + "/t")
+    real_manifest = other._manifest
+    other.versions = lambda: [0]
+    try:
+        other.rewrite([], lambda df: df)
+        raise AssertionError("must conflict")
+    except VersionConflict:
+        assert real_manifest(1) and _state(table) == state
