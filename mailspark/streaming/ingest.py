@@ -5,22 +5,66 @@ checkpoint replaces the reference's import ledger).  Each micro-batch is
 parsed, de-duplicated inside the batch (K1) and anti-joined against what the
 target table already holds (by message id, and by (path, offset) for rows
 without an id), then appended: a restart or a replayed batch never
-duplicates a message.
+duplicates a message.  What the target holds is asked of the key store beside
+it (``sources.keys``), of which a batch reads only what may hold its keys; the
+target itself is read only after an append that was stopped.
+
+Exact streaming deduplication without a table (St2) keeps each id as keyed
+state for a time limit (``first_messages``).
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import checkpoint_dir
 from ..sources import mbox as MB
 from ..sources import parse as P
+from ..sources.keys import KeyStore, message_key
 from ..sources.lists import exists
 
 
-def _target_or_none(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
-    """The target table (its columns are those of ``like``), or None before the first batch has written it."""
-    return spark.read.schema(like.schema).parquet(path) if exists(spark, path) else None
+def key_store(spark: SparkSession, target: str) -> KeyStore:
+    """The key store beside a target table, filled from the table if that is older than its store."""
+    path = target.rstrip("/") + "_keys"
+    fresh = not exists(spark, path + "/committed")
+    store = KeyStore(spark, path)
+    if fresh and exists(spark, target):
+        store.commit(store.write("table", _table_keys(spark, target).distinct()))
+    return store
+
+
+def _table_keys(spark: SparkSession, target: str) -> DataFrame | None:
+    return spark.read.parquet(target).select(message_key().alias("key")) if exists(spark, target) else None
+
+
+def append_new(spark: SparkSession, rows: DataFrame, target: str, name: str) -> DataFrame:
+    """K1 against a stored table: append the rows whose keys the table lacks.  Returns them.
+
+    The chosen rows are staged, the store takes their keys, the table its
+    rows, and then the keys count; a run that stops in between is settled by
+    the next (``KeyStore.recover``).
+    """
+    store = key_store(spark, target)
+    store.recover(lambda: _table_keys(spark, target))
+    own = P.dedup_messages(rows).withColumn("key", message_key())
+    known = store.known(own.select("key"))
+    chosen = checkpoint_dir(spark, f"ingest-{uuid.uuid4().hex}")
+    fresh = own.join(known, "key", "left_anti")
+    fresh.write.parquet(chosen)
+    fresh = spark.read.schema(fresh.schema).parquet(chosen)
+    full = store.write(f"{name}-{uuid.uuid4().hex}", fresh.select("key").distinct())
+    fresh = fresh.drop("key").select(*rows.columns)
+    P.write_messages(fresh, target, "append")
+    store.commit(full)
+    store.merge()
+    return fresh
 
 
 def ingest_batch(spark: SparkSession, target: str, quarantine: str | None = None, parsed_input: bool = False):
@@ -28,7 +72,7 @@ def ingest_batch(spark: SparkSession, target: str, quarantine: str | None = None
         parsed = P.with_derived_columns(batch) if parsed_input else P.parse_messages(batch)
         good, bad = P.split_parsed(parsed)
         good = good.persist()
-        P.write_messages(P.new_messages(good, _target_or_none(spark, target, good)), target, "append")
+        append_new(batch.sparkSession, good, target, f"batch{batch_id}")
         good.unpersist()
         if quarantine:
             bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(quarantine)
@@ -58,6 +102,48 @@ def dedup_within_watermark(stream: DataFrame, ts_col: str = "ts", delay: str = "
     return stream.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(["message_id"])
 
 
+class _FirstOfKey(StatefulProcessor):
+    """Lets the first row of a key pass, and remembers the key for a time limit."""
+
+    def __init__(self, limit_ms: int):
+        self._limit = limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._seen = handle.getValueState("seen", "at long", self._limit)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        best = None
+        new = not self._seen.exists()
+        for batch in rows:                                   # a key's rows of one trigger, in any order
+            if new and len(batch):
+                own = batch.sort_values(["path", "mbox_offset"], kind="stable").head(1)
+                best = own if best is None else pd.concat([best, own]).sort_values(["path", "mbox_offset"], kind="stable").head(1)
+        if best is not None:
+            self._seen.update((1,))
+            yield best.drop(columns="key")
+
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def first_messages(stream: DataFrame, limit_ms: int = 0) -> DataFrame:
+    """St2, exact: the first row of each message key (first file and offset within a trigger), over all triggers.
+
+    The keys seen are keyed state (RocksDB), spread over the executors, and
+    travel with the query's checkpoint: a restart goes on where it was.  A key
+    is forgotten ``limit_ms`` after it was first seen; 0 keeps it for good.
+    Rows without an id are keyed by place and content.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    keyed = stream.withColumn("key", message_key())
+    return keyed.groupBy("key").transformWithStateInPandas(
+        _FirstOfKey(limit_ms), stream.schema, "Append", "ProcessingTime" if limit_ms else "None")
+
+
 _STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
@@ -85,10 +171,6 @@ def ingest_files(spark: SparkSession, source_path: str, target: str, ledger_path
     alone and takes up the others where their last row ends; a file whose size
     changed is read anew.  Returns the counts of this run.
     """
-    import uuid
-
-    from ..session import checkpoint_dir
-
     left = []
     state: dict[tuple[str, int], dict] = {}
     if ledger_path and exists(spark, ledger_path):
@@ -116,11 +198,7 @@ def ingest_files(spark: SparkSession, source_path: str, target: str, ledger_path
         staged = checkpoint_dir(spark, f"ingest-{uuid.uuid4().hex}")
         P.read_parsed(spark, source_path, split_size, ranges=ranges).write.parquet(staged)
         good, bad = P.split_parsed(spark.read.parquet(staged))
-        fresh = P.new_messages(good, _target_or_none(spark, target, good))
-        chosen = checkpoint_dir(spark, f"ingest-{uuid.uuid4().hex}")
-        fresh.write.parquet(chosen)                          # before the append: the target is one of its inputs
-        fresh = spark.read.schema(fresh.schema).parquet(chosen)
-        P.write_messages(fresh, target, "append")
+        fresh = append_new(spark, good, target, "wave")
         n_bad = bad.count()
         if quarantine and n_bad:
             bad.write.mode("append").parquet(quarantine)
