@@ -5,14 +5,17 @@ Flow: messages -> scoring input (B4) -> user turn (F5/F6, native) -> x models
 native) -> valid rows (K3 upsert) / error rows (K4).
 
 The classifier is a user-supplied function ``fn(model, system_prompt, turns)
--> list[str | None]`` run by ``mapInPandas``.  Rows are spread over
-(model, hash bucket) partitions and sorted by model inside each task, so
-each task calls ``fn`` with long same-model batches (the reference's
-batch-by-model order) while no model is ever a single hot task.
-
-D4: each task counts consecutive hard errors (``None`` / exceptions); after
-``max_hard_errors`` it raises, failing the job.  Finished output already
-written survives, and J4 resumes from it.
+-> list[str | None]`` run by ``mapInPandas``, or a factory ``fn(model)`` that a
+task calls once and that returns ``call(system_prompt, turns)``.  Rows go to
+(model, hash bucket) partitions by number, so a task has one model and loads
+it once, while no model is a single hot task; a resource profile can be given
+for that stage.
+
+D4: each task counts consecutive hard errors (``None`` / exceptions).  A job
+of its own (``classify``) fails after ``max_hard_errors`` of them.  In a corpus
+pass (``scoring_run``) the task stops calling and ends well, so that no retry
+calls again and all replies of the wave are kept; the driver then looks at the
+whole pass and ends it.  J4 resumes from what is there.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +32,8 @@ from ..functions.predicates import category_is, sender_any, subject_any
 from ..util import col, names, ship_package
 
 CIRCUIT_BREAKER_THRESHOLD = 5
-Responder = Callable[[str, str, list[str]], list]
+#: ``fn(model, system_prompt, turns)``, or with ``factory`` ``fn(model)`` that gives ``call(system_prompt, turns)``.
+Responder = Callable[..., list] | Callable[[str], Callable[[str, list[str]], list]]
 
 RAW_SCHEMA = "message_id string, model string, prompt_version string, raw_response string, error string"
 
@@ -67,52 +72,69 @@ def _replies(fn: Responder, model: str, system_prompt: str, turns: list[str]):
             yield from _replies(fn, model, system_prompt, turns[half:])
 
 
-def _classify_partition(fn: Responder, system_prompt: str, version: str, max_hard_errors: int):
+#: How the error of the row begins at which a task stopped calling.
+SPENT = "error budget spent"
+
+
+def _classify_partition(fn: Responder, system_prompt: str, version: str, max_hard_errors: int, factory: bool = False, stop: bool = False):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        streak = 0
+        streak, model, call = 0, None, None
         for pdf in batches:
-            out = []
-            # consecutive same-model runs (the partition is sorted by model)
-            run_id = (pdf["model"] != pdf["model"].shift()).cumsum()
-            for _, grp in pdf.groupby(run_id, sort=False):
-                model = grp["model"].iloc[0]
-                raws, errs = [], []
-                for r in _replies(fn, model, system_prompt, grp["user_turn"].tolist()):
-                    if r is None or isinstance(r, Exception):
-                        streak += 1
-                        raws.append(None)
-                        errs.append(str(r) if isinstance(r, Exception) else "no response")
-                        if streak >= max_hard_errors:
+            if not len(pdf) or streak >= max_hard_errors:    # what is left is read, not scored
+                continue
+            if call is None:
+                model = pdf["model"].iloc[0]
+                own = fn(model) if factory else None
+                call = (lambda _, prompt, turns: own(prompt, turns)) if factory else fn
+            if (pdf["model"] != model).any():
+                raise ValueError("a task holds one model")
+            raws, errs = [], []
+            for r in _replies(call, model, system_prompt, pdf["user_turn"].tolist()):
+                if r is None or isinstance(r, Exception):
+                    streak += 1
+                    raws.append(None)
+                    errs.append(str(r) if isinstance(r, Exception) else "no response")
+                    if streak >= max_hard_errors:
+                        if not stop:
                             raise ErrorBudgetExceeded(
                                 f"{streak} consecutive hard errors for model {model}: aborting the pass")
-                    else:
-                        streak = 0
-                        raws.append(str(r))
-                        errs.append(None)
-                out.append(pd.DataFrame({"message_id": grp["message_id"].values, "model": model,
-                                         "prompt_version": version, "raw_response": raws, "error": errs}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                        errs[-1] = f"{SPENT}: {errs[-1]}"
+                        break
+                else:
+                    streak = 0
+                    raws.append(str(r))
+                    errs.append(None)
+            yield pd.DataFrame({"message_id": pdf["message_id"].values[:len(raws)], "model": model,
+                                "prompt_version": version, "raw_response": raws, "error": errs})
     return run
 
 
 def classify(pairs: DataFrame, fn: Responder, system_prompt: str, version: str,
              max_hard_errors: int = CIRCUIT_BREAKER_THRESHOLD, partitions: int | None = None,
-             checkpoint: bool = True) -> DataFrame:
-    """D3: run the classifier over (message_id, model, user_turn) rows, batched by model.
-
-    Each model's rows are spread over all partitions.  With ``checkpoint``
-    (default) the raw replies are written to the session's checkpoint folder
-    before anything else reads them: model calls are the expensive,
-    non-repeatable part, and a lost executor later in the plan must not re-run
-    them.  ``scoring_run`` stores replies as it goes.
+             checkpoint: bool = True, models: list[str] | None = None, factory: bool = False, stop: bool = False,
+             profile: ResourceProfile | None = None) -> DataFrame:
+    """D3: run the classifier over (message_id, model, user_turn) rows, a task for each (model, bucket).
+
+    About ``partitions`` tasks share the models evenly.  ``models`` are the
+    names in ``pairs`` (looked up if not given).  ``factory``: ``fn(model)``
+    opens the model.  ``profile``: resources of the stage, such as GPUs.
+    ``stop``: a task out of budget ends without failing the job.  With
+    ``checkpoint`` (default) the raw replies are written to the session's
+    checkpoint folder before anything else reads them: model calls are the
+    expensive, non-repeatable part, and a lost executor later in the plan must
+    not re-run them.  ``scoring_run`` stores replies as it goes.
     """
-    ship_package(pairs.sparkSession)
-    n = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = (pairs.withColumn("_b", F.pmod(F.xxhash64("message_id"), F.lit(n)))
-                   .repartition(n, "model", "_b").sortWithinPartitions("model", "message_id")
-                   .select("message_id", "model", "user_turn"))
-    raw = spread.mapInPandas(_classify_partition(fn, system_prompt, version, max_hard_errors), RAW_SCHEMA)
+    spark = pairs.sparkSession
+    ship_package(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if models is None:
+        models = sorted(r[0] for r in pairs.select("model").distinct().collect())
+    buckets = max(1, n // max(1, len(models)))
+    place = F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model")) - 1 if models else F.lit(0)
+    task = (place * buckets + F.pmod(F.xxhash64("message_id"), F.lit(buckets))).cast("int")
+    dealt = (pairs.where(F.col("model").isin(models)).select("message_id", "model", "user_turn")
+             .repartitionById(buckets * max(1, len(models)), task).sortWithinPartitions("message_id"))
+    raw = dealt.mapInPandas(_classify_partition(fn, system_prompt, version, max_hard_errors, factory, stop), RAW_SCHEMA, profile=profile)
     if checkpoint:
         from ..session import ensure_checkpoint_dir
         ensure_checkpoint_dir(raw.sparkSession)
@@ -121,29 +143,56 @@ def classify(pairs: DataFrame, fn: Responder, system_prompt: str, version: str,
 
 
 def scoring_run(spark, m: DataFrame, models: list[str], fn: Responder, system_prompt: str, version: str, store: str,
-                waves: int = 8, strip_html: bool = False, max_hard_errors: int = CIRCUIT_BREAKER_THRESHOLD) -> dict[str, str]:
+                waves: int = 8, strip_html: bool = False, max_hard_errors: int = CIRCUIT_BREAKER_THRESHOLD,
+                partitions: int | None = None, factory: bool = False, profile: ResourceProfile | None = None) -> dict[str, str]:
     """A corpus scoring run: J4 -> D3 -> K3, K4, K5 under the folder ``store``.
 
-    The pending (message, model) pairs are scored in waves of whole messages;
-    a wave's raw replies are committed to ``store/replies`` before the next
-    begins, so an aborted pass keeps what it paid for and the next run takes
-    up the rest.  At the end the latest reply of each pair gives ``votes`` (K3),
-    ``errors`` (K4) and ``disagreements`` (K5).  Returns their paths.
+    The pending (message, model) pairs are written once, dealt into waves of
+    whole messages; each wave reads its own part, and its raw replies are
+    committed to ``store/replies`` before the next begins.  The first wave is
+    a small one, a task a model, so a model that is down costs a few calls.
+
+    D4 for the whole pass: after a wave, a model is out of budget if one of
+    its tasks was, or if it has had ``max_hard_errors`` hard errors since its
+    last reply, over however many tasks.  Then the pass ends with
+    ``ErrorBudgetExceeded``; what it has paid for is kept and the next run
+    takes up the rest.  At the end the latest reply of each pair gives
+    ``votes`` (K3), ``errors`` (K4) and ``disagreements`` (K5).  Returns their
+    paths.
     """
+    from datetime import datetime, timezone
+    import uuid
+
+    from ..session import checkpoint_dir
     from ..sources.lists import exists
     from . import classify as K
 
     replies = store.rstrip("/") + "/replies"
     schema = RAW_SCHEMA + ", classified_at string"
-    turns = user_turns(m, strip_html)
-    for wave in range(waves):
-        known = spark.read.schema(schema).parquet(replies) if exists(spark, replies) else spark.createDataFrame([], schema)
-        done = known.where("raw_response IS NOT NULL").select("message_id", "model", "prompt_version").distinct()
-        own = turns.where(F.pmod(F.xxhash64("message_id"), F.lit(waves)) == wave)
-        todo = K.pending(own, models, done, version)
-        now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-        (classify(todo, fn, system_prompt, version, max_hard_errors, checkpoint=False)
-         .withColumn("classified_at", now).write.mode("append").parquet(replies))
+    known = spark.read.schema(schema).parquet(replies) if exists(spark, replies) else spark.createDataFrame([], schema)
+    done = known.where("raw_response IS NOT NULL").select("message_id", "model", "prompt_version").distinct()
+    part = F.pmod(F.xxhash64("message_id"), F.lit(8 * waves))
+    todo = K.pending(user_turns(m, strip_html), models, done, version).select("message_id", "model", "user_turn")
+    staged = checkpoint_dir(spark, f"pending-{uuid.uuid4().hex}")
+    (todo.withColumn("wave", F.when(part == 0, 0).otherwise(1 + part % waves).cast("int"))
+     .write.partitionBy("wave").parquet(staged))
+    todo = spark.read.schema("message_id string, model string, user_turn string, wave int").parquet(staged)
+    streak = dict.fromkeys(models, 0)
+    for wave in range(waves + 1):
+        now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+        (classify(todo.where(F.col("wave") == wave), fn, system_prompt, version, max_hard_errors,
+                  len(models) if wave == 0 else partitions, False, models, factory, True, profile)
+         .withColumn("classified_at", F.lit(now)).write.mode("append").parquet(replies))
+        spent = []
+        # a row a model
+        for r in (spark.read.schema(schema).parquet(replies).where(F.col("classified_at") == now).groupBy("model")
+                  .agg(F.count("raw_response").alias("ok"), F.count_if(F.col("raw_response").isNull()).alias("hard"),
+                       F.coalesce(F.bool_or(F.startswith("error", F.lit(SPENT))), F.lit(False)).alias("spent")).collect()):
+            streak[r["model"]] = 0 if r["ok"] else streak[r["model"]] + r["hard"]
+            if r["spent"] or streak[r["model"]] >= max_hard_errors:
+                spent.append(r["model"])
+        if spent:
+            raise ErrorBudgetExceeded(f"{max_hard_errors} consecutive hard errors for model {', '.join(sorted(spent))}: aborting the pass")
     raw = spark.read.schema(schema).parquet(replies)
     key = ["message_id", "model", "prompt_version"]
     latest = K._first(raw, key, [F.col("raw_response").isNotNull().desc(), F.col("classified_at").desc()])

@@ -860,7 +860,7 @@ def _score_pipeline(spark, sf):
     done = (_m(spark, sf).where("mbox_offset % 3 = 0 AND message_id IS NOT NULL").select("message_id").distinct()
             .select("message_id", F.lit("kw-a").alias("model"), F.lit("v1.7.0").alias("prompt_version")))
     pairs = K.pending(turns, ["kw-a", "kw-b"], done, "v1.7.0")
-    raw = SC.classify(pairs, SC.keyword_responder, "system", "v1.7.0")
+    raw = SC.classify(pairs, SC.keyword_responder, "system", "v1.7.0", models=["kw-a", "kw-b"])
     stored, _errors = SC.split_errors(SC.parse_scored(raw, "2026-06-18T00:00:00Z"))
     return stored.drop("raw_response")
 

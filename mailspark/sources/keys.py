@@ -122,10 +122,15 @@ class KeyStore:
 
     def known(self, keys: DataFrame) -> DataFrame:
         """Those of ``keys`` (one column, ``key``) that a committed batch holds."""
+        none = self.spark.createDataFrame([], "key string")
+        if not self.batches():
+            return none
         maybe = self.maybe(keys).persist()
         try:
             # at most a folder a batch and bucket
             places = [(r["name"], r["bucket"]) for r in maybe.select("name", "bucket").distinct().collect()]
+            if not places:
+                return none
             out = maybe.select("key").distinct().join(self.stored(sorted(places)), "key", "left_semi")
             from ..session import checkpoint_dir
 
@@ -153,6 +158,11 @@ class KeyStore:
         for folder in ("committed", "keys", "filters"):      # first it no longer counts
             self._fs.delete(self._p(f"{folder}/{full}"), True)
 
+    def forget(self, full: str) -> None:
+        """Drop a batch, as before it is written again."""
+        if full in self._names("keys"):
+            self._drop(full)
+
     def recover(self, table_keys) -> None:
         """Settle what a stopped append has left; ``table_keys()`` gives the keys that the table has."""
         left = [n for n in self._names("keys") if n not in set(self.batches())]

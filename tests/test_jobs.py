@@ -111,7 +111,7 @@ def test_live_scoring_stream(spark):
     assert {(r.message_id, r.label, r.category) for r in audit.collect()} == {
         ("id0", "AI/Keep", "ai_classify"), ("id1", "AI/Delete", "ai_classify")}
     # mail that comes later, and a message already checkpointed by this sink, in a new batch of a running stream
-    again = [dict(msgs[0]), dict(msgs[1], id="id9"), dict(msgs[1], id="id10", labelIds=["SENT"])]
+    again = [dict(msgs[0]), dict(msgs[1], id="id9"), dict(msgs[1], id="id10", labelIds=["SENT"], threadId="t8")]
     again[1]["payload"] = {"headers": msgs[1]["payload"]["headers"], "body": {"data": base64.urlsafe_b64encode(b"caf\xe9").decode()}}
     with open(tmp + "/in/later.json", "w") as f:
         f.write("\n".join(json.dumps(m) for m in again) + "\n")
@@ -152,7 +152,7 @@ def test_scoring_run_keeps_what_it_has_and_resumes(spark):
     except Exception as exc:  # noqa: BLE001
         assert "hard errors" in str(exc)
     SC.scoring_run(spark, m, ["a"], _responder(lambda m, t: m == "b"), "p", "v1.1.0", tmp, waves=3)
-    n = spark.read.parquet(tmp + "/replies").count()
+    n = spark.read.parquet(tmp + "/replies").where("raw_response IS NOT NULL").count()
     assert n == 30
     paths = SC.scoring_run(spark, m, ["a", "b"], SC.keyword_responder, "p", "v1.1.0", tmp, waves=3)
     votes = spark.read.parquet(paths["votes"])
@@ -160,6 +160,123 @@ def test_scoring_run_keeps_what_it_has_and_resumes(spark):
     assert spark.read.json(paths["disagreements"]).count() == 30 and spark.read.json(paths["errors"]).count() == 30
 
 
+def _counting(folder, down):
+    """A factory that notes each opening and call in a folder; models in ``down`` fail every call."""
+    def factory(model):
+        import os
+        import uuid
+        open(f"{folder}/open-{model}-{uuid.uuid4().hex}-{os.getpid()}", "w").close()
+
+        def call(prompt, turns):
+            open(f"{folder}/call-{model}-{uuid.uuid4().hex}", "w").close()
+            if model in down:
+                raise TimeoutError("down")
+            return ['{"label": "keep", "confidence": 0.9, "reason": "r"}' for _ in turns]
+        return call
+    return factory
+
+
+def _noted(folder, kind):
+    return [n for n in os.listdir(folder) if n.startswith(kind)]
+
+
+def test_a_task_has_one_model_and_opens_it_once(spark):
+    tmp = tempfile.mkdtemp(prefix="open-")
+    pairs = spark.createDataFrame([(f"m{i}", m, "t") for i in range(300) for m in ("a", "b", "c")],
+                                  "message_id string, model string, user_turn string")
+    raw = SC.classify(pairs, _counting(tmp, ()), "p", "v", partitions=12, factory=True, checkpoint=False, models=["a", "b", "c"])
+    by_task = raw.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("model").alias("models"), F.count("*").alias("n"))
+    got = by_task.collect()
+    assert len(got) == 12 and {r.models for r in got} == {1} and sum(r.n for r in got) == 900
+    assert len(_noted(tmp, "open-")) == 12
+    assert max(r.n for r in got) < 2 * min(r.n for r in got)
+
+
+def test_a_pass_whose_every_call_fails_ends_after_few_calls(spark):
+    """Over 200 tasks: the first wave finds the model down; of a model that works, all replies are kept."""
+    tmp = tempfile.mkdtemp(prefix="budget-")
+    os.makedirs(tmp + "/notes")
+    m = spark.createDataFrame([(f"m{i}", "a@x", "A", f"s{i}", "body") for i in range(800)],
+                              "message_id string, from_email string, from_name string, subject string, body_text string")
+
+    def run(down, **how):
+        try:
+            SC.scoring_run(spark, m, ["up", "down"], _counting(tmp + "/notes", down), "p", "v1.1.0", tmp + "/s", waves=2, partitions=200,
+                           factory=True, **how)
+        except SC.ErrorBudgetExceeded as exc:
+            return str(exc)
+    assert "model down" in run(("down",))
+    assert len(_noted(tmp + "/notes", "call-down")) <= 25        # one task: a call halved down to single turns
+    replies = spark.read.parquet(tmp + "/s/replies")
+    kept = replies.where("raw_response IS NOT NULL").count()
+    assert 0 < kept < 800 and replies.where("model = 'up' AND raw_response IS NULL").count() == 0
+    # errors spread over many tasks, none of which has five of its own, end the pass as well
+    few = tempfile.mkdtemp(prefix="budget-few-")
+    try:
+        SC.scoring_run(spark, m.limit(60), ["down"], _responder(lambda *_: True), "p", "v1.1.0", few, waves=1, partitions=200)
+        raise AssertionError("the budget must end the pass")
+    except SC.ErrorBudgetExceeded:
+        pass
+    # resumed when the model is back: what is there is not asked again
+    before = len(_noted(tmp + "/notes", "call-up"))
+    assert run(()) is None and len(_noted(tmp + "/notes", "call-up")) > before
+    replies = spark.read.parquet(tmp + "/s/replies").where("raw_response IS NOT NULL")
+    assert replies.count() == replies.select("message_id", "model").distinct().count() == 1600
+
+
+def test_the_corpus_is_read_once_a_pass(spark):
+    """Each wave reads its own part of the staged pairs, and never the messages."""
+    tmp = tempfile.mkdtemp(prefix="once-")
+    m = spark.createDataFrame([(f"m{i}", "a@x", "A", f"s{i}", "body") for i in range(60)],
+                              "message_id string, from_email string, from_name string, subject string, body_text string")
+    m.write.parquet(tmp + "/m")
+    seen = []
+    real = SC.classify
+
+    def noted(pairs, *a, **k):
+        seen.append((pairs._jdf.queryExecution().executedPlan().toString(), pairs.inputFiles()))
+        return real(pairs, *a, **k)
+    SC.classify = noted
+    try:
+        paths = SC.scoring_run(spark, spark.read.parquet(tmp + "/m"), ["a"], SC.keyword_responder, "p", "v", tmp + "/s", waves=3)
+    finally:
+        SC.classify = real
+    assert len(seen) == 4 and spark.read.parquet(paths["votes"]).count() == 60
+    for wave, (plan, files) in enumerate(seen):
+        assert f"= {wave})" in plan.split("PartitionFilters:")[1].split("]")[0] and not any(tmp in f for f in files)
+
+
+def test_live_state_of_threads_and_messages(spark):
+    """Sent mail seen between batches protects its thread, a changed contact file counts, and the audit history is not read."""
+    from mailspark.streaming.live import start_live
+    tmp = tempfile.mkdtemp(prefix="live-state-")
+    os.makedirs(tmp + "/in")
+    with open(tmp + "/contacts.txt", "w") as f:
+        f.write("# none\n")
+
+    def batch(name, rows):
+        with open(f"{tmp}/in/{name}.json", "w") as f:
+            for i, sender, thread, labels in rows:
+                f.write(json.dumps({"id": i, "threadId": thread, "labelIds": labels, "payload": {
+                    "headers": [{"name": "From", "value": sender}, {"name": "Subject", "value": "Your invoice"}],
+                    "parts": [{"mimeType": "text/plain", "body": {"data": base64.urlsafe_b64encode(b"Hello").decode()}}]}}) + "\n")
+        none = spark.createDataFrame([], "message_id string, thread_id string")
+        q = start_live(spark, tmp + "/in", tmp + "/out", tmp + "/ck", none, lambda: L.read_contacts(spark, tmp + "/contacts.txt"), none,
+                       ["kw-a"], SC.keyword_responder, "p", "v1.1.0", dry_run=False, trigger_once=True)
+        q.awaitTermination(240)
+        assert q.exception() is None
+        return sorted(r.message_id for r in spark.read.parquet(tmp + "/out/actions").collect())
+    assert batch("1", [("a", "x@x.com", "t1", ["INBOX"]), ("b", "y@x.com", "t2", ["INBOX"])]) == ["a", "b"]
+    assert batch("2", [("mine", "me@x.com", "t1", ["SENT"])]) == ["a", "b"]
+    for n in os.listdir(tmp + "/out/audit"):                      # scored messages are known without it
+        if n.startswith("batch_id="):
+            os.rename(f"{tmp}/out/audit/{n}", f"{tmp}/{n}")
+    with open(tmp + "/contacts.txt", "w") as f:
+        f.write("Z@x.com\n")
+    assert batch("3", [("c", "x@x.com", "t1", ["INBOX"]), ("a", "x@x.com", "t9", ["INBOX"]), ("d", "z@x.com", "t4", ["INBOX"]),
+                       ("e", "w@x.com", "t5", ["INBOX"]), ("f", "v@x.com", None, ["INBOX"])]) == ["a", "b", "e", "f"]
+
+
 def test_unreachable_inputs_fail(spark):
     assert L.read_contacts(spark, "/nowhere/contacts.txt").count() == 0                  # proven missing
     for path in ("nosuchscheme://x/contacts.txt", "hdfs://127.0.0.1:1/contacts.txt"):

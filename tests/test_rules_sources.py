@@ -132,19 +132,25 @@ def test_api_messages(spark):
 
 
 def test_streaming_audit_counts_equal_batch(spark):
-    from mailspark.streaming.audit import start_audit_counts
+    """Over restarts, and when a batch is done again, the counts table equals the batch report."""
+    from mailspark.streaming.audit import merge_counts, read_audit_counts, start_audit_counts
     tmp = tempfile.mkdtemp(prefix="audit-")
     os.makedirs(tmp + "/in")
-    rows = [{"ts": "t", "action": a, "category": c, "message_id": str(i), "from": "x", "subject": "s"}
-            for i, (a, c) in enumerate([("pruned", "A"), ("trash", "A"), ("rescued", "B"), ("rescue", "A")])]
-    with open(tmp + "/in/a.jsonl", "w") as f:
-        f.write("\n".join(json.dumps(r) for r in rows) + "\n")
-    q = start_audit_counts(spark, tmp + "/in", "audit_counts_t", tmp + "/ck")
-    q.processAllAvailable()
-    got = {r.category: (r.pruned, r.rescued) for r in spark.sql("SELECT * FROM audit_counts_t").collect()}
-    q.stop()
-    batch = AU.audit_by_category(spark.read.schema(L.AUDIT_SCHEMA).json(tmp + "/in"))
-    assert got == {r.category: (r.pruned, r.rescued) for r in batch.collect()} == {"A": (2, 1), "B": (0, 1)}
+    steps = [[("pruned", "A"), ("trash", "A"), ("rescued", "B"), ("rescue", "A")], [("pruned", "C"), (None, None)],
+             [("rescued", "C"), ("pruned", "A"), ("pruned", None)]]
+    for n, step in enumerate(steps):
+        with open(f"{tmp}/in/{n}.jsonl", "w") as f:
+            for i, (a, c) in enumerate(step):
+                f.write(json.dumps({"ts": "t", "action": a, "category": c, "message_id": str(i), "from": "x", "subject": "s"}) + "\n")
+        q = start_audit_counts(spark, tmp + "/in", tmp + "/counts", tmp + "/ck", trigger_once=True)
+        q.awaitTermination(240)
+        assert q.exception() is None
+        batch = AU.audit_by_category(spark.read.schema(L.AUDIT_SCHEMA).json(tmp + "/in")).collect()
+        assert read_audit_counts(spark, tmp + "/counts").collect() == batch
+    again = spark.createDataFrame([("A", 3, 1), ("C", 1, 1), (None, 1, 0)], "category string, pruned long, rescued long")
+    merge_counts(tmp + "/counts")(again, 2)
+    assert read_audit_counts(spark, tmp + "/counts").collect() == batch
+    assert sorted(os.listdir(tmp + "/counts")) == ["version=1", "version=2"]
 
 
 def test_noisy_direction_q8(spark):
