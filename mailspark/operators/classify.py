@@ -83,17 +83,17 @@ def single_model_uncertain_rate(c: DataFrame, model: str, version: str,
 
 
 # ------------------------------------------------------ per-message questions
-def _label_counts(c: DataFrame) -> DataFrame:
+def _label_counts(c: DataFrame, *more: Column) -> DataFrame:
     """Per (message, version): votes for each of the three labels, and what follows from them.
 
     Labels are a closed set, so counts (a hash aggregate) hold all that
     minimum, maximum and majority of the label texts would.  ``kinds``: labels
     voted for; ``max_label``: the last of them in text order; ``majority_label``:
-    the one with strictly most votes, NULL on a tie.
+    the one with strictly most votes, NULL on a tie.  ``more``: further aggregates.
     """
     n = {x: F.col("n_" + x) for x in LABELS}
     g = c.groupBy(*KEY).agg(*[count_if(F.col("label") == x).alias("n_" + x) for x in LABELS], F.count("label").alias("n_votes"),
-                            F.count(F.lit(1)).alias("n_rows"))
+                            F.count(F.lit(1)).alias("n_rows"), *more)
     some = [F.when(n[x] > 0, F.lit(x)) for x in sorted(LABELS, reverse=True)]
     majority = F.lit(None).cast("string")
     for x in LABELS:
@@ -118,7 +118,9 @@ def disagreement_rate(c: DataFrame, m: DataFrame | None = None, category_col: st
     pm = _label_counts(c).withColumn("_dis", (F.col("kinds") > 1).cast("int"))
     keys = ["prompt_version"]
     if m is not None:
-        pm = pm.join(m.select("message_id", category_col), "message_id", "left")
+        # one category a message: rows that repeat an id don't multiply its votes
+        own = m.where(F.col("message_id").isNotNull()).groupBy("message_id").agg(F.min(category_col).alias(category_col))
+        pm = pm.join(own, "message_id", "left")
         keys.append(category_col)
     g = pm.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_messages"), F.sum("_dis").cast("long").alias("disagreements"))
     return g.withColumn("disagreement_rate", _pct_text(F.col("disagreements"), F.col("total_messages"))).orderBy(*keys)
@@ -191,14 +193,13 @@ def vote_text(model: Column, label: Column, conf: Column) -> Column:
 
 def high_confidence_disagreements(c: DataFrame, threshold: float = 0.9, k: int = 200) -> DataFrame:
     """Disagreeing messages with at least one vote at confidence >= threshold."""
-    g = c.groupBy(*KEY).agg(
-        F.min("label").alias("_lo"), F.max("label").alias("_hi"),
-        F.array_join(F.array_sort(F.collect_list(vote_text(F.col("model"), F.col("label"), F.col("confidence")))), "  ").alias("votes"),
-        F.max("confidence").alias("max_confidence"))
-    return (g.where((F.col("_lo") != F.col("_hi")) & (F.col("max_confidence") >= threshold))
-             .select("message_id", "prompt_version", "votes", "max_confidence")
-             .orderBy(F.col("max_confidence").desc(), "prompt_version", "message_id")
-             .limit(k))
+    order = [F.col("max_confidence").desc(), F.col("prompt_version"), F.col("message_id")]
+    # numbers decide which messages are listed; texts are gathered for those k only
+    top = (_label_counts(c, F.max("confidence").alias("max_confidence"))
+           .where((F.col("kinds") > 1) & (F.col("max_confidence") >= threshold)).select(*KEY, "max_confidence").orderBy(*order).limit(k))
+    votes = (c.join(F.broadcast(top), KEY).groupBy(*KEY, "max_confidence")                # k rows at most
+             .agg(F.array_join(F.array_sort(F.collect_list(vote_text(F.col("model"), F.col("label"), F.col("confidence")))), "  ").alias("votes")))
+    return votes.select("message_id", "prompt_version", "votes", "max_confidence").orderBy(*order)
 
 
 def disagreements(c: DataFrame, models: list[str], version: str | None = None) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import REFERENCE_LABELS, MIB, Rule, rule_predicate, has_label
+from ..session import ensure_checkpoint_dir
 from ..sources.versioned import VersionedTable
 from ..util import KEY, names
 
@@ -250,6 +251,8 @@ def preview(m: DataFrame, rules: list[Rule], as_of_epoch: int, n: int = 10, key=
     hits = F.filter(F.array(*[F.when(rule_predicate(r, as_of_epoch), F.lit(i))
                               for i, r in enumerate(rules, start=1)]), lambda x: x.isNotNull())
     x = m.select(*names(key), "message_id", "date_ts", "from_email", "subject", F.explode(hits).alias("rule_no"))
+    ensure_checkpoint_dir(m.sparkSession)
+    x = x.checkpoint()                                       # counted and ranked: the predicates run once
     counts = x.groupBy("rule_no").agg(F.count(F.lit(1)).alias("matches"))
     w = Window.partitionBy("rule_no").orderBy(F.col("date_ts").desc_nulls_last(), *names(key))
     top = x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
@@ -300,16 +303,15 @@ NOISY_PLAIN_NAME = "Noisy senders (low engagement)"
 
 
 def noisy_table(noisy: DataFrame) -> DataFrame:
-    """(address, exclude_keywords[, line_no]) -> (address, noisy_no, noisy_category, excluded).
+    """(address, exclude_keywords, line_no) -> (address, noisy_no, noisy_category, excluded).
 
     One row per line.  ``noisy_no`` is the line's place in the cascade: all
     plain senders are one rule and come first, then each line with exclusions
     in file order.  ``excluded`` is the pattern of its keywords (as
     ``subject_none`` has it), NULL for a plain line.
     """
-    line = F.col("line_no") if "line_no" in noisy.columns else F.monotonically_increasing_id()
     kws = F.filter(F.coalesce(F.col("exclude_keywords"), F.array().cast("array<string>")), lambda k: F.trim(k) != "")
-    t = (noisy.select(F.lower(F.trim("address")).alias("address"), kws.alias("kws"), line.alias("line_no"))
+    t = (noisy.select(F.lower(F.trim("address")).alias("address"), kws.alias("kws"), "line_no")
               .where("address <> ''"))
     k = F.col("kws")
     plain = F.size(k) == 0
@@ -317,8 +319,19 @@ def noisy_table(noisy: DataFrame) -> DataFrame:
         F.concat(F.lit("Noisy sender: "), F.col("address"), F.lit(" (excluding: "), F.array_join(k, ","), F.lit(")")))
     quoted = F.transform(k, lambda w: F.concat(F.lit("\\Q"), F.replace(F.lower(w), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
     pattern = F.when(~plain, F.concat(F.lit("(?<![\\p{L}\\p{N}])(?:"), F.array_join(quoted, "|"), F.lit(")(?![\\p{L}\\p{N}])")))
-    order = Window.orderBy(F.when(plain, 0).otherwise(1), F.when(plain, F.lit(0).cast("long")).otherwise(F.col("line_no")))
-    return t.select("address", F.dense_rank().over(order).alias("noisy_no"), cat.alias("noisy_category"), pattern.alias("excluded"))
+    t = t.select("address", "line_no", plain.alias("plain"), cat.alias("noisy_category"), pattern.alias("excluded"))
+    # lines in ranges of their order; a line's place is what the ranges before its own hold, and its place in that
+    ensure_checkpoint_dir(noisy.sparkSession)
+    t = t.repartitionByRange(F.col("plain").desc(), "line_no").withColumn("_range", F.spark_partition_id()).checkpoint()
+    before, offsets = 0, []
+    for r in sorted(t.groupBy("_range").agg(F.count_if(~F.col("plain")).alias("n"), F.count_if("plain").alias("p")).collect()):   # a row a range
+        offsets.append((r["_range"], before))
+        before += r["n"]
+    any_plain = t.where("plain").select(F.lit(1)).limit(1).count()
+    at = noisy.sparkSession.createDataFrame(offsets, "_range int, _before long")
+    own = Window.partitionBy("_range").orderBy("plain", "line_no")                       # false first: lines with exclusions
+    no = F.when(F.col("plain"), 1).otherwise(F.dense_rank().over(own) + F.col("_before") + any_plain)
+    return t.join(at, "_range").select("address", no.cast("int").alias("noisy_no"), "noisy_category", "excluded")
 
 
 def sender_keys(email: Column) -> Column:
@@ -349,10 +362,10 @@ def prune_with_noisy(m: DataFrame, rules: list[Rule], noisy: DataFrame, contacts
     met = (x.where("rule_no = 0").withColumn("_key", F.explode(sender_keys(F.col("from_email"))))
             .join(lines, F.col("_key") == F.col("address"))
             .where(F.col("excluded").isNull() | ~F.coalesce(F.rlike(F.lower("subject"), F.col("excluded")), F.lit(False))))
-    first = (met.groupBy(*names(key)).agg(F.min("noisy_no").alias("_no")))
-    by_no = lines.select(F.col("noisy_no").alias("_no"), "noisy_category").distinct()
-    noisy_claim = (x.where("rule_no = 0").drop("rule_no").join(first, names(key)).join(by_no, "_no")
-                    .select(*columns, (F.col("_no") + len(rules)).cast("int").alias("rule_no"), F.col("noisy_category").alias("category")))
+    # the first line that is left claims the message (one row a key and partition before the shuffle)
+    first = Window.partitionBy(*names(key)).orderBy("noisy_no")
+    noisy_claim = (met.withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
+                    .select(*columns, (F.col("noisy_no") + len(rules)).cast("int").alias("rule_no"), F.col("noisy_category").alias("category")))
     p = protect(claimed.unionByName(noisy_claim), contacts, m)
     return p.withColumn("decision", F.when(F.col("protected_by").isNull(), "prune").otherwise("skip")).drop("thread_id")
 

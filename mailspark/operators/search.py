@@ -4,9 +4,11 @@ The index is a plain DataFrame of postings ``(field, token, <key>, tf)``:
 text is lower-cased, stripped of the marks of Latin letters and split on runs
 of non letter/number characters (as the reference's default tokenizer does).  Postings are
 aggregated with the document key in the group key, so a very common token
-never becomes one hot group.  ``write_index`` lays the postings out hashed on
-(token, key) for even files and sorted by token inside each file, so a
-lookup's ``token IN (...)`` is answered from Parquet row-group statistics.
+never becomes one hot group.  ``StoredIndex`` keeps the postings in blocks: a
+folder an addition, in it a folder a bucket of tokens, sorted by token inside
+each file.  A lookup reads its tokens' buckets only, and of them the row groups
+that hold them; more mail adds blocks and leaves the others as they are, and
+additions of one level are merged when there are enough of them.
 
 A search is implicit AND over the query tokens, in any indexed field:
 postings of the query tokens -> count distinct tokens per key -> keys that
@@ -17,8 +19,9 @@ scan, so a stored index is read only where those tokens live.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..util import names
@@ -60,11 +63,80 @@ def build_index(df: DataFrame, key, fields: list[str] | None = None) -> DataFram
     return x.groupBy("field", "token", *names(key)).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def write_index(index: DataFrame, path: str, key, partitions: int | None = None) -> None:
-    """Persist postings: hash-distributed on (token, key), token-sorted inside each file."""
-    n = partitions or index.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    (index.repartition(int(n), "token", *names(key)).sortWithinPartitions("token", *names(key))
-          .write.mode("overwrite").parquet(path))
+class StoredIndex:
+    """Postings on storage: ``<level>-<name>/bucket=<n>/`` folders, each addition listed once it is complete."""
+
+    BUCKETS, MERGE = 64, 8
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._p("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _p(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def additions(self) -> list[str]:
+        """Complete additions (a stopped one has no success mark and is not read)."""
+        p = self._p("")
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
+        names = [n for n in names if n[0].isdigit() and self._fs.exists(self._p(f"{n}/_SUCCESS"))]
+        merged = {old for n in names if not n.startswith("0-") for old in self._merged(n)}
+        return [n for n in names if n not in merged]
+
+    def _merged(self, name: str) -> list[str]:
+        """The additions that a merge has put together."""
+        p = self._p(f"{name}/_MERGED")
+        stream = self._fs.open(p)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        finally:
+            stream.close()
+
+    @classmethod
+    def bucket(cls, token) -> Column:
+        return F.pmod(F.xxhash64(token), F.lit(cls.BUCKETS)).cast("int")
+
+    def _write(self, postings: DataFrame, name: str) -> None:
+        # a bucket is as many tasks as its rows need: a common token's postings are dealt by their keys
+        rest = [c for c in postings.columns if c not in ("field", "token", "tf")]
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        (postings.withColumn("bucket", self.bucket(F.col("token")))
+         .repartition("bucket", F.pmod(F.xxhash64(*rest), F.lit(max(1, n // self.BUCKETS))))
+         .sortWithinPartitions("bucket", "token", *rest).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}"))
+
+    def add(self, postings: DataFrame, name: str | None = None) -> None:
+        """Add the postings of new mail; an addition of the same name is written again."""
+        self._write(postings, f"0-{name or uuid.uuid4().hex}")
+        self.merge()
+
+    def merge(self) -> None:
+        level = 0
+        while any(int(n.split("-")[0]) >= level for n in self.additions()):
+            own = [n for n in self.additions() if n.startswith(f"{level}-")]
+            if len(own) >= self.MERGE:
+                new = f"{level + 1}-{uuid.uuid4().hex}"
+                self._write(self._read(own).drop("bucket"), f".{new}")
+                out = self._fs.create(self._p(f".{new}/_MERGED"), True)
+                out.write(bytearray(" ".join(own).encode("utf-8")))
+                out.close()
+                # by this name it stands for the others in one step; they can go then or later
+                self._fs.rename(self._p(f".{new}"), self._p(new))
+                for n in own:
+                    self._fs.delete(self._p(n), True)
+            level += 1
+
+    def _read(self, names: list[str]) -> DataFrame:
+        parts = [self.spark.read.parquet(f"{self.path}/{n}") for n in names]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def postings(self, toks: list[str]) -> DataFrame:
+        """Postings of some tokens: their buckets of each addition, pruned by name."""
+        own = self._read(self.additions())
+        return own.where(F.col("token").isin(toks) & F.col("bucket").isin([self.bucket(F.lit(t)) for t in toks])).drop("bucket")
 
 
 def query_tokens(query: str) -> list[str]:
@@ -74,23 +146,24 @@ def query_tokens(query: str) -> list[str]:
     return sorted(set(out.split()))
 
 
-def search_keys(index: DataFrame, query: str, key, fields: list[str] | None = None) -> DataFrame:
+def search_keys(index: DataFrame | StoredIndex, query: str, key, fields: list[str] | None = None) -> DataFrame:
     """Q1s: keys whose indexed text contains every query token (any field unless ``fields``).
 
     The query string is a literal the caller holds, so the postings scan gets
     a literal ``token IN (...)`` that reaches the Parquet reader and its
-    row-group statistics (the stored index is sorted by token inside each file).
+    row-group statistics (a stored index is sorted by token inside each file).
     """
     toks = query_tokens(query)
     if not toks:
+        index = index.postings([""]) if isinstance(index, StoredIndex) else index
         return index.where(F.lit(False)).select(*names(key))
-    post = index.where(F.col("token").isin(toks))
+    post = index.postings(toks) if isinstance(index, StoredIndex) else index.where(F.col("token").isin(toks))
     if fields:
         post = post.where(F.col("field").isin(*fields))
     hits = post.groupBy(*names(key)).agg(F.count_distinct("token").alias("_n"))
     return hits.where(F.col("_n") == len(toks)).select(*names(key))
 
 
-def search(df: DataFrame, index: DataFrame, query: str, key, fields: list[str] | None = None) -> DataFrame:
+def search(df: DataFrame, index: DataFrame | StoredIndex, query: str, key, fields: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` matching the query (semi-join on the key)."""
     return df.join(search_keys(index, query, key, fields), names(key), "left_semi")

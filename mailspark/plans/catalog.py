@@ -9,6 +9,7 @@ aligned on both sides.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -489,6 +490,7 @@ register("stratified_sample", W(["messages"], "\nUNION ALL\n".join(
 
 # ---------------------------------------------------------------- retention rules
 from ..operators import audit as AU  # noqa: E402
+from ..operators import rule_index as RI  # noqa: E402
 from ..operators import rules as R  # noqa: E402
 from . import duck_rules as DR  # noqa: E402
 
@@ -527,6 +529,12 @@ register("prune_all_rules", W(["messages", "contacts"], _prune_sql(ALL_PRUNE_RUL
 SELECT {_PRUNE_COLS}, CASE WHEN protected_by IS NULL THEN 'prune' ELSE 'skip' END AS decision FROM p"""))(
     _prune(ALL_PRUNE_RULES))
 
+# the same rules as rows, found by a join on senders and subject words
+register("prune_rule_table", W(["messages", "contacts"], _prune_sql(ALL_PRUNE_RULES) + f"""
+SELECT {_PRUNE_COLS}, CASE WHEN protected_by IS NULL THEN 'prune' ELSE 'skip' END AS decision FROM p"""))(
+    lambda s, sf: RI.prune_by_table(_m(s, sf), RI.rule_rows(s, ALL_PRUNE_RULES), fx.contacts(s, sf), AS_OF))
+
+
 def _prune_noisy_join(spark, sf):
     lines = [(a, []) for a in NOISY_PLAIN] + NOISY_EXCL
     noisy = spark.createDataFrame([(a, k, i) for i, (a, k) in enumerate(lines)], "address string, exclude_keywords array<string>, line_no long")
@@ -625,6 +633,23 @@ for _null_aware, _name in ((False, "threads_without_reply"), (True, "threads_wit
         "NOT EXISTS (SELECT 1 FROM messages s WHERE s.in_sent = 1 AND s.thread_id = m.thread_id)")))(
         (lambda n: lambda s, sf: M.threads_without_reply(_m(s, sf), null_aware=n).select("path", "mbox_offset", "thread_id"))(_null_aware))
 
+# mail in which no sent message lacks a thread: NOT IN has rows to give
+_THREADED = "(SELECT * FROM messages WHERE thread_id IS NOT NULL OR in_sent = 0)"
+
+
+def _threaded(spark, sf):
+    return _m(spark, sf).where("thread_id IS NOT NULL OR in_sent = 0")
+
+
+register("threads_without_reply_null_aware_threaded", W(["messages"], f"""
+SELECT path, mbox_offset, thread_id FROM {_THREADED} m WHERE thread_id IS NOT NULL
+  AND thread_id NOT IN (SELECT DISTINCT thread_id FROM {_THREADED} s WHERE in_sent = 1)"""))(
+    lambda s, sf: M.threads_without_reply(_threaded(s, sf), null_aware=True).select("path", "mbox_offset", "thread_id"))
+
+register("one_way_threads_null_aware_threaded", W(["messages"], _ONE_WAY.replace("FROM messages r", f"FROM {_THREADED} r").replace("{cond}", (
+    f"r.thread_id NOT IN (SELECT DISTINCT thread_id FROM {_THREADED} s WHERE in_sent = 1)"))))(
+    lambda s, sf: M.one_way_threads(_threaded(s, sf), null_aware=True))
+
 register("exclude_replied", W(["messages"], """
 SELECT path, mbox_offset, thread_id FROM messages m
 WHERE NOT EXISTS (SELECT 1 FROM messages s WHERE s.in_sent = 1 AND s.thread_id = m.thread_id)"""))(
@@ -796,10 +821,31 @@ SELECT path, mbox_offset, subject, from_email FROM full_messages SEMI JOIN (
   USING (path, mbox_offset)"""
 
 
+def _message_index(spark, sf):
+    """The messages' stored index; written once a session and state of the tables, as a mail store keeps its own."""
+    full = fx.full_messages(spark, sf)
+    # file, length and time of what the index was made of
+    made_of = full.inputFiles()
+    root = checkpoint_dir(spark, "index-" + hashlib.sha256(repr((spark.sparkContext.applicationId, _stamps(spark, made_of))).encode()).hexdigest()[:24])
+    index = SE.StoredIndex(spark, root)
+    if not index.additions():
+        index.add(SE.build_index(full, M.KEY), "all")
+    return index
+
+
+def _stamps(spark, files):
+    out = []
+    for f in sorted(files):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        s = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+        out.append((f, s.getLen(), s.getModificationTime()))
+    return out
+
+
 for _name, _q, _toks in (("search_messages", "Google ALERT", ["google", "alert"]), ("search_messages_folded", "Etre queeau", ["etre", "queeau"])):
     register(_name, W(["messages", "full_messages"], _msg_search_sql(_toks)))(
         (lambda q: lambda s, sf: SE.search(_m(s, sf).select("path", "mbox_offset", "subject", "from_email"),
-                                           SE.build_index(fx.full_messages(s, sf), M.KEY), q, M.KEY))(_q))
+                                           _message_index(s, sf), q, M.KEY))(_q))
 
 
 # ---------------------------------------------------------------- scoring

@@ -7,7 +7,6 @@ typed rule rows for the cascade; they never carry message data.
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,6 +110,23 @@ def read_tab_rows(spark: SparkSession, path: str) -> DataFrame:
             .where(F.col("name") != ""))
 
 
+def industry_rule_rows(spark: SparkSession, path: str) -> DataFrame:
+    """S6 as a table (see ``operators.rule_index``): (line_no, name, fields) of each industry line, without the driver."""
+    words = F.filter(F.split("rest", "\\s+"), lambda x: x != "")
+    return (read_tab_rows(spark, path).where(F.size(words) > 0)
+            .select("line_no", "name", F.to_json(F.struct(words.alias("from_any"))).alias("fields")))
+
+
+def keep_rule_rows(spark: SparkSession, path: str) -> DataFrame:
+    """S6 as a table: (line_no, name, fields) of each keep rule; its fragment is read where the line is.  Bad fragments fail."""
+    import json
+
+    @F.udf("string")
+    def fields(rest):
+        return json.dumps(_fragment(rest))
+    return read_tab_rows(spark, path).select("line_no", "name", fields("rest").alias("fields"))
+
+
 def _collect_config(df: DataFrame) -> list:
     """Rows of a rule file, in line order (rules are conditions of the plan, so the driver holds them)."""
     return df.orderBy("line_no").collect()
@@ -199,11 +215,10 @@ def read_prompts(spark: SparkSession, directory: str, version: str | None = None
     """
     import yaml
     rows = []
-    for fn in sorted(os.listdir(directory)):
-        if not fn.endswith(".yaml"):
-            continue
-        with open(os.path.join(directory, fn)) as f:
-            d = yaml.safe_load(f)
+    files = (spark.read.text(directory, wholetext=True, pathGlobFilter="*.yaml")
+             .select(F.col("_metadata.file_name").alias("name"), "value"))
+    for fn, text in sorted(tuple(r) for r in files.collect()):               # a file a version, on any storage that Spark reads
+        d = yaml.safe_load(text)
         if d.get("version") != fn[:-5]:
             raise ValueError(f"{fn}: version {d.get('version')!r} does not match the file name")
         if version is None or d["version"] == version:

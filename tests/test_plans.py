@@ -69,14 +69,65 @@ def test_prune_joins_contacts_and_threads_on_their_keys(spark):
     assert all("coalesce" in ln or "_nondeterministic" in ln for ln in joins)
 
 
-def test_written_index_pushes_token_filter(spark):
+def test_a_lookup_reads_its_tokens_buckets(spark):
     from mailspark.operators import search as SE
-    out = tempfile.mkdtemp(prefix="idx-") + "/index"
+    index = SE.StoredIndex(spark, tempfile.mkdtemp(prefix="idx-") + "/index")
     idx = SE.build_index(fx.table(spark, SF_SMALL, "documents"), "doc_id", ["text"])
-    SE.write_index(idx, out, "doc_id", partitions=4)
-    stored = spark.read.parquet(out)
-    hits = SE.search_keys(stored, "the of", "doc_id")
+    index.add(idx, "all")
+    hits = SE.search_keys(index, "the of", "doc_id")
     plan = executed(hits)
     scan = [ln for ln in plan.split("\n") if "FileScan parquet" in ln and "index" in ln][0]
-    assert "PushedFilters: [In(token, [of,the])]" in scan
-    assert hits.count() == SE.search_keys(idx, "the of", "doc_id").count() > 0
+    buckets = sorted({r[0] for t in ("the", "of") for r in spark.range(1).select(SE.StoredIndex.bucket(F.lit(t))).collect()})
+    assert "PartitionFilters: [" + (f"bucket#" if len(buckets) > 1 else "isnotnull(bucket") in scan
+    assert " IN (" + ",".join(map(str, buckets)) in scan or "In(token, [of,the])" in scan
+    assert "In(token, [of,the])" in scan.split("PushedFilters:")[1]
+    files = [f for f in index.postings(["the", "of"]).inputFiles()]
+    assert files and hits.count() == SE.search_keys(idx, "the of", "doc_id").count() > 0
+
+
+def test_more_mail_adds_blocks_only(spark, monkeypatch):
+    """Additions leave the other files alone, a repeated or stopped one counts once, merging changes no answer."""
+    import os
+
+    from mailspark.operators import search as SE
+    monkeypatch.setattr(SE.StoredIndex, "MERGE", 4)
+    root = tempfile.mkdtemp(prefix="idx-") + "/index"
+    index = SE.StoredIndex(spark, root)
+    docs = fx.table(spark, SF_SMALL, "documents")
+
+    def files():
+        return {os.path.join(d, f) for d, _, own in os.walk(root) for f in own if f.endswith(".parquet")}
+    seen = set()
+    for n in range(3):
+        part = SE.build_index(docs.where(F.col("doc_id") % 5 == n), "doc_id", ["text"])
+        index.add(part, f"b{n}")
+        assert seen < files()
+        seen = files()
+    index.add(part, "b2")
+    whole = SE.build_index(docs.where(F.col("doc_id") % 5 < 3), "doc_id", ["text"])
+
+    def found(i):
+        return sorted(r[0] for r in SE.search_keys(i, "the of", "doc_id").collect())
+    assert found(index) == found(whole) != []
+    # stopped between the merge and the removal of what it has merged
+    real = index._fs
+
+    class Stop(Exception):
+        pass
+
+    class Stopping:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def delete(self, *_):
+            raise Stop
+    index._fs = Stopping()
+    try:
+        index.add(SE.build_index(docs.where(F.col("doc_id") % 5 == 3), "doc_id", ["text"]), "b3")
+        raise AssertionError("must stop")
+    except Stop:
+        pass
+    index._fs = real
+    assert [n[0] for n in index.additions()] == ["1"]
+    assert found(index) == found(SE.build_index(docs.where(F.col("doc_id") % 5 < 4), "doc_id", ["text"]))
+    assert SE.search_keys(index, " ?! ", "doc_id").count() == 0
