@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import fixtures as fx
 from ..fixtures import duck_with as W
 from ..operators import messages as M
+from ..operators.score_store import ScoreStore
 from ..session import checkpoint_dir
 from ..sources.versioned import VersionedTable
 from . import duck as D
@@ -408,13 +409,33 @@ def _upsert(spark, sf):
     return K.upsert_classifications(old, rerun)
 
 
-register("upsert_classifications", W(["classifications"], """
+def _score_store(spark, sf):
+    return ScoreStore(spark, checkpoint_dir(spark, f"scores-{uuid.uuid4().hex}"), buckets=8)
+
+
+def _upsert_stored(spark, sf):
+    """K3 on the bucketed store: version 0 holds the first run, version 1 the second over it."""
+    c = _c(spark, sf)
+    store = _score_store(spark, sf).create(c.withColumn("classified_at", F.lit("2026-01-01T00:00:00+00:00")))
+    store.upsert(c.where(F.col("model") == "mB").withColumn("label", F.lit("uncertain"))
+                 .withColumn("classified_at", F.lit("2026-02-01T00:00:00+00:00")))
+    return store.read()
+
+
+def _vote_stored(spark, sf):
+    return K.vote(_score_store(spark, sf).create(_c(spark, sf).withColumn("classified_at", F.lit("t"))).read())
+
+
+_UPSERT_SQL = W(["classifications"], """
 SELECT message_id, model, prompt_version, label, confidence, classified_at FROM (
   SELECT *, row_number() OVER (PARTITION BY message_id, model, prompt_version ORDER BY classified_at DESC) AS rn
   FROM (SELECT *, '2026-01-01T00:00:00+00:00' AS classified_at FROM classifications
         UNION ALL
         SELECT message_id, model, prompt_version, 'uncertain' AS label, confidence, '2026-02-01T00:00:00+00:00'
-        FROM classifications WHERE model = 'mB') u) r WHERE rn = 1"""))(_upsert)
+        FROM classifications WHERE model = 'mB') u) r WHERE rn = 1""")
+register("upsert_classifications", _UPSERT_SQL)(_upsert)
+register("upsert_score_store", _UPSERT_SQL)(_upsert_stored)
+register("vote_score_store", ORACLE["vote"])(_vote_stored)
 
 _LATEST = """latest AS (SELECT message_id, prompt_version, human_label, corrected_at FROM (
   SELECT *, row_number() OVER (PARTITION BY message_id, prompt_version ORDER BY coalesce(corrected_at, '') DESC) AS rn
