@@ -16,7 +16,10 @@ are looked at, and of adjacent runs with one source every sixteenth is kept.
 The matches of a document with one earlier document are chained: a chain
 ascends in both, each seed adds its words, each gap costs by its length; a
 Fenwick tree over the places in the earlier document gives the best
-predecessor.  Chains, also of a single seed, are then aligned word by word: gaps between seeds by
+predecessor.  A chain of a single seed, as most accidental ones are, is first
+screened: the 45 words on either side are compared, by one byte a word, with
+those of the other document up to two places aside, and the chain goes on if
+some 50 words with the seed in them may agree enough.  Chains are then aligned word by word: gaps between seeds by
 edit distance, ends by extension until mismatches outweigh matches.  An
 aligned chain of 50 words or more, of which 80% agree, is a repeated passage;
 one that agrees less is cut at its widest gap, and its parts are tried.
@@ -33,11 +36,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import ids as column_ids
-from .base import prepare, staged, text_slices
+from .base import near, prepare, staged, text_slices
 from .words import Words, shingles
 
 SEED = 5
@@ -50,6 +54,9 @@ GAP = 1 / 16
 MARGIN = 48
 #: An extension ends when mismatches put it this far below its best.
 DROP = 6
+#: Words beside a lone seed that are looked at before it is aligned, places aside that they may match at, and
+#: matches that 50 words with the seed need (fewer than a passage must have).
+BESIDE, ASIDE, SCREEN = 45, 2, 38
 #: Documents whose matches with one document travel in one row.
 TOGETHER = 128
 #: Bits of the filter of shared seeds that the tasks get (8 MB).
@@ -277,12 +284,12 @@ def _chainer(id_type):
     """Rows (id, ref, x, y) in order of (id, ref, x) to rows of chains."""
     def flush(key, xs, ys, out):
         for cx, cy in chains(xs, ys):
-            out.append((key[0], key[1], np.array(cx, "<i4").tobytes(), np.array(cy, "<i4").tobytes()))
+            out.append((key[0], key[1], len(cx), cx[0], cy[0], np.array(cx, "<i4").tobytes(), np.array(cy, "<i4").tobytes()))
 
     def table(out):
-        cols = list(zip(*out)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), pa.array(cols[1], id_type),
-                                           pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["id", "ref", "xs", "ys"])
+        cols = list(zip(*out)) or [()] * 7
+        kinds = (id_type, id_type, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "ref", "n", "x", "y", "xs", "ys"])
 
     def run(batches):
         key, xs, ys, out = None, [], [], []
@@ -310,6 +317,90 @@ def _word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
     return (w.hashes() >> np.uint64(32)).astype(np.uint32), w.first, w
 
 
+def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A byte of each word (never 0), and where each text's words begin."""
+    number, first, _ = _word_numbers(texts)
+    return (number % np.uint32(255) + 1).astype(np.uint8), first
+
+
+def _beside(code: np.ndarray, first: np.ndarray, doc: np.ndarray, at: np.ndarray, before: int, behind: int) -> np.ndarray:
+    """Bytes of the words from ``before`` words ahead of a place to ``behind`` after it, a row a place; 0 outside the text."""
+    where = (first[doc] + at)[:, None] + np.arange(-before, behind)
+    inside = (where >= first[doc][:, None]) & (where < first[doc + 1][:, None])
+    return np.where(inside, code[np.clip(where, 0, max(len(code) - 1, 0))], 0).astype(np.uint8) if len(code) else \
+        np.zeros(where.shape, np.uint8)
+
+
+def _chains_of(batch: pa.RecordBatch, a: int, b: int) -> tuple[np.ndarray, pa.StructArray]:
+    """Lone seeds of the rows a to b: the row of each, and their fields."""
+    lists = batch.column(batch.schema.get_field_index("chains")).slice(a, b - a)
+    return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+
+
+#: Seeds whose words are compared at once.
+AT_ONCE = 20_000
+
+
+def _coder(batches):
+    """Rows (ref, text, lone seeds that lead to it) to a row a seed, with a byte of each word around it."""
+    width = 2 * BESIDE + SEED + 2 * ASIDE
+    for batch in batches:
+        for a, b, texts in text_slices(batch, "text"):
+            code, first = _codes(texts)
+            doc, seeds_ = _chains_of(batch, a, b)
+            ref = column_ids(batch, "ref").slice(a, b - a)
+            for p in range(0, len(doc), AT_ONCE):
+                own, part = doc[p:p + AT_ONCE], seeds_.slice(p, AT_ONCE)
+                y = part.field("y").to_numpy()
+                around = _beside(code, first, own, y, BESIDE + ASIDE, BESIDE + SEED + ASIDE)
+                offsets = np.arange(len(own) + 1, dtype=np.int32) * width
+                yield pa.RecordBatch.from_arrays([
+                    part.field("id"), ref.take(pa.array(own)), part.field("x"), part.field("y"),
+                    pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(around))])],
+                    ["id", "ref", "x", "y", "around"])
+
+
+def may_agree(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether some MIN_WORDS words in a row of ``own`` match ``other`` at SCREEN places, each up to ASIDE places aside."""
+    same = np.zeros(own.shape, bool)
+    for d in range(2 * ASIDE + 1):
+        same |= own == other[:, d:d + own.shape[1]]
+    same &= own != 0
+    total = np.zeros((len(own), own.shape[1] + 1), np.int16)
+    np.cumsum(same, axis=1, out=total[:, 1:])
+    return (total[:, MIN_WORDS:] - total[:, :-MIN_WORDS]).max(axis=1) >= SCREEN
+
+
+def _screen(batches):
+    """Rows (id, text, lone seeds with the words around them in their source) to the seeds that may begin a passage."""
+    width = 2 * BESIDE + SEED + 2 * ASIDE
+    for batch in batches:
+        for a, b, texts in text_slices(batch, "text"):
+            code, first = _codes(texts)
+            doc, seeds_ = _chains_of(batch, a, b)
+            id_ = column_ids(batch, "id").slice(a, b - a)
+            for p in range(0, len(doc), AT_ONCE):
+                own, part = doc[p:p + AT_ONCE], seeds_.slice(p, AT_ONCE)
+                around = part.field("around")
+                _, _, data = around.buffers()
+                other = np.frombuffer(data, np.uint8)[around.offset * width:(around.offset + len(own)) * width].reshape(-1, width)
+                x, y = (part.field(c).to_numpy() for c in ("x", "y"))
+                kept = np.flatnonzero(may_agree(_beside(code, first, own, x, BESIDE, BESIDE + SEED), other))
+                if len(kept):
+                    four = np.arange(len(kept) + 1, dtype=np.int32) * 4
+                    xs, ys = (pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(four), pa.py_buffer(v[kept].astype("<i4"))])
+                              for v in (x, y))
+                    yield pa.RecordBatch.from_arrays([id_.take(pa.array(own[kept])), part.field("ref").take(pa.array(kept)), xs, ys],
+                                                     ["id", "ref", "xs", "ys"])
+
+
+def _dealt(chained: DataFrame, *fields: str) -> DataFrame:
+    """ref, part, chains: the matches of at most about TOGETHER documents with one document in a row."""
+    parts = chained.groupBy("ref").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    return (chained.join(parts, "ref").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+            .groupBy("ref", "part").agg(F.collect_list(F.struct(*fields)).alias("chains")))
+
+
 def _cutter(batches):
     """Rows (ref, text, chains of several documents with it) to a row a chain, with the earlier document's words around it."""
     for batch in batches:
@@ -401,15 +492,18 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
              .agg(F.min("x").alias("x")).select("id", "ref", "x", (F.col("x") + F.col("shift")).alias("y")))
     hits = hits.unionByName(whole)
     chained = staged(hits.repartition("id").sortWithinPartitions("id", "ref", "x", "y")
-                     .mapInArrow(_chainer(id_type), f"id {kind}, ref {kind}, xs binary, ys binary"), "chains")
-    # one row holds the matches of at most about TOGETHER documents with a document
-    parts = chained.groupBy("ref").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
-    dealt = (chained.join(parts, "ref").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-             .groupBy("ref", "part").agg(F.collect_list(F.struct("id", "xs", "ys")).alias("chains")))
-    sides = (dealt.join(docs.select(F.col("id").alias("ref"), "text"), "ref").select("ref", "text", "chains")
+                     .mapInArrow(_chainer(id_type), f"id {kind}, ref {kind}, n int, x int, y int, xs binary, ys binary"), "chains")
+    coded = (_dealt(chained.filter("n = 1"), "id", "x", "y").join(docs.select(F.col("id").alias("ref"), "text"), "ref")
+             .select("ref", "text", "chains").mapInArrow(_coder, f"id {kind}, ref {kind}, x int, y int, around binary"))
+    lone = staged(coded.groupBy("id").agg(F.collect_list(F.struct("ref", "x", "y", "around")).alias("chains")).join(docs, "id")
+                  .select("id", "text", "chains").mapInArrow(_screen, f"id {kind}, ref {kind}, xs binary, ys binary"), "screened")
+    chained = chained.filter("n > 1").select("id", "ref", "xs", "ys").unionByName(lone)
+    # few documents are left: the others' texts stay where they are
+    sources = near(docs.select(F.col("id").alias("ref"), "text"), "ref", chained.select("ref").distinct())
+    sides = (_dealt(chained, "id", "xs", "ys").join(sources, "ref").select("ref", "text", "chains")
              .mapInArrow(_cutter, f"id {kind}, ref {kind}, xs binary, ys binary, shift int, words binary"))
     each = sides.groupBy("id").agg(F.collect_list(F.struct("ref", "xs", "ys", "shift", "words")).alias("chains"))
-    return staged(each.join(docs, "id").select("id", "text", "chains").mapInArrow(
+    return staged(each.join(near(docs, "id", chained.select("id").distinct()), "id").select("id", "text", "chains").mapInArrow(
         _aligner(id_type), f"id {kind}, n_words long, passages array<struct<start:int,stop:int,ref:{kind},"
                            "ref_start:int,ref_stop:int,n_same:int>>"), "passages")
 
