@@ -27,8 +27,8 @@ The first document that has it keeps it.
 
 Cases: null and empty texts, and texts of fewer than 50 words, have no
 passages; a passage that repeats in its own document has that document as its
-source; rows that repeat a doc_id are one document (passages refer to any of its rows); rows
-with a null id are left alone; an empty table gives an empty result; other
+source; rows that repeat a doc_id are one document (passages refer to any of its rows), but each
+text is cut by its own passages; rows with a null id are left alone; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -469,13 +469,14 @@ def _aligner(id_type):
                 some = [k for k, g in enumerate(got) if g]
                 yield pa.RecordBatch.from_arrays([
                     column_ids(batch, "id").slice(a, b - a).take(pa.array(some, pa.int64())),
+                    column_ids(batch, "h").slice(a, b - a).take(pa.array(some, pa.int64())),
                     pa.array(np.diff(first)[some], pa.int64()), pa.array([got[k] for k in some], pa.list_(span))],
-                    ["id", "n_words", "passages"])
+                    ["id", "h", "n_words", "passages"])
     return run
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, passages) of the documents that repeat an earlier one or themselves, staged.
+    """(id, h, n_words, passages) of the documents that repeat an earlier one or themselves, staged; h: hash of the text.
 
     passages: array of (start, stop, ref, ref_start, ref_stop, n_same), in words, half open.
     """
@@ -503,8 +504,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sides = (_dealt(chained, "id", "xs", "ys").join(sources, "ref").select("ref", "text", "chains")
              .mapInArrow(_cutter, f"id {kind}, ref {kind}, xs binary, ys binary, shift int, words binary"))
     each = sides.groupBy("id").agg(F.collect_list(F.struct("ref", "xs", "ys", "shift", "words")).alias("chains"))
-    return staged(each.join(near(docs, "id", chained.select("id").distinct()), "id").select("id", "text", "chains").mapInArrow(
-        _aligner(id_type), f"id {kind}, n_words long, passages array<struct<start:int,stop:int,ref:{kind},"
+    return staged(each.join(near(docs, "id", chained.select("id").distinct()), "id").select("id", F.xxhash64("text").alias("h"), "text", "chains").mapInArrow(
+        _aligner(id_type), f"id {kind}, h long, n_words long, passages array<struct<start:int,stop:int,ref:{kind},"
                            "ref_start:int,ref_stop:int,n_same:int>>"), "passages")
 
 
@@ -538,14 +539,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from all documents but the first; n_chars, if there, follows the text."""
     spark = docs.sparkSession
     prepare(spark)
-    spans = (passages(docs).groupBy("id").agg(F.flatten(F.collect_list("passages")).alias("passages"))
-             .select(F.col("id").alias("_llm_id"), F.transform("passages", lambda p: F.struct(p["start"], p["stop"])).alias("_llm_spans")))
+    spans = (passages(docs).dropDuplicates(["id", "h"])       # rows of one id and text have the same passages
+             .select(F.col("id").alias("_llm_id"), F.col("h").alias("_llm_h"), F.transform("passages", lambda p: F.struct(p["start"], p["stop"])).alias("_llm_spans")))
 
     @F.pandas_udf("string")
     def cut(text, spans):
         return text.combine(spans, lambda t, s: None if t is None or s is None else without(t, [(x["start"], x["stop"]) for x in s]))
 
-    joined = docs.join(spans, docs["doc_id"] == spans["_llm_id"], "left")
+    joined = docs.join(spans, (docs["doc_id"] == spans["_llm_id"]) & (F.xxhash64(docs["text"]) == spans["_llm_h"]), "left")
     new = F.when(F.col("_llm_spans").isNull(), docs["text"]).otherwise(
         cut(F.when(F.col("_llm_spans").isNotNull(), docs["text"]), F.col("_llm_spans")))
     out = joined.withColumn("_llm_text", new)

@@ -55,6 +55,13 @@ def test_near_duplicates(spark, full, empty):
     assert minhash.report(empty).collect() == [] and minhash.deduplicated(empty).collect() == []
 
 
+def test_texts_under_one_id_are_cut_by_their_own_passages(spark):
+    shared, clean = " ".join(f"s{i}" for i in range(60)), " ".join(f"c{i}" for i in range(200))
+    rows = [(1, "head " + shared, "en", "a"), (2, "one " + shared + " two", "en", "a"), (2, clean, "en", "a")]
+    left = sorted(r["text"] for r in substring.deduplicated(docs(spark, rows)).collect())
+    assert left == sorted(["head " + shared, "one two", clean])
+
+
 def test_passages(spark, full, empty):
     got = substring.report(full).collect()
     assert {(r["doc_id"], r["start"], r["stop"], r["ref_doc_id"]) for r in got} == {(2, 0, 300, 1), (9, 0, 300, 1)}
