@@ -433,9 +433,14 @@ def found(number: np.ndarray, rows: list[dict]) -> list[dict]:
     at: dict[tuple, list[dict]] = {}                         # passages by document and by 64 words
     for c in sorted(rows, key=lambda c: -len(c["xs"])):
         other = np.frombuffer(c["words"], np.uint32)
-        tries = [(np.frombuffer(c["xs"], "<i4"), np.frombuffer(c["ys"], "<i4"))]
-        if tries[0][0][-1] + SEED > len(number):             # of another row of the same id
+        xs, ys = np.frombuffer(c["xs"], "<i4"), np.frombuffer(c["ys"], "<i4")
+        x, y = xs[:, None] + np.arange(SEED), ys[:, None] - c["shift"] + np.arange(SEED)
+        # seeds of another text under the same id do not hold here
+        held = (x[:, -1] < len(number)) & (y[:, -1] < len(other))
+        held[held] = (number[x[held]] == other[y[held]]).all(axis=1)
+        if not held.any():
             continue
+        tries = [(xs[held], ys[held])]
         while tries:
             xs, ys = tries.pop()
             if any(r["start"] <= xs[0] and xs[-1] + SEED <= r["stop"] and r["ref_start"] <= ys[0] and ys[-1] + SEED <= r["ref_stop"]
