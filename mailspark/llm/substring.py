@@ -16,7 +16,7 @@ are looked at, and of adjacent runs with one source every sixteenth is kept.
 The matches of a document with one earlier document are chained: a chain
 ascends in both, each seed adds its words, each gap costs by its length; a
 Fenwick tree over the places in the earlier document gives the best
-predecessor.  A chain of a single seed, as most accidental ones are, is first
+predecessor.  In the report over a whole corpus a chain of a single seed, as most accidental ones are, is first
 screened: the 45 words on either side are compared, by one byte a word, with
 those of the other document up to two places aside, and the chain goes on if
 some 50 words with the seed in them may agree enough.  Chains are then aligned word by word: gaps between seeds by
@@ -338,7 +338,7 @@ def _chains_of(batch: pa.RecordBatch, a: int, b: int) -> tuple[np.ndarray, pa.St
 
 
 #: Seeds whose words are compared at once.
-AT_ONCE = 20_000
+AT_ONCE = 2000
 
 
 def _coder(batches):
@@ -480,9 +480,11 @@ def _aligner(id_type):
     return run
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", screen: bool = False) -> DataFrame:
     """(id, h, n_words, passages) of the documents that repeat an earlier one or themselves, staged; h: hash of the text.
 
+    screen: lone seeds are screened before they are aligned, which costs two more joins with the texts and pays
+    where most seeds are accidental.
     passages: array of (start, stop, ref, ref_start, ref_stop, n_same), in words, half open.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -499,17 +501,22 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     hits = hits.unionByName(whole)
     chained = staged(hits.repartition("id").sortWithinPartitions("id", "ref", "x", "y")
                      .mapInArrow(_chainer(id_type), f"id {kind}, ref {kind}, n int, x int, y int, xs binary, ys binary"), "chains")
-    coded = (_dealt(chained.filter("n = 1"), "id", "x", "y").join(docs.select(F.col("id").alias("ref"), "text"), "ref")
-             .select("ref", "text", "chains").mapInArrow(_coder, f"id {kind}, ref {kind}, x int, y int, around binary"))
-    lone = staged(coded.groupBy("id").agg(F.collect_list(F.struct("ref", "x", "y", "around")).alias("chains")).join(docs, "id")
-                  .select("id", "text", "chains").mapInArrow(_screen, f"id {kind}, ref {kind}, xs binary, ys binary"), "screened")
-    chained = chained.filter("n > 1").select("id", "ref", "xs", "ys").unionByName(lone)
-    # few documents are left: the others' texts stay where they are
-    sources = near(docs.select(F.col("id").alias("ref"), "text"), "ref", chained.select("ref").distinct())
+    texts = docs
+    if screen:
+        coded = (_dealt(chained.filter("n = 1"), "id", "x", "y").join(docs.select(F.col("id").alias("ref"), "text"), "ref")
+                 .select("ref", "text", "chains").mapInArrow(_coder, f"id {kind}, ref {kind}, x int, y int, around binary"))
+        lone = staged(coded.groupBy("id").agg(F.collect_list(F.struct("ref", "x", "y", "around")).alias("chains")).join(docs, "id")
+                      .select("id", "text", "chains").mapInArrow(_screen, f"id {kind}, ref {kind}, xs binary, ys binary"), "screened")
+        chained = chained.filter("n > 1").select("id", "ref", "xs", "ys").unionByName(lone)
+        # few documents are left: the others' texts stay where they are
+        texts = near(docs, "id", chained.select("id").distinct())
+        sources = near(docs.select(F.col("id").alias("ref"), "text"), "ref", chained.select("ref").distinct())
+    else:
+        sources = docs.select(F.col("id").alias("ref"), "text")
     sides = (_dealt(chained, "id", "xs", "ys").join(sources, "ref").select("ref", "text", "chains")
              .mapInArrow(_cutter, f"id {kind}, ref {kind}, xs binary, ys binary, shift int, words binary"))
     each = sides.groupBy("id").agg(F.collect_list(F.struct("ref", "xs", "ys", "shift", "words")).alias("chains"))
-    return staged(each.join(near(docs, "id", chained.select("id").distinct()), "id").select("id", F.xxhash64("text").alias("h"), "text", "chains").mapInArrow(
+    return staged(each.join(texts, "id").select("id", F.xxhash64("text").alias("h"), "text", "chains").mapInArrow(
         _aligner(id_type), f"id {kind}, h long, n_words long, passages array<struct<start:int,stop:int,ref:{kind},"
                            "ref_start:int,ref_stop:int,n_same:int>>"), "passages")
 
@@ -519,7 +526,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     Passages with their own document as source are in ``passages`` and cut by ``deduplicated``; they have no row here.
     """
-    return (passages(docs).select(F.col("id").alias("doc_id"), F.explode("passages").alias("p")).filter("p.ref <> doc_id")
+    return (passages(docs, screen=True).select(F.col("id").alias("doc_id"), F.explode("passages").alias("p")).filter("p.ref <> doc_id")
             .select("doc_id", "p.start", "p.stop", F.col("p.ref").alias("ref_doc_id"), "p.ref_start", "p.ref_stop", "p.n_same").distinct())
 
 
