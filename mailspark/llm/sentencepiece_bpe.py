@@ -38,6 +38,8 @@ SPACE = "▁"
 _NEVER = float("-inf")
 #: Entries of each cache of a worker, in the current generation; as many of the one before are kept.
 CACHE = 200_000
+#: Longer stretches (characters) are not kept there, so that the caches are bounded in bytes too.
+KEPT = 100
 
 
 class PieceModel:
@@ -66,6 +68,7 @@ class PieceModel:
         for p in self.id_of:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
+        self.most = max(map(len, self.id_of))                # no piece is longer
         self.pairs = {(a, b) for p in self.id_of for a, b in zip(p, p[1:])}
         seen: dict[float, str] = {}
         self.tied = {q for p, s in self.score.items() if len(p) > 1 for q in (p, seen.setdefault(s, p)) if q != p or seen[s] != p}
@@ -156,26 +159,26 @@ class PieceModel:
     def segment(self, text: str) -> list[str]:
         """Backtracking over the pieces that begin at each position, longest first; every character is a piece."""
         n = len(text)
-        pieces, fits, longest = self.id_of, self.fits, self.automaton.longest_prefix
+        pieces, fits, longest, most = self.id_of, self.fits, self.automaton.longest_prefix, self.most
         out: list[str] = []
-        failed = 0                                           # bit field of positions
+        failed = bytearray((n >> 3) + 1)                     # bit field of positions
         pos, last = 0, ""
-        size = longest(text)                                 # no piece from here is longer
+        size = longest(text[:most])                          # no piece from here is longer
         while pos < n:
             while size:
                 piece = text[pos:pos + size]
                 end = pos + size
                 size -= 1
-                if piece not in pieces or failed >> end & 1:
+                if piece not in pieces or failed[end >> 3] >> (end & 7) & 1:
                     continue
                 ok = fits.get((last, piece))
                 if ok or ok is None and self.compatible(last, piece):
                     out.append(piece)
                     pos, last = end, piece
-                    size = longest(text[pos:]) if pos < n else 0
+                    size = longest(text[pos:pos + most]) if pos < n else 0
                     break
             else:
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 out.pop()                                    # position 0 cannot fail: the merged segmentation exists
                 pos -= len(last)
                 size = len(last) - 1
@@ -191,7 +194,9 @@ class PieceModel:
                 pieces = self.runs(text) if self.special(text) else self.segment(text)
             else:
                 pieces = [text]
-            got = self.parts[text] = tuple(chain.from_iterable(map(self.piece_ids, pieces)))
+            got = tuple(chain.from_iterable(map(self.piece_ids, pieces)))
+            if len(text) <= KEPT:
+                self.parts[text] = got
         return got
 
     def special(self, text: str) -> bool:
@@ -260,11 +265,16 @@ class PieceModel:
         if len(known) >= CACHE:                              # the older generation goes, its words in use come along
             self.older, self.known = known, {}
             known = self.known
-        older = self.older
+        older, long = self.older, []
         for g in groups:
             if g not in known:
                 known[g] = older[g] if g in older else self.group(g)
-        return list(chain.from_iterable(map(known.__getitem__, groups)))
+                if len(g) > KEPT:
+                    long.append(g)
+        ids = list(chain.from_iterable(map(known.__getitem__, groups)))
+        for g in long:
+            del known[g]
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))

@@ -301,6 +301,22 @@ def test_pieces(spark, docs):
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in run(spark, "op9_")} == want
 
 
+def test_pieces_of_a_word_of_a_million_letters():
+    import random
+    import time
+
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_bpe.PieceModel(path)
+    rng = random.Random(3)
+    t = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    start = time.time()
+    ids = own.encode(t)
+    assert time.time() - start < 60 and max(map(len, own.known), default=0) <= sentencepiece_bpe.KEPT
+    assert ids == lib.encode(t)
+
+
 def test_pieces_on_odd_texts():
     import random
 
