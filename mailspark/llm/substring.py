@@ -20,7 +20,9 @@ predecessor.  In the report over a whole corpus a chain of a single seed, as mos
 screened: the 45 words on either side are compared, by one byte a word, with
 those of the other document up to two places aside, and the chain goes on if
 some 50 words with the seed in them may agree enough.  Chains are then aligned word by word: gaps between seeds by
-edit distance, ends by extension until mismatches outweigh matches.  An
+their longest common subsequence, ends by extension until mismatches outweigh
+matches.  An alignment first sees 48 words of the earlier document on either
+side; where these do not decide its end it is done again with more.  An
 aligned chain of 50 words or more, of which 80% agree, is a repeated passage;
 one that agrees less is cut at its widest gap, and its parts are tried.
 The first document that has it keeps it.
@@ -50,7 +52,7 @@ MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Cost of one word of a gap (of either document), in words matched.
 GAP = 1 / 16
-#: Words around a chain that alignment may extend into.
+#: Words around a chain that its first alignment gets; chains that need more get 64 times as many, again and again.
 MARGIN = 48
 #: An extension ends when mismatches put it this far below its best.
 DROP = 6
@@ -171,52 +173,67 @@ def matches(a: np.ndarray, b: np.ndarray) -> int:
             return same
     if not len(a) or not len(b):
         return 0
-    if len(a) * len(b) > 250_000:                            # a wide gap: its common words in order along the diagonal
-        n = min(len(a), len(b))
-        return int((a[:n] == b[:n]).sum())
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a.tolist():                                     # longest common subsequence, a row at a time
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
-    return int(row[-1])
-
-
-def _run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """(words, matches, score) of the best common beginning of two word rows, word against word."""
+    if len(a) > len(b):
+        a, b = b, a
+    # longest common subsequence by bits: a place of b is 0 where the subsequence of a's beginning grows
+    ones = (1 << len(b)) - 1
+    row = ones
+    for x in a:
+        here = row & int.from_bytes(np.packbits(b == x, bitorder="little").tobytes(), "little")
+        row = (row + here | row - here) & ones
+    return len(b) - row.bit_count()
+
+
+def _run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, bool]:
+    """(words, matches, score) of the best common beginning of two word rows, word against word; whether more of b could tell."""
     n = min(len(a), len(b))
     if not n:
-        return 0, 0, 0
-    same = a[:n] == b[:n]
-    total = np.cumsum(np.where(same, 1, -2))
-    low = np.flatnonzero(np.maximum.accumulate(np.maximum(total, 0)) - total >= DROP)
+        return 0, 0, 0, len(b) < len(a)
+    upto = min(n, 256)
+    while True:                                              # longer stretches only where the first did not end it
+        same = a[:upto] == b[:upto]
+        total = np.cumsum(np.where(same, 1, -2))
+        low = np.flatnonzero(np.maximum.accumulate(np.maximum(total, 0)) - total >= DROP)
+        if len(low) or upto == n:
+            break
+        upto = min(n, upto * 8)
     if len(low):
         total = total[:low[0]]
+    more = not len(low) and len(b) <= len(a)
     if not len(total) or total.max() <= 0:
-        return 0, 0, 0
+        return 0, 0, 0, more
     k = int(total.argmax()) + 1
-    return k, int(same[:k].sum()), int(total[k - 1])
+    return k, int(same[:k].sum()), int(total[k - 1]), more
+
 
+def extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, bool]:
+    """(words of a, words of b, matches) of their best common beginning; up to two words may be left out at a time.
 
-def extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """(words of a, words of b, matches) of their best common beginning; up to two words may be left out at a time."""
+    Last: whether b ended before that was decided.
+    """
     x = y = good = 0
     while True:
-        k, same, _ = _run(a[x:], b[y:])
+        k, same, _, more = _run(a[x:], b[y:])
         x, y, good = x + k, y + k, good + same
         best = (4, 0, 0)                                     # a step aside must gain more
         for i, j in ((0, 1), (1, 0), (1, 1), (0, 2), (2, 0), (1, 2), (2, 1)):
-            gain = _run(a[x + i:], b[y + j:])[2] - i - j
-            if gain > best[0]:
-                best = (gain, i, j)
-        if best[0] == 4:
-            return x, y, good
+            _, _, gain, unsure = _run(a[x + i:], b[y + j:])
+            more |= unsure
+            if gain - i - j > best[0]:
+                best = (gain - i - j, i, j)
+        if best[0] == 4 or more:
+            return x, y, good, more
         x, y = x + best[1], y + best[2]
 
 
 def align(a: np.ndarray, b: np.ndarray, shift: int, xs: np.ndarray, ys: np.ndarray):
-    """(start, stop, other start, other stop, matches) of a chain; b holds the other document's words from ``shift`` on."""
+    """(start, stop, other start, other stop, matches, before, behind) of a chain.
+
+    b holds the other document's words from ``shift`` on; before, behind: whether words ahead of b's or after them are needed.
+    """
     ys = ys - shift
     x, y = int(xs[0]), int(ys[0])
-    back, behind, good = extension(a[:x][::-1], b[:y][::-1])
+    back, behind, good, before = extension(a[:x][::-1], b[:y][::-1])
     start, other = x - back, y - behind
     good += SEED
     x, y = x + SEED, y + SEED
@@ -229,8 +246,8 @@ def align(a: np.ndarray, b: np.ndarray, shift: int, xs: np.ndarray, ys: np.ndarr
         else:                                                # overlaps the seed before
             good += min(nx + SEED - x, ny + SEED - y)
         x, y = nx + SEED, ny + SEED
-    on, beyond, more = extension(a[x:], b[y:])
-    return start, x + on, other + shift, y + beyond + shift, good + more
+    on, beyond, more, after = extension(a[x:], b[y:])
+    return start, x + on, other + shift, y + beyond + shift, good + more, before, after
 
 
 def widened(a: np.ndarray, b: np.ndarray, shift: int, start: int, stop: int, o: int, p: int, good: int):
@@ -401,35 +418,40 @@ def _dealt(chained: DataFrame, *fields: str) -> DataFrame:
             .groupBy("ref", "part").agg(F.collect_list(F.struct(*fields)).alias("chains")))
 
 
-def _cutter(batches):
+def _cutter(margin: int):
     """Rows (ref, text, chains of several documents with it) to a row a chain, with the earlier document's words around it."""
-    for batch in batches:
-        lists = batch.column(batch.schema.get_field_index("chains"))
-        for a, b, texts in text_slices(batch, "text"):
-            number, first, _ = _word_numbers(texts)
-            ids_, refs, xs, ys, frm, words = [], [], [], [], [], []
-            for k in range(a, b):
-                own = number[first[k - a]:first[k - a + 1]]
-                for c in lists[k].as_py():
-                    y = np.frombuffer(c["ys"], "<i4")
-                    lo, hi = max(0, int(y[0]) - MARGIN), int(y[-1]) + SEED + MARGIN
-                    ids_.append(c["id"])
-                    refs.append(k)
-                    xs.append(c["xs"])
-                    ys.append(c["ys"])
-                    frm.append(lo)
-                    words.append(own[lo:hi].tobytes())
-                if len(ids_) >= 500 or k == b - 1:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(ids_, column_ids(batch, "ref").type), column_ids(batch, "ref").take(pa.array(refs, pa.int64())),
-                        pa.array(xs, pa.binary()), pa.array(ys, pa.binary()), pa.array(frm, pa.int32()), pa.array(words, pa.binary())],
-                        ["id", "ref", "xs", "ys", "shift", "words"])
-                    ids_, refs, xs, ys, frm, words = [], [], [], [], [], []
-
-
-def found(number: np.ndarray, rows: list[dict]) -> list[dict]:
-    """Repeated passages of one document, by its word numbers and its chains."""
-    out = []
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("chains"))
+            for a, b, texts in text_slices(batch, "text"):
+                number, first, _ = _word_numbers(texts)
+                ids_, refs, xs, ys, frm, more, words, held = [], [], [], [], [], [], [], 0
+                for k in range(a, b):
+                    own = number[first[k - a]:first[k - a + 1]]
+                    chained = lists[k].as_py()
+                    for n, c in enumerate(chained):
+                        y = np.frombuffer(c["ys"], "<i4")
+                        lo, hi = max(0, int(y[0]) - margin), int(y[-1]) + SEED + margin
+                        ids_.append(c["id"])
+                        refs.append(k)
+                        xs.append(c["xs"])
+                        ys.append(c["ys"])
+                        frm.append(lo)
+                        more.append(hi < len(own))
+                        words.append(own[lo:hi].tobytes())
+                        held += len(words[-1])
+                        if len(ids_) >= 500 or held > 4 << 20 or k == b - 1 and n == len(chained) - 1:
+                            yield pa.RecordBatch.from_arrays([
+                                pa.array(ids_, column_ids(batch, "ref").type), column_ids(batch, "ref").take(pa.array(refs, pa.int64())),
+                                pa.array(xs, pa.binary()), pa.array(ys, pa.binary()), pa.array(frm, pa.int32()), pa.array(more, pa.bool_()),
+                                pa.array(words, pa.binary())], ["id", "ref", "xs", "ys", "shift", "more", "words"])
+                            ids_, refs, xs, ys, frm, more, words, held = [], [], [], [], [], [], [], 0
+    return run
+
+
+def found(number: np.ndarray, rows: list[dict]) -> tuple[list[dict], list[dict]]:
+    """Repeated passages of one document, by its word numbers and its chains; and the chains whose source must be seen further."""
+    out, unsure = [], []
     at: dict[tuple, list[dict]] = {}                         # passages by document and by 64 words
     for c in sorted(rows, key=lambda c: -len(c["xs"])):
         other = np.frombuffer(c["words"], np.uint32)
@@ -446,7 +468,10 @@ def found(number: np.ndarray, rows: list[dict]) -> list[dict]:
             if any(r["start"] <= xs[0] and xs[-1] + SEED <= r["stop"] and r["ref_start"] <= ys[0] and ys[-1] + SEED <= r["ref_stop"]
                    for r in at.get((c["ref"], int(xs[0]) >> 6), ())):
                 continue                                     # within a passage found
-            start, stop, o, p, good = align(number, other, c["shift"], xs, ys)
+            start, stop, o, p, good, before, behind = align(number, other, c["shift"], xs, ys)
+            if before and c["shift"] or behind and c["more"]:
+                unsure.append({"ref": c["ref"], "xs": xs.astype("<i4").tobytes(), "ys": ys.astype("<i4").tobytes()})
+                continue
             if stop - start < MIN_WORDS:
                 start, stop, o, p, good = widened(number, other, c["shift"], start, stop, o, p, good)
             if stop - start < MIN_WORDS:
@@ -458,12 +483,13 @@ def found(number: np.ndarray, rows: list[dict]) -> list[dict]:
             elif len(xs) > 1:
                 k = int((np.diff(xs) + np.diff(ys)).argmax()) + 1
                 tries += [(xs[:k], ys[:k]), (xs[k:], ys[k:])]
-    return sorted(out, key=lambda r: (r["start"], -r["stop"]))
+    return sorted(out, key=lambda r: (r["start"], -r["stop"])), unsure
 
 
 def _aligner(id_type):
     span = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ref", id_type), ("ref_start", pa.int32()),
                       ("ref_stop", pa.int32()), ("n_same", pa.int32())])
+    chain = pa.struct([("ref", id_type), ("xs", pa.binary()), ("ys", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -471,12 +497,12 @@ def _aligner(id_type):
             for a, b, texts in text_slices(batch, "text"):
                 number, first, _ = _word_numbers(texts)
                 got = [found(number[first[k - a]:first[k - a + 1]], lists[k].as_py()) for k in range(a, b)]
-                some = [k for k, g in enumerate(got) if g]
+                some = [k for k, (g, u) in enumerate(got) if g or u]
                 yield pa.RecordBatch.from_arrays([
                     column_ids(batch, "id").slice(a, b - a).take(pa.array(some, pa.int64())),
                     column_ids(batch, "h").slice(a, b - a).take(pa.array(some, pa.int64())),
-                    pa.array(np.diff(first)[some], pa.int64()), pa.array([got[k] for k in some], pa.list_(span))],
-                    ["id", "h", "n_words", "passages"])
+                    pa.array(np.diff(first)[some], pa.int64()), pa.array([got[k][0] for k in some], pa.list_(span)),
+                    pa.array([got[k][1] for k in some], pa.list_(chain))], ["id", "h", "n_words", "passages", "unsure"])
     return run
 
 
@@ -513,12 +539,23 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
         sources = near(docs.select(F.col("id").alias("ref"), "text"), "ref", chained.select("ref").distinct())
     else:
         sources = docs.select(F.col("id").alias("ref"), "text")
-    sides = (_dealt(chained, "id", "xs", "ys").join(sources, "ref").select("ref", "text", "chains")
-             .mapInArrow(_cutter, f"id {kind}, ref {kind}, xs binary, ys binary, shift int, words binary"))
-    each = sides.groupBy("id").agg(F.collect_list(F.struct("ref", "xs", "ys", "shift", "words")).alias("chains"))
-    return staged(each.join(texts, "id").select("id", F.xxhash64("text").alias("h"), "text", "chains").mapInArrow(
-        _aligner(id_type), f"id {kind}, h long, n_words long, passages array<struct<start:int,stop:int,ref:{kind},"
-                           "ref_start:int,ref_stop:int,n_same:int>>"), "passages")
+    margin, out = MARGIN, None
+    while True:
+        sides = (_dealt(chained, "id", "xs", "ys").join(sources, "ref").select("ref", "text", "chains")
+                 .mapInArrow(_cutter(margin), f"id {kind}, ref {kind}, xs binary, ys binary, shift int, more boolean, words binary"))
+        each = sides.groupBy("id").agg(F.collect_list(F.struct("ref", "xs", "ys", "shift", "more", "words")).alias("chains"))
+        got = staged(each.join(texts, "id").select("id", F.xxhash64("text").alias("h"), "text", "chains").mapInArrow(
+            _aligner(id_type), f"id {kind}, h long, n_words long, passages array<struct<start:int,stop:int,ref:{kind},"
+                               f"ref_start:int,ref_stop:int,n_same:int>>, unsure array<struct<ref:{kind},xs:binary,ys:binary>>"), "passages")
+        own = got.filter("size(passages) > 0").drop("unsure")
+        out = own if out is None else out.unionByName(own)
+        chained = got.select("id", F.explode("unsure").alias("c")).select("id", "c.*").distinct()
+        if chained.isEmpty():                                # at the latest when the margin is the longest text
+            break
+        margin *= 64
+    if margin > MARGIN:
+        out = out.groupBy("id", "h", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("passages"))).alias("passages"))
+    return out
 
 
 def report(docs: DataFrame) -> DataFrame:
