@@ -95,6 +95,21 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, ro
         start = stop
 
 
+def kept_rows(df: DataFrame, column: str, judge) -> DataFrame:
+    """The rows of ``df`` that ``judge`` keeps, each by its own text: no join, so null and repeated ids are rows like any other.
+
+    judge: called once a task, gives a function from an Arrow array of texts (null: empty) to a bool a text.
+    """
+    prepare(df.sparkSession)
+
+    def run(batches):
+        keep = judge()
+        for batch in batches:
+            for a, b, texts in text_slices(batch, column):
+                yield batch.slice(a, b - a).filter(pa.array(keep(texts), pa.bool_()))
+    return df.mapInArrow(run, df.schema)
+
+
 def merged(batches, limit: int):
     """Arrow batches joined until they hold about ``limit`` bytes."""
     held, size = [], 0

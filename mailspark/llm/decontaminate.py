@@ -14,7 +14,7 @@ what a task holds.  What several passes found is joined by id and text, and
 as many rows come out as went in.
 
 Cases: null and empty texts have no words and are not contaminated; repeated
-rows are answered row by row; a null id is kept; an item without an id is searched
+rows are answered (and dropped by ``clean``) row by row; a null id is kept; an item without an id is searched
 like any other but has no place in the list of items; an empty benchmark leaves all
 documents clean; extra columns are not read.
 """
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import ids, prepare, text_slices
+from .base import ids, kept_rows, prepare, text_slices
 from .words import Words
 
 WINDOW = 10
@@ -249,10 +249,21 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     (hits > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; a null id is matched as itself."""
-    bad = find(docs, benchmark).filter(F.size("spans") > 0).select(F.col("id").alias("_llm_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_llm_bad_id"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window; every row is judged by its own text, whatever its id.
+
+    The benchmark's blocks filter one after another within one scan: no join, no shuffle.
+    """
+    spark = prepare(docs.sparkSession)
+
+    def judge(tests):
+        def start():
+            t = TestStrings(tests.value)
+            return lambda texts: [not s for s in scan(texts, t)[1]]
+        return start
+    for rows in _blocks(benchmark, item_col, item_text_col):
+        docs = kept_rows(docs, "text", judge(spark.sparkContext.broadcast(rows)))
+    return docs
 
 
 def items_digest(items: list[str]) -> str:

@@ -23,8 +23,8 @@ its pairs, and no link between components is lost.
 
 Cases: null and empty texts, or texts without words, are classes of their own;
 texts of one to four words are one shingle; rows that repeat a doc_id give one row
-(should their texts differ, a link of any of them counts); rows with a null id are not documents; an empty table gives
-an empty result; other columns are not read.
+(should their texts differ, a link of any of them counts); rows with a null id are not documents (``deduplicated``
+judges both row by row); an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -278,6 +278,18 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class; rows with a null id stay."""
-    drop = classes(docs).filter(~F.col("kept")).select(F.col("id").alias("_llm_copy_id"))
-    return docs.join(drop, docs["doc_id"] == drop["_llm_copy_id"], "left_anti")
+    """``docs`` with one row of each class.
+
+    Where ids are null or repeat, a document is an id and a text: of rows equal in both one stays, and rows that
+    share only the id are judged by their own texts.
+    """
+    unsure = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if unsure.isEmpty():
+        drop = classes(docs).filter(~F.col("kept")).select(F.col("id").alias("_llm_copy_id"))
+        return docs.join(drop, docs["doc_id"] == drop["_llm_copy_id"], "left_anti")
+    # ids of one width, in their order; two hashes of the text
+    own = F.col("doc_id").cast("string")
+    key = F.concat_ws(":", F.lpad(own, F.greatest(F.length(own), F.lit(20)), F.lit("0")), F.hex(F.xxhash64("text")), F.hex(F.hash("text")))
+    rows = staged(docs.withColumn("_llm_key", key).dropDuplicates(["_llm_key"]), "documents")
+    drop = classes(rows, "_llm_key").filter(~F.col("kept")).select(F.col("id").alias("_llm_copy"))
+    return rows.join(drop, F.col("_llm_key") == F.col("_llm_copy"), "left_anti").drop("_llm_key")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import ids as column_ids
-from .base import mix, prepare, text_slices
+from .base import kept_rows, mix, prepare, text_slices
 from .words import IS_SPACE, Words
 
 #: Labelled documents of each class that training reads at most.
@@ -177,7 +177,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that the classifier rejects; rows with a null id stay."""
-    bad = (score(docs, fit(docs, labels)).groupBy("id").agg(F.max("score").alias("score"))
-           .filter((F.col("score") < THRESHOLD) & F.col("id").isNotNull()).select(F.col("id").alias("_llm_bad_id")))
-    return docs.join(bad, docs["doc_id"] == bad["_llm_bad_id"], "left_anti")
+    """``docs`` without the rows that the classifier rejects; every row is judged by its own text, whatever its id."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))   # BUCKETS numbers
+    return kept_rows(docs, "text", lambda: lambda texts: sent.value.score(texts) >= THRESHOLD)
