@@ -161,7 +161,7 @@ class PieceModel:
         n = len(text)
         pieces, fits, longest, most = self.id_of, self.fits, self.automaton.longest_prefix, self.most
         out: list[str] = []
-        failed = bytearray((n >> 3) + 1)                     # bit field of positions
+        failed = bytearray(n + 1)                            # field of positions, a byte each
         pos, last = 0, ""
         size = longest(text[:most])                          # no piece from here is longer
         while pos < n:
@@ -169,7 +169,7 @@ class PieceModel:
                 piece = text[pos:pos + size]
                 end = pos + size
                 size -= 1
-                if piece not in pieces or failed[end >> 3] >> (end & 7) & 1:
+                if piece not in pieces or failed[end]:
                     continue
                 ok = fits.get((last, piece))
                 if ok or ok is None and self.compatible(last, piece):
@@ -178,7 +178,7 @@ class PieceModel:
                     size = longest(text[pos:pos + most]) if pos < n else 0
                     break
             else:
-                failed[pos >> 3] |= 1 << (pos & 7)
+                failed[pos] = 1
                 out.pop()                                    # position 0 cannot fail: the merged segmentation exists
                 pos -= len(last)
                 size = len(last) - 1
