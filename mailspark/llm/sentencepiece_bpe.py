@@ -6,7 +6,7 @@ merging their joined text anew gives just these two.  So: take the longest
 piece at a position (an Aho-Corasick automaton lists all matches); if it is
 not compatible with the piece before it, or ends at a position known to fail,
 take the next shorter one; if none is left, mark the position as failed in a
-bit field, drop the last piece and go on from there.
+field of failed positions, drop the last piece and go on from there.
 
 No piece of such a model holds a character pair that its vocabulary lacks, so
 a text is cut where no piece can reach across, and each distinct stretch is
