@@ -6,7 +6,7 @@ merging their joined text anew gives just these two.  So: take the longest
 piece at a position (an Aho-Corasick automaton lists all matches); if it is
 not compatible with the piece before it, or ends at a position known to fail,
 take the next shorter one; if none is left, mark the position as failed in a
-field of failed positions, drop the last piece and go on from there.
+bit field of failed positions, drop the last piece and go on from there.
 
 No piece of such a model holds a character pair that its vocabulary lacks, so
 a text is cut where no piece can reach across, and each distinct stretch is
@@ -69,11 +69,20 @@ class PieceModel:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.most = max(map(len, self.id_of))                # no piece is longer
+        # the longest piece that begins each prefix of a piece ("" if none does), and the next shorter one of each piece
+        self.within = {"": ""}
+        for size in range(1, self.most + 1):
+            for p in self.id_of:
+                if len(p) >= size:
+                    self.within[p[:size]] = p[:size] if p[:size] in self.id_of else self.within[p[:size - 1]]
+        self.shorter = {p: self.within[p[:-1]] for p in self.id_of}
         self.pairs = {(a, b) for p in self.id_of for a, b in zip(p, p[1:])}
         seen: dict[float, str] = {}
         self.tied = {q for p, s in self.score.items() if len(p) > 1 for q in (p, seen.setdefault(s, p)) if q != p or seen[s] != p}
         self.tied_pairs = {p[i:i + 2] for p in self.tied for i in range(len(p) - 1)}
-        self.inner = {c for p in self.id_of for c in p} - self.id_of.keys()
+        inner = {c for p in self.id_of for c in p} - self.id_of.keys()
+        # equal scores may compete in a text, or a character of it is a piece only within longer ones
+        self.special = re.compile("|".join(map(re.escape, sorted(self.tied_pairs | inner))) or "(?!)").search
         # words between spaces and line ends may be looked up at once if no piece reaches across
         across = any(a != SPACE and b == SPACE or "\n" in (a, b) for a, b in self.pairs)
         self.groups = None if across else re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+").findall
@@ -81,7 +90,8 @@ class PieceModel:
         self.older: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self.borders: dict[str, object] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[str, dict[str, bool]] = {}            # by the left piece
+        self.n_fits = 0
 
     def merge(self, text: str, trace: list | None = None) -> list[str]:
         """The model's own merges: best score first, leftmost among equals; trace gets (score, place) of each."""
@@ -126,9 +136,11 @@ class PieceModel:
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether the joined text of two pieces merges to these two (left may be empty)."""
-        if len(self.fits) >= CACHE:
+        if self.n_fits >= CACHE:
             self.fits.clear()
-        fits = self.fits[left, right] = self.remerged(left, right)
+            self.n_fits = 0
+        fits = self.fits.setdefault(left, {})[right] = self.remerged(left, right)
+        self.n_fits += 1
         return fits
 
     def remerged(self, left: str, right: str) -> bool:
@@ -159,29 +171,31 @@ class PieceModel:
     def segment(self, text: str) -> list[str]:
         """Backtracking over the pieces that begin at each position, longest first; every character is a piece."""
         n = len(text)
-        pieces, fits, longest, most = self.id_of, self.fits, self.automaton.longest_prefix, self.most
+        fits, longest, most, within, shorter = self.fits, self.automaton.longest_prefix, self.most, self.within, self.shorter
         out: list[str] = []
-        failed = bytearray(n + 1)                            # field of positions, a byte each
+        failed, any_failed = bytearray((n >> 3) + 1), False  # bit field of positions
         pos, last = 0, ""
-        size = longest(text[:most])                          # no piece from here is longer
+        piece = within[text[:longest(text[:most])]]          # no piece from here is longer
         while pos < n:
-            while size:
-                piece = text[pos:pos + size]
-                end = pos + size
-                size -= 1
-                if piece not in pieces or failed[end]:
-                    continue
-                ok = fits.get((last, piece))
-                if ok or ok is None and self.compatible(last, piece):
-                    out.append(piece)
-                    pos, last = end, piece
-                    size = longest(text[pos:pos + most]) if pos < n else 0
-                    break
+            known = fits.get(last, {})
+            while piece:
+                end = pos + len(piece)
+                if not (any_failed and failed[end >> 3] >> (end & 7) & 1):
+                    ok = known.get(piece)
+                    if ok or ok is None and self.compatible(last, piece):
+                        break
+                piece = shorter[piece]
+            if piece:
+                out.append(piece)
+                pos, last = end, piece
+                if pos < n:
+                    piece = within[text[pos:pos + longest(text[pos:pos + most])]]
             else:
-                failed[pos] = 1
+                failed[pos >> 3] |= 1 << (pos & 7)
+                any_failed = True
                 out.pop()                                    # position 0 cannot fail: the merged segmentation exists
                 pos -= len(last)
-                size = len(last) - 1
+                piece = shorter[last]
                 last = out[-1] if out else ""
         return out
 
@@ -194,15 +208,14 @@ class PieceModel:
                 pieces = self.runs(text) if self.special(text) else self.segment(text)
             else:
                 pieces = [text]
-            got = tuple(chain.from_iterable(map(self.piece_ids, pieces)))
+            try:
+                got = tuple(map(self.id_of.__getitem__, pieces))
+            except KeyError:                                 # a character without a piece
+                got = tuple(chain.from_iterable(map(self.piece_ids, pieces)))
             if len(text) <= KEPT:
                 self.parts[text] = got
         return got
 
-    def special(self, text: str) -> bool:
-        """Equal scores may compete in the text, or a character of it is a piece only within longer ones."""
-        return (any(p in text for p in self.tied_pairs) or not self.inner.isdisjoint(text))
-
     def runs(self, text: str) -> list[str]:
         """Merges in the model's order by a heap: for stretches where equal scores compete."""
         import heapq
@@ -246,9 +259,9 @@ class PieceModel:
     def group(self, text: str) -> tuple[int, ...]:
         """Ids of a stretch: cut where no piece holds the two characters."""
         pairs = self.pairs
-        cuts = [i for i, p in enumerate(zip(text, text[1:]), 1) if p not in pairs]
-        if not cuts:
+        if pairs.issuperset(zip(text, text[1:])):
             return self.part(text)
+        cuts = [i for i, p in enumerate(zip(text, text[1:]), 1) if p not in pairs]
         cuts = [0, *cuts, len(text)]
         return tuple(chain.from_iterable(self.part(text[a:b]) for a, b in zip(cuts, cuts[1:])))
 
@@ -258,19 +271,16 @@ class PieceModel:
         text = SPACE + text.replace(" ", SPACE)
         known = self.known
         groups = self.groups(text) if self.groups else [text]
-        try:
-            return list(chain.from_iterable(map(known.__getitem__, groups)))
-        except KeyError:
-            pass
-        if len(known) >= CACHE:                              # the older generation goes, its words in use come along
+        new = set(groups).difference(known)
+        if new and len(known) >= CACHE:                              # the older generation goes, its words in use come along
             self.older, self.known = known, {}
             known = self.known
+            new = set(groups)
         older, long = self.older, []
-        for g in groups:
-            if g not in known:
-                known[g] = older[g] if g in older else self.group(g)
-                if len(g) > KEPT:
-                    long.append(g)
+        for g in new:
+            known[g] = older[g] if g in older else self.group(g)
+            if len(g) > KEPT:
+                long.append(g)
         ids = list(chain.from_iterable(map(known.__getitem__, groups)))
         for g in long:
             del known[g]
