@@ -2,9 +2,11 @@
 
 The index is a plain DataFrame of postings ``(field, token, <key>, tf)``:
 text is lower-cased, stripped of the marks of Latin letters and split on runs
-of non letter/number characters (as the reference's default tokenizer does).  Postings are
-aggregated with the document key in the group key, so a very common token
-never becomes one hot group.  ``StoredIndex`` keeps the postings in blocks: a
+of non letter/number characters (as the reference's default tokenizer does).  The rows of
+a key meet in one task, which counts their tokens and packs the postings of
+some hundred thousand at a time into lists: a row a field and token.  Only
+these rows are shuffled and sorted when an index is stored, and no token is a
+hot group.  ``StoredIndex`` keeps the lists in blocks: a
 folder an addition, in it a folder a bucket of tokens, sorted by token inside
 each file.  A lookup reads its tokens' buckets only, and of them the row groups
 that hold them; more mail adds blocks and leaves the others as they are, and
@@ -18,13 +20,18 @@ scan, so a stored index is read only where those tokens live.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import uuid
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from ..util import names
+from ..util import names, ship_package
 
 TOKEN_SPLIT = "[^\\p{L}\\p{N}]+"
 # Indexed message fields.
@@ -54,13 +61,136 @@ def tokens(c):
     return F.filter(F.split(fold(c), TOKEN_SPLIT, -1), lambda t: t != "")
 
 
-def build_index(df: DataFrame, key, fields: list[str] | None = None) -> DataFrame:
-    """Postings (field, token, key, tf) over the given text fields (one pass)."""
-    fields = [f for f in (fields or INDEX_FIELDS) if f in df.columns]
-    per_field = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in fields])
-    x = (df.select(*names(key), F.explode(per_field).alias("fv"))
-           .select(*names(key), F.col("fv.field").alias("field"), F.explode("fv.toks").alias("token")))
-    return x.groupBy("field", "token", *names(key)).agg(F.count(F.lit(1)).alias("tf"))
+#: Runs of letters and numbers: \p{L} and \p{N} are what Python's \w takes beside the underscore.
+WORD = re.compile(r"[^\W_]+")
+
+
+#: What ``fold`` does to a lower-cased token.
+FOLDED = str.maketrans(MARKED, PLAIN)
+_MARKS = re.compile("[\u0300-\u036f]+")
+#: Postings that are packed into lists at once.
+PACKED = 1 << 18
+
+
+class _Numbers(dict):
+    """Number of each token's folded form, counted up as they come."""
+
+    def __init__(self):
+        super().__init__()
+        self.folded: dict[str, int] = {}
+
+    def __missing__(self, raw: str) -> int:
+        token = raw if raw.isascii() else raw.translate(FOLDED)
+        n = self[raw] = self.folded.setdefault(token, len(self.folded))
+        return n
+
+
+class _Postings:
+    """The postings of some keys: token numbers with the field in them, places of the keys, counts."""
+
+    def __init__(self, fields: list[str], schema: pa.Schema):
+        self.fields, self.schema = fields, schema
+        self._start()
+
+    def _start(self):
+        self.numbers, self.keys = _Numbers(), []
+        self.codes, self.tf, self.sizes, self.owner = [], [], [], []
+
+    def add(self, texts: list[bytes | None]) -> None:
+        """The texts of a row of the last key."""
+        for f, raw in enumerate(texts):
+            if raw:
+                text = raw.decode("utf-8", "replace").lower()
+                found = Counter(WORD.findall(text if text.isascii() else _MARKS.sub("", text)))
+                self.codes.append(np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found)) * len(self.fields) + f)
+                self.tf.append(np.fromiter(found.values(), np.int64, len(found)))
+                self.owner.append(len(self.keys) - 1)
+                self.sizes.append(len(found))
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code, key, count) in order of code, each code and key once."""
+        if not self.codes:
+            return (np.zeros(0, np.int64),) * 3
+        code, tf, key = np.concatenate(self.codes), np.concatenate(self.tf), np.repeat(self.owner, self.sizes)
+        order = np.argsort(code, kind="stable")              # keys ascend within a code
+        code, tf, key = code[order], tf[order], key[order]
+        first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (key[1:] != key[:-1])][:len(code)])
+        return code[first], key[first], np.add.reduceat(tf, first) if len(first) else tf
+
+    def shorten(self) -> int:
+        """Sum the counts held, as one key's rows may be many; how many are left."""
+        code, key, tf = self.summed()
+        self.codes, self.tf, self.sizes, self.owner = [code], [tf], [1] * len(code), key.tolist()
+        return len(code)
+
+    def packed(self) -> pa.RecordBatch:
+        """A row a field and token, with lists of its keys and counts; empty again."""
+        code, key, tf = self.summed()
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][:len(code)])
+        offsets = pa.array(np.r_[first, len(code)], pa.int32())
+        number, field = np.divmod(code[first], len(self.fields))
+        place = pa.array(key)
+        columns = [pa.array(self.fields).take(pa.array(field)), pa.array(list(self.numbers.folded), pa.string()).take(pa.array(number))]
+        for i, f in enumerate(self.schema):
+            if i >= 2:
+                own = pa.array(tf) if i + 1 == len(self.schema) else pa.array([k[i - 2] for k in self.keys], f.type.value_type).take(place)
+                columns.append(pa.ListArray.from_arrays(offsets, own))
+        self._start()
+        return pa.RecordBatch.from_arrays(columns, names=self.schema.names)
+
+
+def _packer(fields: list[str], n_key: int, schema: pa.Schema):
+    """Rows (key, texts) in order of key to packed postings."""
+    def run(batches):
+        held, most = _Postings(fields, schema), PACKED
+        last, count = None, 0
+        for batch in batches:
+            own = list(zip(*(batch.column(i).to_pylist() for i in range(n_key))))
+            texts = zip(*(batch.column(n_key + i).cast(pa.binary()).to_pylist() for i in range(len(fields))))
+            for key, row in zip(own, texts):
+                if key != last or not held.keys:
+                    if count >= most:
+                        yield from _slices(held.packed())
+                        count, most = 0, PACKED
+                    held.keys.append(key)
+                    last = key
+                before = len(held.sizes)
+                held.add(row)
+                count += sum(held.sizes[before:])
+                if count >= 2 * most:
+                    count = held.shorten()
+                    most = max(PACKED, count)
+        yield from _slices(held.packed())
+    return run
+
+
+def _slices(batch: pa.RecordBatch, rows: int = 10000):
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
+def build_index(df: DataFrame, key, fields: list[str] | None = None, packed: bool = False) -> DataFrame:
+    """Postings (field, token, key, tf) over the given text fields (one pass).
+
+    packed: as ``StoredIndex`` keeps them, the key's columns and tf as lists; a field and token may have several rows.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ship_package(df.sparkSession)
+    key, fields = names(key), [f for f in (fields or INDEX_FIELDS) if f in df.columns]
+    own = df.select(*key, *[F.col(f).cast("string").alias(f"_text{i}") for i, f in enumerate(fields)])
+    schema = T.StructType([T.StructField("field", T.StringType()), T.StructField("token", T.StringType()),
+                           *[T.StructField(k, T.ArrayType(own.schema[k].dataType)) for k in key],
+                           T.StructField("tf", T.ArrayType(T.LongType()))])
+    out = own.repartition(*key).sortWithinPartitions(*key).mapInArrow(_packer(fields, len(key), to_arrow_schema(schema)), schema)
+    return out if packed else _unpacked(out)
+
+
+def _unpacked(postings: DataFrame) -> DataFrame:
+    lists = postings.columns[2:]
+    one = postings.select("field", "token", F.explode(F.arrays_zip(*lists)).alias("_p"))
+    return one.select("field", "token", *[F.col("_p")[c].alias(c) for c in lists])
 
 
 class StoredIndex:
@@ -98,12 +228,12 @@ class StoredIndex:
         return F.pmod(F.xxhash64(token), F.lit(cls.BUCKETS)).cast("int")
 
     def _write(self, postings: DataFrame, name: str) -> None:
-        # a bucket is as many tasks as its rows need: a common token's postings are dealt by their keys
         rest = [c for c in postings.columns if c not in ("field", "token", "tf")]
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        (postings.withColumn("bucket", self.bucket(F.col("token")))
-         .repartition("bucket", F.pmod(F.xxhash64(*rest), F.lit(max(1, n // self.BUCKETS))))
-         .sortWithinPartitions("bucket", "token", *rest).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}"))
+        if not isinstance(postings.schema["tf"].dataType, ArrayType):
+            postings = postings.select("field", "token", *[F.array(c).alias(c) for c in (*rest, "tf")])
+        # tasks of about the same size, however many rows a bucket or a token has
+        (postings.withColumn("bucket", self.bucket(F.col("token"))).hint("rebalance", "bucket")
+         .sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}"))
 
     def add(self, postings: DataFrame, name: str | None = None) -> None:
         """Add the postings of new mail; an addition of the same name is written again."""
@@ -136,7 +266,7 @@ class StoredIndex:
     def postings(self, toks: list[str]) -> DataFrame:
         """Postings of some tokens: their buckets of each addition, pruned by name."""
         own = self._read(self.additions())
-        return own.where(F.col("token").isin(toks) & F.col("bucket").isin([self.bucket(F.lit(t)) for t in toks])).drop("bucket")
+        return _unpacked(own.where(F.col("token").isin(toks) & F.col("bucket").isin([self.bucket(F.lit(t)) for t in toks])).drop("bucket"))
 
 
 def query_tokens(query: str) -> list[str]:

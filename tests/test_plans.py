@@ -131,3 +131,20 @@ def test_more_mail_adds_blocks_only(spark, monkeypatch):
     assert [n[0] for n in index.additions()] == ["1"]
     assert found(index) == found(SE.build_index(docs.where(F.col("doc_id") % 5 < 4), "doc_id", ["text"]))
     assert SE.search_keys(index, " ?! ", "doc_id").count() == 0
+
+
+def test_an_index_counts_the_rows_of_a_key_together_and_stores_lists(spark, monkeypatch):
+    """Postings equal those of the column functions, also where keys repeat or are null; a stored row holds many."""
+    from mailspark.operators import search as SE
+    monkeypatch.setattr(SE, "PACKED", 40)
+    rows = [(k, t) for k in (None, 1, 2, 3) for t in ("År år år Ó_b a2½ 中文", "", None, "the THE of", " ́ ")] * 3
+    df = spark.createDataFrame(rows + [(n, f"the of w{n}") for n in range(4, 60)], "k long, text string")
+    plain = (df.select("k", F.explode(SE.tokens(F.col("text"))).alias("token")).groupBy("token", "k").agg(F.count("*").alias("tf")))
+    index = SE.build_index(df, "k", ["text"])
+    assert sorted(map(repr, index.select("token", "k", "tf").collect())) == sorted(map(repr, plain.collect()))
+    packed = SE.build_index(df, "k", ["text"], packed=True)
+    assert dict(packed.dtypes)["k"] == "array<bigint>" and packed.count() < index.count()
+    stored = SE.StoredIndex(spark, tempfile.mkdtemp(prefix="idx-") + "/index")
+    stored.add(packed, "all")
+    assert sorted(map(repr, stored.postings(["the", "ar"]).select("token", "k", "tf").collect())) == \
+        sorted(map(repr, plain.where("token in ('the', 'ar')").collect()))
