@@ -25,8 +25,8 @@ from ..util import col, ship_package
 # Python's whitespace (str.isspace) as a Java character class body, without and with '\n'.
 _WS_NO_NL = "\\t\\x0B\\f\\r \\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 _WS = "\\n" + _WS_NO_NL
-# str.splitlines boundaries ('\r\n' first).
-LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
+# str.splitlines boundaries, '\r\n' as one; begins with the character class, so that a place without a break fails at once.
+LINE_BREAK = "[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029](?:(?<=\\r)\\n)?"
 
 # Injection markers and redaction texts.
 INJECTION_PREFIXES = ["Ignore", "System:", "Assistant:", "You are", "INST"]
@@ -91,8 +91,7 @@ _REDACT_RE = ("(?m)^(?:[" + _WS_NO_NL + "]*(?:" + "|".join(re.escape(p) for p in
 
 def normalize_lines(c) -> Column:
     """``'\n'.join(text.splitlines())``: every line break becomes '\n', one trailing break dropped."""
-    t = F.regexp_replace(col(c), f"(?:{LINE_BREAK})\\z", "")
-    return F.regexp_replace(t, LINE_BREAK, "\n")
+    return F.regexp_replace(F.regexp_replace(col(c), LINE_BREAK, "\n"), "\n\\z", "")
 
 
 def redact_injection(c) -> Column:
@@ -161,7 +160,8 @@ LABELS = ("keep", "delete", "uncertain")
 
 
 def _parse(text: Column) -> Column:
-    return F.from_json(text, _RESP_SCHEMA, _JSON_OPTS)
+    # what is no object cannot be read as one; the parser's exception a row would cost more than all else
+    return F.when(text.startswith("{"), F.from_json(text, _RESP_SCHEMA, _JSON_OPTS))
 
 
 def _ok(parsed: Column) -> Column:

@@ -110,3 +110,19 @@ def test_body_preview(spark):
     rows = df.select(p.alias("p"), tr.alias("tr")).collect()
     assert len(rows[0]["p"]) == 400 and rows[0]["tr"] is True
     assert rows[1]["p"] == "short" and rows[1]["tr"] is False
+
+
+def test_line_breaks_are_those_of_splitlines(spark):
+    """One look a place: '\\r\\n' is one break, one trailing break goes; the pattern begins with its characters."""
+    from mailspark.functions import text as TX
+    assert TX.LINE_BREAK.startswith("[")
+    texts = ["", "a", "a\n", "a\r\n", "a\n\r\n", "\r\n\r\n", "\n\r", "a\r\rb\n\n", "a\x0bb\x0c\x1c\x1d\x1e\x85c\u2028\u2029", "\r\n x\r", "\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(TX.normalize_lines("t")).collect()] == ["\n".join(t.splitlines()) for t in texts]
+
+
+def test_only_objects_go_to_the_json_parser(spark):
+    texts = ["I cannot decide.", "", "null", "3", '[{"label": "keep"}]', '"{"', ' {"label": "Keep", "confidence": 0.9, "reason": "r"} x', "{", '{"label": "keep}', None]
+    df = TX.parse_label_responses(spark.createDataFrame([(t,) for t in texts], "raw_response string"))
+    assert [(r["label"], r["error"] is None) for r in df.collect()] == [("keep", True) if "K" in (t or "") or t == '{"label": "keep}' else ("uncertain", False) for t in texts]
+    assert "StartsWith" in df._jdf.queryExecution().optimizedPlan().toString() or "LIKE" in df._jdf.queryExecution().optimizedPlan().toString()
