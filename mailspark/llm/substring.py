@@ -206,6 +206,39 @@ def _run(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, bool]:
     return k, int(same[:k].sum()), int(total[k - 1]), more
 
 
+def _runs_of(a, b, p, q, la, lb, step, limit=1 << 14):
+    """``_run`` of many word rows at once: those of a and b from p and q on (step -1: backwards), of la and lb words.
+
+    Last: whether the first ``limit`` words do not decide it.
+    """
+    la, lb = np.maximum(la, 0), np.maximum(lb, 0)
+    most = np.minimum(la, lb)
+    n = np.minimum(most, limit)
+    col = np.arange(max(int(n.max(initial=0)), 1))
+    inside = col < n[:, None]
+    if len(a) and len(b):
+        same = np.take(a, p[:, None] + step * col, mode="clip") == np.take(b, q[:, None] + step * col, mode="clip")
+    else:
+        same = np.zeros(inside.shape, bool)
+    total = np.cumsum(same * np.int16(3) - np.int16(2), axis=1, dtype=np.int16)
+    low = (np.maximum(np.maximum.accumulate(total, axis=1), 0) - total >= DROP) & inside
+    ended = low.any(axis=1)
+    undecided = ~ended & (n < most)
+    n = np.where(ended, low.argmax(axis=1), n)
+    total[col >= n[:, None]] = -1
+    k = total.argmax(axis=1)
+    score = total[np.arange(len(k)), k].astype(np.int64)
+    good = score > 0
+    k = np.where(good, k + 1, 0)
+    # each match counts 1, each other word -2
+    return k, np.where(good, (score + 2 * k) // 3, 0), np.where(good, score, 0), ~ended & (lb <= la) & (la > 0), undecided
+
+
+#: Words that an extension leaves out of either row in a step aside, and words after them that are looked at first.
+STEPS = np.array([(0, 1), (1, 0), (1, 1), (0, 2), (2, 0), (1, 2), (2, 1)])
+NEARBY = 64
+
+
 def extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, bool]:
     """(words of a, words of b, matches) of their best common beginning; up to two words may be left out at a time.
 
@@ -215,10 +248,14 @@ def extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, bool]:
     while True:
         k, same, _, more = _run(a[x:], b[y:])
         x, y, good = x + k, y + k, good + same
+        if more:
+            return x, y, good, True
         best = (4, 0, 0)                                     # a step aside must gain more
-        for i, j in ((0, 1), (1, 0), (1, 1), (0, 2), (2, 0), (1, 2), (2, 1)):
-            _, _, gain, unsure = _run(a[x + i:], b[y + j:])
-            more |= unsure
+        _, _, gains, unsure, undecided = _runs_of(a, b, x + STEPS[:, 0], y + STEPS[:, 1], len(a) - x - STEPS[:, 0], len(b) - y - STEPS[:, 1], 1, NEARBY)
+        for (i, j), gain, open_, far in zip(STEPS.tolist(), gains.tolist(), unsure.tolist(), undecided.tolist()):
+            if far:
+                _, _, gain, open_ = _run(a[x + i:], b[y + j:])
+            more |= open_
             if gain - i - j > best[0]:
                 best = (gain - i - j, i, j)
         if best[0] == 4 or more:
@@ -226,27 +263,53 @@ def extension(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, bool]:
         x, y = x + best[1], y + best[2]
 
 
-def align(a: np.ndarray, b: np.ndarray, shift: int, xs: np.ndarray, ys: np.ndarray):
+def extensions(a, b, p, q, la, lb, step):
+    """``extension`` of many word rows at once, given as for ``_runs_of``: words of a, of b, matches, and whether b ended before that was decided."""
+    x, y, good = (np.zeros(len(p), np.int64) for _ in range(3))
+    open_ = np.zeros(len(p), bool)
+    left = np.arange(len(p))
+    while len(left):
+        def run(i, j):
+            u, v = x[left] + i, y[left] + j
+            return _runs_of(a, b, p[left] + step * u, q[left] + step * v, la[left] - u, lb[left] - v, step)
+        k, same, _, more, _ = run(0, 0)
+        x[left] += k
+        y[left] += k
+        good[left] += same
+        open_[left[more]] = True                             # it ends here, whatever steps aside may gain
+        left = left[~more]
+        best, di, dj, unsure = np.full(len(left), 4), np.zeros(len(left), np.int64), np.zeros(len(left), np.int64), np.zeros(len(left), bool)
+        for i, j in STEPS.tolist():
+            _, _, gain, more, _ = run(i, j)
+            unsure |= more
+            better = gain - i - j > best
+            best, di, dj = np.where(better, gain - i - j, best), np.where(better, i, di), np.where(better, j, dj)
+        open_[left[unsure]] = True
+        on = (best > 4) & ~unsure
+        left = left[on]
+        x[left] += di[on]
+        y[left] += dj[on]
+    return x, y, good, open_
+
+
+def align(a: np.ndarray, b: np.ndarray, shift: int, xs: np.ndarray, ys: np.ndarray, ends=None):
     """(start, stop, other start, other stop, matches, before, behind) of a chain.
 
     b holds the other document's words from ``shift`` on; before, behind: whether words ahead of b's or after them are needed.
+    ends: words of either document and matches before the first seed and after the last, where they are known and decided.
     """
     ys = ys - shift
     x, y = int(xs[0]), int(ys[0])
-    back, behind, good, before = extension(a[:x][::-1], b[:y][::-1])
+    back, behind, good, before = (*ends[:3], False) if ends else extension(a[:x][::-1], b[:y][::-1])
     start, other = x - back, y - behind
     good += SEED
-    x, y = x + SEED, y + SEED
-    for i in range(1, len(xs)):
-        nx, ny = int(xs[i]), int(ys[i])
-        if nx >= x and ny >= y:
-            if nx > x or ny > y:
-                good += matches(a[x:nx], b[y:ny])
-            good += SEED
-        else:                                                # overlaps the seed before
-            good += min(nx + SEED - x, ny + SEED - y)
-        x, y = nx + SEED, ny + SEED
-    on, beyond, more, after = extension(a[x:], b[y:])
+    if len(xs) > 1:
+        dx, dy = np.diff(xs), np.diff(ys)
+        good += int(np.minimum(np.minimum(dx, dy), SEED).sum())       # a seed that overlaps the one before adds the words that it goes on
+        for i in np.flatnonzero((np.minimum(dx, dy) >= SEED) & (np.maximum(dx, dy) > SEED)).tolist():
+            good += matches(a[xs[i] + SEED:xs[i + 1]], b[ys[i] + SEED:ys[i + 1]])
+    x, y = int(xs[-1]) + SEED, int(ys[-1]) + SEED
+    on, beyond, more, after = (*ends[3:6], False) if ends else extension(a[x:], b[y:])
     return start, x + on, other + shift, y + beyond + shift, good + more, before, after
 
 
@@ -297,32 +360,71 @@ def _matches(own: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return hits.select("id", "ref", F.col("place").alias("x"), "y"), held
 
 
+#: Chains of one document with another: how many seeds each has, and all their places (little-endian 32-bit numbers).
+PAIR = "id {0}, ref {0}, ns binary, xs binary, ys binary"
+
+
+def _bytes(values) -> bytes:
+    return np.asarray(values, "<i4").tobytes()
+
+
+def _binaries(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Binaries of the next ``size`` values (or rows of values) each."""
+    offsets = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size * (values.nbytes // max(len(values), 1)), out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _ints(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of an array of binaries of 32-bit numbers, and how many each row has."""
+    arr = pc.fill_null(arr, b"")
+    size = pc.binary_length(arr).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    return np.frombuffer(b"".join(arr.to_pylist()), "<i4").astype(np.int64), size
+
+
 def _chainer(id_type):
-    """Rows (id, ref, x, y) in order of (id, ref, x) to rows of chains."""
+    """Rows (id, ref, x, y) in order of (id, ref, x, y) to a row a pair (id, ref) with its chains of one seed, and one with its others."""
     def flush(key, xs, ys, out):
-        for cx, cy in chains(xs, ys):
-            out.append((key[0], key[1], len(cx), cx[0], cy[0], np.array(cx, "<i4").tobytes(), np.array(cy, "<i4").tobytes()))
+        got = chains(xs, ys)
+        for alone in (False, True):
+            if some := [c for c in got if (len(c[0]) == 1) == alone]:
+                out.append((*key, alone, _bytes([len(cx) for cx, _ in some]), _bytes([x for cx, _ in some for x in cx]),
+                            _bytes([y for _, cy in some for y in cy])))
 
     def table(out):
-        cols = list(zip(*out)) or [()] * 7
-        kinds = (id_type, id_type, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "ref", "n", "x", "y", "xs", "ys"])
+        cols = list(zip(*out)) or [()] * 6
+        kinds = (id_type, id_type, pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "ref", "lone", "ns", "xs", "ys"])
 
     def run(batches):
         key, xs, ys, out = None, [], [], []
         for batch in batches:
-            for i, r, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if (i, r) != key:
-                    if xs:
-                        flush(key, xs, ys, out)
-                    key, xs, ys = (i, r), [], []
-                if not xs or (x, y) != (xs[-1], ys[-1]):     # a run of either length
-                    xs.append(x)
-                    ys.append(y)
-            if len(out) >= 1000:
-                yield table(out)
-                out = []
-        if xs:
+            n = batch.num_rows
+            if not n:
+                continue
+            x, y = (batch.column(k).to_numpy() for k in (2, 3))
+            new = np.ones(n, bool)                           # rows of another pair than the row before
+            new[1:] = np.logical_or(*(pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in (batch.column(0), batch.column(1))))
+            keep = new.copy()                                # a run of either length
+            keep[1:] |= (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            at = np.flatnonzero(new)
+            first = np.concatenate(([0], np.cumsum(keep)))[np.append(at, n)].tolist()
+            x, y = x[keep].tolist(), y[keep].tolist()
+            ids_, refs = (batch.column(k).take(pa.array(at)).to_pylist() for k in (0, 1))
+            for k, own in enumerate(zip(ids_, refs)):
+                a, b = first[k], first[k + 1]
+                if own == key:                               # goes on from the batch before
+                    a += xs[-1] == x[a] and ys[-1] == y[a]
+                    xs += x[a:b]
+                    ys += y[a:b]
+                    continue
+                if key is not None:
+                    flush(key, xs, ys, out)
+                key, xs, ys = own, x[a:b], y[a:b]
+                if len(out) >= 1000:
+                    yield table(out)
+                    out = []
+        if key is not None:
             flush(key, xs, ys, out)
         yield table(out)
     return run
@@ -349,32 +451,40 @@ def _beside(code: np.ndarray, first: np.ndarray, doc: np.ndarray, at: np.ndarray
 
 
 def _chains_of(batch: pa.RecordBatch, a: int, b: int) -> tuple[np.ndarray, pa.StructArray]:
-    """Lone seeds of the rows a to b: the row of each, and their fields."""
+    """Pairs of the rows a to b: the row of each, and their fields."""
     lists = batch.column(batch.schema.get_field_index("chains")).slice(a, b - a)
     return pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
 
 
-#: Seeds whose words are compared at once.
-AT_ONCE = 2000
+#: Seeds or chains whose words are compared at once, and words that travel in one batch, about.
+AT_ONCE, SENT_WORDS = 2000, 1 << 20
+
+
+def _groups(size: np.ndarray, limit: int):
+    """(start, stop) of runs of rows that hold about ``limit`` in all."""
+    total = np.cumsum(size)
+    start = 0
+    while start < len(size):
+        stop = max(int(np.searchsorted(total, (total[start - 1] if start else 0) + limit, side="right")), start + 1)
+        yield start, stop
+        start = stop
 
 
 def _coder(batches):
-    """Rows (ref, text, lone seeds that lead to it) to a row a seed, with a byte of each word around it."""
-    width = 2 * BESIDE + SEED + 2 * ASIDE
+    """Rows (ref, text, pairs with lone seeds that lead to it) to a row a pair, with a byte of each word around each seed."""
     for batch in batches:
         for a, b, texts in text_slices(batch, "text"):
             code, first = _codes(texts)
-            doc, seeds_ = _chains_of(batch, a, b)
+            doc, pairs = _chains_of(batch, a, b)
             ref = column_ids(batch, "ref").slice(a, b - a)
-            for p in range(0, len(doc), AT_ONCE):
-                own, part = doc[p:p + AT_ONCE], seeds_.slice(p, AT_ONCE)
-                y = part.field("y").to_numpy()
-                around = _beside(code, first, own, y, BESIDE + ASIDE, BESIDE + SEED + ASIDE)
-                offsets = np.arange(len(own) + 1, dtype=np.int32) * width
-                yield pa.RecordBatch.from_arrays([
-                    part.field("id"), ref.take(pa.array(own)), part.field("x"), part.field("y"),
-                    pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(around))])],
-                    ["id", "ref", "x", "y", "around"])
+            y, size = _ints(pairs.field("ys"))
+            own, upto = np.repeat(doc, size), np.concatenate(([0], np.cumsum(size)))
+            for p, q in _groups(size, AT_ONCE):
+                around = [_beside(code, first, own[k:min(k + AT_ONCE, upto[q])], y[k:min(k + AT_ONCE, upto[q])], BESIDE + ASIDE, BESIDE + SEED + ASIDE)
+                          for k in range(upto[p], upto[q], AT_ONCE)]
+                part = pairs.slice(p, q - p)
+                yield pa.RecordBatch.from_arrays([part.field("id"), ref.take(pa.array(doc[p:q])), part.field("xs"), part.field("ys"),
+                                                  _binaries(np.concatenate(around), size[p:q])], ["id", "ref", "xs", "ys", "around"])
 
 
 def may_agree(own: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -389,26 +499,27 @@ def may_agree(own: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def _screen(batches):
-    """Rows (id, text, lone seeds with the words around them in their source) to the seeds that may begin a passage."""
+    """Rows (id, text, pairs with lone seeds and the words around them in their source) to a row a pair, with the seeds that may begin a passage."""
     width = 2 * BESIDE + SEED + 2 * ASIDE
     for batch in batches:
         for a, b, texts in text_slices(batch, "text"):
             code, first = _codes(texts)
-            doc, seeds_ = _chains_of(batch, a, b)
+            doc, pairs = _chains_of(batch, a, b)
             id_ = column_ids(batch, "id").slice(a, b - a)
-            for p in range(0, len(doc), AT_ONCE):
-                own, part = doc[p:p + AT_ONCE], seeds_.slice(p, AT_ONCE)
-                around = part.field("around")
-                _, _, data = around.buffers()
-                other = np.frombuffer(data, np.uint8)[around.offset * width:(around.offset + len(own)) * width].reshape(-1, width)
-                x, y = (part.field(c).to_numpy() for c in ("x", "y"))
-                kept = np.flatnonzero(may_agree(_beside(code, first, own, x, BESIDE, BESIDE + SEED), other))
-                if len(kept):
-                    four = np.arange(len(kept) + 1, dtype=np.int32) * 4
-                    xs, ys = (pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(four), pa.py_buffer(v[kept].astype("<i4"))])
-                              for v in (x, y))
-                    yield pa.RecordBatch.from_arrays([id_.take(pa.array(own[kept])), part.field("ref").take(pa.array(kept)), xs, ys],
-                                                     ["id", "ref", "xs", "ys"])
+            (x, size), (y, _) = _ints(pairs.field("xs")), _ints(pairs.field("ys"))
+            own, upto = np.repeat(doc, size), np.concatenate(([0], np.cumsum(size)))
+            for p, q in _groups(size, AT_ONCE):
+                part = pairs.slice(p, q - p)
+                other = np.frombuffer(b"".join(part.field("around").to_pylist()), np.uint8).reshape(-1, width)
+                kept = np.concatenate([may_agree(_beside(code, first, own[k:k + AT_ONCE][:upto[q] - k], x[k:k + AT_ONCE][:upto[q] - k], BESIDE, BESIDE + SEED),
+                                                 other[k - upto[p]:k - upto[p] + AT_ONCE]) for k in range(upto[p], upto[q], AT_ONCE)])
+                left = np.bincount(np.repeat(np.arange(q - p), size[p:q])[kept], minlength=q - p)
+                some = np.flatnonzero(left)
+                if len(some):
+                    xs, ys = (_binaries(v[upto[p]:upto[q]][kept].astype("<i4"), left[some]) for v in (x, y))
+                    yield pa.RecordBatch.from_arrays([
+                        id_.take(pa.array(doc[p:q][some])), part.field("ref").take(pa.array(some)),
+                        _binaries(np.ones(left.sum(), "<i4"), left[some]), xs, ys], ["id", "ref", "ns", "xs", "ys"])
 
 
 def _dealt(chained: DataFrame, *fields: str) -> DataFrame:
@@ -419,90 +530,169 @@ def _dealt(chained: DataFrame, *fields: str) -> DataFrame:
 
 
 def _cutter(margin: int):
-    """Rows (ref, text, chains of several documents with it) to a row a chain, with the earlier document's words around it."""
+    """Rows (ref, text, pairs of several documents with it) to a row a pair, with the earlier document's words around its chains.
+
+    Words that lie around several chains travel once: froms, sizes: where each stretch of words begins, and how many they are; total: all words of the text.
+    """
     def run(batches):
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("chains"))
             for a, b, texts in text_slices(batch, "text"):
                 number, first, _ = _word_numbers(texts)
-                ids_, refs, xs, ys, frm, more, words, held = [], [], [], [], [], [], [], 0
-                for k in range(a, b):
-                    own = number[first[k - a]:first[k - a + 1]]
-                    chained = lists[k].as_py()
-                    for n, c in enumerate(chained):
-                        y = np.frombuffer(c["ys"], "<i4")
-                        lo, hi = max(0, int(y[0]) - margin), int(y[-1]) + SEED + margin
-                        ids_.append(c["id"])
-                        refs.append(k)
-                        xs.append(c["xs"])
-                        ys.append(c["ys"])
-                        frm.append(lo)
-                        more.append(hi < len(own))
-                        words.append(own[lo:hi].tobytes())
-                        held += len(words[-1])
-                        if len(ids_) >= 500 or held > 4 << 20 or k == b - 1 and n == len(chained) - 1:
-                            yield pa.RecordBatch.from_arrays([
-                                pa.array(ids_, column_ids(batch, "ref").type), column_ids(batch, "ref").take(pa.array(refs, pa.int64())),
-                                pa.array(xs, pa.binary()), pa.array(ys, pa.binary()), pa.array(frm, pa.int32()), pa.array(more, pa.bool_()),
-                                pa.array(words, pa.binary())], ["id", "ref", "xs", "ys", "shift", "more", "words"])
-                            ids_, refs, xs, ys, frm, more, words, held = [], [], [], [], [], [], [], 0
+                doc, pairs = _chains_of(batch, a, b)
+                ref = column_ids(batch, "ref").slice(a, b - a)
+                (n, n_chains), (y, _) = _ints(pairs.field("ns")), _ints(pairs.field("ys"))
+                total = np.diff(first)[doc]
+                pair, stop = np.repeat(np.arange(len(doc)), n_chains), np.cumsum(n)
+                lo, hi = (np.clip(v, 0, total[pair]) + (pair << 32) for v in (y[stop - n] - margin, y[stop - 1] + SEED + margin))
+                order = np.argsort(lo, kind="stable")
+                lo, hi = lo[order], np.maximum.accumulate(hi[order])
+                new = np.flatnonzero(np.concatenate((np.ones(min(len(lo), 1), bool), lo[1:] > hi[:-1])))
+                own, frm = lo[new] >> 32, lo[new] & 0xFFFFFFFF
+                size = hi[np.append(new[1:], len(hi)) - 1] - lo[new] if len(new) else np.zeros(0, np.int64)
+                parts = np.bincount(own, minlength=len(doc))          # stretches of a pair
+                words = np.bincount(own, size, minlength=len(doc)).astype(np.int64)
+                upto = np.concatenate(([0], np.cumsum(parts)))
+                for p, q in _groups(words, SENT_WORDS):
+                    s, t = upto[p], upto[q]
+                    begin = first[doc[own[s:t]]] + frm[s:t]
+                    at = np.arange(size[s:t].sum()) + np.repeat(begin - (np.cumsum(size[s:t]) - size[s:t]), size[s:t])
+                    part = pairs.slice(p, q - p)
+                    yield pa.RecordBatch.from_arrays([
+                        part.field("id"), ref.take(pa.array(doc[p:q])), part.field("ns"), part.field("xs"), part.field("ys"),
+                        _binaries(frm[s:t].astype("<i4"), parts[p:q]), _binaries(size[s:t].astype("<i4"), parts[p:q]),
+                        pa.array(total[p:q], pa.int32()), _binaries(number[at], words[p:q])],
+                        ["id", "ref", "ns", "xs", "ys", "froms", "sizes", "total", "words"])
     return run
 
 
 def found(number: np.ndarray, rows: list[dict]) -> tuple[list[dict], list[dict]]:
     """Repeated passages of one document, by its word numbers and its chains; and the chains whose source must be seen further."""
-    out, unsure = [], []
-    at: dict[tuple, list[dict]] = {}                         # passages by document and by 64 words
-    for c in sorted(rows, key=lambda c: -len(c["xs"])):
+    some = []
+    for c in rows:
         other = np.frombuffer(c["words"], np.uint32)
         xs, ys = np.frombuffer(c["xs"], "<i4"), np.frombuffer(c["ys"], "<i4")
         x, y = xs[:, None] + np.arange(SEED), ys[:, None] - c["shift"] + np.arange(SEED)
         # seeds of another text under the same id do not hold here
         held = (x[:, -1] < len(number)) & (y[:, -1] < len(other))
         held[held] = (number[x[held]] == other[y[held]]).all(axis=1)
-        if not held.any():
-            continue
-        tries = [(xs[held], ys[held])]
+        if held.any():
+            some.append((c["ref"], xs[held], ys[held], c["shift"], c["more"], other, None))
+    got, unsure = _found(number, sorted(some, key=lambda c: -len(c[1])))
+    return got, [{"ref": ref, "xs": _bytes(xs), "ys": _bytes(ys)} for ref, xs, ys in unsure]
+
+
+def _found(number: np.ndarray, chained) -> tuple[list[dict], list[tuple]]:
+    """As ``found``, of chains (ref, xs, ys, shift, more, words of ref from shift on, ends), the longest first.
+
+    ends: the alignment before the first seed and after the last, and whether it needs more words (None: not known yet).
+    """
+    out, unsure = [], []
+    at: dict[tuple, list[dict]] = {}                         # passages by document and by 64 words
+    for ref, xs, ys, shift, more, other, ends in chained:
+        tries = [(xs, ys)]
         while tries:
             xs, ys = tries.pop()
             if any(r["start"] <= xs[0] and xs[-1] + SEED <= r["stop"] and r["ref_start"] <= ys[0] and ys[-1] + SEED <= r["ref_stop"]
-                   for r in at.get((c["ref"], int(xs[0]) >> 6), ())):
+                   for r in at.get((ref, int(xs[0]) >> 6), ())):
                 continue                                     # within a passage found
-            start, stop, o, p, good, before, behind = align(number, other, c["shift"], xs, ys)
-            if before and c["shift"] or behind and c["more"]:
-                unsure.append({"ref": c["ref"], "xs": xs.astype("<i4").tobytes(), "ys": ys.astype("<i4").tobytes()})
+            if ends is not None and ends[-1]:
+                unsure.append((ref, xs, ys))
+                continue
+            start, stop, o, p, good, before, behind = align(number, other, shift, xs, ys, ends)
+            ends = None                                      # those of the parts are others
+            if before and shift or behind and more:
+                unsure.append((ref, xs, ys))
                 continue
             if stop - start < MIN_WORDS:
-                start, stop, o, p, good = widened(number, other, c["shift"], start, stop, o, p, good)
+                start, stop, o, p, good = widened(number, other, shift, start, stop, o, p, good)
             if stop - start < MIN_WORDS:
                 continue
             if good >= SIMILARITY * max(stop - start, p - o):
-                out.append({"start": start, "stop": stop, "ref": c["ref"], "ref_start": o, "ref_stop": p, "n_same": good})
+                out.append({"start": start, "stop": stop, "ref": ref, "ref_start": o, "ref_stop": p, "n_same": good})
                 for k in range(start >> 6, (stop >> 6) + 1):
-                    at.setdefault((c["ref"], k), []).append(out[-1])
+                    at.setdefault((ref, k), []).append(out[-1])
             elif len(xs) > 1:
                 k = int((np.diff(xs) + np.diff(ys)).argmax()) + 1
                 tries += [(xs[:k], ys[:k]), (xs[k:], ys[k:])]
     return sorted(out, key=lambda r: (r["start"], -r["stop"])), unsure
 
 
-def _aligner(id_type):
+def _found_in(number: np.ndarray, first: np.ndarray, doc: np.ndarray, pairs: pa.StructArray, margin: int):
+    """``_found`` of each of some texts (word numbers, and where each text's begin), by the pairs of each: text, passages, unsure chains."""
+    (n, n_chains), (x, _), (y, _) = (_ints(pairs.field(c)) for c in ("ns", "xs", "ys"))
+    (frm, parts), (size, _) = (_ints(pairs.field(c)) for c in ("froms", "sizes"))
+    words = np.frombuffer(b"".join(pairs.field("words").to_pylist()), np.uint32)
+    total = pairs.field("total").to_numpy(zero_copy_only=False).astype(np.int64)
+    refs = pairs.field("ref").to_pylist()
+    pair, stop = np.repeat(np.arange(len(doc)), n_chains), np.cumsum(n)
+    lo, hi = np.clip(y[stop - n] - margin, 0, total[pair]), y[stop - 1] + SEED + margin
+    more = hi < total[pair]
+    hi = np.minimum(hi, total[pair])
+    stretch = np.searchsorted((np.repeat(np.arange(len(doc)), parts) << 32) + frm, (pair << 32) + lo, side="right") - 1
+    base = (np.cumsum(size) - size - frm)[stretch]           # of the earlier document's first word among all words sent
+    home, room = first[doc[pair]], np.diff(first)[doc[pair]]
+    # seeds of another text under the same id do not hold here
+    own = np.repeat(np.arange(len(n)), n)
+    held = (x + SEED <= room[own]) & (y + SEED <= hi[own])
+    for k in range(SEED):
+        at = np.flatnonzero(held)
+        held[at] = number[home[own[at]] + x[at] + k] == words[base[own[at]] + y[at] + k]
+    x, y, left = x[held], y[held], np.bincount(own[held], minlength=len(n))
+    stop = np.cumsum(left)
+    some = np.flatnonzero(left)
+    ends: list = [None] * len(n)
+    if margin <= MARGIN:
+        for p in range(0, len(some), AT_ONCE):
+            c = some[p:p + AT_ONCE]
+            x0, y0, x1, y1 = x[stop[c] - left[c]], y[stop[c] - left[c]], x[stop[c] - 1] + SEED, y[stop[c] - 1] + SEED
+            back, behind, good, open_ = extensions(number, words, home[c] + x0 - 1, base[c] + y0 - 1, x0, y0 - lo[c], -1)
+            unsure = open_ & (lo[c] > 0)
+            rest = np.flatnonzero(~unsure)
+            d = c[rest]
+            after = np.zeros((3, len(c)), np.int64)
+            *after[:, rest], open_ = extensions(number, words, home[d] + x1[rest], base[d] + y1[rest], room[d] - x1[rest], hi[d] - y1[rest], 1)
+            unsure[rest] |= open_ & more[d]
+            for k, e in zip(c.tolist(), zip(*(v.tolist() for v in (back, behind, good, *after, unsure)))):
+                ends[k] = e
+    order = some[np.lexsort((y[stop[some] - left[some]], x[stop[some] - left[some]], -n[some], doc[pair[some]]))]
+    by_doc = doc[pair[order]]
+    for p, q in _groups_of(by_doc):
+        k = int(by_doc[p])
+        yield k, *_found(number[first[k]:first[k + 1]], (
+            (refs[pair[c]], x[stop[c] - left[c]:stop[c]], y[stop[c] - left[c]:stop[c]], int(lo[c]), bool(more[c]), words[base[c] + lo[c]:base[c] + hi[c]], ends[c])
+            for c in order[p:q].tolist()))
+
+
+def _groups_of(values: np.ndarray):
+    """(start, stop) of the runs of equal values."""
+    at = np.flatnonzero(np.concatenate((np.ones(min(len(values), 1), bool), values[1:] != values[:-1])))
+    yield from zip(at.tolist(), np.append(at[1:], len(values)).tolist())
+
+
+def _aligner(id_type, margin: int):
     span = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ref", id_type), ("ref_start", pa.int32()),
                       ("ref_stop", pa.int32()), ("n_same", pa.int32())])
-    chain = pa.struct([("ref", id_type), ("xs", pa.binary()), ("ys", pa.binary())])
+    chain = pa.struct([("ref", id_type), ("ns", pa.binary()), ("xs", pa.binary()), ("ys", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("chains"))
             for a, b, texts in text_slices(batch, "text"):
                 number, first, _ = _word_numbers(texts)
-                got = [found(number[first[k - a]:first[k - a + 1]], lists[k].as_py()) for k in range(a, b)]
-                some = [k for k, (g, u) in enumerate(got) if g or u]
+                some, got, open_ = [], [], []
+                for k, own, unsure in _found_in(number, first, *_chains_of(batch, a, b), margin):
+                    if own or unsure:
+                        by_ref: dict = {}
+                        for ref, xs, ys in unsure:
+                            by_ref.setdefault(ref, []).append((xs, ys))
+                        some.append(k)
+                        got.append(own)
+                        open_.append([{"ref": ref, "ns": _bytes([len(xs) for xs, _ in cs]), "xs": _bytes(np.concatenate([xs for xs, _ in cs])),
+                                       "ys": _bytes(np.concatenate([ys for _, ys in cs]))} for ref, cs in by_ref.items()])
                 yield pa.RecordBatch.from_arrays([
                     column_ids(batch, "id").slice(a, b - a).take(pa.array(some, pa.int64())),
                     column_ids(batch, "h").slice(a, b - a).take(pa.array(some, pa.int64())),
-                    pa.array(np.diff(first)[some], pa.int64()), pa.array([got[k][0] for k in some], pa.list_(span)),
-                    pa.array([got[k][1] for k in some], pa.list_(chain))], ["id", "h", "n_words", "passages", "unsure"])
+                    pa.array(np.diff(first)[some], pa.int64()), pa.array(got, pa.list_(span)),
+                    pa.array(open_, pa.list_(chain))], ["id", "h", "n_words", "passages", "unsure"])
     return run
 
 
@@ -525,15 +715,16 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     whole = (whole.groupBy("id", "ref", (F.col("y") - F.col("x")).alias("shift"), F.shiftright("x", 4).alias("part"))
              .agg(F.min("x").alias("x")).select("id", "ref", "x", (F.col("x") + F.col("shift")).alias("y")))
     hits = hits.unionByName(whole)
+    pair = PAIR.format(kind)
     chained = staged(hits.repartition("id").sortWithinPartitions("id", "ref", "x", "y")
-                     .mapInArrow(_chainer(id_type), f"id {kind}, ref {kind}, n int, x int, y int, xs binary, ys binary"), "chains")
+                     .mapInArrow(_chainer(id_type), f"id {kind}, ref {kind}, lone boolean, ns binary, xs binary, ys binary"), "chains")
     texts = docs
     if screen:
-        coded = (_dealt(chained.filter("n = 1"), "id", "x", "y").join(docs.select(F.col("id").alias("ref"), "text"), "ref")
-                 .select("ref", "text", "chains").mapInArrow(_coder, f"id {kind}, ref {kind}, x int, y int, around binary"))
-        lone = staged(coded.groupBy("id").agg(F.collect_list(F.struct("ref", "x", "y", "around")).alias("chains")).join(docs, "id")
-                      .select("id", "text", "chains").mapInArrow(_screen, f"id {kind}, ref {kind}, xs binary, ys binary"), "screened")
-        chained = chained.filter("n > 1").select("id", "ref", "xs", "ys").unionByName(lone)
+        coded = (_dealt(chained.filter("lone"), "id", "xs", "ys").join(docs.select(F.col("id").alias("ref"), "text"), "ref")
+                 .select("ref", "text", "chains").mapInArrow(_coder, f"id {kind}, ref {kind}, xs binary, ys binary, around binary"))
+        lone = staged(coded.groupBy("id").agg(F.collect_list(F.struct("ref", "xs", "ys", "around")).alias("chains")).join(docs, "id")
+                      .select("id", "text", "chains").mapInArrow(_screen, pair), "screened")
+        chained = chained.filter("not lone").drop("lone").unionByName(lone)
         # few documents are left: the others' texts stay where they are
         texts = near(docs, "id", chained.select("id").distinct())
         sources = near(docs.select(F.col("id").alias("ref"), "text"), "ref", chained.select("ref").distinct())
@@ -541,12 +732,12 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
         sources = docs.select(F.col("id").alias("ref"), "text")
     margin, out = MARGIN, None
     while True:
-        sides = (_dealt(chained, "id", "xs", "ys").join(sources, "ref").select("ref", "text", "chains")
-                 .mapInArrow(_cutter(margin), f"id {kind}, ref {kind}, xs binary, ys binary, shift int, more boolean, words binary"))
-        each = sides.groupBy("id").agg(F.collect_list(F.struct("ref", "xs", "ys", "shift", "more", "words")).alias("chains"))
+        sides = (_dealt(chained, "id", "ns", "xs", "ys").join(sources, "ref").select("ref", "text", "chains")
+                 .mapInArrow(_cutter(margin), f"{pair}, froms binary, sizes binary, total int, words binary"))
+        each = sides.groupBy("id").agg(F.collect_list(F.struct("ref", "ns", "xs", "ys", "froms", "sizes", "total", "words")).alias("chains"))
         got = staged(each.join(texts, "id").select("id", F.xxhash64("text").alias("h"), "text", "chains").mapInArrow(
-            _aligner(id_type), f"id {kind}, h long, n_words long, passages array<struct<start:int,stop:int,ref:{kind},"
-                               f"ref_start:int,ref_stop:int,n_same:int>>, unsure array<struct<ref:{kind},xs:binary,ys:binary>>"), "passages")
+            _aligner(id_type, margin), f"id {kind}, h long, n_words long, passages array<struct<start:int,stop:int,ref:{kind},"
+                               f"ref_start:int,ref_stop:int,n_same:int>>, unsure array<struct<ref:{kind},ns:binary,xs:binary,ys:binary>>"), "passages")
         own = got.filter("size(passages) > 0").drop("unsure")
         out = own if out is None else out.unionByName(own)
         chained = got.select("id", F.explode("unsure").alias("c")).select("id", "c.*").distinct()

@@ -267,3 +267,38 @@ def test_pipeline_on_an_empty_corpus(spark, empty, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         d = stage(spark, d, str(tmp_path))
     assert d.collect() == []
+
+
+def test_many_extensions_at_once_are_those_made_one_by_one():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    a, b, at = [], [], []
+    for _ in range(400):
+        x = rng.integers(0, rng.integers(2, 40), rng.integers(0, 60)).astype(np.uint32)
+        y = np.delete(x, rng.integers(0, len(x), rng.integers(0, 3))) if len(x) else x
+        y = np.concatenate((y[:rng.integers(0, 49)], rng.integers(0, 9, rng.integers(0, 5)).astype(np.uint32)))[:48]
+        at.append((sum(map(len, a)), sum(map(len, b)), len(x), len(y)))
+        a.append(x)
+        b.append(y)
+    p, q, la, lb = np.array(at).T
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    got = [tuple(int(v) for v in r) for r in zip(*substring.extensions(flat_a, flat_b, p, q, la, lb, 1))]
+    assert got == [tuple(map(int, substring.extension(x, y))) for x, y in zip(a, b)]
+    got = [tuple(int(v) for v in r) for r in zip(*substring.extensions(flat_a, flat_b, p + la - 1, q + lb - 1, la, lb, -1))]
+    assert got == [tuple(map(int, substring.extension(x[::-1], y[::-1]))) for x, y in zip(a, b)]
+
+
+def test_words_around_the_chains_of_two_documents_are_sent_once():
+    """A line that a document repeats 300 times: as many chains with its first place, but its source's words are sent once."""
+    import numpy as np
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(400))
+    some = lambda v: np.asarray(v, "<i4").tobytes()
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("ns", pa.binary()), ("xs", pa.binary()), ("ys", pa.binary())]))
+    chained = [{"id": 2, "ns": some([1] * 300), "xs": some(range(0, 3000, 10)), "ys": some([100, 101, 300] * 100)}]
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text]), pa.array([chained], kind)], ["ref", "text", "chains"])
+    rows = pa.Table.from_batches(substring._cutter(48)([batch])).to_pylist()
+    assert len(rows) == 1 and np.frombuffer(rows[0]["froms"], "<i4").tolist() == [52, 252]
+    assert len(rows[0]["words"]) // 4 == sum(np.frombuffer(rows[0]["sizes"], "<i4")) == 102 + 101 and rows[0]["total"] == 400
