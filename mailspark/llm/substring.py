@@ -328,17 +328,76 @@ def widened(a: np.ndarray, b: np.ndarray, shift: int, start: int, stop: int, o:
     return start, stop, o + shift, p + shift, good
 
 
-def _runs(of):
-    """Rows (id, hash, place) of the runs that ``of`` picks from some texts."""
+#: Buckets of hashes (a power of two); bytes of text whose runs are dealt to them at once, and that are hashed at once.
+BUCKETS, PACK_BYTES, HASH_BYTES = 1 << 10, 8 << 20, 1 << 18
+
+
+def _packed(of):
+    """Rows (bucket, ids, hashes, places) of the runs that ``of`` picks from some texts, by the hash's first bits."""
+    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
+
+    def pack(held):
+        ids_ = pa.concat_arrays([i for i, _, _ in held])
+        h, place = (np.concatenate([r[k] for r in held]) for k in (1, 2))
+        bucket = (h >> shift).astype(np.int16)
+        order = np.argsort(bucket, kind="stable")
+        size = np.bincount(bucket, minlength=BUCKETS)
+        some = np.flatnonzero(size)
+        upto = np.concatenate(([0], np.cumsum(size[some]))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([
+            pa.array(some, pa.int32()), pa.ListArray.from_arrays(pa.array(upto), ids_.take(pa.array(order))),
+            _binaries(h[order], size[some]), _binaries(place[order].astype("<i4"), size[some])], ["bucket", "ids", "hashes", "places"])
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for a, b, texts in text_slices(batch, "text"):
+            for a, b, texts in text_slices(batch, "text", HASH_BYTES):
                 doc, h, place = of(texts)
-                yield pa.RecordBatch.from_arrays([column_ids(batch, "id").slice(a, b - a).take(pa.array(doc)),
-                                                  pa.array(h.view(np.int64)), pa.array(place.astype(np.int32))], ["id", "hash", "place"])
+                if len(h):
+                    held.append((column_ids(batch, "id").slice(a, b - a).take(pa.array(doc)), h, place))
+                size += texts.nbytes
+                if held and size >= PACK_BYTES:
+                    yield pack(held)
+                    held, size = [], 0
+        if held:
+            yield pack(held)
     return run
 
 
+def _ranks(values: pa.Array) -> np.ndarray:
+    """A number of each value, in the values' order."""
+    if pa.types.is_integer(values.type):
+        return values.to_numpy(zero_copy_only=False)
+    coded = values.dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+    return rank[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """The runs of one bucket to rows (id, ref, x, y, hash): each later place with the first such, and a row without x and y for each run of several places."""
+    ids_ = pa.concat_arrays([c.flatten() for c in table["ids"].chunks])
+    h = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.int64)
+    place = np.frombuffer(b"".join(table["places"].to_pylist()), "<i4")
+    order = np.argsort(h, kind="stable")                     # runs of one place only, as most are, go first
+    same = h[order][1:] == h[order][:-1]
+    order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+    ids_, h, place = ids_.take(pa.array(order)), h[order], place[order]
+    rank = _ranks(ids_)
+    order = np.lexsort((place, rank, h))
+    h, place, rank = h[order], place[order], rank[order]
+    new = np.concatenate((np.ones(min(len(h), 1), bool), h[1:] != h[:-1]))
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    foreign = rank != rank[first]
+    hit = np.flatnonzero(foreign | (place - place[first] >= MIN_WORDS))
+    shared = np.unique(first[foreign | (place != place[first])])
+    rows = np.concatenate((hit, shared))
+    at = np.arange(len(rows)) >= len(hit)                    # rows that only tell that a run is shared
+    return pa.table({"id": ids_.take(pa.array(order[rows])), "ref": ids_.take(pa.array(order[first[rows]])),
+                     "x": pa.array(place[rows], pa.int32(), mask=at), "y": pa.array(place[first[rows]], pa.int32(), mask=at),
+                     "hash": pa.array(h[rows], pa.int64(), mask=~at)})
+
+
 def _shared_filter(hashes: DataFrame):
     """A broadcast Bloom filter of fixed size of the column hash."""
     places = F.array(F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftright("hash", 32).bitwiseAND(F.lit(FILTER_BITS - 1)))
@@ -350,14 +409,14 @@ def _shared_filter(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(table)
 
 
-def _matches(own: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(id, ref, x, y) of the runs with an earlier place, with the first such; and the runs of several places, staged."""
-    shared = (own.groupBy("hash").agg(F.min("id").alias("ref"), F.max("id").alias("last"), F.min("place").alias("low"), F.max("place").alias("high"))
-              .filter("ref <> last or low <> high").select("hash", "ref"))
-    held = staged(own.join(shared, "hash"), name)
-    origin = held.filter("id = ref").groupBy("hash").agg(F.min("place").alias("y"))
-    hits = held.join(origin, "hash").filter(f"id <> ref or place - y >= {MIN_WORDS}")
-    return hits.select("id", "ref", F.col("place").alias("x"), "y"), held
+def _matches(docs: DataFrame, of) -> DataFrame:
+    """(id, ref, x, y) of the runs with an earlier place, with the first such; and a row without x and y, but with its hash, for each run of several places.
+
+    One shuffle of packed runs; a bucket of hashes meets in one group (20 bytes a run and place).
+    """
+    kind = dict(docs.dtypes)["id"]
+    return (docs.mapInArrow(_packed(of), f"bucket int, ids array<{kind}>, hashes binary, places binary")
+            .groupBy("bucket").applyInArrow(_met, f"id {kind}, ref {kind}, x int, y int, hash long"))
 
 
 #: Chains of one document with another: how many seeds each has, and all their places (little-endian 32-bit numbers).
@@ -576,44 +635,50 @@ def found(number: np.ndarray, rows: list[dict]) -> tuple[list[dict], list[dict]]
         held = (x[:, -1] < len(number)) & (y[:, -1] < len(other))
         held[held] = (number[x[held]] == other[y[held]]).all(axis=1)
         if held.any():
-            some.append((c["ref"], xs[held], ys[held], c["shift"], c["more"], other, None))
+            some.append((c["ref"], xs[held], ys[held], c["shift"], c["more"], other, {}))
     got, unsure = _found(number, sorted(some, key=lambda c: -len(c[1])))
     return got, [{"ref": ref, "xs": _bytes(xs), "ys": _bytes(ys)} for ref, xs, ys in unsure]
 
 
+def _judged(number: np.ndarray, other: np.ndarray, shift: int, more: bool, xs: np.ndarray, ys: np.ndarray, ends=None):
+    """What a chain is: a passage (start, stop, other start, other stop, matches), none (None), open (the source must be seen further; True),
+    or so many seeds after which it is to be cut."""
+    start, stop, o, p, good, before, behind = align(number, other, shift, xs, ys, ends)
+    if before and shift or behind and more:
+        return True
+    if stop - start < MIN_WORDS:
+        start, stop, o, p, good = widened(number, other, shift, start, stop, o, p, good)
+    if stop - start < MIN_WORDS:
+        return None
+    if good >= SIMILARITY * max(stop - start, p - o):
+        return start, stop, o, p, good
+    return int((np.diff(xs) + np.diff(ys)).argmax()) + 1 if len(xs) > 1 else None
+
+
 def _found(number: np.ndarray, chained) -> tuple[list[dict], list[tuple]]:
-    """As ``found``, of chains (ref, xs, ys, shift, more, words of ref from shift on, ends), the longest first.
+    """As ``found``, of chains (ref, xs, ys, shift, more, words of ref from shift on, known), the longest first.
 
-    ends: the alignment before the first seed and after the last, and whether it needs more words (None: not known yet).
+    known: what ``_judged`` says of the chain's parts, by their first and last seed, as far as it was asked.
     """
     out, unsure = [], []
     at: dict[tuple, list[dict]] = {}                         # passages by document and by 64 words
-    for ref, xs, ys, shift, more, other, ends in chained:
-        tries = [(xs, ys)]
+    for ref, xs, ys, shift, more, other, known in chained:
+        tries = [(0, len(xs))]
         while tries:
-            xs, ys = tries.pop()
-            if any(r["start"] <= xs[0] and xs[-1] + SEED <= r["stop"] and r["ref_start"] <= ys[0] and ys[-1] + SEED <= r["ref_stop"]
-                   for r in at.get((ref, int(xs[0]) >> 6), ())):
+            a, b = tries.pop()
+            x, y, last_x, last_y = int(xs[a]), int(ys[a]), int(xs[b - 1]), int(ys[b - 1])
+            if any(r["start"] <= x and last_x + SEED <= r["stop"] and r["ref_start"] <= y and last_y + SEED <= r["ref_stop"]
+                   for r in at.get((ref, x >> 6), ())):
                 continue                                     # within a passage found
-            if ends is not None and ends[-1]:
-                unsure.append((ref, xs, ys))
-                continue
-            start, stop, o, p, good, before, behind = align(number, other, shift, xs, ys, ends)
-            ends = None                                      # those of the parts are others
-            if before and shift or behind and more:
-                unsure.append((ref, xs, ys))
-                continue
-            if stop - start < MIN_WORDS:
-                start, stop, o, p, good = widened(number, other, shift, start, stop, o, p, good)
-            if stop - start < MIN_WORDS:
-                continue
-            if good >= SIMILARITY * max(stop - start, p - o):
-                out.append({"start": start, "stop": stop, "ref": ref, "ref_start": o, "ref_stop": p, "n_same": good})
-                for k in range(start >> 6, (stop >> 6) + 1):
+            said = known[a, b] if (a, b) in known else _judged(number, other, shift, more, xs[a:b], ys[a:b])
+            if said is True:
+                unsure.append((ref, xs[a:b], ys[a:b]))
+            elif isinstance(said, tuple):
+                out.append(dict(zip(("start", "stop", "ref", "ref_start", "ref_stop", "n_same"), (*said[:2], ref, *said[2:]))))
+                for k in range(said[0] >> 6, (said[1] >> 6) + 1):
                     at.setdefault((ref, k), []).append(out[-1])
-            elif len(xs) > 1:
-                k = int((np.diff(xs) + np.diff(ys)).argmax()) + 1
-                tries += [(xs[:k], ys[:k]), (xs[k:], ys[k:])]
+            elif said:
+                tries += [(a, a + said), (a + said, b)]
     return sorted(out, key=lambda r: (r["start"], -r["stop"])), unsure
 
 
@@ -640,11 +705,18 @@ def _found_in(number: np.ndarray, first: np.ndarray, doc: np.ndarray, pairs: pa.
     x, y, left = x[held], y[held], np.bincount(own[held], minlength=len(n))
     stop = np.cumsum(left)
     some = np.flatnonzero(left)
-    ends: list = [None] * len(n)
-    if margin <= MARGIN:
-        for p in range(0, len(some), AT_ONCE):
-            c = some[p:p + AT_ONCE]
-            x0, y0, x1, y1 = x[stop[c] - left[c]], y[stop[c] - left[c]], x[stop[c] - 1] + SEED, y[stop[c] - 1] + SEED
+    known: list[dict] = [{} for _ in range(len(n))]
+    begin = stop - left
+
+    def view(c):
+        return words[base[c] + lo[c]:base[c] + hi[c]]
+    # chains of few words around them together; then the parts of those that are to be cut, and so on
+    wave = [(c, begin[c], stop[c]) for c in some.tolist()] if margin <= MARGIN else []
+    while wave:
+        then = []
+        for p in range(0, len(wave), AT_ONCE):
+            c, s, t = np.array(wave[p:p + AT_ONCE]).T
+            x0, y0, x1, y1 = x[s], y[s], x[t - 1] + SEED, y[t - 1] + SEED
             back, behind, good, open_ = extensions(number, words, home[c] + x0 - 1, base[c] + y0 - 1, x0, y0 - lo[c], -1)
             unsure = open_ & (lo[c] > 0)
             rest = np.flatnonzero(~unsure)
@@ -652,14 +724,18 @@ def _found_in(number: np.ndarray, first: np.ndarray, doc: np.ndarray, pairs: pa.
             after = np.zeros((3, len(c)), np.int64)
             *after[:, rest], open_ = extensions(number, words, home[d] + x1[rest], base[d] + y1[rest], room[d] - x1[rest], hi[d] - y1[rest], 1)
             unsure[rest] |= open_ & more[d]
-            for k, e in zip(c.tolist(), zip(*(v.tolist() for v in (back, behind, good, *after, unsure)))):
-                ends[k] = e
-    order = some[np.lexsort((y[stop[some] - left[some]], x[stop[some] - left[some]], -n[some], doc[pair[some]]))]
+            for k, u, v, far, *ends in zip(*(v.tolist() for v in (c, s, t, unsure, back, behind, good, *after))):
+                said = far or _judged(number[home[k]:home[k] + room[k]], view(k), int(lo[k]), bool(more[k]), x[u:v], y[u:v], ends)
+                known[k][u - int(begin[k]), v - int(begin[k])] = said
+                if type(said) is int:
+                    then += [(k, u, u + said), (k, u + said, v)]
+        wave = then
+    order = some[np.lexsort((y[begin[some]], x[begin[some]], -n[some], doc[pair[some]]))]
     by_doc = doc[pair[order]]
     for p, q in _groups_of(by_doc):
         k = int(by_doc[p])
         yield k, *_found(number[first[k]:first[k + 1]], (
-            (refs[pair[c]], x[stop[c] - left[c]:stop[c]], y[stop[c] - left[c]:stop[c]], int(lo[c]), bool(more[c]), words[base[c] + lo[c]:base[c] + hi[c]], ends[c])
+            (refs[pair[c]], x[begin[c]:stop[c]], y[begin[c]:stop[c]], int(lo[c]), bool(more[c]), view(c), known[c])
             for c in order[p:q].tolist()))
 
 
@@ -708,10 +784,10 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     kind, id_type = dict(docs.dtypes)["id"], to_arrow_type(docs.schema["id"].dataType)
-    row = f"id {kind}, hash long, place int"
-    hits, held = _matches(docs.mapInArrow(_runs(seeds), row), "seeds")
-    sent = _shared_filter(held.select("hash"))
-    whole, _ = _matches(docs.mapInArrow(_runs(lambda texts: wide(texts, sent.value)), row), "runs")
+    hits = staged(_matches(docs, seeds), "seeds")
+    sent = _shared_filter(hits.filter("x is null").select("hash"))
+    hits = hits.filter("x is not null").select("id", "ref", "x", "y")
+    whole = _matches(docs, lambda texts: wide(texts, sent.value)).filter("x is not null")
     whole = (whole.groupBy("id", "ref", (F.col("y") - F.col("x")).alias("shift"), F.shiftright("x", 4).alias("part"))
              .agg(F.min("x").alias("x")).select("id", "ref", "x", (F.col("x") + F.col("shift")).alias("y")))
     hits = hits.unionByName(whole)
