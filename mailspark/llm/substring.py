@@ -61,7 +61,7 @@ DROP = 6
 BESIDE, ASIDE, SCREEN = 45, 2, 38
 #: Documents whose matches with one document travel in one row.
 TOGETHER = 128
-#: Bits of the filter of shared seeds that the tasks get (8 MB).
+#: Bits of the filter of shared seeds that the tasks get (8 MB; a power of two).
 FILTER_BITS = 1 << 26
 
 
@@ -94,14 +94,20 @@ def seeds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at], h[at], at - first[doc[at]]
 
 
+def _filter_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each hash, both in the part of its bucket."""
+    part = FILTER_BITS // BUCKETS
+    first = (h >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
+    return first, first // part * part + (h & np.uint64(part - 1)).astype(np.int64)
+
+
 def wide(texts: pa.Array, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash, word place) of the runs of MIN_WORDS words whose seeds the filter ``shared`` holds."""
     w = Words(texts)
     hashes = w.hashes()
     doc, h = shingles(w, hashes, SEED)
     at = _winnowed(doc, h, np.bincount(doc, minlength=len(texts)))
-    key = h[at]
-    p, q = ((x & np.uint64(FILTER_BITS - 1)).astype(np.int64) for x in (key, key >> np.uint64(32)))
+    p, q = _filter_places(h[at])
     odd = np.zeros(len(w.starts) + 1, np.int64)              # seeds not shared, up to a word
     first_run = np.searchsorted(doc, doc[at])
     odd[w.first[doc[at]] + at - first_run + 1] = 1 - (shared[p >> 6] >> (p & 63) & 1 & shared[q >> 6] >> (q & 63))
@@ -122,14 +128,19 @@ def chains(xs: list[int], ys: list[int]) -> list[tuple[list[int], list[int]]]:
         return [(xs, ys)]
     places = sorted(set(ys))
     rank = {y: i + 1 for i, y in enumerate(places)}
-    tree: list[tuple[float, int]] = [(0.0, -1)] * (len(places) + 1)     # prefix maxima of score + cost of place
+    size = len(places) + 1
+    tree: list[tuple[float, int]] = [(0.0, -1)] * size       # prefix maxima of score + cost of place
     score, before = [0.0] * n, [-1] * n
     waiting: list[int] = []
     for j in range(n):
         x, y = xs[j], ys[j]
         if waiting and xs[waiting[0]] < x:                   # matches of one x do not follow each other
             for i in waiting:
-                _put(tree, rank[ys[i]], (score[i] + GAP * (xs[i] + ys[i]), i))
+                k, value = rank[ys[i]], (score[i] + GAP * (xs[i] + ys[i]), i)
+                while k < size:
+                    if value > tree[k]:
+                        tree[k] = value
+                    k += k & -k
             waiting = []
         k, best = rank[y] - 1, (0.0, -1)
         while k > 0:
@@ -158,13 +169,6 @@ def chains(xs: list[int], ys: list[int]) -> list[tuple[list[int], list[int]]]:
     return out
 
 
-def _put(tree, k, value):
-    while k < len(tree):
-        if value > tree[k]:
-            tree[k] = value
-        k += k & -k
-
-
 def matches(a: np.ndarray, b: np.ndarray) -> int:
     """Words of an optimal alignment of two short word rows that agree."""
     if len(a) == len(b):
@@ -375,7 +379,7 @@ def _ranks(values: pa.Array) -> np.ndarray:
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """The runs of one bucket to rows (id, ref, x, y, hash): each later place with the first such, and a row without x and y for each run of several places."""
+    """The runs of one bucket to rows (id, ref, x, y, bits): each later place with the first such; and the bucket (x) with the bits of its runs of several places."""
     ids_ = pa.concat_arrays([c.flatten() for c in table["ids"].chunks])
     h = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.int64)
     place = np.frombuffer(b"".join(table["places"].to_pylist()), "<i4")
@@ -390,33 +394,35 @@ def _met(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     foreign = rank != rank[first]
     hit = np.flatnonzero(foreign | (place - place[first] >= MIN_WORDS))
-    shared = np.unique(first[foreign | (place != place[first])])
-    rows = np.concatenate((hit, shared))
-    at = np.arange(len(rows)) >= len(hit)                    # rows that only tell that a run is shared
-    return pa.table({"id": ids_.take(pa.array(order[rows])), "ref": ids_.take(pa.array(order[first[rows]])),
-                     "x": pa.array(place[rows], pa.int32(), mask=at), "y": pa.array(place[first[rows]], pa.int32(), mask=at),
-                     "hash": pa.array(h[rows], pa.int64(), mask=~at)})
-
-
-def _shared_filter(hashes: DataFrame):
-    """A broadcast Bloom filter of fixed size of the column hash."""
-    places = F.array(F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftright("hash", 32).bitwiseAND(F.lit(FILTER_BITS - 1)))
-    words = (hashes.select(F.explode(places).alias("p"))
-             .groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-             .toArrow())                                     # FILTER_BITS / 64 short rows at most
-    table = np.zeros(FILTER_BITS >> 6, np.int64)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return hashes.sparkSession.sparkContext.broadcast(table)
+    part = FILTER_BITS // BUCKETS
+    bits = np.zeros(part, np.uint8)
+    for at in _filter_places(h[foreign | (place != place[first])].view(np.uint64)):
+        bits[at % part] = 1
+    n, kind = len(hit), ids_.type
+    return pa.table({"id": pa.concat_arrays([ids_.take(pa.array(order[hit])), pa.nulls(1, kind)]),
+                     "ref": pa.concat_arrays([ids_.take(pa.array(order[first[hit]])), pa.nulls(1, kind)]),
+                     "x": pa.array(np.append(place[hit], table["bucket"][0].as_py()), pa.int32()),
+                     "y": pa.array(np.append(place[first[hit]], 0), pa.int32()),
+                     "bits": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())])})
+
+
+def _shared_filter(parts: DataFrame):
+    """A broadcast Bloom filter of fixed size, of its parts by bucket (x, bits)."""
+    got = parts.toArrow()                                    # BUCKETS rows, FILTER_BITS bits in all
+    table = np.zeros((BUCKETS, FILTER_BITS // BUCKETS // 64), np.int64)
+    for k, bits in zip(got["x"].to_pylist(), got["bits"].to_pylist()):
+        table[k] = np.frombuffer(bits, "<i8")
+    return parts.sparkSession.sparkContext.broadcast(table.ravel())
 
 
 def _matches(docs: DataFrame, of) -> DataFrame:
-    """(id, ref, x, y) of the runs with an earlier place, with the first such; and a row without x and y, but with its hash, for each run of several places.
+    """(id, ref, x, y) of the runs with an earlier place, with the first such; and of each bucket (x) the bits of its runs of several places.
 
     One shuffle of packed runs; a bucket of hashes meets in one group (20 bytes a run and place).
     """
     kind = dict(docs.dtypes)["id"]
     return (docs.mapInArrow(_packed(of), f"bucket int, ids array<{kind}>, hashes binary, places binary")
-            .groupBy("bucket").applyInArrow(_met, f"id {kind}, ref {kind}, x int, y int, hash long"))
+            .groupBy("bucket").applyInArrow(_met, f"id {kind}, ref {kind}, x int, y int, bits binary"))
 
 
 #: Chains of one document with another: how many seeds each has, and all their places (little-endian 32-bit numbers).
@@ -624,6 +630,26 @@ def _cutter(margin: int):
     return run
 
 
+def may_widen(a, b, start, stop, o, p, good, room, o_room, la, lb):
+    """Whether each of many short alignments may become a passage when ``widened``: those of a[start:stop] and b[o:p].
+
+    room, o_room: words before the alignments; la, lb: words after them.
+    """
+    need = MIN_WORDS - (stop - start)
+    left, right = np.minimum(need, np.minimum(room, o_room)), np.minimum(need, np.minimum(la, lb))
+    col = np.arange(MIN_WORDS)
+    sums = []
+    for u, v, n, step in ((start - 1, o - 1, left, -1), (stop, p, right, 1)):
+        same = np.take(a, u[:, None] + step * col, mode="clip") == np.take(b, v[:, None] + step * col, mode="clip")
+        total = np.zeros((len(u), MIN_WORDS + 1), np.int16)
+        np.cumsum(same & (col < n[:, None]), axis=1, out=total[:, 1:])
+        sums.append(total)
+    e = np.arange(MIN_WORDS + 1)                             # words before
+    fits = (e >= (need - right)[:, None]) & (e <= left[:, None])
+    total = sums[0] + np.take_along_axis(sums[1], np.clip(need[:, None] - e, 0, MIN_WORDS), axis=1)
+    return np.where(fits, total, -MIN_WORDS).max(axis=1) + good >= SIMILARITY * MIN_WORDS
+
+
 def found(number: np.ndarray, rows: list[dict]) -> tuple[list[dict], list[dict]]:
     """Repeated passages of one document, by its word numbers and its chains; and the chains whose source must be seen further."""
     some = []
@@ -724,8 +750,15 @@ def _found_in(number: np.ndarray, first: np.ndarray, doc: np.ndarray, pairs: pa.
             after = np.zeros((3, len(c)), np.int64)
             *after[:, rest], open_ = extensions(number, words, home[d] + x1[rest], base[d] + y1[rest], room[d] - x1[rest], hi[d] - y1[rest], 1)
             unsure[rest] |= open_ & more[d]
-            for k, u, v, far, *ends in zip(*(v.tolist() for v in (c, s, t, unsure, back, behind, good, *after))):
-                said = far or _judged(number[home[k]:home[k] + room[k]], view(k), int(lo[k]), bool(more[k]), x[u:v], y[u:v], ends)
+            # most lone seeds stay short and agree too little around them
+            none = np.zeros(len(c), bool)
+            d = np.flatnonzero((t - s == 1) & ~unsure & (x1 - x0 + back + after[0] < MIN_WORDS))
+            k, u, v = c[d], x0[d] - back[d], x1[d] + after[0][d]
+            o, e = y0[d] - behind[d], y1[d] + after[1][d]
+            none[d] = ~may_widen(number, words, home[k] + u, home[k] + v, base[k] + o, base[k] + e, good[d] + SEED + after[2][d],
+                                 u, o - lo[k], room[k] - v, hi[k] - e)
+            for k, u, v, far, no, *ends in zip(*(v.tolist() for v in (c, s, t, unsure, none, back, behind, good, *after))):
+                said = None if no else far or _judged(number[home[k]:home[k] + room[k]], view(k), int(lo[k]), bool(more[k]), x[u:v], y[u:v], ends)
                 known[k][u - int(begin[k]), v - int(begin[k])] = said
                 if type(said) is int:
                     then += [(k, u, u + said), (k, u + said, v)]
@@ -785,9 +818,9 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     kind, id_type = dict(docs.dtypes)["id"], to_arrow_type(docs.schema["id"].dataType)
     hits = staged(_matches(docs, seeds), "seeds")
-    sent = _shared_filter(hits.filter("x is null").select("hash"))
-    hits = hits.filter("x is not null").select("id", "ref", "x", "y")
-    whole = _matches(docs, lambda texts: wide(texts, sent.value)).filter("x is not null")
+    sent = _shared_filter(hits.filter("bits is not null").select("x", "bits"))
+    hits = hits.filter("bits is null").select("id", "ref", "x", "y")
+    whole = _matches(docs, lambda texts: wide(texts, sent.value)).filter("bits is null")
     whole = (whole.groupBy("id", "ref", (F.col("y") - F.col("x")).alias("shift"), F.shiftright("x", 4).alias("part"))
              .agg(F.min("x").alias("x")).select("id", "ref", "x", (F.col("x") + F.col("shift")).alias("y")))
     hits = hits.unionByName(whole)

@@ -302,3 +302,27 @@ def test_words_around_the_chains_of_two_documents_are_sent_once():
     rows = pa.Table.from_batches(substring._cutter(48)([batch])).to_pylist()
     assert len(rows) == 1 and np.frombuffer(rows[0]["froms"], "<i4").tolist() == [52, 252]
     assert len(rows[0]["words"]) // 4 == sum(np.frombuffer(rows[0]["sizes"], "<i4")) == 102 + 101 and rows[0]["total"] == 400
+
+
+def test_a_short_alignment_is_left_only_where_widening_cannot_help():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a, b = (rng.integers(0, 2, rng.integers(50, 90)).astype(np.uint32) for _ in "ab")
+        start, size = int(rng.integers(0, 45)), 5
+        o = int(rng.integers(0, 45))
+        b[o:o + size] = a[start:start + size]
+        v = [np.array([x]) for x in (start, start + size, o, o + size, size, start, o, len(a) - start - size, len(b) - o - size)]
+        got = substring.widened(a, b, 0, start, start + size, o, o + size, size)
+        assert bool(substring.may_widen(a, b, *v)[0]) == (got[1] - got[0] >= 50 and got[4] >= 40)
+
+
+def test_passages_under_other_kinds_of_ids(spark):
+    """The first document by the ids' own order has the passage: strings, and negative numbers; a bucket of every run too."""
+    shared = " ".join(f"s{i}" for i in range(60))
+    for kind, ids in (("string", ["b", "B", "ä", "10", "9"]), ("int", [3, -5, 0, 2, 7]), ("string", ["only"] * 2)):
+        rows = [(i, f"x{k} {shared} y{k}") for k, i in enumerate(ids)]
+        got = substring.report(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()
+        least = min(ids, key=lambda i: i.encode() if kind == "string" else i)
+        assert sorted((r["doc_id"], r["start"], r["stop"], r["ref_doc_id"]) for r in got) == sorted((i, 1, 61, least) for i in ids if i != least)
