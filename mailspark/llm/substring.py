@@ -27,6 +27,9 @@ aligned chain of 50 words or more, of which 80% agree, is a repeated passage;
 one that agrees less is cut at its widest gap, and its parts are tried.
 The first document that has it keeps it.
 
+Runs travel packed, dealt by their hash to a fixed number of buckets; chains travel a row a pair of documents, with
+the earlier document's words around them once.
+
 Cases: null and empty texts, and texts of fewer than 50 words, have no
 passages; a passage that repeats in its own document has that document as its
 source; rows that repeat a doc_id are one document (passages refer to any of its rows), but each
