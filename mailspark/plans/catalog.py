@@ -850,7 +850,7 @@ def _message_index(spark, sf):
     root = checkpoint_dir(spark, "index-" + hashlib.sha256(repr((spark.sparkContext.applicationId, _stamps(spark, made_of))).encode()).hexdigest()[:24])
     index = SE.StoredIndex(spark, root)
     if not index.additions():
-        index.add(SE.build_index(full, M.KEY, packed=True), "all")
+        index.add(SE.build_index(full, M.KEY, packed="blocks"), "all")
     return index
 
 

@@ -148,3 +148,51 @@ def test_an_index_counts_the_rows_of_a_key_together_and_stores_lists(spark, monk
     stored.add(packed, "all")
     assert sorted(map(repr, stored.postings(["the", "ar"]).select("token", "k", "tf").collect())) == \
         sorted(map(repr, plain.where("token in ('the', 'ar')").collect()))
+
+
+def test_a_stored_index_is_packed_where_its_texts_are(spark, monkeypatch):
+    """Texts are not shuffled for it, a posting takes a few bytes, and lookups sum what blocks and additions have of a key."""
+    from mailspark.operators import search as SE
+    monkeypatch.setattr(SE, "PACKED", 500)
+    rows = [(f"box{n % 4}" if n % 50 else None, n // 8 if n % 60 else None, f"the of år w{n} 中文 the") for n in range(4000)]
+    df = spark.createDataFrame(rows + rows[:700], "p string, k long, text string").repartition(6)
+    plain = (df.select("p", "k", F.explode(SE.tokens(F.col("text"))).alias("token"))
+               .groupBy("token", "p", "k").agg(F.count("*").alias("tf")))
+    blocks = SE.build_index(df, ("p", "k"), ["text"], packed="blocks")
+    plan = executed(blocks)
+    assert plan.count("Exchange") == executed(df).count("Exchange") == 1 and "Sort" not in plan
+    toks = ["the", "ar", "中文", "w7", "w3999", "absent"]
+    want = sorted(map(repr, plain.where(F.col("token").isin(toks)).collect()))
+    for postings in (blocks, SE.build_index(df, ("p", "k"), ["text"])):
+        stored = SE.StoredIndex(spark, tempfile.mkdtemp(prefix="idx-") + "/index")
+        stored.add(postings, "all")
+        lists = spark.read.parquet(stored.path + "/0-all").where("token = 'the'")
+        assert lists.agg(F.sum(F.length("postings"))).first()[0] < 16 * plain.where("token = 'the'").count()
+        assert sorted(map(repr, stored.postings(toks).select("token", "p", "k", "tf").collect())) == want
+    part = df.where("k % 2 = 0 or k is null")
+    halves = SE.StoredIndex(spark, tempfile.mkdtemp(prefix="idx-") + "/index")
+    monkeypatch.setattr(SE.StoredIndex, "MERGE", 2)
+    halves.add(SE.build_index(part, ("p", "k"), ["text"], packed="blocks"), "a")
+    halves.add(SE.build_index(df.where("k % 2 = 1"), ("p", "k"), ["text"], packed="blocks"), "b")
+    assert [n[0] for n in halves.additions()] == ["1"]
+    assert sorted(map(repr, halves.postings(toks).select("token", "p", "k", "tf").collect())) == want
+
+
+def test_posting_lists_are_read_as_written():
+    """Nulls, negative and largest numbers, long and empty texts, dates; also no posting at all."""
+    import datetime
+
+    import numpy as np
+    import pyarrow as pa
+    from mailspark.operators import posting_bytes as PB
+    tf = np.array([1, 1, 300, 70000, 1, 2], np.int64)
+    own = [pa.array(["a", "a", "", None, "é" * 200, "a"]), pa.array([5, -1, 2 ** 63 - 1, -2 ** 63, None, None], pa.int64()),
+           pa.array([datetime.date(2001, 1, d) for d in range(1, 7)]), pa.array([True, None, False, True, True, False]),
+           pa.array([0.1, -0.0, None, 1e300, 2.0, 3.0])]
+    for first in ([0], [0, 1], [0, 3, 4, 5], range(6)):
+        lists = PB.written(np.array(first, np.int64), tf, own)
+        got = [PB.read(x, [c.type for c in own]) for x in lists.to_pylist()]
+        assert np.concatenate([t for t, _ in got]).tolist() == tf.tolist()
+        for i, c in enumerate(own):
+            assert [v for _, cols in got for v in cols[i].to_pylist()] == c.to_pylist()
+    assert len(PB.written(np.zeros(0, np.int64), tf[:0], [c[:0] for c in own])) == 0
